@@ -16,7 +16,7 @@ whole, whatever its length; an empty table gives an empty result.
 from __future__ import annotations
 
 import os
-import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -28,63 +28,107 @@ from pyspark.sql import functions as F
 from colloquy.llm.common import prepare
 
 FULL, END = 2048, 1
-#: Pieces whose ids a worker remembers at once.
-REMEMBERED = 300_000
 _loaded: dict[str, Encoder] = {}
-_BREAK = "\x01"
-#: What split() takes for white space and the tokenizer does not.
-ODD = re.compile("[\x1c-\x1f]")
+
+
+def byte_symbols() -> list[str]:
+    """The printable character that byte-level vocabularies use for each byte."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
+
+
+def kinds() -> np.ndarray:
+    """Of each code point below 0x20000: 0 white space, 1 letter, 2 number, 3 anything else; beyond, the last one's."""
+    out = np.full(0x20001, 3, np.uint8)
+    for p in range(0x20000):
+        c = chr(p)
+        k = unicodedata.category(c)[0]
+        if k == "L":
+            out[p] = 1
+        elif k == "N":
+            out[p] = 2
+        elif c.isspace() and not "\x1c" <= c <= "\x1f":
+            out[p] = 0
+    return out
 
 
 class Encoder:
-    """Ids by a word-level BPE file, remembered for pieces between ASCII white space.
+    """Ids by a lower-casing word-level BPE file whose tokens end words with a mark.
 
-    The file's pre-tokenizer drops white space and never looks across it, so a text's
-    ids are its pieces' ids in order. New pieces are encoded many at a time with a
-    break between them that no piece holds.
+    The library that the file is for merges slowly; the same merges run in tiktoken. Its
+    alphabet has two signs for each byte, inside a word and at its end, written as
+    code points of two bytes that merge before all else; so a token's number is its
+    rank there too. Where words end is found for a whole text at once. Texts with
+    special strings or characters beyond the table go to the library itself.
     """
 
+    SIGNS = 0x100  # the first code point of the alphabet; a sign at a word's end is 256 further
+
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, list[int]] = {}
-        (self.stop,) = self.tokenizer.encode(_BREAK, add_special_tokens=False).ids
-
-    def learn(self, pieces: list[str]) -> None:
-        apart = [p for p in pieces if _BREAK in p]
-        together = [p for p in pieces if _BREAK not in p]
-        for p in apart:
-            self.known[p] = self.tokenizer.encode(p, add_special_tokens=False).ids
-        for at in range(0, len(together), 1024):
-            some = together[at : at + 1024]
-            ids = self.tokenizer.encode(f" {_BREAK} ".join(some), add_special_tokens=False).ids
-            array = np.array(ids)
-            ends = np.append(np.flatnonzero(array == self.stop), len(ids)).tolist()
-            begin = 0
-            for piece, end in zip(some, ends, strict=True):
-                self.known[piece] = ids[begin:end]
-                begin = end + 1
+        mark, symbols = "</w>", byte_symbols()
+        index = {c: i for i, c in enumerate(symbols)}
+        ranks: dict[bytes, int] = {}
+        for token, number in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            if token in self.special:
+                continue
+            ends = token.endswith(mark) and token != mark
+            body = token.removesuffix(mark) if ends else token
+            signs = [self.SIGNS + index[c] for c in body]
+            if ends:
+                signs[-1] += 256
+            ranks["".join(map(chr, signs)).encode()] = number
+        top = max(ranks.values()) + 1
+        for b in range(256):
+            ranks.setdefault(bytes([b]), top + b)
+        a, z = self.SIGNS, self.SIGNS + 256
+        self.merge = tiktoken.Encoding("words", pat_str=f"[\\u{{{a:x}}}-\\u{{{a + 255:x}}}]*[\\u{{{z:x}}}-\\u{{{z + 255:x}}}]", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.kind = kinds()
+
+    def ends(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which code points are white space, and which are the last of a word of the file's pattern."""
+        kind = self.kind[np.minimum(points, len(self.kind) - 1)]
+        after = np.append(kind[1:], 0)
+        end = (kind != 0) & ((kind == 2) | (kind != after))
+        quote = np.flatnonzero((points == 39) & (np.append(0, kind[:-1]) != 3) & (after == 1))
+        for q in quote.tolist():
+            tail = "".join(map(chr, points[q + 1 : q + 3].tolist()))
+            n = 1 if tail[0] in "stmd" else 2 if tail in ("re", "ve", "ll") else 0
+            if n:  # a contraction is one word
+                end[q], end[q + n] = False, True
+        return kind == 0, end
+
+    def signs(self, text: str) -> str:
+        """The text in the alphabet of the merges."""
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3")
+        text = text.lower()
+        raw = np.frombuffer(text.encode(), np.uint8)
+        if text.isascii():
+            blank, end = self.ends(raw.astype(np.uint32))
+        else:
+            blank, end = self.ends(np.frombuffer(text.encode("utf-32-le"), np.uint32))
+            first = np.flatnonzero((raw & 0xC0) != 0x80)
+            size = np.diff(np.append(first, len(raw)))
+            blank = np.repeat(blank, size)
+            last = first + size - 1
+            wide = np.zeros(len(raw), bool)
+            wide[last[end]] = True
+            end = wide
+        return (raw.astype(np.uint16) + self.SIGNS + 256 * end.astype(np.uint16))[~blank].tobytes().decode("utf-16-le")
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """32-bit ids of each text with the end token."""
-        pieces = [None if ODD.search(t) or any(s in t for s in self.special) else t.split() for t in texts]
-        known = self.known
-        new = {p for some in pieces if some for p in some if p not in known}
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = {p for some in pieces if some for p in some}
-        self.learn(list(new))
         out = []
-        for text, some in zip(texts, pieces, strict=True):
-            ids: list[int] = []
-            if some is None:
-                ids += self.tokenizer.encode(text, add_special_tokens=False).ids
-            else:
-                for one in map(known.__getitem__, some):
-                    ids += one
+        for text in texts:
+            odd = any(s in text for s in self.special) or not text.isascii() and max(text) >= "\U00020000"
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids if odd else self.merge(self.signs(text))
             ids.append(END)
             out.append(np.array(ids, "<u4"))
         return out
