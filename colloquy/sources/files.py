@@ -28,3 +28,25 @@ def loads_loose(text: Column) -> Column:
 def first_existing(*sources: Column) -> Column:
     """SRC06-07: the first source that is there."""
     return F.coalesce(*sources)
+
+
+def names(spark: SparkSession, path: str) -> DataFrame:
+    """SRC19: sorted names of the files below a path."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("_metadata.file_name").alias("name")).distinct().orderBy("name")
+
+
+def write_table(df: DataFrame, path: str) -> None:
+    """SNK02, SNK04: a table that readers see whole or not at all."""
+    df.write.mode("overwrite").parquet(path)
+
+
+def write_transcripts(turns: DataFrame, path: str) -> None:
+    """SNK01: turns as JSON rows and as text, one line a turn."""
+    turns.write.mode("overwrite").json(f"{path}/json")
+    turns.select(F.col("text").alias("value")).write.mode("overwrite").text(f"{path}/text")
+
+
+def park(messages: DataFrame, path: str) -> None:
+    """SNK22: notices that weren't delivered, appended to a log."""
+    header = F.concat(F.lit("=== "), F.date_format("at", "yyyy-MM-dd HH:mm:ss"), *(F.concat(F.lit(f" | {c}="), F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("-"))) for c in ("event", "mode")), F.lit(" | "), F.coalesce(F.nullif(F.col("reason"), F.lit("")), F.lit("-")), F.lit(" ==="))
+    messages.select(F.concat(header, F.lit("\n"), "message", F.lit("\n")).alias("value")).write.mode("append").text(path)
