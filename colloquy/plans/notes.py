@@ -111,7 +111,7 @@ def rendered_turns(spark, sf):
 
 @query(CHUNKS + f""", z AS (SELECT *, {STAMP_SQL} AS s, '**[' || {STAMP_SQL} || '] ' || role || '**' || chr(10) || chr(10) || text || chr(10) AS block FROM c), b AS (SELECT job_id, chunk, min(p) AS b FROM c GROUP BY ALL),
 v AS (SELECT b.job_id, b.chunk, string_agg(block, chr(10) ORDER BY z.p) AS x FROM b JOIN z ON z.job_id = b.job_id AND z.p < b.b AND z.p >= b.b - 2 GROUP BY ALL),
-o AS (SELECT job_id, chunk, string_agg(block, chr(10) ORDER BY p) AS x, printf('<!-- chunk %02d · %s–%s · %d 段 · %d 字 -->', chunk, min(s), max(s), count(*), CAST(sum(n) AS BIGINT)) AS h FROM z GROUP BY ALL)
+o AS (SELECT job_id, chunk, string_agg(block, chr(10) ORDER BY p) AS x, printf('<!-- chunk %02d · %s–%s · %d 段 · %d 字 -->', min(chunk), min(s), max(s), count(*), CAST(sum(n) AS BIGINT)) AS h FROM z GROUP BY ALL)
 SELECT o.job_id, o.chunk, md5(rtrim(h || chr(10) || CASE WHEN v.x IS NULL THEN '' ELSE '### 上文（僅供理解，**不要**重複整理，不要寫進輸出）' || chr(10) || chr(10) || v.x || chr(10) || '### 本段（**只**整理這一段）' || chr(10) || chr(10) END || o.x, ' ' || chr(10)) || chr(10)) AS digest FROM o LEFT JOIN v ON v.job_id = o.job_id AND v.chunk = o.chunk""")
 def chunk_texts(spark, sf):
     """SNK11."""
@@ -175,7 +175,7 @@ def bundle_artifacts(spark, sf):
     return render.bundle_artifacts(files, "job_id", delivered)
 
 
-@query("""SELECT o_orderkey, printf('%2d', CAST(r AS BIGINT)) || '  ' || rpad(o_orderpriority, 38, ' ') || '  ' || CASE WHEN o_orderstatus = 'F' THEN 'E' ELSE '-' END || ' ' || printf('%6.3f', o_orderkey % 1000 / 1000.0::DOUBLE) || '  0.500' || printf(' %6d', CAST(r AS BIGINT)) || printf(' %4d', 3) || '/5     ' || printf('%5d', 6) || ' ' || lpad(printf('%,d', CAST(o_orderkey * 1000 AS BIGINT)), 8, ' ') || ' ' || lpad(printf('%,d', CAST(o_custkey * 100 AS BIGINT)), 8, ' ') AS line
+@query("""SELECT o_orderkey, printf('%2d', CAST(r AS BIGINT)) || '  ' || rpad(o_orderpriority, 38, ' ') || '  ' || CASE WHEN o_orderstatus = 'F' THEN 'E' ELSE '-' END || ' ' || printf('%6.3f', o_orderkey % 1000 / 1000.0::DOUBLE) || '  0.500' || printf(' %6d', CAST(r AS BIGINT)) || printf(' %4d', 3) || '/5     ' || printf('%5d', 6) || ' ' || lpad(printf('%,d', CAST(o_orderkey * 1000 AS BIGINT)), CAST(greatest(8, length(printf('%,d', CAST(o_orderkey * 1000 AS BIGINT)))) AS INTEGER), ' ') || ' ' || lpad(printf('%,d', CAST(o_custkey * 100 AS BIGINT)), CAST(greatest(8, length(printf('%,d', CAST(o_custkey * 100 AS BIGINT)))) AS INTEGER), ' ') AS line
  FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders)""")
 def score_table(spark, sf):
     """SNK20: orders stand in for notes, customers for their jobs."""

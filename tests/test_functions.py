@@ -79,3 +79,87 @@ def test_answers(spark):
     rows = [("own", "a", "g"), ("", "a", "g"), ("", review.OTHER, "g"), (None, None, "g")]
     v, c = review.resolve_answer(F.col("x"), F.col("y"), F.col("z"))
     assert [tuple(r) for r in spark.createDataFrame(rows, "x string, y string, z string").select(v, c).collect()] == [("own", True), ("a", True), ("g", False), ("g", False)]
+
+
+def test_chinese_index(spark):
+    assert [one(spark, T.chinese_index(F.lit(n))) for n in (1, 9, 10, 12, 20, 45)] == ["一", "九", "十", "十二", "二十", "四十五"]
+
+
+def test_message(spark):
+    s = F.lit
+    assert one(spark, T.message(s("error"), s(""), s(" boom "), F.array(s("/x/a.md"), s("b.pdf")), s("j1"), s(""))) == "⚠️ **失敗**\n狀態：失敗\n\nboom\n\n📎 附件：a.md、b.pdf\n\nJob: `j1`"
+    assert one(spark, T.message(s("done"), s("T"), s(""), F.array().cast("array<string>"), s(""), s("u"))) == "✅ **T**\n\n🔗 u"
+
+
+def test_patch_and_answers(spark):
+    m = F.create_map(F.lit("title"), F.lit("a"), F.lit("_orig"), F.lit("o"))
+    assert one(spark, T.patch(m, F.create_map(F.lit("title"), F.lit("b"), F.lit("evil"), F.lit("x")), ["title"])) == {"title": "b", "_orig": "o"}
+    df = spark.createDataFrame([({"q1": ("a", None), "q2": None}, [("x", None), (" ", "y")])], "c map<string,struct<choice:string,custom:string>>, f array<struct<find:string,put:string>>")
+    c, f = T.clean_answers(F.col("c"), F.col("f"))
+    r = df.select(c.alias("c"), f.alias("f")).first()
+    assert {k: tuple(v) for k, v in r["c"].items()} == {"q1": ("a", "")} and [tuple(x) for x in r["f"]] == [("x", "")]
+
+
+def test_reply_text(spark):
+    for payload, want in (
+        ('{"output_text": " a "}', "a"),
+        ('{"output": [{"type": "x"}, {"type": "message", "content": [{"text": "p"}, {"text": ""}, {"text": "q"}]}]}', "p\nq"),
+        ('{"choices": [{"message": {"content": "[1]"}}]}', "[1]"),
+        ('{"choices": [{"message": {"content": null, "reasoning_content": "r"}}]}', "r"),
+        ("not json", ""),
+        (None, ""),
+    ):
+        assert one(spark, T.reply_text(F.lit(payload).cast("string"))) == want
+
+
+def test_settings(tmp_path):
+    import hmac
+
+    from colloquy.sources import config
+
+    defaults = {"notify": {"mode": "log"}, "agent": {"api": {"url": "u", "key": ""}}}
+    file = tmp_path / "c.json"
+    file.write_text('{"agent": {"api": {"key": "k"}}, "notify": {"enabled": true, "bin": "b"}}')
+    got = config.load(str(file), defaults)
+    assert got["agent"]["api"] == {"url": "u", "key": "k"} and got["notify"]["mode"] == "command" and got["notify"]["command"] == "b send --to telegram {message}"
+    file.write_text("{broken")
+    assert config.load(str(file), defaults) == defaults
+    assert config.sign("k", b"x") == "sha256=" + hmac.new(b"k", b"x", "sha256").hexdigest()
+    for bad in ("../x", "", "a/../../x"):
+        try:
+            config.inside(str(tmp_path), bad)
+            raise AssertionError(bad)
+        except ValueError:
+            pass
+
+
+EMPTY = "job string, file string, text string, hay string, topics array<struct<id:string,label:string>>, numbers array<struct<literal:string,text:string>>, actions string"
+
+
+def found(spark, **changes):
+    text = "# T\n\n## 一、重點\n\n### 1. 付款條件\n\n> 王：「這是一段原文」\n"
+    row = {"job": "j", "file": "n.md", "text": text, "hay": "前文 這是一段原文 後文", "topics": [("T01", "付款條件討論")], "numbers": [("30", "共 30 天")], "actions": "{}"} | changes
+    df = spark.createDataFrame([tuple(row.values())], EMPTY)
+    return sorted((r["kind"], r["severity"], r["evidence"]) for r in review.findings(df, ["重點"], {"们": "們"}).collect())
+
+
+def test_findings(spark):
+    """A clean note has none; each fault injected gives its finding."""
+    text = "# T\n\n## 一、重點\n\n### 1. 付款條件\n\n> 王：「這是一段原文」\n"
+    assert found(spark) == []
+    assert found(spark, text=text.replace("原文", "假文")) == [("quote", "error", "這是一段假文")]
+    assert found(spark, text=text + "我们") == [("simplified", "warn", None)]
+    assert found(spark, text=text.replace("## 一、重點", "## 一、別的")) == [("skeleton", "error", "重點")]
+    assert found(spark, topics=[("T01", "付款條件討論"), ("T02", "交期安排")]) == [("topic_count", "error", "T02")]
+    assert found(spark, numbers=[("31", "共 30 天"), ("7", None)]) == [("number", "error", "31"), ("number", "error", "7")]
+    assert found(spark, actions="{oops") == [("schema", "error", "invalid")] and found(spark, actions=None) == [("schema", "error", "missing")]
+    assert found(spark, text=None) == [("skeleton", "error", "missing")]
+
+
+def test_bullets_are_topped_up(spark):
+    from colloquy.operators import render
+
+    topic = "struct<turns:array<long>,discussion:array<struct<turn:long,speaker:string,point:string>>,points:array<struct<turn:long,speaker:string,gist:string>>>"
+    rows = [((([1, 2, 3], [(1, "王", "王：一")], [(1, "王", "x"), (2, "李", "二"), (2, "李", "again"), (3, "", "三"), (4, "趙", "四")])),), (([1], [], []),), (([1], [(1, "王", "一")], []),)]
+    got = [r[0] for r in spark.createDataFrame(rows, f"t {topic}").coalesce(1).select(render.bullets(F.col("t"))).collect()]
+    assert got == [["  - 王：一", "  - 李：二", "  - 三"], ["  - （音檔不清楚，本議題無法整理出具體討論內容）"], ["  - 王：一", "  - 本議題僅一次發言。"]]
