@@ -162,11 +162,14 @@ def links(nodes: DataFrame, d: int, threshold: float = THRESHOLD) -> DataFrame:
             size = (end - begin)[small]
             for k in np.unique(size):
                 at = begin[small][size == k]
-                up, down = np.triu_indices(k, 1)
-                step = max(1, PIECE // max(1, len(up) * d))
+                upper = np.triu(np.ones((k, k), bool), 1)
+                step = max(1, PIECE // max(1, k * max(k, d)))
                 for c in range(0, len(at), step):
-                    i = (at[c : c + step, None] + up).ravel()
-                    j = (at[c : c + step, None] + down).ravel()
+                    # One product a group, then the exact measure on what comes near.
+                    rows = at[c : c + step, None] + np.arange(k)
+                    some = x[rows]
+                    g, u, v = np.nonzero((some @ some.transpose(0, 2, 1) >= threshold - 1e-9) & upper)
+                    i, j = rows[g, u], rows[g, v]
                     f = settle(i, j, np.einsum("ij,ij->i", x[i], x[j]))
                     found_i.append(f[0])
                     found_j.append(f[1])
