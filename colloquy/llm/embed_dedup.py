@@ -89,12 +89,19 @@ def buckets(x: np.ndarray, flips: np.ndarray, probes: int = PROBES) -> np.ndarra
     return out
 
 
-def met_before(a: np.ndarray, b: np.ndarray, bucket: np.ndarray) -> np.ndarray:
-    """Whether rows of buckets a and b share one that is smaller than the bucket."""
-    found = np.zeros(len(a), bool)
-    for k in range(a.shape[1]):
-        x = a[:, k : k + 1]
-        found |= ((b == x) & (x < bucket[:, None])).any(1)
+def met_before(codes: np.ndarray, i: np.ndarray, j: np.ndarray, bucket: np.ndarray, probes: int = PROBES) -> np.ndarray:
+    """Whether rows i and j of codes share a bucket that is smaller than the one given.
+
+    Buckets of different tables are never equal: tables are compared one by one, and pairs
+    that are found out are not looked at again.
+    """
+    found = np.zeros(len(i), bool)
+    rest = np.arange(len(i))
+    for k in range(0, codes.shape[1], probes):
+        mine, other = codes[i[rest], k : k + probes], codes[j[rest], k : k + probes]
+        hit = ((mine[:, :, None] == other[:, None, :]) & (mine < bucket[rest, None])[:, :, None]).any((1, 2))
+        found[rest[hit]] = True
+        rest = rest[~hit]
     return found
 
 
@@ -151,7 +158,7 @@ def links(nodes: DataFrame, d: int, threshold: float = THRESHOLD) -> DataFrame:
                 i, j = i[ok], j[ok]
                 if not len(i):
                     return i, j
-                new = ~met_before(codes[i], codes[j], bucket[i])
+                new = ~met_before(codes, i, j, bucket[i])
                 np.add.at(weight, i[new], copies[j[new]])
                 np.add.at(weight, j[new], copies[i[new]])
                 return i[new], j[new]
