@@ -163,3 +163,23 @@ def test_bullets_are_topped_up(spark):
     rows = [((([1, 2, 3], [(1, "王", "王：一")], [(1, "王", "x"), (2, "李", "二"), (2, "李", "again"), (3, "", "三"), (4, "趙", "四")])),), (([1], [], []),), (([1], [(1, "王", "一")], []),)]
     got = [r[0] for r in spark.createDataFrame(rows, f"t {topic}").coalesce(1).select(render.bullets(F.col("t"))).collect()]
     assert got == [["  - 王：一", "  - 李：二", "  - 三"], ["  - （音檔不清楚，本議題無法整理出具體討論內容）"], ["  - 王：一", "  - 本議題僅一次發言。"]]
+
+
+def test_file_sinks(spark, tmp_path):
+    from colloquy.sources import files
+
+    m = spark.createDataFrame([("hello", "2024-01-02 03:04:05", "done", "", "offline")], "message string, at string, event string, mode string, reason string").withColumn("at", F.to_timestamp("at"))
+    for _ in range(2):
+        files.park(m, str(tmp_path / "log"))
+    got = [r["value"] for r in spark.read.text(str(tmp_path / "log")).collect()]
+    assert sorted(got) == sorted(["=== 2024-01-02 03:04:05 | event=done | mode=- | offline ===", "hello", ""] * 2)
+    t = spark.createDataFrame([(1, "a"), (2, "b")], "turn long, text string")
+    files.write_transcripts(t, str(tmp_path / "t"))
+    assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "t" / "text")).collect()) == ["a", "b"] and spark.read.json(str(tmp_path / "t" / "json")).count() == 2
+    files.write_table(t, str(tmp_path / "p"))
+    files.write_table(t.limit(1), str(tmp_path / "p"))
+    assert spark.read.parquet(str(tmp_path / "p")).count() == 1
+    (tmp_path / "names").mkdir()
+    for n in ("b.md", "a.json"):
+        (tmp_path / "names" / n).write_text("x")
+    assert [r["name"] for r in files.names(spark, str(tmp_path / "names")).collect()] == ["a.json", "b.md"]
