@@ -321,3 +321,25 @@ def test_pipeline(spark):
         out = stage(spark, d, "/root/testdata/sf0.001")
         assert out.columns == d.columns and out.count() > 0, name
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_met_before_and_recall_at_the_threshold():
+    """The table-by-table test against sets, and recall of random pairs at exactly the threshold."""
+    import numpy as np
+
+    from colloquy.llm import embed_dedup as e
+
+    r = np.random.default_rng(3)
+    a = r.normal(size=(1500, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    z = r.normal(size=a.shape)
+    z -= (z * a).sum(1, keepdims=True) * a
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    b = e.THRESHOLD * a + np.sqrt(1 - e.THRESHOLD**2) * z
+    codes = e.buckets(np.vstack((a, b)), e.signs(64)).reshape(3000, -1)
+    i, j = np.arange(1500), np.arange(1500, 3000)
+    shared = [set(x) & set(y) for x, y in zip(codes[i].tolist(), codes[j].tolist(), strict=True)]
+    assert np.mean([bool(s) for s in shared]) >= 0.999
+    for pick in (min, max):
+        bucket = np.array([pick(s) if s else 0 for s in shared])
+        assert e.met_before(codes, i, j, bucket).tolist() == [any(x < y for x in s) for s, y in zip(shared, bucket, strict=True)]
