@@ -55,6 +55,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, what: str) -> str:
+    """A column name that df doesn't have yet, upper and lower case being one."""
+    taken = {c.lower() for c in df.columns}
+    while what.lower() in taken:
+        what += "_"
+    return what
+
+
 def crc_bucket(key: Column, modulus: int) -> Column:
     """crc32 of a key's text, modulo; a null key counts as empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % modulus

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import WORD, cut
+from colloquy.llm.common import WORD, cut, free_name
 
 WEIGHTS, MOST, SEEDS = (5, 2, 1), 3, 16
 #: Rows up to which the table of sources is broadcast; beyond it is joined by shuffle.
@@ -32,10 +32,16 @@ def size(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def draw(seed: Column | int, id_column: str, text: Column) -> Column:
-    """A number in [0, 1) from a document's id and text digest and a seed."""
+def digest(text: Column) -> Column:
+    """The text digest that enters the draw; null counts as empty."""
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
+def draw(seed: Column | int, key: Column, text_digest: Column) -> Column:
+    """A number in [0, 1) from 52 bits of the digest of a seed, a document's id and its text digest."""
     seed = seed if isinstance(seed, Column) else F.lit(seed)
-    return F.shiftrightunsigned(F.xxhash64(F.lit("mix"), seed.cast("int"), F.col(id_column), text), 11) / F.lit(float(1 << 53))
+    bits = F.substring(F.md5(F.concat_ws(":", seed.cast("string"), F.coalesce(key.cast("string"), F.lit("")), text_digest).cast("binary")), 1, 13)
+    return F.conv(bits, 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
 def targets(sums: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -58,15 +64,14 @@ def targets(sums: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOS
 
 def copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
     """id, size, source_size, target, copies and key (the draw's text digest), one row a document."""
-    text = F.xxhash64(F.coalesce(text_column, F.lit("")))
-    slim = cut(docs.select(F.col(id_column).alias("id"), F.col(source_column).alias("source"), size(F.col(text_column)).alias("size"), text.alias("key")))
+    slim = cut(docs.select(F.col(id_column).alias("id"), F.col(source_column).alias("source"), size(F.col(text_column)).alias("size"), digest(F.col(text_column)).alias("key")))
     sums = cut(slim.groupBy("source").agg(F.sum("size").alias("source_size")))
     goal = cut(targets(sums))
     n = goal.count()
     small = F.broadcast(goal) if n <= BROADCAST_ROWS else goal
     same = slim["source"].eqNullSafe(small["source"])
     rated = slim.join(small, same).drop(small["source"])
-    extra = lambda seed: draw(seed, "id", F.col("key")) < F.col("rate") - F.floor("rate")
+    extra = lambda seed: draw(seed, F.col("id"), F.col("key")) < F.col("rate") - F.floor("rate")
     count = lambda seed: (F.floor("rate") + extra(seed).cast("int")).cast("long")
     tried = rated.groupBy("source").agg(F.min("target").alias("goal"), *(F.sum(F.col("size") * count(k)).alias(f"s{k}") for k in range(SEEDS)))
     off = F.array(*(F.struct(F.abs(F.col(f"s{k}") - F.col("goal")).alias("off"), F.lit(k).alias("seed")) for k in range(SEEDS)))
@@ -79,13 +84,13 @@ def copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
 def mixed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
     """The documents, each as often as the mix takes it; columns as they came."""
     plan = copies(docs, id_column, text_column, source_column)
-    rates = cut(plan.groupBy("source").agg(F.max("rate").alias("_rate"), F.max("seed").alias("_seed")))
+    rate, seed, copy = (free_name(docs, c) for c in ("_rate", "_seed", "_copy"))
+    rates = cut(plan.groupBy("source").agg(F.max("rate").alias(rate), F.max("seed").alias(seed)))
     rates = F.broadcast(rates) if rates.count() <= BROADCAST_ROWS else rates
-    key = F.xxhash64(F.coalesce(text_column, F.lit("")))
-    joined = docs.join(rates, docs[source_column].eqNullSafe(rates["source"])).select(*(docs[c] for c in docs.columns), "_rate", "_seed")
-    n = F.floor("_rate") + (draw(F.col("_seed"), id_column, key) < F.col("_rate") - F.floor("_rate")).cast("int")
+    joined = docs.join(rates, docs[source_column].eqNullSafe(rates["source"])).drop(rates["source"])
+    n = F.floor(rate) + (draw(F.col(seed), F.col(id_column), digest(F.col(text_column))) < F.col(rate) - F.floor(rate)).cast("int")
     each = F.explode(F.sequence(F.lit(1), F.least(n, F.lit(MOST)).cast("int")))
-    return joined.where(n > 0).select(*docs.columns, each.alias("_copy")).drop("_copy")
+    return joined.where(n > 0).withColumn(copy, each).drop(rate, seed, copy)
 
 
 def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:

@@ -52,5 +52,36 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_nearest_neighbours, op3_embedding_near_dedup, op4_toxicity, op5_token_counts, op6_simhash_near_dedup, op7_pii, op8_language_id, op9_packing, op10_mixing)}
 
+#: All pairs of vectors, and the least vector that links reach.
+LINKED_SQL = """WITH RECURSIVE e AS (SELECT vec_id, CASE WHEN len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  AND len(list_filter(embedding, lambda x: x <> 0)) > 0 THEN CAST(embedding AS DOUBLE[]) END AS v FROM embeddings),
+g AS (SELECT vec_id, v, sqrt(list_inner_product(v, v)) AS n FROM e WHERE v IS NOT NULL),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.vec_id <> b.vec_id
+  WHERE list_inner_product(a.v, b.v) / (a.n * b.n) >= 0.95),
+r AS (SELECT vec_id AS node, vec_id AS c FROM e UNION SELECT p.b, r.c FROM r JOIN p ON r.node = p.a),
+m AS (SELECT node AS vec_id, min(c) AS component_id FROM r GROUP BY 1),
+d AS (SELECT a AS vec_id, count(*) AS n FROM p GROUP BY 1)
+SELECT vec_id, coalesce(d.n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM m LEFT JOIN d USING (vec_id)"""
+
+#: The level that targets are cut at is the first that no source of larger ratio exceeds.
+MIX_SQL = r"""WITH s AS (SELECT doc_id, source, md5(coalesce(text, '')) AS key,
+  coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents),
+u AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM s GROUP BY 1),
+w AS (SELECT *, source_size * CAST(3 AS DOUBLE) AS most,
+  CAST([5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS weight FROM u),
+l AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(most) OVER (by_ratio ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(weight) OVER (by_ratio ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM w WINDOW by_ratio AS (ORDER BY most / weight, source NULLS LAST)),
+f AS (SELECT *, (SELECT level FROM l WHERE level * weight <= most ORDER BY most / weight, source NULLS LAST LIMIT 1) AS first FROM l),
+t AS (SELECT source, source_size, least(most, coalesce(first * weight, most)) AS target FROM f),
+q AS (SELECT *, CASE WHEN source_size > 0 THEN least(target / source_size, 3.0) ELSE 0.0 END AS rate FROM t),
+c AS (SELECT doc_id, s.source, size, source_size, target, seed, floor(rate) + CASE WHEN CAST('0x' || left(md5(concat_ws(':', seed, coalesce(CAST(doc_id AS VARCHAR), ''), key)), 13) AS BIGINT) / 4503599627370496.0 < rate - floor(rate) THEN 1 ELSE 0 END AS copies
+  FROM s JOIN q ON s.source IS NOT DISTINCT FROM q.source, range(16) AS r(seed)),
+o AS (SELECT source, seed, abs(sum(size * copies) - min(target)) AS off FROM c GROUP BY ALL),
+b AS (SELECT source, seed FROM o QUALIFY row_number() OVER (PARTITION BY source ORDER BY off, seed) = 1)
+SELECT doc_id, size, source_size, target, CAST(size * copies AS BIGINT) AS taken
+FROM c JOIN b ON c.source IS NOT DISTINCT FROM b.source AND c.seed = b.seed"""
+
 #: Queries that DuckDB can express in full; the others are tested against brute force.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op3_embedding_near_dedup": LINKED_SQL, "op10_mixing": MIX_SQL}

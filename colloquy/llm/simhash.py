@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import cut, prepare
+from colloquy.llm.common import cut, free_name, prepare
 from colloquy.llm.components import components
 from colloquy.llm.sorted_runs import least_labels, starts, whole_runs
 
@@ -180,14 +180,16 @@ def representatives(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """One row of each component, with its columns: that of the smallest id (the first read, where ids repeat or are null).
 
     Rows are told apart by a number given while reading, so rows that share an id stay apart.
+    All columns come back as they were, whatever their names.
     """
     prepare(docs.sparkSession)
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    key = F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), F.col("_row").alias("row"))
-    slim = numbered.select(key.alias("key"), text_column)
-    prints = cut(fingerprints(slim, "key", text_column))
+    row = free_name(docs, "_row")
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    key = F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), F.col(row).alias("row"))
+    slim = numbered.select(key.alias("key"), F.col(text_column).alias("text"))
+    prints = cut(fingerprints(slim, "key", "text"))
     classes_ = cut(prints.groupBy("fp").agg(F.min("key").alias("least")))
     reach = components(links(classes_.select("fp"), classes_.count(), radius))
     named = classes_.join(reach.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    kept = named.groupBy("component").agg(F.min("least").alias("least")).select(F.col("least.row").alias("_row"))
-    return numbered.join(kept, "_row").select(*docs.columns)
+    kept = named.groupBy("component").agg(F.min("least").alias("least")).select(F.col("least.row").alias(row))
+    return numbered.join(kept, row, "left_semi").drop(row)

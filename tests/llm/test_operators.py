@@ -257,6 +257,35 @@ def test_mixing(spark, docs, empty):
     assert mixing.mix(empty).count() == 0 and mixing.mixed(empty).columns == empty.columns
 
 
+@pytest.mark.parametrize("name", ["op3_embedding_near_dedup", "op10_mixing"])
+def test_oracle(spark, name, tmp_path):
+    """The SQL forms, over the test tables and over awkward rows."""
+    import duckdb
+
+    from colloquy.llm import queries
+
+    awkward = str(tmp_path / "awkward")
+    nan = float("nan")
+    spark.createDataFrame([(1, "a b c d", "x"), (2, None, "x"), (3, "", None), (4, "é ü\u00a0z  y", None), (None, "q r", "y"), (6, "long " * 900, "y"), (6, "long " * 900, "y"), (7, " ", "empty")], "doc_id long, text string, source string").write.parquet(awkward + "/documents.parquet")
+    spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [1.0, 0.3]), (4, None), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [None, 1.0]), (8, [2.0, 0.0])], "vec_id long, embedding array<float>").write.parquet(awkward + "/embeddings.parquet")
+    for folder, pattern in (("/root/testdata/sf0.001", ""), ("/root/testdata/sf0.01", ""), (awkward, "/*.parquet")):
+        con = duckdb.connect()
+        for t in ("documents", "embeddings"):
+            con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet{pattern}'")
+        want = con.sql(queries.ORACLE[name])
+        got = queries.QUERIES[name](spark, folder).select(*want.columns).collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, want.fetchall()))
+
+
+def test_clashing_columns_come_back(spark):
+    schema = "doc_id long, text string, source string, `_row` string, `_rate` string, `_seed` string, `_Copy` string, `a.b` string, key string"
+    rows = [(1, "one two three four five", "s", *"abcdef"), (2, "one two three four five", "s", *"ghijkl"), (3, "six seven", None, *"mnopqr")]
+    d = spark.createDataFrame(rows, schema)
+    assert sorted(map(tuple, simhash.representatives(d).collect())) == [rows[0], rows[2]]
+    out = mixing.mixed(d)
+    assert out.columns == d.columns and set(map(tuple, out.collect())) <= set(rows)
+
+
 def test_mixing_many_sources_water_level(spark):
     sums = spark.createDataFrame([(f"s{i:03d}", (i * 37) % 11 * 100) for i in range(60)], "source string, source_size long")
     r = mixing.targets(sums).collect()
