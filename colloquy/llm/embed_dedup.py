@@ -109,7 +109,9 @@ def met_before(codes: np.ndarray, i: np.ndarray, j: np.ndarray, bucket: np.ndarr
 
 def classes(vectors: DataFrame, id_column: str, vector_column: str) -> tuple[DataFrame, DataFrame]:
     """Usable rows as (id, class), and classes (class, v, least id, copies)."""
-    good = vectors.where(usable(F.col(vector_column))).select(F.col(id_column).alias("id"), F.transform(vector_column, lambda x: x.cast("double") + 0.0).alias("v"))
+    kind = "float" if vectors.schema[vector_column].dataType.elementType.typeName() == "float" else "double"
+    # Adding zero makes one of the two zeros.
+    good = vectors.where(usable(F.col(vector_column))).select(F.col(id_column).alias("id"), F.transform(vector_column, lambda x: x.cast(kind) + F.lit(0).cast(kind)).alias("v"))
     keyed = good.withColumn("class", F.xxhash64("v")).withColumn("check", F.hash("v"))
     # Two digests of 96 bits together name a class; equal vectors share them.
     grouped = keyed.groupBy("class", "check").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.min("v").alias("v"))
@@ -119,6 +121,9 @@ def classes(vectors: DataFrame, id_column: str, vector_column: str) -> tuple[Dat
 def links(nodes: DataFrame, d: int, threshold: float = THRESHOLD, tables: int = TABLES, folds: int = FOLDS) -> DataFrame:
     """(node, weight, other): the weight of a node's links found in one group, and the least node it reaches there."""
     width = 1 << (d - 1).bit_length()
+    # Buckets and vectors travel as narrow as they can be.
+    code = pa.int32() if tables * (2 * width) ** folds < 1 << 31 else pa.int64()
+    name, vector = {pa.int32(): "int", pa.int64(): "long"}[code], nodes.schema["v"].dataType.simpleString()
     flips = signs(width, tables=tables, folds=folds)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,10 +131,11 @@ def links(nodes: DataFrame, d: int, threshold: float = THRESHOLD, tables: int =
             if b.num_rows:
                 x = matrix(b.column("v"), d)
                 x = x / np.abs(x).max(1, keepdims=True)
-                code = buckets(x / np.linalg.norm(x, axis=1, keepdims=True), flips).reshape(b.num_rows, -1)
-                yield pa.RecordBatch.from_arrays([b.column("node"), b.column("copies"), b.column("v"), pa.array(code.tolist(), pa.list_(pa.int64()))], names=["node", "copies", "v", "codes"])
+                found = buckets(x / np.linalg.norm(x, axis=1, keepdims=True), flips).reshape(b.num_rows, -1)
+                codes = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * found.shape[1]), pa.array(found.ravel()).cast(code))
+                yield pa.RecordBatch.from_arrays([b.column("node"), b.column("copies"), b.column("v"), codes], names=["node", "copies", "v", "codes"])
 
-    keyed = cut(nodes.mapInArrow(hashed, "node long, copies long, v array<double>, codes array<long>"))
+    keyed = cut(nodes.mapInArrow(hashed, f"node long, copies long, v {vector}, codes array<{name}>"))
     each = keyed.select("node", F.explode(F.array_distinct("codes")).alias("bucket"))
     full = each.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     dealt = (
