@@ -8,7 +8,8 @@ the restored text is scored. Tokens whose lattice has one path are their own rea
 The score comes from words and word beginnings that are commoner in toxic documents:
 document frequencies by label give each a lower confidence bound of its log odds, and a
 logistic regression on a document's three strongest words and its length gives the score.
-The classifier is fitted on SAMPLE labelled rows of each label at most (those of least id digest);
+The classifier is fitted on SAMPLE labelled rows of each label at most (those of least id digest),
+each weighing as many labels as it stands for, so that the share of toxic ones is that of all labels;
 the character model counts every document.
 
 Defined cases: a null or empty text has no words and gets the score that the regression gives
@@ -209,15 +210,15 @@ def features_of(word: str) -> list[str]:
     return [word, *("^" + word[:k] for k in PREFIXES if len(word) > k)] if word else []
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
-    """Weights, the constant first, by Newton's method."""
+def logistic(x: np.ndarray, y: np.ndarray, each: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
+    """Weights, the constant first, by Newton's method; each: how many rows a row stands for."""
     a = np.column_stack((np.ones(len(x)), x))
     w = np.zeros(a.shape[1])
     penalty = ridge * np.eye(len(w))
     penalty[0, 0] = 1e-6
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p) + 1e-9)[:, None]).T @ a + penalty, a.T @ (y - p) - penalty @ w)
+        step = np.linalg.solve((a * (each * p * (1 - p) + 1e-9)[:, None]).T @ a + penalty, a.T @ (each * (y - p)) - penalty @ w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -229,6 +230,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_column: str
     prepare(docs.sparkSession)
     scorer = Scorer(language_model(trigram_counts(docs, text_column)))
     each = labels.where(F.col(id_column).isNotNull() & F.col(label_column).isNotNull()).groupBy(F.col(id_column).alias("id")).agg(F.max(F.col(label_column)).cast("int").alias("y"))
+    whole = {y: n for y, n in each.where("y in (0, 1)").groupBy("y").count().collect()}
+    stands_for = [max(1.0, whole.get(y, 0) / sample) for y in (0, 1)]
     digest = F.xxhash64("id")
     chosen = each.where("y = 1").orderBy(digest, "id").limit(sample).unionByName(each.where("y = 0").orderBy(digest, "id").limit(sample))
     chosen = F.broadcast(cut(chosen))  # twice the sample at most
@@ -248,7 +251,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_column: str
 
     n = {y: n for y, n in learned.groupBy("y").count().collect()}
     scorer.n1, scorer.n0 = n.get(1, 0), n.get(0, 0)
-    scorer.constant = (scorer.n1 + 0.5) / (scorer.n1 + scorer.n0 + 1) if scorer.n1 else min(0.49, 0.5 / (scorer.n0 + 1))
+    all0, all1 = scorer.n0 * stands_for[0], scorer.n1 * stands_for[1]
+    scorer.constant = (all1 + 0.5) / (all1 + all0 + 1) if scorer.n1 else min(0.49, 0.5 / (all0 + 1))
     if not (scorer.n1 and scorer.n0):
         return scorer
     counts = learned.select("text", "y").mapInArrow(seen, "f string, y int").groupBy("f").agg(F.sum("y").cast("int").alias("a"), F.sum(F.lit(1) - F.col("y")).cast("int").alias("b"))
@@ -267,9 +271,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_column: str
     # Any order of rows gives the same fit.
     order = np.lexsort((*x.T, y))
     x, y = x[order], y[order]
-    scorer.means, scorer.scales = x.mean(0), np.maximum(x.std(0), 1e-6)
     # Stands for the share of labels in the whole, as each label was sampled for itself.
-    scorer.weights = logistic((x - scorer.means) / scorer.scales, y)
+    weight = np.where(y == 1, stands_for[1], stands_for[0])
+    scorer.means = np.average(x, 0, weight)
+    scorer.scales = np.maximum(np.sqrt(np.average((x - scorer.means) ** 2, 0, weight)), 1e-6)
+    scorer.weights = logistic((x - scorer.means) / scorer.scales, y, weight)
     return scorer
 
 

@@ -328,6 +328,24 @@ def test_toxicity(spark, corpus):
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
 
 
+def test_toxicity_of_a_sample_keeps_the_share_of_labels(spark):
+    """One word in half of the toxic and a twelfth of the clean documents: 0.4 of those that hold it are toxic."""
+    rng = random.Random(9)
+    words, rows, labels = ["the", "river", "house", "thing", "over", "green", "walked", "stone"], [], []
+    for i in range(2000):
+        toxic = i % 10 == 0
+        held = i // 10 % 2 == 0 if toxic else rng.random() < 1 / 12
+        rows.append((i, " ".join([*rng.sample(words, 8), *rng.choices(words, k=20), "idiot" if held else "stone"])))
+        labels.append((i, int(toxic)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string").cache(), spark.createDataFrame(labels, "doc_id long, toxic int").cache()
+    plain, insult = " ".join(words * 3), " ".join(words * 3) + " idiot"
+    whole = toxicity.fit(docs, labels)
+    assert whole.score(plain) < whole.score(insult) < 0.5
+    for sample in (150, 600):  # both labels cut, one cut
+        part = toxicity.fit(docs, labels, sample=sample)
+        assert all(abs(part.score(t) - whole.score(t)) < 0.1 for t in (plain, insult)) and part.score(insult) < 0.5
+
+
 def test_language(spark, corpus):
     docs, _ = corpus
     rows = langid.identify(docs).collect()
