@@ -90,7 +90,8 @@ _NAMED = {w: str(i) for names in DIGIT_NAMES for i, w in enumerate(names.split()
 _NAME = "(?:" + "|".join(sorted(_NAMED, key=len, reverse=True)) + ")"
 _BEYOND = re.compile("[^\x00-\xac\xae-ɏ]")
 _SPELLED = re.compile(rf"(?<!\w)(?:plus[\s,-]+)?(?:{_NAME}|[0-9])(?:[\s,-]+(?:(?:{DOT_WORDS})[\s,-]+)?(?:{_NAME}|[0-9]))+(?!\w)", re.IGNORECASE)
-_SPELLED_HINT = re.compile(rf"(?<!\w){_NAME}[\s,-]+(?:{_NAME}|{DOT_WORDS})(?!\w)", re.IGNORECASE)
+# The first of the names that _digits asks for has a name, a dot word or a digit behind it.
+_SPELLED_HINT = re.compile(rf"(?<!\w){_NAME}[\s,-]+(?:{_NAME}|{DOT_WORDS}|[0-9])(?!\w)", re.IGNORECASE)
 _SPELLED_WORD = re.compile(rf"(?:(?P<plus>plus)|(?P<name>{_NAME})|(?P<digit>[0-9])|(?P<dot>{DOT_WORDS}))[\s,-]*", re.IGNORECASE)
 _BOXED_AT = re.compile(rf"\s*[\[({{<]\s*(?:{AT_WORDS}|@)\s*[\])}}>]\s*", re.IGNORECASE)
 _BOXED_DOT = re.compile(rf"\s*[\[({{<]\s*(?:{DOT_WORDS}|\.)\s*[\])}}>]\s*", re.IGNORECASE)
@@ -99,7 +100,8 @@ _SAID = re.compile(rf"(?<![A-Za-z0-9._%+-]){_ATOM}(?:(?:\.|\s+(?:{DOT_WORDS})\s+
 _SAID_DOT = re.compile(rf"\s+(?:{DOT_WORDS})\s+", re.IGNORECASE)
 _SAID_AT = re.compile(rf"\s+(?:{AT_WORDS})\s+", re.IGNORECASE)
 _NUMBER_DOT = re.compile(rf"(?<=[0-9])\s+(?:{DOT_WORDS})\s+(?=[0-9])", re.IGNORECASE)
-_HINT = re.compile(rf"(?<![^\W_])(?:{DOT_WORDS})(?![^\W_])|[\[({{<]\s*(?:{AT_WORDS}|@|\.)\s*[\])}}>]", re.IGNORECASE)
+# All that the transducers rewrite holds a dot word, a box or an at word before a domain whose first dot is written.
+_HINT = re.compile(rf"(?<![^\W_])(?:{DOT_WORDS})(?![^\W_])|[\[({{<]\s*(?:{AT_WORDS}|@|\.)\s*[\])}}>]|(?<=\s)(?:{AT_WORDS})\s+{_ATOM}\.[A-Za-z0-9_%+-]", re.IGNORECASE)
 
 
 class Tape:

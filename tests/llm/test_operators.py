@@ -73,6 +73,21 @@ def test_method_adds_spans():
     assert pii.find("nothing here at all, one two three, meet at noon dot")[1] == []
 
 
+def test_disguises_need_no_other_word(monkeypatch):
+    """The gates change nothing: the same spans with and without them, over random disguised texts."""
+    text = "write to jane.doe at example.com today"
+    assert [text[a:b] for _, a, b in pii.find(text)[1]] == ["jane.doe at example.com"]
+    text = "call plus 4 one 7 two 5 three 9 eight 2 now"
+    assert [text[a:b] for k, a, b in pii.find(text)[1] if k == "phone"] == ["plus 4 one 7 two 5 three 9 eight 2"]
+    rng = random.Random(6)
+    parts = ["jane", "x", "a.b", "example.com", "at", "AT", "chez", "dot", "punkt", "@", ".", "[at]", "( dot )", "one", "sieben", "cuatro", "4", "7", "12", "plus", "1.2", ",", "-", "é", "point_x", "\u00a0", "\n", "оne"]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " ", " ", " "]) for _ in range(rng.randint(3, 14))) for _ in range(20000)]
+    gated = [pii.find(t) for t in texts]
+    for gate in ("_HINT", "_SPELLED_HINT", "_BEYOND"):
+        monkeypatch.setattr(pii, gate, re.compile(""))
+    assert [pii.find(t) for t in texts] == gated
+
+
 def test_redaction():
     assert "AKIA" not in secret_scan.redacted(dict(TEXTS)[9]) and secret_scan.redacted(None) is None and secret_scan.redacted("plain") == "plain"
 
