@@ -88,7 +88,8 @@ AT_WORDS, DOT_WORDS = "at|arroba|ät|chez", "dot|punkt|point|punto"
 _GLYPHS = dict(zip(LOOKALIKES[::2], LOOKALIKES[1::2], strict=True)) | dict.fromkeys(DASHES, "-") | dict.fromkeys(SPACES, " ") | dict.fromkeys(HIDDEN, "") | dict.fromkeys(DOTS, ".")
 _NAMED = {w: str(i) for names in DIGIT_NAMES for i, w in enumerate(names.split())}
 _NAME = "(?:" + "|".join(sorted(_NAMED, key=len, reverse=True)) + ")"
-_BEYOND = re.compile("[^\x00-\xac\xae-ɏ]")
+# What _glyph may rewrite: all but ASCII and the Latin characters that no table names; no other decimal digit lies below U+0250.
+_BEYOND = re.compile("[^" + re.escape("".join(c for c in map(chr, range(0x250)) if c not in _GLYPHS)) + "]")
 _SPELLED = re.compile(rf"(?<!\w)(?:plus[\s,-]+)?(?:{_NAME}|[0-9])(?:[\s,-]+(?:(?:{DOT_WORDS})[\s,-]+)?(?:{_NAME}|[0-9]))+(?!\w)", re.IGNORECASE)
 # The first of the names that _digits asks for has a name, a dot word or a digit behind it.
 _SPELLED_HINT = re.compile(rf"(?<!\w){_NAME}[\s,-]+(?:{_NAME}|{DOT_WORDS}|[0-9])(?!\w)", re.IGNORECASE)

@@ -88,6 +88,15 @@ def test_disguises_need_no_other_word(monkeypatch):
     assert [pii.find(t) for t in texts] == gated
 
 
+def test_glyph_gate_covers_the_table():
+    import unicodedata
+
+    rewritten = [*pii._GLYPHS, *map(chr, range(0xFF01, 0xFF5F)), *(c for c in map(chr, range(0x80, 0x110000)) if unicodedata.decimal(c, None) is not None)]
+    assert all(pii._BEYOND.search(c) for c in rewritten) and not pii._BEYOND.search("naïve Ærø × ² š")
+    for kind, text in (("card", "4111\u00a01111\u00a01111\u00a01111"), ("phone", "+49\u00a0170\u00a01234567")):
+        assert (kind, 2, 2 + len(text)) in pii.find("x " + text)[1]
+
+
 def test_redaction():
     assert "AKIA" not in secret_scan.redacted(dict(TEXTS)[9]) and secret_scan.redacted(None) is None and secret_scan.redacted("plain") == "plain"
 
