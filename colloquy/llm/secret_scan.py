@@ -4,7 +4,9 @@ Base patterns find assignments, access keys and hexadecimal strings. The method
 adds spans: over each candidate string (a run of key characters) a window slides,
 its Shannon entropy kept by incremental counts, with a threshold for each
 character class; stretches above it that no allow-list rule explains are reported
-as kind ``entropy``.
+as kind ``entropy``. Every candidate with a letter is scored, digits or not. Letters count
+as words by the share of their letter pairs that are common in English, German, French or
+Spanish, and by few changes to upper case; random letters pass as words now and then.
 
 Defined cases: a null or empty text has no spans; repeated rows are scanned one by
 one; a text is scanned whole, whatever its length; an empty table gives an empty
@@ -32,17 +34,26 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 
 WINDOW = 20
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % WINDOW)
-DIGIT, UPPER, LOWER = re.compile("[0-9]"), re.compile("[A-Z]"), re.compile("[a-z]")
+UPPER, LOWER = re.compile("[A-Z]"), re.compile("[a-z]")
 #: Bits a character that a window of WINDOW characters must reach, by character class.
 THRESHOLDS = {"hex": 2.9, "lower": 3.4, "upper": 3.4, "mixed": 3.6}
-#: Candidates that are no secrets: UUIDs, dates and times, paths or names of dictionary-like parts.
+#: Candidates that are no secrets: UUIDs, dates and times; worded() knows paths and names.
 ALLOWED = [
     re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),
     re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}[T_0-9:-]*"),
     re.compile(r"[0-9+/_=-]+"),
-    re.compile(r"(?:[A-Za-z]*[0-9]{0,4}[/_=-]+)+[A-Za-z]*[0-9]{0,4}"),
-    re.compile(r"[A-Za-z]+[0-9]{1,4}"),
 ]
+SEPARATORS = re.compile(r"[+/_=-]+")
+PART = re.compile(r"([A-Za-z]*)[0-9]{0,4}")
+# Letters, and those that commonly follow them in words of four languages.
+FOLLOWERS = (
+    "a:abcdeghijlmnopqrstuvyz b:aeijloruy c:aehiklortu d:adehinorstu e:abcdefghijklmnopqrstuvwxyz f:aefilortu g:aeilrsu h:abceghiklmnoprstuvwz i:abcdefgijlmnopqrstvz j:aeou k:aeilnortu l:adefiklostuyz m:abeimopu"
+    " n:abcdeghiklmnopqrstuvwz o:abcdefgilmnopqrstuvwz p:aefiloprtuy q:u r:abcdefghiklmnoprstuvwyz s:abcdeghijlmopqrstuwy t:abehilnorstuyz u:abcdefgiklmnopqrstxz v:aeio w:aehior x:aceot y:epst z:aeiuw"
+)
+COMMON = frozenset(a + b for a, rest in (x.split(":") for x in FOLLOWERS.split()) for b in rest)
+#: Least share of common pairs, in a part of LONG letters or more and in all parts, and letters to a change of case.
+COMMON_SHARE, LONG, TO_A_CHANGE = 0.8, 8, 4
+CHANGE = re.compile("[a-z][A-Z]")
 _PART = [c * math.log2(c) if c else 0.0 for c in range(WINDOW + 1)]
 
 
@@ -94,14 +105,36 @@ def allowed(candidate: str) -> bool:
     return any(p.fullmatch(candidate) for p in ALLOWED)
 
 
+def pairs(letters: str) -> tuple[int, int]:
+    """How many common letter pairs, and how many in all."""
+    low = letters.lower()
+    return sum(low[i : i + 2] in COMMON for i in range(len(low) - 1)), max(0, len(low) - 1)
+
+
+def worded(candidate: str) -> bool:
+    """Whether a candidate is made of words and short numbers, joined or in camel case."""
+    parts = [PART.fullmatch(p) for p in SEPARATORS.split(candidate) if p]
+    if None in parts:
+        return False
+    good = total = stubs = 0
+    for p in parts:
+        letters = p[1]
+        g, n = pairs(letters)
+        if n >= LONG - 1 and g < COMMON_SHARE * n or len(CHANGE.findall(letters)) * TO_A_CHANGE > len(letters):
+            return False
+        good, total = good + g, total + n
+        stubs += 0 < len(letters) < 3 and p[0] != letters  # a letter or two with a number
+    return good >= COMMON_SHARE * total and 3 * stubs <= len(parts)
+
+
 def find(text: str) -> tuple[list[Span], list[Span]]:
     """Base spans and all spans, each by start, then kind as listed."""
     base = base_spans(text)
     added: list[Span] = []
     for m in CANDIDATE.finditer(text):
         s = m.group()
-        if DIGIT.search(s) and (LOWER.search(s) or UPPER.search(s)) and not allowed(s):
-            for a, b in hot_stretches(s):
+        if (LOWER.search(s) or UPPER.search(s)) and not allowed(s) and (hot := hot_stretches(s)) and not worded(s):
+            for a, b in hot:
                 if not overlaps(m.start() + a, m.start() + b, base):
                     added.append(("entropy", m.start() + a, m.start() + b))
     rank = {k: i for i, k in enumerate([*KINDS, "entropy"])}

@@ -73,6 +73,19 @@ def test_method_adds_spans():
     assert pii.find("nothing here at all, one two three, meet at noon dot")[1] == []
 
 
+def test_secrets_of_letters():
+    for key in ("sk-QwZxRtYpLkJhGfDsAbVcNm7", "ghp_aXbYcZdWeVfUgThSiRjQkPlOmNn12", "api-production-token-QwZxRtYpLkJh", "qzxvbnmwkdjhqgwplkjzx"):
+        assert [k for k, *_ in secret_scan.find(f"use {key} here")[1]] == ["entropy"], key
+    rng = random.Random(7)
+    for alphabet in ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"):
+        keys = ["".join(rng.choices(alphabet, k=24)) for _ in range(5000)]
+        hot = [k for k in keys if secret_scan.hot_stretches(k)]
+        assert len(hot) > 4900 and sum(bool(secret_scan.find(k)[1]) for k in hot) > 0.99 * len(hot)
+    for name in ("Geschwindigkeitsbegrenzungen", "anticonstitutionnellement", "IllegalArgumentExceptionHandler", "src/main/java/common/utils/string2", "MAX_CONNECTION_TIMEOUT_SECONDS", "read+write+execute+append", "report-2024-01-02-final-version3"):
+        assert secret_scan.find(f"the {name} here")[1] == [], name
+    assert secret_scan.find("-" * 5000 + "+.")[1] == []  # without backtracking
+
+
 def test_disguises_need_no_other_word(monkeypatch):
     """The gates change nothing: the same spans with and without them, over random disguised texts."""
     text = "write to jane.doe at example.com today"
