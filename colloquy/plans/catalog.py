@@ -300,7 +300,7 @@ def question_rank_topk(spark, sf):
 
 @query("""SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts) = 1""")
 def keyed_dedup_first(spark, sf):
-    """GRP08-10, FLT06, SET05."""
+    """GRP08-10, SET05."""
     return turns.keep_first(table(spark, sf, "events"), [F.col("user_id"), F.col("event_type")], [F.col("ts")]).select("user_id", "event_type", "event_id", "value")
 
 
@@ -497,7 +497,7 @@ def tail_lines(spark, sf):
 
 @query(LINES + """SELECT doc_id, string_agg(line, chr(10) ORDER BY no) AS text, greatest(0, max(total) - 3) AS remaining FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS total FROM l) WHERE no BETWEEN 1 AND 2 GROUP BY 1""")
 def windowed_read(spark, sf):
-    """SRC11, SRC12."""
+    """SRC11."""
     t = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     return table(spark, sf, "documents").where(F.size(t) >= 2).select("doc_id", F.array_join(F.slice(t, 2, 2), "\n").alias("text"), F.greatest(F.lit(0), F.size(t) - 3).cast("long").alias("remaining"))
 
@@ -525,7 +525,7 @@ def part_reassembly(spark, sf):
 
 @query("""SELECT doc_id, CASE WHEN contains(lower(text), 'tion') OR contains(lower(text), 'heit') THEN 'high' WHEN contains(lower(text), 'que') THEN 'medium' ELSE 'low' END AS severity FROM documents""")
 def severity_levels(spark, sf):
-    """FN17, SNK18, FN32, FN42."""
+    """FN17, FN32, FN42."""
     return table(spark, sf, "documents").select("doc_id", T.keyword_level(F.col("text"), [("high", ["tion", "heit"]), ("medium", ["que"])], "low").alias("severity"))
 
 
@@ -537,7 +537,7 @@ def script_map(spark, sf):
 
 @query(r"""SELECT doc_id, array_to_string(list_transform(list_filter(list_zip(l, range(1, len(l) + 1)), lambda x: list_position(l, x[1]) = x[2]), lambda x: x[1]), '|') AS names FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[、,，/／\s]+'), lambda x: x <> '') AS l FROM documents)""")
 def roster_names(spark, sf):
-    """FN13, FN12, SET08."""
+    """FN13, SET08."""
     return table(spark, sf, "documents").select("doc_id", F.array_join(T.roster(F.col("text")), "|").alias("names"))
 
 
