@@ -2,34 +2,73 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.text import STAMP, hhmmss, label_similarity, parse_stamp, sentences, squash
 
-BLANK = r"[\s\x{3000}]*"
-RANGE = rf"`?\[\s*({STAMP})\s*(?:[–\-—~]\s*({STAMP})\s*)?\]`?"
-#: Header forms in order: pattern and the groups of speaker, start, end and rest (0: none).
-HEADERS = [
-    (rf"^\*\*\s*──\s*(.*?)\s*──\s*\*\*{BLANK}(?:{RANGE})?{BLANK}$", 1, 2, 3, 0),
-    (rf"^\*\*\s*{RANGE}\s*([^*]*?)\s*\*\*{BLANK}$", 3, 1, 2, 0),
-    (rf"^\*\*\s*([^*\[\]]*?)\s*\*\*{BLANK}{RANGE}{BLANK}$", 1, 2, 3, 0),
-    (rf"^{RANGE}{BLANK}([^：:]{{0,24}}?)[：:]{BLANK}(.*)$", 3, 1, 2, 4),
-]
-FENCE = r"^\s*(```|~~~)"
-#: A stamp in brackets, perhaps in quotes or parentheses, and runs of them.
-MARK = rf"[（(]?`?\[{STAMP}\]`?[)）]?"
-MARKS = rf"{MARK}(?:\s*[–—~至,、，/-]\s*{MARK})*"
+#: What may stand around the parts of a header.
+PAD = " \t\u3000"
+#: Longest name before a colon.
+NAME = 24
+FENCES = ("```", "~~~")
+# Fixed values of the scrub: marks that join stamps, signs that stand without a blank before them,
+# pairs of quotation marks, and the words of a limit in a heading.
+JOINERS = "–—~至,、，/-"
+CLOSERS = "。，、；：！？）」』】"
+QUOTED = ["「」", "『』", "“”", '""']
+UNITS = "條項點句字個則"
+BOUNDS = ["以內", "以内", "以下", "至少", "最多", "最少", "至多", "不超過", "不多於", "不少於"]
+#: Stands for a stamp while a line is worked on; a character of the private use area.
+HOLE = "\ue000"
 
 
-def match_header(line: Column) -> Column:
-    """SRC04: speaker, start, end and rest of the first header form that fits; null if none does."""
+def _bare(c: Column, around: str = PAD) -> Column:
+    return F.trim(c, F.lit(around))
+
 
-    def form(pattern: str, speaker: int, start: int, end: int, rest: int) -> Column:
-        group = lambda g: F.trim(F.regexp_extract(line, pattern, g)) if g else F.lit("")
-        return F.when(line.rlike(pattern), F.struct(group(speaker).alias("speaker"), F.nullif(group(start), F.lit("")).alias("ts"), F.nullif(group(end), F.lit("")).alias("te"), group(rest).alias("rest")))
+def _from(c: Column, start: Column | int, n: Column | int | None = None) -> Column:
+    """From a position (from 1) on, or n characters."""
+    at = F.lit(start) if isinstance(start, int) else start
+    return F.substr(c, at) if n is None else F.substr(c, at, F.lit(n) if isinstance(n, int) else n)
 
-    return F.coalesce(*(form(*h) for h in HEADERS))
+
+def stamp_range(c: Column) -> Column:
+    """Start and end of a text that is one stamp, or two joined by a dash, in brackets; null if it is anything else."""
+    inner = _bare(c, PAD + "`")
+    boxed = F.startswith(inner, F.lit("[")) & F.endswith(inner, F.lit("]"))
+    parts = F.transform(F.split(_from(inner, 2, F.length(inner) - 2), "[–—~-]"), lambda p: _bare(p))
+    fine = boxed & (F.size(parts) <= 2) & F.forall(parts, lambda p: F.coalesce(F.regexp_like(p, F.lit(f"^{STAMP}$")), F.lit(False)))
+    return F.when(fine, F.struct(F.get(parts, F.lit(0)).alias("ts"), F.get(parts, F.lit(1)).alias("te")))
+
+
+def match_header(line: Column) -> Column:
+    """SRC04: speaker, start, end and rest of a header line; null if it is none.
+
+    A header is bold with a ruled name, bold with the stamps first, bold with the stamps
+    behind, or plain stamps before a name and a colon; only a ruled name needs no stamps.
+    """
+    none = F.lit("").alias("rest")
+    head = lambda who, at, rest=none: F.struct(_bare(who).alias("speaker"), at["ts"].alias("ts"), at["te"].alias("te"), rest)
+    bold = F.split(line, r"\*\*", 3)
+    is_bold, inner, tail = F.startswith(line, F.lit("**")) & (F.size(bold) == 3), _bare(F.get(bold, F.lit(1))), _bare(F.get(bold, F.lit(2)))
+    after, rule = stamp_range(tail), "──"
+    ruled = is_bold & F.startswith(inner, F.lit(rule)) & F.endswith(inner, F.lit(rule)) & (F.length(inner) >= 4) & ((tail == "") | after.isNotNull())
+    # Stamps at the beginning of a text end at its first closing bracket, or at the tick behind it.
+    closed = lambda c: F.instr(c, "]") + F.when(F.startswith(c, F.lit("`")), 1).otherwise(0)
+    first, second = closed(inner), closed(line)
+    within, before = stamp_range(_from(inner, 1, first)), stamp_range(_from(line, 1, second))
+    said = F.ltrim(_from(line, second + 1), F.lit(PAD))
+    colon = F.instr(F.translate(said, "：", ":"), ":")
+    return (
+        F.when(ruled, head(_from(inner, 3, F.length(inner) - 4), F.coalesce(after, F.struct(F.lit(None).cast("string").alias("ts"), F.lit(None).cast("string").alias("te")))))
+        .when(is_bold & (tail == "") & within.isNotNull(), head(_from(inner, first + 1), within))
+        .when(is_bold & after.isNotNull() & ~F.regexp_like(inner, F.lit(r"[\[\]]")), head(inner, after))
+        .when(before.isNotNull() & colon.between(1, NAME + 1), head(_from(said, 1, colon - 1), before, _bare(_from(said, colon + 1)).alias("rest")))
+    )
 
 
 def lines(df: DataFrame, text: str = "text") -> DataFrame:
@@ -48,7 +87,7 @@ def parse_transcript(df: DataFrame, job: str, text: str = "text") -> DataFrame:
     edge = lambda c: F.trim(c, F.lit("\n"))
     turns = block.groupBy(job, "block").agg(F.max_by("head", F.when(F.col("head").isNotNull(), F.col("line_no"))).alias("head"), edge(ordered(F.col("line"))).alias("raw"), edge(ordered(body)).alias("body"))
     turns = turns.where((F.col("block") > 0) | (squash(F.col("raw")) != ""))
-    inline = F.nullif(F.regexp_extract("body", rf"`?\[\s*({STAMP})\s*\]`?", 1), F.lit(""))
+    inline = F.nullif(F.regexp_extract("body", rf"\[\s*({STAMP})\s*\]", 1), F.lit(""))
     own = F.when(F.col("block") == 0, F.lit(0.0)).otherwise(F.coalesce(parse_stamp(F.col("head.ts")), parse_stamp(inline)))
     by_block = Window.partitionBy(job).orderBy("block")
     known = turns.withColumn("_own", own).withColumn("t_start", F.coalesce(F.last("_own", ignorenulls=True).over(by_block), F.lit(0.0)))
@@ -62,27 +101,42 @@ def parse_transcript(df: DataFrame, job: str, text: str = "text") -> DataFrame:
 def fenced(df: DataFrame, job: str) -> DataFrame:
     """WIN04: lines with is_fence and in_fence (a fence line itself is out of what it opens)."""
     w = Window.partitionBy(job).orderBy("line_no")
-    flag = F.col("line").rlike(FENCE)
+    flag = F.ltrim(F.col("line")).substr(1, 3).isin(*FENCES)
     return df.withColumn("is_fence", flag).withColumn("in_fence", (F.sum(flag.cast("int")).over(w) % 2 == 1) & ~F.col("is_fence"))
 
 
 def strip_stamps(df: DataFrame, job: str) -> DataFrame:
-    """FN20: lines without inline stamps and the holes they leave, outside fences; removed counts runs."""
+    """FN20: lines without inline stamps and the holes they leave, outside fences; removed counts runs.
+
+    Each stamp becomes a mark, with the ticks and parentheses at it, marks that are joined become one, and marks go.
+    """
     at = fenced(df, job)
-    touch = ~F.col("is_fence") & ~F.col("in_fence") & F.col("line").rlike(MARKS)
-    clean = F.regexp_replace("line", MARKS, "")
-    clean = F.regexp_replace(clean, r"[（(]\s*[)）]", "")
+    marked = F.regexp_replace("line", rf"\[{STAMP}\]", HOLE)
+    for left, right in (("`", "`"), ("[（(]", "[)）]")):
+        marked = F.regexp_replace(marked, f"{left}?{HOLE}{right}?", HOLE)
+    marked = F.regexp_replace(marked, rf"{HOLE}(?:\s*[{JOINERS}]\s*{HOLE})+", HOLE)
+    touch = ~F.col("is_fence") & ~F.col("in_fence") & F.contains(marked, F.lit(HOLE))
+    # Parentheses left empty, blanks that meet, and blanks before a sign that closes.
+    clean = F.regexp_replace(F.replace(marked, F.lit(HOLE), F.lit("")), r"[（(]\s*[)）]", "")
     clean = F.regexp_replace(clean, r"[ \t]{2,}", " ")
-    clean = F.regexp_replace(clean, r"[ \t]+([。，、；：！？）」』】])", "$1")
-    return at.withColumn("removed", F.when(touch, F.regexp_count("line", F.lit(MARKS))).otherwise(0)).withColumn("line", F.when(touch, F.rtrim(clean)).otherwise(F.col("line")))
+    for sign in CLOSERS:
+        clean = F.replace(F.replace(clean, F.lit(" " + sign), F.lit(sign)), F.lit("\t" + sign), F.lit(sign))
+    return at.withColumn("removed", F.when(touch, F.length(marked) - F.length(F.replace(marked, F.lit(HOLE), F.lit("")))).otherwise(0)).withColumn("line", F.when(touch, F.rtrim(clean)).otherwise(F.col("line")))
 
 
-def strip_runs(df: DataFrame, job: str, banned: list[str], unquoted: list[str] = [], quote: str = r"^\s{0,3}>") -> DataFrame:  # noqa: B006
+def is_quoted(line: Column) -> Column:
+    """A line of a quotation block: a mark behind three blanks at most."""
+    return F.startswith(F.ltrim(line), F.lit(">")) & (F.length(line) - F.length(F.ltrim(line)) <= 3)
+
+
+def strip_runs(df: DataFrame, job: str, banned: list[str], unquoted: list[str] = [], quote: Callable[[Column], Column] = is_quoted) -> DataFrame:  # noqa: B006
     """FN21: without the whole runs of quoted lines that hold a banned term, outside fences; terms in unquoted count outside quotation marks."""
     at = fenced(df, job)
     w = Window.partitionBy(job).orderBy("line_no")
-    is_quote = F.col("line").rlike(quote) & ~F.col("in_fence") & ~F.col("is_fence")
-    bare = F.regexp_replace("line", "「[^」]*」|『[^』]*』|“[^”]*”|\"[^\"]*\"", "")
+    is_quote = quote(F.col("line")) & ~F.col("in_fence") & ~F.col("is_fence")
+    bare = F.col("line")
+    for a, b in QUOTED:
+        bare = F.regexp_replace(bare, f"{a}[^{b}]*{b}", "")
     hit = F.lit(False)
     for term in banned:
         hit = hit | F.col("line").contains(term)
@@ -93,10 +147,38 @@ def strip_runs(df: DataFrame, job: str, banned: list[str], unquoted: list[str] =
     return runs.withColumn("_bad", bad).where(~(F.col("_q") & (F.col("_bad") == 1))).drop("_q", "_new", "_run", "_bad")
 
 
+def heading_level(line: Column) -> Column:
+    """1 to 6 for a heading line, else 0."""
+    plain = F.ltrim(line)
+    hashes = F.length(plain) - F.length(F.ltrim(plain, F.lit("#")))
+    return F.when(hashes.between(1, 6) & F.substr(plain, hashes + 1, F.lit(1)).isin(" ", "\t") & (F.length(line) - F.length(plain) <= 3), hashes).otherwise(0)
+
+
+def states_limit(inside: Column) -> Column:
+    """Whether words in parentheses only state how much is wanted: a bound with a number, or a range of units."""
+    plain = F.regexp_replace(inside, r"\s+", "")
+    number = F.regexp_replace(plain, f"[0-9]+[{UNITS}]?", "#")
+    return number.isin(*(f"#{b}" for b in BOUNDS[:3]), *(f"{b}#" for b in BOUNDS[3:])) | F.regexp_like(plain, F.lit(f"^[0-9]+[-–~至][0-9]+[{UNITS}]$"))
+
+
 def strip_heading_limits(df: DataFrame) -> DataFrame:
-    """FN22: heading lines without parentheses that state a count limit."""
-    limit = r"\s*[（(][^（）()]*(?:[0-9]+\s*[條項點句字個]|以內|至少|最多|不超過)[^（）()]*[)）]"
-    return df.withColumn("line", F.when(F.col("line").rlike(r"^\s{0,3}#{1,6}\s"), F.rtrim(F.regexp_replace("line", limit, ""))).otherwise(F.col("line")))
+    """FN22: heading lines without parentheses that state a limit, outside fences where lines tell them; limits counts them."""
+    line = F.col("line")
+    groups = F.filter(F.regexp_extract_all(line, F.lit(r"[（(][^（）()]*[)）]"), F.lit(0)), lambda g: states_limit(_from(g, 2, F.length(g) - 2)))
+    clean = F.aggregate(groups, line, lambda t, g: F.replace(t, g, F.lit("")))
+    open_ = ~(F.col("in_fence") | F.col("is_fence")) if "in_fence" in df.columns else F.lit(True)
+    touch = (heading_level(line) > 0) & open_ & (F.size(groups) > 0)
+    return df.withColumn("limits", F.when(touch, F.size(groups)).otherwise(0)).withColumn("line", F.when(touch, F.rtrim(F.regexp_replace(clean, r"[ \t]{2,}", " "))).otherwise(line))
+
+
+def quoted(line: Column) -> Column:
+    """FN27: what a quotation line holds between its marks, `> [stamp] name：「text」`, stamp and name being optional; null for others."""
+    plain = F.regexp_replace(line, r"^[\s\x{3000}]+|[\s\x{3000}]+$", "")
+    at = F.instr(plain, "「")
+    lead = _bare(F.regexp_replace(_bare(_from(plain, 2, at - 2)), r"^\[[0-9:]+\]", ""))
+    named = F.endswith(F.translate(lead, "：", ":"), F.lit(":")) & (F.instr(F.translate(lead, "：", ":"), ":") == F.length(lead)) & (F.length(lead) <= NAME + 1)
+    fine = F.startswith(plain, F.lit(">")) & (at > 0) & F.endswith(plain, F.lit("」")) & ((lead == "") | named) & (F.length(plain) > at + 1)
+    return F.when(fine, F.trim(_from(plain, at + 1, F.length(plain) - at - 1)))
 
 
 def rejoin(df: DataFrame, job: str) -> DataFrame:
@@ -105,44 +187,117 @@ def rejoin(df: DataFrame, job: str) -> DataFrame:
     return df.groupBy(job).agg(F.array_join(ordered, "\n").alias("text"))
 
 
+def without_stamp(text: Column) -> Column:
+    """A turn's text without the stamp that it begins with."""
+    return F.regexp_replace(text, rf"^[\s`]*\[\s*{STAMP}\s*\][\s`\x{{3000}}]*", "")
+
+
+def render_quote(stamp: Column, speaker: Column, text: Column) -> Column:
+    """FN08: a quotation line, with its stamp unless that is null."""
+    who = F.coalesce(F.nullif(speaker, F.lit("")), F.lit("未知講者"))
+    return F.concat(F.lit("> "), F.coalesce(F.concat(F.lit("["), stamp, F.lit("] ")), F.lit("")), who, F.lit("：「"), text, F.lit("」"))
+
+
+def quote_lines(notes: DataFrame, job: str, text: str = "text") -> DataFrame:
+    """FN27: (job, line_no from 1, quote) of the lines of notes that quote."""
+    return notes.select(job, F.posexplode(F.split(text, "\n")).alias("line_no", "line")).select(job, (F.col("line_no") + 1).alias("line_no"), quoted(F.col("line")).alias("quote")).where("quote is not null")
+
+
+#: Characters of quotations that one automaton holds, about 100 bytes each, and how many passes over the texts are worth it.
+AUTOMATON, PASSES = 1_000_000, 8
+
+
 def traced(quotes: DataFrame, texts: DataFrame, job: str | None = None) -> DataFrame:
-    """JN09: quotes (quote_id, quote) with the texts (text_id, text) that hold them, white space squashed.
+    """JN09: (quote_id, text_id) of quotes (quote_id, quote) and the texts (text_id, text) that hold them, white space squashed.
 
-    With a job both sides meet by job. Without, a quote meets the texts that share its
-    second to fourth words in order, and the pair is verified; quotes of fewer than five words need a job.
+    With a job both sides meet by job, which is kept. Without, texts stay where they are and run through an automaton of all
+    quotes, whatever their length or script, in passes of AUTOMATON characters of quotes. Beyond PASSES of them, quotes of five
+    words or more meet the texts by a key instead, and the passes are for the others. Blank quotes are traced to nothing.
     """
-    q = quotes.withColumn("_q", squash(F.col("quote")))
+    q = quotes.withColumn("_q", squash(F.col("quote"))).where(F.col("_q") != "")
     t = texts.withColumn("_t", squash(F.col("text")))
     if job:
         return q.join(t, job).where(F.contains("_t", "_q")).drop("_q", "_t")
-    words = F.split("_q", " ")
-    # The first and last words of a quote may lie inside words of the text, so the key is the second to fourth.
-    q = q.withColumn("_k", F.when(F.size(words) >= 5, F.xxhash64(F.array_join(F.slice(words, 2, 3), " "))))
+    q, t = q.select("quote_id", "_q"), t.select("text_id", "_t")
+    if (q.agg(F.sum(F.length("_q"))).first()[0] or 0) <= AUTOMATON * PASSES:
+        return scanned(q, t)
+    wordy = F.size(F.split("_q", " ")) >= 5
+    return scanned(q.where(~wordy), t).unionByName(keyed(q.where(wordy), t))
+
+
+def scanned(quotes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs by one automaton over AUTOMATON characters of distinct quotes after the other."""
+    before = F.sum(F.length("_q")).over(Window.orderBy(F.xxhash64("_q"), "_q")) - F.length("_q")
+    parts = quotes.select("_q").distinct().withColumn("part", F.floor(before / AUTOMATON))
+    schema = f"text_id {texts.schema['text_id'].dataType.simpleString()}, _q string"
+    found = texts.sparkSession.createDataFrame([], schema)
+    for (part,) in parts.select("part").distinct().orderBy("part").collect():
+        needles = [r["_q"] for r in parts.where(F.col("part") == part).select("_q").collect()]  # AUTOMATON characters and one quote
+        found = found.unionByName(texts.mapInArrow(matcher(texts.sparkSession.sparkContext.broadcast(needles)), schema))
+    return quotes.join(found, "_q").select("quote_id", "text_id")
+
+
+_automata: dict[str, object] = {}
+
+
+def matcher(needles) -> Callable[[Iterator], Iterator]:
+    """A mapInArrow function over (text_id, _t): (text_id, _q) for each needle that a text holds."""
+
+    name = uuid.uuid4().hex
+
+    def run(batches: Iterator) -> Iterator:
+        import ahocorasick
+        import pyarrow as pa
+
+        if name not in _automata:  # a worker builds it once
+            _automata.clear()
+            built = ahocorasick.Automaton()
+            for n in needles.value:
+                built.add_word(n, n)
+            built.make_automaton()
+            _automata[name] = built
+        automaton = _automata[name]
+        for b in batches:
+            hits = [sorted({n for _, n in automaton.iter(x)}) if x else [] for x in b.column("_t").to_pylist()]
+            row = pa.array([i for i, h in enumerate(hits) for _ in h], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("text_id").take(row), pa.array([n for h in hits for n in h], pa.string())], names=["text_id", "_q"])
+
+    return run
+
+
+def keyed(quotes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs of quotes of five words or more: both meet by the quote's second to fourth words, and the pair is verified.
+
+    The first and last words of a quote may lie inside words of the text. Only the keys that some quote has are shuffled.
+    """
+    q = quotes.withColumn("_k", F.xxhash64(F.array_join(F.slice(F.split("_q", " "), 2, 3), " ")))
     w = F.split("_t", " ")
     pair = lambda a, b: F.concat_ws(" ", a, b)
     grams = F.zip_with(F.zip_with(w, F.slice(w, 2, F.size(w)), pair), F.slice(w, 3, F.size(w)), pair)
-    slim = t.select("text_id", F.explode(F.array_distinct(grams)).alias("g")).select("text_id", F.xxhash64("g").alias("_k"))
-    long_ = q.where("_k is not null").join(slim, "_k").select("quote_id", "_q", "text_id").join(t.select("text_id", "_t"), "text_id").where(F.contains("_t", "_q")).select("quote_id", "text_id")
-    return long_.distinct()
+    slim = texts.select("text_id", F.explode(F.array_distinct(grams)).alias("g")).select("text_id", F.xxhash64("g").alias("_k")).join(q.select("_k").distinct(), "_k", "left_semi")
+    return q.join(slim, "_k").select("quote_id", "_q", "text_id").join(texts, "text_id").where(F.contains("_t", "_q")).select("quote_id", "text_id").distinct()
 
 
 def excerpts(df: DataFrame, keys: list[str], limit: int = 160) -> DataFrame:
     """FN07: of each text (keys, text, focus) the whole, squashed, if it fits; else the run of sentences nearest to the focus.
 
-    Runs are told apart by where their sentences begin and end, so only runs that fit are ever built.
-    Without a run that fits it is the first sentence, cut.
+    A run is told by where it begins and ends in the text, so rows carry positions, not sentences, and only runs
+    that fit are ever looked at: from each sentence on, those that end within the limit. Without one it is the
+    first sentence, cut.
     """
     t = df.select(*keys, "focus", squash(F.col("text")).alias("t"))
     whole = t.where(F.length("t") <= limit).select(*keys, F.col("t").alias("excerpt"))
-    s = t.where(F.length("t") > limit).withColumn("s", sentences(F.col("t")))
-    each = s.select(*keys, "focus", "s", F.posexplode("s").alias("i", "one"))
-    ends = F.sum(F.length("one")).over(Window.partitionBy(*keys).orderBy("i"))
-    each = each.withColumn("end", ends).withColumn("begin", F.col("end") - F.length("one"))
-    first = each.select(*keys, F.col("i").alias("a"), "begin", "focus", "s")
-    last = each.select(*keys, F.col("i").alias("b"), "end")
-    runs = first.join(last, keys).where((F.col("b") >= F.col("a")) & (F.col("end") - F.col("begin") <= limit))
-    built = runs.withColumn("win", F.array_join(F.slice("s", F.col("a") + 1, F.col("b") - F.col("a") + 1), ""))
-    rank = F.struct(label_similarity(F.col("win"), F.col("focus")).alias("sim"), F.length("win").alias("n"), (-F.col("a")).alias("a"))
-    best = built.groupBy(*keys).agg(F.trim(F.max_by("win", rank)).alias("best"))
-    cut = F.when(F.size("s") > 0, F.substring(F.get("s", F.lit(0)), 1, limit)).otherwise(F.substring("t", 1, limit))
-    return s.join(best, keys, "left").select(*keys, F.coalesce("best", cut).alias("excerpt")).unionByName(whole)
+    s = t.where(F.length("t") > limit)
+    lengths = F.transform(sentences(F.col("t")), F.length)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends"))
+    ends = F.aggregate(lengths, start, lambda a, n: F.struct((a["at"] + n).alias("at"), F.array_append(a["ends"], a["at"] + n).alias("ends")), lambda a: a["ends"])
+    placed = s.withColumn("ends", ends).withColumn("first", F.get("ends", F.lit(0)))
+    begins = F.concat(F.array(F.lit(0)), F.slice("ends", 1, F.size("ends") - 1))
+    each = placed.select(*keys, "t", "focus", "ends", F.posexplode(begins).alias("a", "begin"))
+    runs = each.select(*keys, "t", "focus", "a", "begin", F.explode(F.filter("ends", lambda e: (e > F.col("begin")) & (e <= F.col("begin") + limit))).alias("end"))
+    win = F.substr("t", F.col("begin") + 1, F.col("end") - F.col("begin"))
+    rank = F.struct(label_similarity(win, F.col("focus")).alias("sim"), (F.col("end") - F.col("begin")).alias("n"), (-F.col("a")).alias("a"))
+    best = runs.groupBy(*keys).agg(F.max(F.struct(rank.alias("rank"), "begin", "end")).alias("best"))
+    cut = F.substr("t", F.lit(1), F.least(F.coalesce("first", F.lit(limit)), F.lit(limit)))
+    own = F.trim(F.substr("t", F.col("best.begin") + 1, F.col("best.end") - F.col("best.begin")))
+    return placed.join(best, keys, "left").select(*keys, F.coalesce(own, cut).alias("excerpt")).unionByName(whole)

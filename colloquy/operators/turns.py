@@ -93,40 +93,47 @@ def carry_forward(df: DataFrame, job: str, order: str, column: str, name: str, s
 def cluster_topics(topics: DataFrame, job: str = "job_id", least: float = 0.5) -> DataFrame:
     """GRP06: rejoins topics (job, chunk, label, turns, status, status_turn) that a chunk border cut.
 
-    A topic joins the first open one whose last chunk is the one before its own, whose turns
-    it adjoins and whose label is similar. The order decides, so a job is worked on as a whole.
+    A topic joins the first open one whose last chunk is the one before its own, whose turns it
+    adjoins and whose label is similar (JN11). The order decides, so a job is folded as a whole, but only
+    the groups of the chunk before are looked at. Adds topic_id and parts, the (chunk, pos) of what was joined;
+    pos is a column of topics or 0.
     """
     import re
 
     kind = topics.schema[job].dataType.simpleString()
     noise = NOISE.replace(r"\x{3000}", "\u3000")
+    topics = topics if "pos" in topics.columns else topics.withColumn("pos", F.lit(0))
 
     def grams(label: str) -> set[str]:
         t = re.sub(noise, "", label or "").lower()
         return {t[i : i + 2] for i in range(max(1, len(t) - 1))} if t else set()
 
-    def similar(a: str, b: str) -> bool:
-        x, y = grams(a), grams(b)
-        return bool(x and y) and len(x & y) / len(x | y) >= least
-
     def run(pdf):
         import pandas as pd
 
-        rows = sorted(pdf.to_dict("records"), key=lambda r: (r["chunk"], min(r["turns"]), r["label"]))
         groups: list[dict] = []
-        for r in rows:
-            turns = {int(x) for x in r["turns"]}
-            home = next((g for g in groups if g["chunk"] == r["chunk"] - 1 and min(turns) <= max(g["turns"]) + 1 and similar(g["label"], r["label"])), None)
+        last: dict[int, list[dict]] = {}  # groups by the chunk that they end in
+        for r in sorted(pdf.to_dict("records"), key=lambda r: (r["chunk"], min(r["turns"]), r["label"], r["pos"])):
+            turns, own = {int(x) for x in r["turns"]}, grams(r["label"])
+            near = (g for g in last.get(r["chunk"] - 1, []) if min(turns) <= g["to"] + 1 and own and g["grams"] and len(own & g["grams"]) >= least * len(own | g["grams"]))
+            home = min(near, key=lambda g: g["n"], default=None)
             if home is None:
-                groups.append(dict(r, turns=turns))
-                continue
-            home["turns"] |= turns
-            home["chunk"] = r["chunk"]
-            if r["status"] != "pending" or home["status"] == "pending":
-                home["status"], home["status_turn"] = r["status"], r["status_turn"]
-            if len(r["label"]) > len(home["label"]):
-                home["label"] = r["label"]
+                home = dict(r, n=len(groups), turns=turns, to=max(turns), grams=own, parts=[])
+                groups.append(home)
+            else:
+                last[home["chunk"]].remove(home)
+                home["turns"] |= turns
+                home["to"], home["chunk"] = max(home["to"], *turns), r["chunk"]
+                if r["status"] != "pending" or home["status"] == "pending":
+                    home["status"], home["status_turn"] = r["status"], r["status_turn"]
+                if len(r["label"]) > len(home["label"]):
+                    home["label"], home["grams"] = r["label"], own
+            home["parts"].append({"chunk": int(r["chunk"]), "pos": int(r["pos"])})
+            last.setdefault(home["chunk"], []).append(home)
         groups.sort(key=lambda g: min(g["turns"]))
-        return pd.DataFrame([{job: g[job], "topic_id": f"T{n:02d}", "label": g["label"], "turns": sorted(g["turns"]), "status": g["status"], "status_turn": g["status_turn"]} for n, g in enumerate(groups, 1)])
+        rows = [{job: g[job], "topic_id": f"T{n:02d}", "label": g["label"], "turns": sorted(g["turns"]), "status": g["status"], "status_turn": g["status_turn"], "parts": g["parts"]} for n, g in enumerate(groups, 1)]
+        out = pd.DataFrame(rows)
+        out["status_turn"] = out["status_turn"].astype("Int64")
+        return out
 
-    return topics.groupBy(job).applyInPandas(run, f"`{job}` {kind}, topic_id string, label string, turns array<long>, status string, status_turn long")
+    return topics.groupBy(job).applyInPandas(run, f"`{job}` {kind}, topic_id string, label string, turns array<long>, status string, status_turn long, parts array<struct<chunk:long,pos:long>>")

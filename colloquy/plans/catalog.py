@@ -213,7 +213,7 @@ def normalize_label(spark, sf):
 g AS (SELECT *, list_distinct(list_transform(range(1, length(a)), lambda i: substr(a, i, 2))) AS s FROM n)
 SELECT x.p_partkey AS a, y.p_partkey AS b, round(len(list_intersect(x.s, y.s)) / (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s))), 6) AS sim FROM g x JOIN g y ON x.p_type = y.p_type AND x.p_partkey < y.p_partkey WHERE len(list_intersect(x.s, y.s)) > 0""")
 def bigram_jaccard_pairs(spark, sf):
-    """FN05, FN06, JN11: pairs that share a bigram within a type, by an inverted index."""
+    """FN05, FN06: pairs that share a bigram within a type, by an inverted index."""
     n = table(spark, sf, "part").groupBy("p_name", "p_type").agg(F.min("p_partkey").alias("id"))
     g = n.select("id", "p_type", T.bigrams(T.normalize_label(F.col("p_name"))).alias("s"))
     e = g.select("id", "p_type", F.size("s").alias("n"), F.explode("s").alias("g"))
@@ -222,20 +222,42 @@ def bigram_jaccard_pairs(spark, sf):
     return both.select(F.col("id").alias("a"), "b", F.round(F.col("k") / (F.col("n") + F.col("m") - F.col("k")), 6).alias("sim"))
 
 
-@query()
+def _grams(label: str) -> str:
+    """SQL of the distinct bigrams of a label."""
+    plain = f"lower(regexp_replace({label}, {NOISE_SQL}, '', 'g'))"
+    return f"CASE WHEN length({plain}) = 1 THEN [{plain}] ELSE list_distinct(list_transform(range(1, length({plain})), lambda i: substr({plain}, i, 2))) END"
+
+
+@query(rf"""WITH t AS (SELECT conv_id AS job_id, turn AS "index", trim(regexp_replace(translate(coalesce(text, ''), '.', '。'), '[\s\x{{3000}}]+', ' ', 'g')) AS t, translate(coalesce(text, ''), '.', '。') AS raw FROM conversations), o AS (SELECT job_id, arg_min(raw, "index") AS focus FROM t GROUP BY 1),
+s AS (SELECT job_id, "index", t, unnest(regexp_extract_all(t, '[^。！？!?]*[。！？!?]|[^。！？!?]+')) AS one, generate_subscripts(regexp_extract_all(t, '[^。！？!?]*[。！？!?]|[^。！？!?]+'), 1) AS i FROM t WHERE length(t) > 160),
+e AS (SELECT *, CAST(sum(length(one)) OVER (PARTITION BY job_id, "index" ORDER BY i) AS BIGINT) AS e FROM s), w AS (SELECT a.job_id, a."index", a.i, substr(a.t, a.e - length(a.one) + 1, b.e - a.e + length(a.one)) AS win FROM e a JOIN e b ON a.job_id = b.job_id AND a."index" = b."index" AND b.i >= a.i AND b.e - a.e + length(a.one) <= 160),
+g AS (SELECT w.*, {_grams("win")} AS x, {_grams("focus")} AS y FROM w JOIN o USING (job_id)), k AS (SELECT *, CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0 ELSE len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y))) END AS sim FROM g),
+b AS (SELECT job_id, "index", trim(win) AS best FROM k QUALIFY row_number() OVER (PARTITION BY job_id, "index" ORDER BY sim DESC, length(win) DESC, i) = 1)
+SELECT t.job_id, t."index", CASE WHEN length(t.t) <= 160 THEN t.t ELSE coalesce(b.best, left(t.t, CAST(least(f.e, 160) AS BIGINT))) END AS excerpt FROM t LEFT JOIN b ON b.job_id = t.job_id AND b."index" = t."index" LEFT JOIN e f ON f.job_id = t.job_id AND f."index" = t."index" AND f.i = 1""")
 def excerpt_windows(spark, sf):
-    """FN07, FN08: an excerpt of each turn nearest to the job's first turn; tested against brute force."""
+    """FN07: the excerpt of each turn that is nearest to the job's first turn."""
     t = conversation_turns(spark, sf).withColumn("text", F.translate("text", ".", "。"))
-    focus = t.groupBy("job_id").agg(F.substring(F.min_by("text", "index"), 1, 40).alias("focus"))
+    focus = t.groupBy("job_id").agg(F.min_by("text", "index").alias("focus"))
     return lines.excerpts(t.join(focus, "job_id"), ["job_id", "index"])
 
 
+@query(r"""SELECT conv_id AS job_id, turn AS "index", '> ' || CASE WHEN turn % 2 = 0 THEN '[00:00:07] ' ELSE '' END || CASE WHEN turn % 3 = 0 THEN '未知講者' ELSE role END || '：「' || CASE WHEN length(t) <= 160 THEN t ELSE left(t, 160) END || '」' AS line FROM (SELECT *, trim(regexp_replace(replace(coalesce(text, ''), '。', ' '), '[\s\x{3000}!?！？]+', ' ', 'g')) AS t FROM conversations)""")
+def rendered_quotes(spark, sf):
+    """FN08: quotations with a stamp or none, cut from turns of one sentence that begin with a stamp."""
+    t = conversation_turns(spark, sf)
+    plain = F.trim(F.regexp_replace(F.replace(F.col("text"), F.lit("。"), F.lit(" ")), r"[\s\x{3000}!?！？]+", " "))
+    marked = t.withColumn("text", lines.without_stamp(F.concat(F.lit("`[00:06]` "), plain))).withColumn("focus", F.lit(""))
+    cut = lines.excerpts(marked, ["job_id", "index"]).join(t.select("job_id", "index", "speaker"), ["job_id", "index"])
+    who = F.when(F.col("index") % 3 != 0, F.col("speaker")).otherwise("")
+    return cut.select("job_id", "index", lines.render_quote(F.when(F.col("index") % 2 == 0, "00:00:07"), who, F.col("excerpt")).alias("line"))
+
+
 PAIRS = """WITH q AS (SELECT item_id, trim(regexp_replace(text, '[\\s\\x{3000}]+', ' ', 'g')) AS q FROM benchmark), t AS (SELECT doc_id, trim(regexp_replace(text, '[\\s\\x{3000}]+', ' ', 'g')) AS t FROM documents) """
 
 
 @query(PAIRS + "SELECT item_id, doc_id FROM q JOIN t ON contains(t, q)")
 def quote_traceability(spark, sf):
-    """JN09, FN27."""
+    """JN09."""
     q = table(spark, sf, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("text_id"), "text")
     return lines.traced(q, d).select(F.col("quote_id").alias("item_id"), F.col("text_id").alias("doc_id"))
@@ -243,18 +265,20 @@ def quote_traceability(spark, sf):
 
 @query(PAIRS + "SELECT item_id FROM q WHERE NOT EXISTS (SELECT 1 FROM t WHERE contains(t, q))")
 def untraceable_quotes(spark, sf):
-    """JN09 anti, VAL02, RW06."""
+    """JN09 anti."""
     found = quote_traceability(spark, sf).select("item_id").distinct()
     return table(spark, sf, "benchmark").join(found, "item_id", "left_anti").select("item_id")
 
 
-@query("""WITH n AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]{2,}')) AS literal FROM documents) SELECT doc_id, literal, true AS kept FROM n GROUP BY ALL""")
+@query("""WITH l AS (SELECT doc_id, regexp_extract_all(text, '[0-9]{2,}') AS l FROM documents), n AS (SELECT doc_id, unnest(l) AS literal, generate_subscripts(l, 1) - 1 AS pos FROM l), c AS (SELECT DISTINCT doc_id + pos % 2 AS claimed, literal FROM n)
+SELECT claimed, literal, coalesce(contains(text, literal), false) AS kept FROM c LEFT JOIN documents ON doc_id = claimed""")
 def number_provenance(spark, sf):
-    """FLT04, GRP09."""
+    """FLT04, GRP09: each second number of a document is claimed for the next one, which may not hold it."""
     d = table(spark, sf, "documents")
-    n = d.select("doc_id", "text", F.posexplode(F.regexp_extract_all("text", F.lit("[0-9]{2,}"), F.lit(0))).alias("pos", "literal"))
-    kept = n.where(F.contains(T.squash(F.col("text")), T.squash(F.col("literal"))))
-    return turns.keep_first(kept, [F.col("doc_id"), F.col("literal")], [F.col("pos")]).select("doc_id", "literal", F.lit(True).alias("kept"))
+    n = d.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("[0-9]{2,}"), F.lit(0))).alias("pos", "literal"))
+    claims = n.select((F.col("doc_id") + F.col("pos") % 2).alias("claimed"), "literal").distinct()
+    own = claims.join(d.select(F.col("doc_id").alias("claimed"), T.squash(F.col("text")).alias("hay")), "claimed", "left")
+    return own.select("claimed", "literal", F.coalesce(F.contains("hay", T.squash(F.col("literal"))), F.lit(False)).alias("kept"))
 
 
 @query(r"""WITH s AS (SELECT conv_id, 'seg-' || (turn + 1) AS id, regexp_replace(lower(text), '[^0-9a-z\x{4e00}-\x{9fff}]+', '', 'g') AS hay FROM conversations),
@@ -288,7 +312,7 @@ def cards(spark, sf):
 
 @query(CARDS + """SELECT user_id, type, key, options, chunks FROM c JOIN k USING (user_id, type, key)""")
 def card_rollup(spark, sf):
-    """AGG13, FLT07, RW04."""
+    """AGG13, FLT07."""
     return cards(spark, sf).select("user_id", "type", "key", F.array_join("options", "|").alias("options"), F.size("chunks").cast("long").alias("chunks"))
 
 
@@ -300,7 +324,7 @@ def question_rank_topk(spark, sf):
 
 @query("""SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts) = 1""")
 def keyed_dedup_first(spark, sf):
-    """GRP08-10, SET05."""
+    """GRP08-10."""
     return turns.keep_first(table(spark, sf, "events"), [F.col("user_id"), F.col("event_type")], [F.col("ts")]).select("user_id", "event_type", "event_id", "value")
 
 
@@ -313,7 +337,7 @@ def precedence_best_guess(spark, sf):
 
 @query("""SELECT doc_id, coalesce(CASE WHEN quality = 0 THEN 'own' END, CASE WHEN toxic = 1 THEN 'picked' END, lang) AS value, coalesce(quality = 0, false) OR coalesce(toxic = 1, false) AS confirmed FROM documents LEFT JOIN labels USING (doc_id)""")
 def answer_resolution(spark, sf):
-    """JN06, RW02, JN02, JN05, JN07, SRC07."""
+    """JN06, JN05, SRC07."""
     d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
     value, confirmed = review.resolve_answer(F.when(F.col("quality") == 0, "own"), F.when(F.col("toxic") == 1, "picked"), F.col("lang"))
     return d.select("doc_id", value.alias("value"), F.coalesce(confirmed, F.lit(False)).alias("confirmed"))
@@ -321,7 +345,7 @@ def answer_resolution(spark, sf):
 
 @query("""SELECT conv_id AS job_id, turn AS "index", md5(replace(replace(replace(text, 'tion', 'TION$1'), 'the', 'x\\y'), 'on', 'TI')) AS digest FROM conversations""")
 def substitution_fold(spark, sf):
-    """RW01, RW03, FLT05."""
+    """RW01."""
     pairs = F.array(*(F.struct(F.lit(a).alias("find"), F.lit(b).alias("put")) for a, b in (("on", "TI"), ("tion", "TION$1"), ("the", r"x\y"))))
     return conversation_turns(spark, sf).select("job_id", "index", F.md5(T.substitute(F.col("text"), pairs).cast("binary")).alias("digest"))
 
@@ -333,17 +357,23 @@ def topic_split_oversized(spark, sf):
     return turns.split_oversized(conversation_turns(spark, sf), ["job_id"], "index", F.length("text"), 3000).select("job_id", "index", "part")
 
 
-@query()
+# Chunks that share the language of their conversation have much alike; a walk over each job's chunks joins them.
+@query(CHUNKS + f""", tp AS (SELECT job_id, chunk, arg_min(text, "index") AS label, list("index" ORDER BY "index") AS turns, max("index") AS st, CASE WHEN chunk % 2 = 0 THEN 'pending' ELSE 'decided' END AS status FROM c GROUP BY ALL), gm AS (SELECT *, {_grams("label")} AS g FROM tp),
+r AS (SELECT job_id, chunk, 1 AS grp, label, g, status, st FROM gm WHERE chunk = 0 UNION ALL SELECT n.job_id, n.chunk, r.grp + 1 - s.same, CASE WHEN s.same = 1 AND length(n.label) <= length(r.label) THEN r.label ELSE n.label END, CASE WHEN s.same = 1 AND length(n.label) <= length(r.label) THEN r.g ELSE n.g END,
+ CASE WHEN s.same = 1 AND n.status = 'pending' AND r.status <> 'pending' THEN r.status ELSE n.status END, CASE WHEN s.same = 1 AND n.status = 'pending' AND r.status <> 'pending' THEN r.st ELSE n.st END
+ FROM r JOIN gm n ON n.job_id = r.job_id AND n.chunk = r.chunk + 1, LATERAL (SELECT CASE WHEN len(n.g) > 0 AND len(r.g) > 0 AND 2 * len(list_intersect(n.g, r.g)) >= len(n.g) + len(r.g) - len(list_intersect(n.g, r.g)) THEN 1 ELSE 0 END AS same) s)
+SELECT r.job_id, printf('T%02d', grp) AS topic_id, arg_max(r.label, r.chunk) AS label, array_to_string(flatten(list(tp.turns ORDER BY r.chunk)), ',') AS turns, arg_max(r.status, r.chunk) AS status, arg_max(r.st, r.chunk) AS status_turn FROM r JOIN tp ON tp.job_id = r.job_id AND tp.chunk = r.chunk GROUP BY r.job_id, grp""")
 def topic_cluster(spark, sf):
-    """GRP06, SET01, RW05: each chunk of a job is a topic labelled by its first words; tested on a fixture."""
+    """GRP06, SET01, JN11: each chunk of a job is a topic labelled by its first turn."""
     p = packed(spark, sf)
-    t = p.groupBy("job_id", "chunk").agg(F.min_by(F.substring("text", 1, 30), "index").alias("label"), F.array_sort(F.collect_list("index")).alias("turns"), F.max("index").alias("status_turn"))
-    return turns.cluster_topics(t.withColumn("status", F.when(F.col("chunk") % 2 == 0, "pending").otherwise("decided")))
+    t = p.groupBy("job_id", "chunk").agg(F.min_by("text", "index").alias("label"), F.array_sort(F.collect_list("index")).alias("turns"), F.max("index").alias("status_turn"))
+    made = turns.cluster_topics(t.withColumn("status", F.when(F.col("chunk") % 2 == 0, "pending").otherwise("decided")))
+    return made.select("job_id", "topic_id", "label", F.array_join(F.transform("turns", lambda x: x.cast("string")), ",").alias("turns"), "status", "status_turn")
 
 
 @query("""SELECT lang AS job_id, count(*) AS total, count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM labels)) AS dropped FROM documents GROUP BY 1""")
 def dropped_histogram(spark, sf):
-    """AGG10, FLT03, SET04."""
+    """FLT03."""
     d = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("job_id"))
     return review.dropped(d, table(spark, sf, "labels"), ["doc_id"], "job_id")
 
@@ -368,7 +398,7 @@ TOTAL = "coverage * 0.30::DOUBLE + grounding * 0.25::DOUBLE + structure * 0.15::
 
 @query(MEASURES + f"SELECT doc_id, round(coverage, 3) AS coverage, round(grounding, 3) AS grounding, round(structure, 3) AS structure, round(depth, 3) AS depth, round(cleanliness, 3) AS cleanliness, round({TOTAL}, 3) AS score FROM s")
 def note_scores(spark, sf):
-    """AGG05-07, FN28, TOP04, AGG20."""
+    """AGG05-07, FN28."""
     s = review.note_scores(note_measures(spark, sf))
     return s.select("doc_id", "coverage", "grounding", "structure", "depth", "cleanliness", "score")
 
@@ -388,10 +418,10 @@ def coverage_ratio_scale(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.round(T.scale_past_bar(n / 10000.0, 0.3, 0.7), 6).alias("scaled"), (n < T.thin_floor(n * 1.5)).alias("thin"))
 
 
-@query("""SELECT a.lang AS job, a.source AS file, round(a.s, 3) AS after, round(b.s, 3) AS before, round(round(a.s, 3) - round(b.s, 3), 3) AS lift FROM (SELECT lang, source, sum(n_chars) / 1000 AS s FROM documents WHERE doc_id % 2 = 0 GROUP BY ALL) a JOIN (SELECT lang, source, sum(n_chars) / 1000 AS s FROM documents WHERE doc_id % 2 = 1 GROUP BY ALL) b USING (lang, source)""")
+@query("""SELECT a.lang AS job, a.source AS file, round(a.s, 3) AS after, round(b.s, 3) AS before, round(round(a.s, 3) - round(b.s, 3), 3) AS lift FROM (SELECT lang, source, sum(n_chars) / 1000 AS s FROM documents WHERE doc_id // 20 % 2 = 0 GROUP BY ALL) a JOIN (SELECT lang, source, sum(n_chars) / 1000 AS s FROM documents WHERE doc_id // 20 % 2 = 1 GROUP BY ALL) b USING (lang, source)""")
 def backup_lift(spark, sf):
     """JN12, FLT15."""
-    d = table(spark, sf, "documents").withColumn("file", F.concat("source", F.when(F.col("doc_id") % 2 == 1, ".pre_evidence.md").otherwise("")))
+    d = table(spark, sf, "documents").withColumn("file", F.concat("source", F.when(F.floor(F.col("doc_id") / 20) % 2 == 1, ".pre_evidence.md").otherwise("")))
     s = d.groupBy(F.col("lang").alias("job"), "file").agg(F.round(F.sum("n_chars") / 1000, 3).alias("score"))
     return review.lift(s, "job", "file", "score", ".pre_evidence.md").select("job", "file", "after", "before", F.round("lift", 3).alias("lift"))
 
@@ -399,12 +429,23 @@ def backup_lift(spark, sf):
 LINES = """WITH l AS (SELECT doc_id, unnest(string_split(x, chr(10))) AS line, generate_subscripts(string_split(x, chr(10)), 1) - 1 AS no FROM (SELECT doc_id, coalesce(text, '') AS x FROM documents)) """
 
 
-@query(LINES + """SELECT doc_id, no AS line_no, rtrim(regexp_replace(replace(line, '[00:12:34]', ''), '[ \\t]{2,}', ' ', 'g')) AS line, CAST(1 AS INT) AS removed FROM (SELECT doc_id, no, line || ' [00:12:34]' AS line FROM l)""")
+_PIECES = {0: ("見[00:01:02]。", "見。", 1, 0), 1: ("`[00:12:01]` 在此", " 在此", 1, 0), 2: ("```", "```", 0, 0), 3: ("[00:00:01] inside", "[00:00:01] inside", 0, 0), 4: ("```", "```", 0, 0), 5: ("補充（[00:41:02]）", "補充", 1, 0), 6: ("## 重點（3 句以內）", "## 重點", 0, 1), 7: ("[12:34]–[12:40]、[13:00] x", " x", 1, 0), 8: ("(最多5點) [v2] 12:34", "(最多5點) [v2] 12:34", 0, 0), 9: ("# a（Jim 提出）", "# a（Jim 提出）", 0, 0)}
+
+
+def _piece(k: int) -> str:
+    return "CASE no % 10 " + " ".join(f"WHEN {n} THEN " + (f"'{v[k]}'" if k < 2 else str(v[k])) for n, v in _PIECES.items()) + " END"
+
+
+@query(LINES + f"""SELECT doc_id, no AS line_no, CASE WHEN no % 10 IN (2, 4, 6, 9) THEN {_piece(1)} ELSE rtrim(CASE WHEN {_piece(2)} > 0 THEN regexp_replace({_piece(1)} || ' ' || line, '[ \\t]{{2,}}', ' ', 'g') ELSE {_piece(1)} || ' ' || line END, CASE WHEN {_piece(2)} > 0 THEN ' ' ELSE '' END) END AS line, CAST({_piece(2)} AS INT) AS removed, CAST({_piece(3)} AS INT) AS limits FROM (SELECT doc_id, no, translate(line, '[]（）()。，、；：！？」』】`', '') AS line FROM l)""")
 def line_scrub(spark, sf):
-    """FN20, FN22, FN23, WIN04: each line gets a stamp, which the scrub takes away again."""
+    """FN20, FN22, FN23, WIN04: lines of documents with stamps in several forms, in fences and out, and headings with limits."""
     l_ = lines.lines(table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
-    marked = l_.withColumn("line", F.concat("line", F.lit(" [00:12:34]")))
-    return lines.strip_heading_limits(lines.strip_stamps(marked, "doc_id")).select("doc_id", F.col("line_no").cast("long"), "line", F.col("removed").cast("int"))
+    plain = F.translate("line", "[]（）()。，、；：！？」』】`", "")
+    n = F.col("line_no") % 10
+    first = F.get(F.array(*(F.lit(v[0]) for v in _PIECES.values())), n.cast("int"))
+    marked = l_.withColumn("line", F.when(n.isin(2, 4, 6, 9), first).otherwise(F.concat(first, F.lit(" "), plain)))
+    clean = lines.strip_heading_limits(lines.strip_stamps(marked, "doc_id"))
+    return clean.select("doc_id", F.col("line_no").cast("long"), "line", F.col("removed").cast("int"), F.col("limits").cast("int"))
 
 
 @query(LINES + """, q AS (SELECT *, contains(line, '|') AS q FROM l), f AS (SELECT *, CASE WHEN q IS DISTINCT FROM lag(q) OVER (PARTITION BY doc_id ORDER BY no) THEN 1 ELSE 0 END AS n FROM q),
@@ -413,15 +454,7 @@ SELECT doc_id, count(*) AS kept, CAST(sum(length(line)) AS BIGINT) AS chars FROM
 def blockquote_run_removal(spark, sf):
     """FN21: runs of table lines stand in for quotations."""
     l_ = lines.lines(table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
-    return lines.strip_runs(l_, "doc_id", ["the"], quote=r"\|").groupBy("doc_id").agg(F.count("*").alias("kept"), F.sum(F.length("line")).alias("chars"))
-
-
-@query("""SELECT event_id, json_type(props, '$.k') IN ('UBIGINT', 'BIGINT') AS is_integer, CAST(json_extract_string(props, '$.k') AS BIGINT) > 50 AS too_large, json_extract(props, '$.missing') IS NULL AS missing FROM events""")
-def schema_findings(spark, sf):
-    """VAL01, VAL03, VAL04, SRC18, FN41."""
-    v = F.try_parse_json("props")
-    k = F.try_variant_get(v, "$.k", "bigint")
-    return table(spark, sf, "events").select("event_id", F.schema_of_variant(F.try_variant_get(v, "$.k", "variant")).isin("BIGINT", "TINYINT", "SMALLINT", "INT").alias("is_integer"), (k > 50).alias("too_large"), F.try_variant_get(v, "$.missing", "variant").isNull().alias("missing"))
+    return lines.strip_runs(l_, "doc_id", ["the"], quote=lambda x: F.contains(x, F.lit("|"))).groupBy("doc_id").agg(F.count("*").alias("kept"), F.sum(F.length("line")).alias("chars"))
 
 
 @query("""SELECT user_id, event_id, event_type, back FROM (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS INT) AS back FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events) WHERE p IS NULL OR p <> event_type) WHERE back <= 40""")
@@ -439,13 +472,13 @@ def idle_gaps(spark, sf):
 
 @query("""SELECT user_id, count(*) AS cards, count(*) FILTER (value > 100) AS answered, greatest(0, count(*) - count(*) FILTER (value > 100)) AS open, arg_max(event_type, ts) AS state FROM events GROUP BY 1""")
 def job_summary(spark, sf):
-    """AGG14, STR02, SRC14."""
+    """AGG14, STR02."""
     return table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("cards"), F.count_if(F.col("value") > 100).alias("answered"), F.greatest(F.lit(0), F.count("*") - F.count_if(F.col("value") > 100)).alias("open"), F.max_by("event_type", "ts").alias("state"))
 
 
 @query("""SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 0 WHEN 'F' THEN 1 WHEN 'P' THEN 2 ELSE 3 END AS attention FROM orders WHERE contains(lower(o_orderpriority), 'high')""")
 def job_list_filter(spark, sf):
-    """FLT09, TOP09, TOP10."""
+    """FLT09, TOP10: the attention rank of a list."""
     o = table(spark, sf, "orders").where(F.contains(F.lower("o_orderpriority"), F.lit("high")))
     s = F.col("o_orderstatus")
     return o.select("o_orderkey", F.when(s == "O", 0).when(s == "F", 1).when(s == "P", 2).otherwise(3).alias("attention"))
@@ -453,16 +486,17 @@ def job_list_filter(spark, sf):
 
 @query("""WITH f AS (SELECT doc_id, source || '.' || ['md', 'pdf', 'docx', 'tmp'][doc_id % 4 + 1] AS name, ['md', 'pdf', 'docx', 'tmp'][doc_id % 4 + 1] AS fmt, source FROM documents) SELECT doc_id, name, list_position(['md', 'pdf', 'docx'], fmt) - 1 AS fmt_rank, count(*) FILTER (fmt = 'md') OVER (PARTITION BY source) > 0 AS has_md FROM f WHERE fmt <> 'tmp'""")
 def deliverable_allowlist(spark, sf):
-    """FLT10, FLT11, TOP11, AGG17, SET03, SET07."""
+    """FLT10, SET03."""
     kinds = F.array(*map(F.lit, ("md", "pdf", "docx")))
     d = table(spark, sf, "documents").withColumn("fmt", F.get(F.array(*map(F.lit, ("md", "pdf", "docx", "tmp"))), (F.col("doc_id") % 4).cast("int")))
     f = d.withColumn("name", F.concat_ws(".", "source", "fmt")).where(F.array_contains(kinds, F.col("fmt")))
-    return f.select("doc_id", "name", (F.array_position(kinds, F.col("fmt")) - 1).cast("int").alias("fmt_rank"), (F.count_if(F.col("fmt") == "md").over(Window.partitionBy("source")) > 0).alias("has_md"))
+    has = F.broadcast(f.groupBy("source").agg((F.count_if(F.col("fmt") == "md") > 0).alias("has_md"))) if f.select("source").distinct().limit(10_001).count() <= 10_000 else f.groupBy("source").agg((F.count_if(F.col("fmt") == "md") > 0).alias("has_md"))
+    return f.join(has, "source").select("doc_id", "name", (F.array_position(kinds, F.col("fmt")) - 1).cast("int").alias("fmt_rank"), "has_md")
 
 
 @query("""SELECT conv_id AS job_id, 'seg-' || (turn + 1) AS id, '講者' || (CASE role WHEN 'system' THEN 1 WHEN 'user' THEN 2 ELSE 3 END) AS label, turn * 35000 AS "startMs", turn * 35000 + 30250 AS "endMs" FROM conversations""")
 def bundle_segments(spark, sf):
-    """SNK09, SNK14, GRP13."""
+    """SNK14."""
     t = conversation_turns(spark, sf)
     number = F.when(F.col("speaker") == "system", 1).when(F.col("speaker") == "user", 2).otherwise(3)
     ms = lambda s: F.round(s * 1000).cast("long")
@@ -471,22 +505,6 @@ def bundle_segments(spark, sf):
     return t.select("job_id", back.alias("b")).select("job_id", "b.*")
 
 
-@query("""SELECT p_partkey, p_brand, rank FROM (SELECT p_partkey, p_brand, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN p_type = 'ECONOMY' THEN 0 ELSE 1 END, -p_size, p_partkey) AS INT) AS rank FROM part WHERE p_retailprice > 1000) WHERE rank <= 3""")
-def model_alternatives(spark, sf):
-    """FLT13, TOP08, SRC17, AGG21."""
-    p = table(spark, sf, "part").where("p_retailprice > 1000")
-    w = Window.partitionBy("p_brand").orderBy(F.when(F.col("p_type") == "ECONOMY", 0).otherwise(1), -F.col("p_size"), "p_partkey")
-    return p.withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("p_partkey", "p_brand", "rank")
-
-
-@query("""SELECT doc_id, CASE WHEN n = 1 THEN source ELSE source || '_' || n END AS name FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents)""")
-def export_names(spark, sf):
-    """GRP14, FN24."""
-    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    d = table(spark, sf, "documents").withColumn("n", n)
-    return d.select("doc_id", F.when(F.col("n") == 1, F.col("source")).otherwise(F.concat_ws("_", "source", F.col("n").cast("string"))).alias("name"))
-
-
 @query(LINES + """SELECT doc_id, no AS line_no, line FROM l QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY no DESC) <= 3""")
 def tail_lines(spark, sf):
     """SRC10."""
@@ -495,13 +513,6 @@ def tail_lines(spark, sf):
     return d.select("doc_id", F.posexplode("t").alias("line_no", "line"), F.size("t").alias("n")).where("line_no >= n - 3").select("doc_id", F.col("line_no").cast("long"), "line")
 
 
-@query(LINES + """SELECT doc_id, string_agg(line, chr(10) ORDER BY no) AS text, greatest(0, max(total) - 3) AS remaining FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS total FROM l) WHERE no BETWEEN 1 AND 2 GROUP BY 1""")
-def windowed_read(spark, sf):
-    """SRC11."""
-    t = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    return table(spark, sf, "documents").where(F.size(t) >= 2).select("doc_id", F.array_join(F.slice(t, 2, 2), "\n").alias("text"), F.greatest(F.lit(0), F.size(t) - 3).cast("long").alias("remaining"))
-
-
 @query("""SELECT user_id, arg_max(event_id, ts) AS latest, CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) AS bytes FROM events GROUP BY 1""")
 def latest_job(spark, sf):
     """SRC15, AGG15."""
@@ -510,7 +521,7 @@ def latest_job(spark, sf):
 
 @query("""SELECT doc_id, coalesce(CASE WHEN l.quality = 1 THEN 'clean' END, CASE WHEN l.doc_id IS NOT NULL THEN 'draft' END, 'raw') AS used FROM documents d LEFT JOIN labels l USING (doc_id)""")
 def best_source(spark, sf):
-    """SRC06, SRC07, FN37."""
+    """SRC06, SRC07."""
     d = table(spark, sf, "documents").join(table(spark, sf, "labels").withColumn("has", F.lit(True)), "doc_id", "left")
     return d.select("doc_id", F.coalesce(F.when(F.col("quality") == 1, "clean"), F.when(F.col("has"), "draft"), F.lit("raw")).alias("used"))
 
@@ -525,45 +536,45 @@ def part_reassembly(spark, sf):
 
 @query("""SELECT doc_id, CASE WHEN contains(lower(text), 'tion') OR contains(lower(text), 'heit') THEN 'high' WHEN contains(lower(text), 'que') THEN 'medium' ELSE 'low' END AS severity FROM documents""")
 def severity_levels(spark, sf):
-    """FN17, FN32, FN42."""
+    """FN17."""
     return table(spark, sf, "documents").select("doc_id", T.keyword_level(F.col("text"), [("high", ["tion", "heit"]), ("medium", ["que"])], "low").alias("severity"))
 
 
 @query("""SELECT doc_id, md5(replace(replace(replace(translate(text, 'é', 'e'), 'tion', chr(1)), 'on', 'tion'), chr(1), 'ON')) AS digest FROM documents""")
 def script_map(spark, sf):
-    """FN16, AGG08, RW06: a character map, then phrases in one pass."""
+    """FN16: a character map, then phrases in one pass."""
     return table(spark, sf, "documents").select("doc_id", F.md5(T.map_script(F.col("text"), {"é": "e"}, {"tion": "ON", "on": "tion"}).cast("binary")).alias("digest"))
 
 
 @query(r"""SELECT doc_id, array_to_string(list_transform(list_filter(list_zip(l, range(1, len(l) + 1)), lambda x: list_position(l, x[1]) = x[2]), lambda x: x[1]), '|') AS names FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[、,，/／\s]+'), lambda x: x <> '') AS l FROM documents)""")
 def roster_names(spark, sf):
-    """FN13, SET08."""
+    """FN13."""
     return table(spark, sf, "documents").select("doc_id", F.array_join(T.roster(F.col("text")), "|").alias("names"))
 
 
 @query("""SELECT conv_id AS job_id, CAST(count(DISTINCT role) AS BIGINT) AS speakers, array_to_string(list_sort(list(DISTINCT role)), ',') AS roles, CAST(sum(length(text)) AS BIGINT) AS source_chars, arg_max(turn, (length(text), -turn)) AS longest FROM conversations GROUP BY 1""")
 def topic_rollup(spark, sf):
-    """AGG11, TOP06, SNK06."""
+    """AGG11, TOP06."""
     return conversation_turns(spark, sf).groupBy("job_id").agg(F.countDistinct("speaker").alias("speakers"), F.array_join(F.array_sort(F.collect_set("speaker")), ",").alias("roles"), F.sum(F.length("text")).alias("source_chars"), F.max_by("index", F.struct(F.length("text").alias("n"), (-F.col("index")).alias("i"))).alias("longest"))
 
 
 @query("""SELECT user_id, array_to_string(list_sort(list_filter(['click', 'signup', 'view', 'other'], lambda x: NOT list_contains(l, x))), ',') AS missing FROM (SELECT user_id, list(DISTINCT event_type) AS l FROM events GROUP BY 1)""")
 def allowlist_difference(spark, sf):
-    """SET03, SET06, SET07, SNK12."""
+    """SET03."""
     want = F.array(*map(F.lit, ("click", "signup", "view", "other")))
     return table(spark, sf, "events").groupBy("user_id").agg(F.array_join(F.array_sort(F.array_except(want, F.collect_set("event_type"))), ",").alias("missing"))
 
 
 @query("""SELECT user_id, event_id FROM events WHERE event_type = 'error' OR (event_type = 'click' AND user_id % 2 = 0) OR (event_type = 'view' AND user_id % 3 = 0)""")
 def event_subscription(spark, sf):
-    """FLT12, FLT16."""
+    """FLT12."""
     t, u = F.col("event_type"), F.col("user_id")
     return table(spark, sf, "events").where((t == "error") | ((t == "click") & (u % 2 == 0)) | ((t == "view") & (u % 3 == 0))).select("user_id", "event_id")
 
 
 @query("""SELECT t.conv_id AS job_id, CAST(n.turn AS BIGINT) AS turn, min(t.o) AS topic FROM (SELECT conv_id, turn // 2 AS o, turn FROM conversations UNION ALL SELECT conv_id, turn // 3, turn FROM conversations) t JOIN conversations n ON n.conv_id = t.conv_id AND n.turn = t.turn GROUP BY ALL""")
 def number_topic(spark, sf):
-    """JN03, JN04: each turn's first topic in order."""
+    """JN04: each turn's first topic in order."""
     t = conversation_turns(spark, sf)
     topics = t.select("job_id", F.floor(F.col("index") / 2).alias("o"), "index").unionByName(t.select("job_id", F.floor(F.col("index") / 3).alias("o"), "index"))
     return t.join(topics, ["job_id", "index"]).groupBy("job_id", F.col("index").alias("turn")).agg(F.min("o").alias("topic"))

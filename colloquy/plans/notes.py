@@ -24,13 +24,12 @@ def digest(c: Column) -> Column:
 def evidence(spark: SparkSession, sf: str) -> DataFrame:
     t = conversation_turns(spark, sf).withColumn("text", F.translate("text", "\n", " "))
     i, x, who = F.col("index"), F.col("text"), F.col("speaker")
-    cut = lambda n: F.substring(x, 1, n)
     o = F.floor(i / 2)
     no = lambda s: F.array().cast(f"array<struct<{s}>>")
-    point = F.struct(i.alias("turn"), who.alias("speaker"), cut(30).alias("point"))
+    point = F.struct(i.alias("turn"), who.alias("speaker"), x.alias("point"))
     topic = t.groupBy("job_id", o.alias("o")).agg(
-        F.min_by(cut(20), i).alias("label"), F.max_by(who, i).alias("last"), F.array_sort(F.collect_list("index")).alias("turns"), F.array(F.min(point)).alias("first"),
-        F.array_sort(F.collect_list(F.struct(i.alias("turn"), who.alias("speaker"), cut(15).alias("gist")))).alias("points"), F.min_by(F.concat(F.lit("> "), who, F.lit("：「"), cut(25), F.lit("」")), i).alias("quote"),
+        F.min_by(x, i).alias("label"), F.max_by(who, i).alias("last"), F.array_sort(F.collect_list("index")).alias("turns"), F.array(F.min(point)).alias("first"),
+        F.array_sort(F.collect_list(F.struct(i.alias("turn"), who.alias("speaker"), x.alias("gist")))).alias("points"), F.min_by(F.concat(F.lit("> "), who, F.lit("：「"), x, F.lit("」")), i).alias("quote"),
     )
     o, even = F.col("o"), F.col("o") % 2 == 0
     status = F.when(o % 3 == 0, "decided").when(o % 3 == 1, "pending").otherwise("parked")
@@ -40,14 +39,14 @@ def evidence(spark: SparkSession, sf: str) -> DataFrame:
     )
     some = lambda test, *fields: F.array_sort(F.collect_list(F.when(test, F.struct(i.cast("long").alias("turn"), *fields))))
     rest = t.groupBy("job_id").agg(
-        some(i % 3 == 0, cut(30).alias("what"), who.alias("owner"), F.when(i % 2 == 0, render.UNDATED).otherwise(F.concat(F.lit("day-"), i)).alias("due")).alias("actions"),
-        some(i % 4 == 1, (i + 10).cast("string").alias("literal"), F.lit("").alias("means")).alias("numbers"), some(i % 5 == 4, cut(20).alias("why")).alias("unclear"),
+        some(i % 3 == 0, x.alias("what"), who.alias("owner"), F.when(i % 2 == 0, render.UNDATED).otherwise(F.concat(F.lit("day-"), i)).alias("due")).alias("actions"),
+        some(i % 4 == 1, (i + 10).cast("string").alias("literal"), F.lit("").alias("means")).alias("numbers"), some(i % 5 == 4, x.alias("why")).alias("unclear"),
     )
     return topic.groupBy("job_id").agg(F.array_sort(F.collect_list(made)).alias("topics")).join(rest, "job_id")
 
 
 TOPICS = """WITH t AS (SELECT conv_id AS job_id, turn AS i, role, translate(coalesce(text, ''), chr(10), ' ') AS t FROM conversations),
-p AS (SELECT job_id, i // 2 AS o, count(*) AS n, arg_min(left(t, 20), i) AS label, arg_min(role, i) AS r1, arg_min(t, i) AS t1, arg_max(role, i) AS r2, arg_max(t, i) AS t2 FROM t GROUP BY ALL),
+p AS (SELECT job_id, i // 2 AS o, count(*) AS n, arg_min(t, i) AS label, arg_min(role, i) AS r1, arg_min(t, i) AS t1, arg_max(role, i) AS r2, arg_max(t, i) AS t2 FROM t GROUP BY ALL),
 s AS (SELECT *, o % 2 = 0 AS even, row_number() OVER (PARTITION BY job_id ORDER BY o) AS k, CASE o % 3 WHEN 0 THEN '已決議' WHEN 1 THEN '待定' ELSE '保留' END AS st FROM p) """
 
 
@@ -62,15 +61,15 @@ _COL = {
     "actions": "'| # | 事項 | 負責人 | 期限 | 狀態 |' || chr(10) || '|---|---|---|---|---|' || chr(10) || coalesce(ac, '| — | 本次會議未產生待辦事項 | — | — | — |')", "numbers": "coalesce(nu, '- 未討論')", "quotes": "coalesce(qu, '- 未討論')",
     "open": "coalesce(nullif(concat_ws(chr(10), op, un), ''), '- 本次會議沒有懸而未決的事項。')", "next": "coalesce(nx, '- 未討論')",
 }
-DOCUMENTS = TOPICS + """, x AS (SELECT *, row_number() OVER (PARTITION BY job_id, i % 3 = 0 ORDER BY i) AS ka, row_number() OVER (PARTITION BY job_id, i % 3 = 0 AND i % 2 = 1 ORDER BY i) AS kd, row_number() OVER (PARTITION BY job_id, i % 5 = 4 ORDER BY i) AS ku, CASE WHEN i % 2 = 0 THEN '未定' ELSE 'day-' || i END AS due, trim(translate(left(t, 30), '|', '／')) AS what FROM t),
+DOCUMENTS = TOPICS + """, x AS (SELECT *, row_number() OVER (PARTITION BY job_id, i % 3 = 0 ORDER BY i) AS ka, row_number() OVER (PARTITION BY job_id, i % 3 = 0 AND i % 2 = 1 ORDER BY i) AS kd, row_number() OVER (PARTITION BY job_id, i % 5 = 4 ORDER BY i) AS ku, CASE WHEN i % 2 = 0 THEN '未定' ELSE 'day-' || i END AS due, trim(translate(t, '|', '／')) AS what FROM t),
 d AS (SELECT *, row_number() OVER (PARTITION BY job_id, o % 3 = 0 ORDER BY o) AS kd FROM s),
 a AS (SELECT job_id, string_agg('- ' || label, chr(10) ORDER BY o) AS hl,
- string_agg(concat_ws(chr(10), '### ' || k || '. ' || label, '', '- **討論內容**：', '  - ' || r1 || '：' || CASE WHEN even THEN trim(left(t1, 30)) ELSE left(t1, 15) END, CASE WHEN n = 2 THEN '  - ' || r2 || '：' || left(t2, 15) ELSE '  - 本議題僅一次發言。' END, '- **結論**：' || st || CASE WHEN even THEN '——' || r2 ELSE '' END, CASE WHEN NOT even THEN chr(10) || '> ' || r1 || '：「' || left(t1, 25) || '」' END, ''), chr(10) ORDER BY o) AS tp,
+ string_agg(concat_ws(chr(10), '### ' || k || '. ' || label, '', '- **討論內容**：', '  - ' || r1 || '：' || CASE WHEN even THEN trim(t1) ELSE t1 END, CASE WHEN n = 2 THEN '  - ' || r2 || '：' || t2 ELSE '  - 本議題僅一次發言。' END, '- **結論**：' || st || CASE WHEN even THEN '——' || r2 ELSE '' END, CASE WHEN NOT even THEN chr(10) || '> ' || r1 || '：「' || t1 || '」' END, ''), chr(10) ORDER BY o) AS tp,
  string_agg('| ' || kd || ' | ' || label || ' | ' || CASE WHEN even THEN r2 ELSE '會中明確拍板' END || ' |', chr(10) ORDER BY o) FILTER (o % 3 = 0) AS dc,
  string_agg('- ' || label || '——' || st || CASE WHEN even THEN '；' || r2 ELSE '' END, chr(10) ORDER BY o) FILTER (o % 3 <> 0) AS op,
- string_agg('> ' || r1 || '：「' || left(t1, 25) || '」' || chr(10), chr(10) ORDER BY o) FILTER (NOT even) AS qu FROM d GROUP BY 1),
+ string_agg('> ' || r1 || '：「' || t1 || '」' || chr(10), chr(10) ORDER BY o) FILTER (NOT even) AS qu FROM d GROUP BY 1),
 b AS (SELECT job_id, string_agg('| ' || ka || ' | ' || what || ' | ' || role || ' | ' || due || ' | 未開始 |', chr(10) ORDER BY i) FILTER (i % 3 = 0) AS ac,
- string_agg('- **' || (i + 10) || '** — （未說明用途）', chr(10) ORDER BY i) FILTER (i % 4 = 1) AS nu, string_agg('- （音檔不清楚）' || left(t, 20), chr(10) ORDER BY i) FILTER (i % 5 = 4 AND ku <= 5) AS un,
+ string_agg('- **' || (i + 10) || '** — （未說明用途）', chr(10) ORDER BY i) FILTER (i % 4 = 1) AS nu, string_agg('- （音檔不清楚）' || t, chr(10) ORDER BY i) FILTER (i % 5 = 4 AND ku <= 5) AS un,
  string_agg('- ' || due || '：' || what || '（' || role || '）', chr(10) ORDER BY i) FILTER (i % 3 = 0 AND i % 2 = 1 AND kd <= 5) AS nx FROM x GROUP BY 1), j AS (SELECT * FROM a JOIN b USING (job_id)) """
 STEMS = ("note_self", "note_interview")
 
@@ -83,7 +82,7 @@ def note_document(spark, sf):
 
 
 @query(TOPICS + """, a AS (SELECT job_id, string_agg(label || '=' || CASE WHEN even THEN r2 ELSE '會中明確拍板' END, ';' ORDER BY o) FILTER (o % 3 = 0) AS decisions FROM s GROUP BY 1),
-b AS (SELECT job_id, string_agg(left(t, 30) || '@' || role, ';' ORDER BY i) FILTER (i % 3 = 0) AS actions, string_agg('turn ' || i, ';' ORDER BY i) FILTER (i % 5 = 4) AS risks, string_agg(CAST(i + 10 AS VARCHAR), ';' ORDER BY i) FILTER (i % 4 = 1) AS numbers FROM t GROUP BY 1)
+b AS (SELECT job_id, string_agg(t || '@' || role, ';' ORDER BY i) FILTER (i % 3 = 0) AS actions, string_agg('turn ' || i, ';' ORDER BY i) FILTER (i % 5 = 4) AS risks, string_agg(CAST(i + 10 AS VARCHAR), ';' ORDER BY i) FILTER (i % 4 = 1) AS numbers FROM t GROUP BY 1)
 SELECT job_id, coalesce(decisions, '') AS decisions, coalesce(actions, '') AS actions, coalesce(risks, '') AS risks, coalesce(numbers, '') AS numbers FROM a JOIN b USING (job_id)""")
 def action_items(spark, sf):
     """SNK07: written as JSON and read back."""
@@ -134,11 +133,11 @@ def clean_transcript(spark, sf):
     return j.select("job_id", digest(render.clean_transcript(F.concat(F.lit("job "), F.col("job_id")), facts, named(1, "A"), named(2, "B"), F.col("body"), fixes)))
 
 
-BUNDLE = """WITH t AS (SELECT conv_id AS job_id, turn AS i, role, trim(left(coalesce(text, ''), 40)) AS x, CASE turn % 4 WHEN 0 THEN '已決議' WHEN 1 THEN '未定' WHEN 2 THEN 'Confirmed' ELSE '' END AS st FROM conversations) """
+BUNDLE = """WITH t AS (SELECT conv_id AS job_id, turn AS i, role, trim(coalesce(text, '')) AS x, CASE turn % 4 WHEN 0 THEN '已決議' WHEN 1 THEN '未定' WHEN 2 THEN 'Confirmed' ELSE '' END AS st FROM conversations) """
 
 
 def bundle_source(spark, sf):
-    i, x = F.col("index"), F.trim(F.substring("text", 1, 40))
+    i, x = F.col("index"), F.trim("text")
     status = F.when(i % 4 == 0, "已決議").when(i % 4 == 1, "未定").when(i % 4 == 2, "Confirmed").otherwise("")
     rows = lambda *fields: F.array_sort(F.collect_list(F.struct(i.alias("i"), *fields)))
     return conversation_turns(spark, sf).groupBy("job_id").agg(rows(x.alias("decision"), F.lit(" ").alias("basis"), status.alias("status")).alias("decisions"), rows(x.alias("item"), F.col("speaker").alias("owner"), status.alias("due"), F.lit("").alias("status")).alias("actions"), rows(x.alias("risk")).alias("risks"))
@@ -226,29 +225,38 @@ def run_report(spark, sf):
     return review.run_report(made, t.groupBy("job_id").agg(F.sum("chars").alias("source_chars")), "job_id")
 
 
-ALIKE = r"""WITH t AS (SELECT conv_id AS job, turn, list_distinct(list_transform(range(1, length(a)), lambda i: substr(a, i, 2))) AS s FROM (SELECT *, lower(regexp_replace(left(text, 24), '[\s\x{3000}。，、；：！？「」『』（）()\[\]【】·・.,!?;:''"-]+', '', 'g')) AS a FROM conversations)),
-u AS (SELECT conv_id AS job, turn, list_distinct(list_transform(range(1, length(a)), lambda i: substr(a, i, 2))) AS s FROM (SELECT *, lower(regexp_replace(left(text, CASE WHEN turn % 2 = 0 THEN 20 ELSE 4 END), '[\s\x{3000}。，、；：！？「」『』（）()\[\]【】·・.,!?;:''"-]+', '', 'g')) AS a FROM conversations)),
-b AS (SELECT t.job, t.turn, max(len(list_intersect(t.s, u.s)) / (len(t.s) + len(u.s) - len(list_intersect(t.s, u.s)))) AS best FROM t JOIN u USING (job) GROUP BY ALL) """
+_GRAMS = r"""SELECT *, list_distinct(list_transform(range(1, length(a)), lambda i: substr(a, i, 2))) AS s FROM (SELECT *, lower(regexp_replace({}, '[\s\x{{3000}}。，、；：！？「」『』（）()\[\]【】·・.,!?;:''"-]+', '', 'g')) AS a FROM conversations)"""
+ALIKE = f"""WITH t AS ({_GRAMS.format("text")}), u AS ({_GRAMS.format("CASE WHEN turn % 2 = 0 THEN text ELSE string_split(text, ' ')[1] END")}),
+b AS (SELECT t.conv_id AS job, t.turn, max(len(list_intersect(t.s, u.s)) / (len(t.s) + len(u.s) - len(list_intersect(t.s, u.s)))) AS best FROM t JOIN u USING (conv_id) GROUP BY ALL) """
 
 
 @query(ALIKE + "SELECT job AS job_id, turn FROM b WHERE best < 0.5")
 def missing_topics(spark, sf):
-    """JN10: topics are the first 24 characters of turns, titles the first 20 or 4."""
+    """JN10: topics are whole turns, titles whole turns or their first words."""
     i, x = F.col("index"), F.col("text")
-    rows = F.struct(i.alias("id"), F.substring(x, 1, 24).alias("label"))
-    title = F.when(i % 2 == 0, F.substring(x, 1, 20)).otherwise(F.substring(x, 1, 4))
-    j = conversation_turns(spark, sf).groupBy("job_id").agg(F.collect_list(rows).alias("topics"), F.collect_list(title).alias("titles"))
+    title = F.when(i % 2 == 0, x).otherwise(F.get(F.split(x, " "), F.lit(0)))
+    j = conversation_turns(spark, sf).groupBy("job_id").agg(F.collect_list(F.struct(i.alias("id"), x.alias("label"))).alias("topics"), F.collect_list(title).alias("titles"))
     return j.select("job_id", F.explode(review.missing_topics(F.col("topics"), F.col("titles"))).alias("turn"))
 
 
-@query()
+_CHECKED = [render.HEADINGS[k] for k in ("highlights", "topics", "open", "next")]
+
+
+@query(f"""WITH j AS (SELECT DISTINCT conv_id AS job FROM conversations), s(stem) AS (VALUES {", ".join(f"('{x}')" for x in STEMS)}), h(h) AS (VALUES {", ".join(f"('{x}')" for x in _CHECKED)})
+SELECT job, 'quote' AS kind, 'error' AS severity, stem || '.md' AS file, '完全沒說過的話' AS evidence FROM j, s WHERE job % 6 = 1 UNION ALL SELECT job, 'skeleton', 'error', stem || '.md', 'missing' FROM j, s WHERE job % 6 = 2
+UNION ALL SELECT job, 'simplified', 'warn', stem || '.md', NULL FROM j, s WHERE job % 6 = 3 UNION ALL SELECT job, 'number', 'error', NULL, 'never' FROM j WHERE job % 6 = 4 UNION ALL SELECT job, 'skeleton', 'error', stem || '.md', h FROM j, s, h WHERE job % 6 = 5
+UNION ALL SELECT job, 'schema', 'error', 'action_items.json', 'invalid' FROM j WHERE job % 8 = 1""")
 def note_findings(spark, sf):
-    """VAL02: the rendered notes against their own evidence; faults are injected in the tests."""
-    hay = conversation_turns(spark, sf).groupBy("job_id").agg(T.squash(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("index", "text"))), lambda x: x["text"]), "\n")).alias("hay"))
-    texts = F.array(*(F.struct(F.lit(s + ".md").alias("file"), render.document(s, F.lit(""), F.transform("topics", lambda t: t["label"])).alias("text")) for s in STEMS))
+    """VAL02: rendered notes with faults put in: a quotation that nobody said, a note that is missing, another script, a wrong number, no chapters, broken JSON."""
+    hay = conversation_turns(spark, sf).groupBy("job_id").agg(T.squash(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("index", F.translate("text", "\n", " ").alias("text")))), lambda x: x["text"]), "\n")).alias("hay"))
+    job = F.col("job_id")
+    fault = lambda text: F.when(job % 6 == 1, F.concat(text, F.lit("> 某：「完全沒說過的話」\n"))).when(job % 6 == 3, F.concat(text, F.lit("们\n"))).when(job % 6 == 5, F.regexp_replace(text, "(?m)^## ", "")).when(job % 6 != 2, text)
+    texts = F.array(*(F.struct(F.lit(s + ".md").alias("file"), fault(render.document(s, F.lit(""), F.transform("topics", lambda t: t["label"]))).alias("text")) for s in STEMS))
     facts = F.transform("numbers", lambda n: F.struct(n["literal"].alias("literal"), n["literal"].alias("text")))
-    notes = evidence(spark, sf).join(hay, "job_id").select(F.col("job_id").alias("job"), "hay", F.transform("topics", lambda t: F.struct(t["id"].alias("id"), t["label"].alias("label"))).alias("topics"), facts.alias("numbers"), F.to_json(render.action_items()).alias("actions"), F.inline(texts))
-    return review.findings(notes, [render.HEADINGS[k] for k in ("highlights", "topics", "open", "next")], {"们": "們"})
+    facts = F.when(job % 6 == 4, F.concat(facts, F.array(F.struct(F.lit("never").alias("literal"), F.lit("said 12").alias("text"))))).otherwise(facts)
+    items = F.when(job % 8 != 1, F.to_json(render.action_items())).otherwise("{broken")
+    notes = evidence(spark, sf).join(hay, "job_id").select(job.alias("job"), "hay", F.transform("topics", lambda t: F.struct(t["id"].alias("id"), t["label"].alias("label"))).alias("topics"), facts.alias("numbers"), items.alias("actions"), F.inline(texts))
+    return review.findings(notes, _CHECKED, {"们": "們"})
 
 
 @query(r"""SELECT page_id, url, n <> '' AND NOT regexp_matches(n, '[/\\]') AND NOT contains(n, '..') AND NOT starts_with(n, '.') AS safe FROM (SELECT *, CASE page_id % 3 WHEN 0 THEN url WHEN 1 THEN array_extract(string_split(url, '/'), -1) ELSE '..' END AS n FROM pages)""")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,11 +20,30 @@ def json_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def loads_loose(text: Column) -> Column:
-    """SRC02: an object as VARIANT from a reply: the text itself, the inside of a fence, or what stands between the outer braces; else null."""
-    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
-    braces = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
+    """SRC02: an object as VARIANT from a reply: the text itself, the text without its fences, or the first balanced object in it; else null."""
+    bare = F.regexp_replace(text, r"(?m)^\s*```(?:json)?\s*|\s*```\s*$", "")
+    whole = F.coalesce(F.try_parse_json(text), F.try_parse_json(bare))
     only_object = lambda v: F.when(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), v)
-    return F.coalesce(*(only_object(F.try_parse_json(t)) for t in (F.trim(text), fenced, braces)))
+    return F.when(whole.isNotNull(), only_object(whole)).otherwise(only_object(F.try_parse_json(first_object(text))))
+
+
+def first_object(text: Column) -> Column:
+    """The text from its first brace to the one that closes it, braces in strings apart; null if none does.
+
+    The rest is cut into strings, braces and what stands between; a fold counts open braces until they are even.
+    """
+    rest = F.substr(text, F.instr(text, "{"))
+    pieces = F.regexp_extract_all(rest, F.lit(r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"|[{}]|[^{}"]++|"'), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("length"), F.lit(0).alias("end"))
+
+    def step(a: Column, p: Column) -> Column:
+        # A lone quotation mark opens a string that never ends: no brace behind it counts.
+        depth = F.when(p == "{", a["depth"] + 1).when(p == "}", a["depth"] - 1).when(p == '"', 1 << 30).otherwise(a["depth"])
+        length = a["length"] + F.length(p)
+        return F.struct(depth.alias("depth"), length.alias("length"), F.when((a["end"] == 0) & (p == "}") & (depth == 0), length).otherwise(a["end"]).alias("end"))
+
+    end = F.aggregate(pieces, start, step, lambda a: a["end"])
+    return F.when(F.instr(text, "{") > 0, F.when(end > 0, F.substr(rest, F.lit(1), end)))
 
 
 def first_existing(*sources: Column) -> Column:
@@ -36,8 +57,20 @@ def names(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str) -> None:
-    """SNK02, SNK04: a table that readers see whole or not at all."""
-    df.write.mode("overwrite").parquet(path)
+    """SNK02, SNK04: a table that readers see whole or not at all: it is written beside its place, then renamed into it.
+
+    The old table stays until the new one is whole; between the two renames there is no table, never a part of one.
+    """
+    spark = df.sparkSession
+    at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    new, old = f"{path}.{uuid.uuid4().hex}.new", f"{path}.{uuid.uuid4().hex}.old"
+    df.write.parquet(new)
+    had = fs.exists(at(path))
+    if had and not fs.rename(at(path), at(old)) or not fs.rename(at(new), at(path)):
+        raise OSError(f"could not replace {path}")
+    if had:
+        fs.delete(at(old), True)
 
 
 def write_transcripts(turns: DataFrame, path: str) -> None:
