@@ -9,7 +9,8 @@ as words by the share of their letter pairs that are common in English, German,
 Spanish, and by few changes to upper case; random letters pass as words now and then.
 
 Defined cases: a null or empty text has no spans; repeated rows are scanned one by
-one; a text is scanned whole, whatever its length; an empty table gives an empty
+one; a text is scanned whole, in time that grows with its length alone, whatever stands in it;
+of spans that start together the kind listed first comes first; an empty table gives an empty
 result; only the id and text columns are read, so other columns may have any name.
 """
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from colloquy.llm.common import prepare
-from colloquy.llm.spans import Span, overlaps, scanner
+from colloquy.llm.spans import Span, overlapping, scanner
 
 KINDS = ["assign", "access", "hex"]
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -80,19 +81,21 @@ def hot_stretches(candidate: str) -> list[tuple[int, int]]:
     The sum of c*log2(c) is changed by the character that enters and the one that
     leaves, so a step costs the same whatever the window.
     """
-    least = THRESHOLDS[character_class(candidate)]
+    least = THRESHOLDS[character_class(candidate)] - 1e-9  # sums round
     counts: dict[str, int] = {}
     total, found = 0.0, []
+    full = math.log2(WINDOW)
     for i, ch in enumerate(candidate):
-        n = counts.get(ch, 0)
-        total += _PART[n + 1] - _PART[n]
-        counts[ch] = n + 1
-        if i >= WINDOW:
-            out = candidate[i - WINDOW]
-            n = counts[out]
-            total += _PART[n - 1] - _PART[n]
-            counts[out] = n - 1
-        if i >= WINDOW - 1 and math.log2(WINDOW) - total / WINDOW >= least:
+        out = candidate[i - WINDOW] if i >= WINDOW else ""
+        if out != ch:
+            if out:  # the one that leaves goes first, so no count exceeds the window
+                n = counts[out]
+                total += _PART[n - 1] - _PART[n]
+                counts[out] = n - 1
+            n = counts.get(ch, 0)
+            total += _PART[n + 1] - _PART[n]
+            counts[ch] = n + 1
+        if i >= WINDOW - 1 and full - total / WINDOW >= least:
             a = i - WINDOW + 1
             if found and a <= found[-1][1]:
                 found[-1] = (found[-1][0], i + 1)
@@ -130,16 +133,17 @@ def worded(candidate: str) -> bool:
 def find(text: str) -> tuple[list[Span], list[Span]]:
     """Base spans and all spans, each by start, then kind as listed."""
     base = base_spans(text)
+    rank = {k: i for i, k in enumerate([*KINDS, "entropy"])}
+    order = lambda s: (s[1], rank[s[0]], s[2])
+    base.sort(key=order)
+    touches = overlapping(base)
     added: list[Span] = []
     for m in CANDIDATE.finditer(text):
         s = m.group()
         if (LOWER.search(s) or UPPER.search(s)) and not allowed(s) and (hot := hot_stretches(s)) and not worded(s):
             for a, b in hot:
-                if not overlaps(m.start() + a, m.start() + b, base):
+                if not touches(m.start() + a, m.start() + b):
                     added.append(("entropy", m.start() + a, m.start() + b))
-    rank = {k: i for i, k in enumerate([*KINDS, "entropy"])}
-    order = lambda s: (s[1], rank[s[0]], s[2])
-    base.sort(key=order)
     return base, sorted([*base, *added], key=order) if added else base
 
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 
@@ -19,8 +21,11 @@ def digest(spans: Iterable[Span]) -> str:
     return hashlib.sha256(join(spans).encode()).hexdigest()
 
 
-def overlaps(a: int, b: int, spans: Iterable[Span]) -> bool:
-    return any(a < e and s < b for _, s, e in spans)
+def overlapping(spans: list[Span]) -> Callable[[int, int], bool]:
+    """Whether a stretch overlaps any of the spans, which are ordered by start: one search a question."""
+    first = [a for _, a, _ in spans]
+    furthest = list(accumulate((b for *_, b in spans), max))
+    return lambda a, b: bool((n := bisect_left(first, b)) and furthest[n - 1] > a)
 
 
 def scanner(find: Callable[[str], tuple[list[Span], list[Span]]], kinds: list[str], id_column: str = "doc_id", text_column: str = "text"):
