@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable
+from bisect import bisect_right
+from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 
@@ -94,17 +96,26 @@ _SPELLED = re.compile(rf"(?<!\w)(?:plus[\s,-]+)?(?:{_NAME}|[0-9])(?:[\s,-]+(?:(?
 # The first of the names that _digits asks for has a name, a dot word or a digit behind it.
 _SPELLED_HINT = re.compile(rf"(?<!\w){_NAME}[\s,-]+(?:{_NAME}|{DOT_WORDS}|[0-9])(?!\w)", re.IGNORECASE)
 _SPELLED_WORD = re.compile(rf"(?:(?P<plus>plus)|(?P<name>{_NAME})|(?P<digit>[0-9])|(?P<dot>{DOT_WORDS}))[\s,-]*", re.IGNORECASE)
-_BOXED_AT = re.compile(rf"\s*[\[({{<]\s*(?:{AT_WORDS}|@)\s*[\])}}>]\s*", re.IGNORECASE)
-_BOXED_DOT = re.compile(rf"\s*[\[({{<]\s*(?:{DOT_WORDS}|\.)\s*[\])}}>]\s*", re.IGNORECASE)
+# Boxes without the white space before them, which a search for them would read again and again; Tape.rewrite takes it in.
+_BOXED_AT = re.compile(rf"[\[({{<]\s*(?:{AT_WORDS}|@)\s*[\])}}>]\s*", re.IGNORECASE)
+_BOXED_DOT = re.compile(rf"[\[({{<]\s*(?:{DOT_WORDS}|\.)\s*[\])}}>]\s*", re.IGNORECASE)
 _ATOM = r"[A-Za-z0-9_%+-]+"
 _SAID = re.compile(rf"(?<![A-Za-z0-9._%+-]){_ATOM}(?:(?:\.|\s+(?:{DOT_WORDS})\s+){_ATOM}){{0,4}}(?:\s+(?:{AT_WORDS})\s+|@){_ATOM}(?:(?:\.|\s+(?:{DOT_WORDS})\s+){_ATOM}){{1,6}}", re.IGNORECASE)
-_SAID_DOT = re.compile(rf"\s+(?:{DOT_WORDS})\s+", re.IGNORECASE)
-_SAID_AT = re.compile(rf"\s+(?:{AT_WORDS})\s+", re.IGNORECASE)
+# Matches begin where white space begins, so each run of it is read once.
+_SAID_DOT = re.compile(rf"(?<!\s)\s+(?:{DOT_WORDS})\s+", re.IGNORECASE)
+_SAID_AT = re.compile(rf"(?<!\s)\s+(?:{AT_WORDS})\s+", re.IGNORECASE)
 _NUMBER_DOT = re.compile(rf"(?<=[0-9])\s+(?:{DOT_WORDS})\s+(?=[0-9])", re.IGNORECASE)
 # All that the transducers rewrite holds a dot word, a box or an at word before a domain whose first dot is written.
 _HINT = re.compile(rf"(?<![^\W_])(?:{DOT_WORDS})(?![^\W_])|[\[({{<]\s*(?:{AT_WORDS}|@|\.)\s*[\])}}>]|(?<=\s)(?:{AT_WORDS})\s+{_ATOM}\.[A-Za-z0-9_%+-]", re.IGNORECASE)
 
 
+_DOT_WORD = re.compile(DOT_WORDS, re.IGNORECASE)
+_NOT_ASCII = re.compile("[^\x00-\x7f]")
+
+#: What a transducer puts out: characters, and the positions (end exclusive) they stand for.
+Piece = tuple[str, int, int]
+
+
 class Tape:
     """A text under rewriting: for each character its source span and whether it was rewritten."""
 
@@ -114,19 +125,23 @@ class Tape:
         self.end = list(range(1, len(text) + 1))
         self.new = [False] * len(text)
 
-    def rewrite(self, pattern: re.Pattern, output: Callable[[re.Match], list[tuple[str, int, int]] | None], begin: int = 0, stop: int | None = None) -> bool:
-        """output: the (characters, from, to) for a match, positions in the present text; None leaves it."""
-        matches = [(m, o) for m in pattern.finditer(self.text, begin, len(self.text) if stop is None else stop) if (o := output(m)) is not None]
-        if not matches:
+    def rewrite(self, matches: Iterable[re.Match], output: Callable[[re.Match], list[Piece] | None], blanks: bool = False) -> bool:
+        """Put other characters in place of matches, which come in order: output gives the (characters, from, to)
+        of a match, positions in the present text; None leaves it. blanks: white space before a match goes with it."""
+        found = [(m, o) for m in matches if (o := output(m)) is not None]
+        if not found:
             return False
         text, start, end, new, at = [], [], [], [], 0
-        for m, out in matches:
+        for m, out in found:
             a = m.start()
+            while blanks and a > at and self.text[a - 1].isspace():
+                a -= 1
             text.append(self.text[at:a])
             start += self.start[at:a]
             end += self.end[at:a]
             new += self.new[at:a]
             for chars, b, e in out:
+                b = a if blanks else b
                 text.append(chars)
                 start += [self.start[b]] * len(chars)
                 end += [self.end[e - 1]] * len(chars)
@@ -137,7 +152,22 @@ class Tape:
         return True
 
 
-def _glyph(m: re.Match) -> list[tuple[str, int, int]] | None:
+def said(text: str) -> Iterator[re.Match]:
+    """The dot words, and between them the at words, of all disguised addresses, in order."""
+    for m in _SAID.finditer(text):
+        at, stop = m.span()
+        for dot in _SAID_DOT.finditer(text, at, stop):
+            yield from _SAID_AT.finditer(text, at, dot.start())
+            yield dot
+            at = dot.end()
+        yield from _SAID_AT.finditer(text, at, stop)
+
+
+def _said(m: re.Match) -> list[Piece]:
+    return [("." if _DOT_WORD.fullmatch(m.group().strip()) else "@", m.start(), m.end())]
+
+
+def _glyph(m: re.Match) -> list[Piece] | None:
     c = m.group()
     if c in _GLYPHS:
         out = _GLYPHS[c]
@@ -150,7 +180,7 @@ def _glyph(m: re.Match) -> list[tuple[str, int, int]] | None:
     return [(out, m.start(), m.end())] if out else []
 
 
-def _digits(m: re.Match) -> list[tuple[str, int, int]] | None:
+def _digits(m: re.Match) -> list[Piece] | None:
     parts = list(_SPELLED_WORD.finditer(m.group()))
     if sum(p["name"] is not None for p in parts) < 2:
         return None
@@ -162,7 +192,7 @@ def _digits(m: re.Match) -> list[tuple[str, int, int]] | None:
     return out
 
 
-def _as(char: str) -> Callable[[re.Match], list[tuple[str, int, int]]]:
+def _as(char: str) -> Callable[[re.Match], list[Piece]]:
     return lambda m: [(char, m.start(), m.end())]
 
 
@@ -170,17 +200,14 @@ def normalised(text: str) -> Tape | None:
     """The rewritten text, or None where no transducer changes anything."""
     tape, changed = Tape(text), False
     if _BEYOND.search(text):
-        changed |= tape.rewrite(re.compile("[^\x00-\x7f]"), _glyph)
+        changed |= tape.rewrite(_NOT_ASCII.finditer(text), _glyph)
     if _SPELLED_HINT.search(tape.text):
-        changed |= tape.rewrite(_SPELLED, _digits)
+        changed |= tape.rewrite(_SPELLED.finditer(tape.text), _digits)
     if _HINT.search(tape.text):
-        changed |= tape.rewrite(_BOXED_AT, _as("@"))
-        changed |= tape.rewrite(_BOXED_DOT, _as("."))
-        changed |= tape.rewrite(_NUMBER_DOT, _as("."))
-        for a, b in [m.span() for m in _SAID.finditer(tape.text)][::-1]:
-            length = len(tape.text)
-            changed |= tape.rewrite(_SAID_DOT, _as("."), a, b)
-            changed |= tape.rewrite(_SAID_AT, _as("@"), a, b - (length - len(tape.text)))
+        changed |= tape.rewrite(_BOXED_AT.finditer(tape.text), _as("@"), blanks=True)
+        changed |= tape.rewrite(_BOXED_DOT.finditer(tape.text), _as("."), blanks=True)
+        changed |= tape.rewrite(_NUMBER_DOT.finditer(tape.text), _as("."))
+        changed |= tape.rewrite(said(tape.text), _said)
     return tape if changed else None
 
 
@@ -188,16 +215,24 @@ def may_differ(text: str) -> bool:
     return bool(_BEYOND.search(text) or _HINT.search(text) or _SPELLED_HINT.search(text))
 
 
+def within(spans: list[Span]) -> Callable[[int, int], bool]:
+    """Whether a stretch lies inside one of the spans, which are ordered by start."""
+    first = [a for _, a, _ in spans]
+    furthest = list(accumulate((b for *_, b in spans), max))
+    return lambda a, b: bool((n := bisect_right(first, a)) and furthest[n - 1] >= b)
+
+
 def find(text: str) -> tuple[list[Span], list[Span]]:
     """Base spans and all spans, each by kind as listed, then start."""
     base = base_spans(text)
     tape = normalised(text) if may_differ(text) else None
     if tape is None:
         return base, base
+    inside = {k: within([s for s in base if s[0] == k]) for k in KINDS}
     added = []
     for kind, a, b in base_spans(tape.text):
         s, e = tape.start[a], max(tape.end[a:b])
-        if any(tape.new[a:b]) and not any(k == kind and x <= s and e <= y for k, x, y in base):
+        if any(tape.new[a:b]) and not inside[kind](s, e):
             added.append((kind, s, e))
     return base, sorted([*base, *added], key=lambda s: (KINDS.index(s[0]), s[1]))
 
