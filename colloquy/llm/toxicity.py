@@ -10,13 +10,16 @@ document frequencies by label give each a lower confidence bound of its log odds
 logistic regression on a document's three strongest words and its length gives the score.
 The classifier is fitted on SAMPLE labelled rows of each label at most (those of least id digest),
 each weighing as many labels as it stands for, so that the share of toxic ones is that of all labels;
-the character model counts every document.
+its features are the FEATURES of highest bound among those that LEAST_DOCS toxic documents of the sample hold.
+The character model counts every document.
 
 Defined cases: a null or empty text has no words and gets the score that the regression gives
-to a text without evidence; without labels of both kinds every score is the smoothed share of
-toxic ones, at most 0.49 without a toxic label; rows with a null id are scored and never
-learned from; repeated rows are scored one by one; several labels of an id count as the largest;
-an empty table gives an empty result; columns beside id and text are never read.
+to a text without evidence; a text is read whole, in time that grows with its length alone; without
+labels of both kinds every score is the smoothed share of toxic ones, at most 0.49 without a toxic label;
+rows with a null id are scored and never learned from; repeated rows are scored one by one, and of the rows
+of one labelled id the text of least digest is learned; several labels of an id count as the largest; of
+equally likely readings the decode keeps the first it meets, and of features of equal bound the first by code points;
+an empty table gives an empty result; columns beside id and text are never read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -34,7 +37,8 @@ from colloquy.llm.common import crc_bucket, cut, prepare
 
 SAMPLE, FEATURES, LEAST_DOCS = 10_000, 20_000, 3
 PREFIXES = (4, 5, 6)
-REMEMBERED = 400_000
+#: What a worker remembers: words, and the longest of them. Other words are read again.
+REMEMBERED, LONGEST = 400_000, 64
 
 #: Letters of the model: the boundary first; anything else folds to the last.
 LETTERS = " abcdefghijklmnopqrstuvwxyzàâáäçéèêëíîïñóôöúûüùßœ*"
@@ -49,7 +53,8 @@ SUBSTITUTED, DROPPED, REPEATED = -1.0, -0.5, -1.0
 
 SUSPICIOUS = re.compile(rf"[^\W\d_][{_SYMBOLS}]+[^\W\d_]|^[{_SYMBOLS}]+[^\W\d_]{{2}}|[^\W\d_]{{2}}[0-9@$](?:[.,;:!?]*)$|[^\W\d_][{re.escape(SEPARATORS)}]+[^\W\d_][{re.escape(SEPARATORS)}]+[^\W\d_]|([^\W\d_])\1\1", re.IGNORECASE)
 SPACED = re.compile(rf"(?<!\S)[^\W_](?: [^\W_]){{2,}}(?!\S)|(?<!\S)[\w{_SYMBOLS}](?: [\w{_SYMBOLS}]){{3,}}(?!\S)")
-EDGES = re.compile(r"^\W+|\W+$")
+#: From the first word character to the last.
+CORE = re.compile(r"\w(?:.*\w)?", re.DOTALL)
 
 
 def codes(text: str, table: np.ndarray) -> np.ndarray:
@@ -102,38 +107,51 @@ def language_model(counts: np.ndarray, mass: float = 2.0) -> np.ndarray:
     return np.log(p).astype(np.float32)
 
 
-def lattice(token: str) -> list[list[tuple[str, float]]]:
+def lattice(token: str) -> Iterator[list[tuple[str, float]]]:
     """For each run of equal characters the readings and their channel log probabilities."""
-    out = []
     for m in re.finditer(r"(.)\1*", token, re.DOTALL):
         c, n = m.group(1), len(m.group())
         if c.isalpha():
-            out.append([(c * n, 0.0)] if n < 3 else [(c, REPEATED), (c * 2, REPEATED)])
+            yield [(c * n, 0.0)] if n < 3 else [(c, REPEATED), (c * 2, REPEATED)]
         elif c in STANDS_FOR:
-            out.append([(x * k, SUBSTITUTED * k) for x in STANDS_FOR[c] for k in {1, min(n, 2)}])
+            yield [(x * k, SUBSTITUTED * k) for x in STANDS_FOR[c] for k in {1, min(n, 2)}]
         else:
-            out.append([("", DROPPED)])
-    return out
+            yield [("", DROPPED)]
+
+
+def written(node: tuple | None) -> str:
+    """The text of a path: readings linked from the last one back."""
+    parts = []
+    while node:
+        node, reading = node
+        parts.append(reading)
+    return "".join(reversed(parts))
 
 
-def decode(token: str, model: np.ndarray) -> str:
-    """The likeliest reading of a token, lower-cased, from boundary to boundary."""
+def decode(token: str, model) -> str:
+    """The likeliest reading of a token, lower-cased, from boundary to boundary.
+
+    model: log probabilities by two letters and the next, as nested lists or an array. A state is the last two letters; it holds its best path as a chain of readings, which
+    paths share, so that time and memory grow with the token's length alone.
+    """
     index = LETTERS.find
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for choices in lattice(token):
-        new: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, text) in states.items():
+        new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (score, path) in states.items():
             for reading, cost in choices:
                 s, x, y = score + cost, a, b
                 for c in reading:
                     k = index(c, 1)
                     k = OTHER if k < 0 else k
-                    s += float(model[x, y, k])
+                    s += model[x][y][k]
                     x, y = y, k
                 if (x, y) not in new or new[x, y][0] < s:
-                    new[x, y] = (s, text + reading)
+                    new[x, y] = (s, (path, reading))
         states = new
-    return max(((s + float(model[a, b, 0]), t) for (a, b), (s, t) in states.items()), default=(0.0, token))[1]
+    if not token:
+        return token
+    return written(max(((s + model[a][b][0], n, path) for n, ((a, b), (s, path)) in enumerate(states.items())), key=lambda x: (x[0], -x[1]))[2])
 
 
 @dataclass
@@ -150,24 +168,32 @@ class Scorer:
     scales: np.ndarray | None = None
     constant: float = 0.0
     known: dict[str, tuple[float, tuple[int, int] | None]] = field(default_factory=dict)
+    #: The model as nested lists, which single values are read from faster.
+    table: list | None = None
+
+    def decoded(self, token: str) -> str:
+        if self.table is None:
+            self.table = self.model.tolist()
+        return decode(token, self.table)
 
     def read_word(self, word: str) -> str:
         """The word without punctuation at its ends, restored if it is suspicious."""
         word = word.lower()
         if SUSPICIOUS.search(word):
             plain = word.rstrip(".,;:?!")
-            return decode(plain or word, self.model)
-        return EDGES.sub("", word)
+            return self.decoded(plain or word)
+        core = CORE.search(word)
+        return core.group() if core else ""
 
     def restore(self, text: str) -> str:
-        text = SPACED.sub(lambda m: decode(m.group().lower().replace(" ", ""), self.model), text)
+        text = SPACED.sub(lambda m: self.decoded(m.group().lower().replace(" ", "")), text)
         return " ".join(self.read_word(w) if SUSPICIOUS.search(w) else w for w in text.split(" "))
 
     def words(self, text: str) -> set[str]:
         """Distinct words as written, and readings of letters spaced out."""
         found = set(text.split())
         for m in SPACED.finditer(text):
-            found.add(decode(m.group().lower().replace(" ", ""), self.model))
+            found.add(self.decoded(m.group().lower().replace(" ", "")))
         return found
 
     def odds(self, n: tuple[int, int], less: tuple[int, int] = (0, 0)) -> float:
@@ -190,9 +216,11 @@ class Scorer:
         for w in words:
             got = known.get(w)
             if got is None:
-                if len(known) > REMEMBERED:
-                    known.clear()
-                got = known[w] = self.word(w)
+                got = self.word(w)
+                if len(w) <= LONGEST:
+                    if len(known) >= REMEMBERED:
+                        known.clear()
+                    known[w] = got
             if got[1]:
                 found[got[1]] = got[0]
         odds = sorted((self.odds(n, less) for n in found) if less != (0, 0) else found.values(), reverse=True)[:3]
@@ -236,7 +264,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_column: str
     chosen = each.where("y = 1").orderBy(digest, "id").limit(sample).unionByName(each.where("y = 0").orderBy(digest, "id").limit(sample))
     chosen = F.broadcast(cut(chosen))  # twice the sample at most
     learned = docs.select(F.col(id_column).alias("id"), F.coalesce(text_column, F.lit("")).alias("text")).join(chosen, "id")
-    learned = cut(learned)
+    # One text an id, so that no id brings more rows than the sample has.
+    learned = cut(learned.groupBy("id").agg(F.max("y").alias("y"), F.min(F.struct(F.xxhash64("text").alias("digest"), "text")).alias("least")).select("y", F.col("least.text").alias("text")))
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
