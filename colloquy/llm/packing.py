@@ -9,8 +9,9 @@ A sequence's number holds its bucket in the low four bits, so a reader can selec
 bucket; the rest is unique for the row and piece.
 
 Defined cases: a null text counts as empty and gives one piece that holds the end token;
-repeated rows are packed each; rows with a null id are packed like others; a text is packed
-whole, whatever its length; an empty table gives an empty result.
+repeated rows, and different texts of equal length, are packed each; rows with a null id are packed like
+others; a text is packed whole, whatever its length; an empty table gives an empty result; columns beside
+id and text are never read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from colloquy.llm.common import prepare
 
 FULL, END = 2048, 1
+#: The first code point without an entry in kinds(), and the kind of those that are left to the library.
+BEYOND, UNKNOWN = 0x20000, 4
 _loaded: dict[str, Encoder] = {}
 
 
@@ -39,14 +42,18 @@ def byte_symbols() -> list[str]:
 
 
 def kinds() -> np.ndarray:
-    """Of each code point below 0x20000: 0 white space, 1 letter, 2 number, 3 anything else; beyond, the last one's."""
-    out = np.full(0x20001, 3, np.uint8)
-    for p in range(0x20000):
+    """Of each code point below BEYOND: 0 white space, 1 letter, 2 number, 3 anything else; UNKNOWN where the
+    library may know more, as points that this Python has as unassigned; the last entry stands for all beyond."""
+    out = np.full(BEYOND + 1, 3, np.uint8)
+    out[-1] = UNKNOWN
+    for p in range(BEYOND):
         c = chr(p)
-        k = unicodedata.category(c)[0]
-        if k == "L":
+        k = unicodedata.category(c)
+        if k == "Cn":
+            out[p] = UNKNOWN
+        elif k[0] == "L":
             out[p] = 1
-        elif k == "N":
+        elif k[0] == "N":
             out[p] = 2
         elif c.isspace() and not "\x1c" <= c <= "\x1f":
             out[p] = 0
@@ -60,7 +67,7 @@ class Encoder:
     alphabet has two signs for each byte, inside a word and at its end, written as
     code points of two bytes that merge before all else; so a token's number is its
     rank there too. Where words end is found for a whole text at once. Texts with
-    special strings or characters beyond the table go to the library itself.
+    special strings or, once normalised, characters that kinds() doesn't know go to the library itself.
     """
 
     SIGNS = 0x100  # the first code point of the alphabet; a sign at a word's end is 256 further
@@ -91,9 +98,11 @@ class Encoder:
         self.merge = tiktoken.Encoding("words", pat_str=f"[\\u{{{a:x}}}-\\u{{{a + 255:x}}}]*[\\u{{{z:x}}}-\\u{{{z + 255:x}}}]", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.kind = kinds()
 
-    def ends(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which code points are white space, and which are the last of a word of the file's pattern."""
-        kind = self.kind[np.minimum(points, len(self.kind) - 1)]
+    def ends(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Which code points are white space, and which are the last of a word of the file's pattern; None if a point is unknown."""
+        kind = self.kind[np.minimum(points, BEYOND)]
+        if kind.max(initial=0) == UNKNOWN:
+            return None
         after = np.append(kind[1:], 0)
         end = (kind != 0) & ((kind == 2) | (kind != after))
         quote = np.flatnonzero((points == 39) & (np.append(0, kind[:-1]) != 3) & (after == 1))
@@ -104,8 +113,8 @@ class Encoder:
                 end[q], end[q + n] = False, True
         return kind == 0, end
 
-    def signs(self, text: str) -> str:
-        """The text in the alphabet of the merges."""
+    def signs(self, text: str) -> str | None:
+        """The text in the alphabet of the merges; None if it holds an unknown code point."""
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3")
         text = text.lower()
@@ -113,7 +122,10 @@ class Encoder:
         if text.isascii():
             blank, end = self.ends(raw.astype(np.uint32))
         else:
-            blank, end = self.ends(np.frombuffer(text.encode("utf-32-le"), np.uint32))
+            found = self.ends(np.frombuffer(text.encode("utf-32-le"), np.uint32))
+            if found is None:
+                return None
+            blank, end = found
             first = np.flatnonzero((raw & 0xC0) != 0x80)
             size = np.diff(np.append(first, len(raw)))
             blank = np.repeat(blank, size)
@@ -127,8 +139,8 @@ class Encoder:
         """32-bit ids of each text with the end token."""
         out = []
         for text in texts:
-            odd = any(s in text for s in self.special) or not text.isascii() and max(text) >= "\U00020000"
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids if odd else self.merge(self.signs(text))
+            signs = None if any(s in text for s in self.special) else self.signs(text)
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids if signs is None else self.merge(signs)
             ids.append(END)
             out.append(np.array(ids, "<u4"))
         return out
