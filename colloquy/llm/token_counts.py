@@ -1,14 +1,19 @@
 """Operator 5: token counts with a digest cache.
 
 A text's digest (of its normalised content: null is empty, nothing else may change,
-for it would change the count) and the tokenizer's digest are joined to a cache of
-stored counts. Only distinct misses are encoded, each in one row chosen by id, and
-appended to the cache. The join that brings counts back carries no text.
+for it would change the count) is joined to the counts that the cache holds for the
+tokenizer's digest. Only distinct misses are encoded, and appended to the cache. The
+cache is a folder with one partition a tokenizer, so that only its counts are read.
+
+Copies of a missed text are dropped in each task before texts are shuffled, and again
+behind the shuffle, so neither repeated rows nor null ids are encoded twice and no digest
+is hot. The join that brings counts back carries no text and broadcasts the hot digests.
 
 Defined cases: a null text counts as empty and has no tokens; equal texts are encoded
 once, repeated rows come back as often as they came in; a special string inside a text
-counts as the library does by default; nothing is cut; a row with a null id is counted
-like others; an empty table gives an empty result.
+counts as the library does by default; a text is counted whole, whatever its length; a row
+with a null id is counted like others; a count at the limit isn't over it; an empty table gives an
+empty result; columns beside id and text are never read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -23,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import cut, fresh_path, prepare
+from colloquy.llm.common import cut, exists, fresh_path, join_hot, prepare
 
 LIMIT = 512
-CACHE = "digest string, tokenizer string, n_tokens long"
-#: Characters whose classes two libraries may see differently.
-BEYOND = re.compile("[^\x00-\u024f]")
+CACHE = "digest string, n_tokens long, tokenizer string"
+#: Characters whose classes two libraries may see differently, and white space too long for the stack of one of them.
+BEYOND, BLANK = re.compile("[^\x00-\u024f]"), re.compile(r"(?<!\s)\s{10000}")
+#: Digests that a task remembers while it drops copies; what it forgets is dropped behind the shuffle.
+REMEMBERED = 200_000
 
 _loaded: dict[str, Callable[[list[str]], list[int]]] = {}
 
@@ -41,7 +48,7 @@ class Counter:
     """Counts of a byte-level BPE file.
 
     The same vocabulary runs in tiktoken, which merges faster, for texts of Latin
-    characters; others go to the library itself.
+    characters without endless white space; others go to the library itself.
     """
 
     def __init__(self, path: str) -> None:
@@ -60,7 +67,7 @@ class Counter:
 
     def counts(self, texts: list[str]) -> list[int]:
         encode, whole = self.encode, self.tokenizer.encode
-        return [len(whole(t, add_special_tokens=False).ids) if BEYOND.search(t) else len(encode(t, allowed_special="all")) for t in texts]
+        return [len(whole(t, add_special_tokens=False).ids) if BEYOND.search(t) or BLANK.search(t) else len(encode(t, allowed_special="all")) for t in texts]
 
 
 def counter(path: str):
@@ -76,40 +83,74 @@ def counter(path: str):
     return _loaded[path]
 
 
-def read_cache(spark, path: str) -> DataFrame:
-    """The cache; a folder that isn't there yet is an empty one."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        return spark.createDataFrame([], CACHE)
-    return spark.read.schema(CACHE).parquet(path)
+def read_cache(spark, path: str, version: str) -> DataFrame:
+    """(digest, n_tokens) of a tokenizer; a folder that isn't there yet is an empty cache."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], CACHE).drop("tokenizer")
+    return spark.read.schema(CACHE).parquet(path).where(F.col("tokenizer") == version).drop("tokenizer")
+
 
+def unseen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows whose digest (binary, the first column) the task hasn't met."""
+    seen: set[bytes] = set()
+    for b in batches:
+        keep = []
+        for d in b.column(0).to_pylist():
+            keep.append(d not in seen)
+            if len(seen) >= REMEMBERED:
+                seen.clear()
+            seen.add(d)
+        yield b.filter(pa.array(keep, pa.bool_()))
 
-def encode_misses(docs: DataFrame, misses: DataFrame, path: str, version: str, id_column: str, text_column: str) -> DataFrame:
-    """(digest, tokenizer, n_tokens) for each miss (digest, id), encoded once."""
-    texts = docs.select(F.col(id_column).alias("id"), F.coalesce(text_column, F.lit("")).alias("text")).withColumn("digest", F.sha2("text", 256))
-    chosen = texts.join(misses, (texts["id"].eqNullSafe(misses["id"])) & (texts["digest"] == misses["digest"])).select(texts["digest"], texts["text"])
+
+def encode_misses(docs: DataFrame, misses: DataFrame, path: str, text_column: str) -> DataFrame:
+    """(digest, n_tokens) for each missing digest, its text encoded once."""
+    text = F.coalesce(text_column, F.lit(""))
+    texts = docs.select(F.unhex(F.sha2(text, 256)).alias("key"), text.alias("text")).mapInArrow(unseen, "key binary, text string")
+    # Dealt by digest whatever join is chosen, so that copies from all tasks meet.
+    wanted = texts.repartition("key").join(misses.select(F.unhex("digest").alias("key")), "key", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path)
-        for b in batches:
+        for b in unseen(batches):
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                # Repeated rows stand in the same partition; the cache takes one of them.
-                yield pa.RecordBatch.from_arrays([part.column("digest"), pa.array([version] * part.num_rows), pa.array(count(part.column("text").to_pylist()), pa.int64())], names=["digest", "tokenizer", "n_tokens"])
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(count(part.column("text").to_pylist()), pa.int64())], names=["key", "n_tokens"])
+
+    # A task that forgot digests, or ran twice, may give a count again; it's the same.
+    counted = wanted.mapInArrow(run, "key binary, n_tokens long").groupBy("key").agg(F.max("n_tokens").alias("n_tokens"))
+    return counted.select(F.lower(F.hex("key")).alias("digest"), "n_tokens")
+
+
+def keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """id, digest and n_bytes of each row."""
+    text = F.coalesce(text_column, F.lit(""))
+    return docs.select(F.col(id_column).alias("id"), F.sha2(text, 256).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"))
+
+
+def fill(docs: DataFrame, digests: DataFrame, path: str, cache: str, text_column: str = "text") -> None:
+    """Encode the texts of digests (digest, each once) that the cache lacks, and append their counts to it."""
+    version = tokenizer_digest(path)
+    misses = digests.select("digest").join(read_cache(docs.sparkSession, cache, version).select("digest"), "digest", "left_anti")
+    new = encode_misses(docs, misses, path, text_column).withColumn("tokenizer", F.lit(version))
+    new.write.mode("append").partitionBy("tokenizer").parquet(cache)
 
-    return chosen.mapInArrow(run, CACHE).groupBy("digest", "tokenizer").agg(F.max("n_tokens").alias("n_tokens"))
+
+def fill_from(docs: DataFrame, path: str, cache: str, text_column: str = "text") -> None:
+    """Encode the distinct texts of a batch that the cache lacks."""
+    prepare(docs.sparkSession)
+    fill(docs, docs.select(F.sha2(F.coalesce(text_column, F.lit("")), 256).alias("digest")).distinct(), path, cache, text_column)
 
 
 def token_counts(docs: DataFrame, path: str, cache: str | None = None, id_column: str = "doc_id", text_column: str = "text", limit: int = LIMIT) -> DataFrame:
-    """id, n_bytes, n_tokens, over_limit. cache: a folder that all machines share; without, a new one."""
+    """id, n_bytes, n_tokens, over_limit. cache: a folder that all machines share and that stays; without, a new one for this session."""
     spark = docs.sparkSession
     prepare(spark)
     cache = cache or fresh_path(spark, "token-counts")
-    version = tokenizer_digest(path)
-    text = F.coalesce(text_column, F.lit(""))
-    keyed = cut(docs.select(F.col(id_column).alias("id"), F.sha2(text, 256).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes")))
-    stored = read_cache(spark, cache).where(F.col("tokenizer") == version)
-    misses = keyed.groupBy("digest").agg(F.min("id").alias("id")).join(stored, "digest", "left_anti")
-    encode_misses(docs, misses, path, version, id_column, text_column).write.mode("append").parquet(cache)
-    stored = read_cache(spark, cache).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    return keyed.join(stored, "digest").select(F.col("id").alias(id_column), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    rows = cut(keyed(docs, id_column, text_column))
+    digests = cut(rows.groupBy("digest").agg(F.count("*").alias("n")))
+    fill(docs, digests, path, cache, text_column)
+    total = digests.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    stored = read_cache(spark, cache, tokenizer_digest(path)).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    found = cut(digests.join(stored, "digest"))
+    return join_hot(rows, found, ["digest"], "n", total).select(F.col("id").alias(id_column), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
