@@ -1,8 +1,8 @@
 """Connected components of a table of links, by alternating stars.
 
-Each round is two aggregations by node and two joins on the node, both of which
-Spark can split where one node has very many links; nothing is collected to the
-driver but a count and a checksum. Rounds end when a round changes no link.
+Each round is two aggregations by node and two joins on the node; nodes with very many
+links are joined by broadcast, so no task holds all links of a node. Nothing is collected
+to the driver but a count and a checksum. Rounds end when a round changes no link.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import cut
+from colloquy.llm.common import cut, join_hot
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -18,16 +18,16 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+    return join_hot(both.where("v > u"), least, ["u"], "n", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     """Links point from the larger to the smaller node."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    return edges.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    return join_hot(edges, least, ["u"], "n", n).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -40,7 +40,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = cut(edges)
     before = _mark(edges)
     while before[0]:
-        edges = cut(_small_star(_large_star(edges).distinct()).where("u <> v").distinct())
+        large = cut(_large_star(edges, before[0]).distinct())
+        edges = cut(_small_star(large, before[0]).where("u <> v").distinct())
         after = _mark(edges)
         if after == before:
             break

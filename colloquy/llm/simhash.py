@@ -14,8 +14,10 @@ A large cell is cut into blocks, and each pair of blocks is a task of its own.
 
 Defined cases: a null text counts as empty; no words give fingerprint zero, which
 links like any other; fewer than four words give one shingle; repeated rows come
-back as often as they came in; a null id is no candidate for a component's name,
-and a component of null ids alone has a null name; an empty table gives an empty result.
+back as often as they came in; a text is read whole, whatever its length; a bit that exactly
+half of the hashes have is 0; a null id is no candidate for a component's name, and a component
+of null ids alone has a null name; an empty table gives an empty result; columns beside id and
+text are never read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import cut, free_name, prepare
+from colloquy.llm.common import cut, free_name, join_hot, prepare
 from colloquy.llm.components import components
 from colloquy.llm.sorted_runs import least_labels, starts, whole_runs
 
@@ -167,13 +169,13 @@ def links(distinct: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = RADIUS) -> DataFrame:
     """id, fingerprint (16 hexadecimal digits), component_id."""
     prints = cut(fingerprints(docs, id_column, text_column))
-    classes = cut(prints.groupBy("fp").agg(F.min(id_column).alias("least")))
-    n = classes.count()
-    reach = components(links(classes.select("fp"), n, radius))
-    named = classes.join(reach.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    names = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_print = cut(named.join(names, "component").select("fp", "component_id"))
-    return prints.join(by_print, "fp").select(id_column, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    classes = cut(prints.groupBy("fp").agg(F.min(id_column).alias("least"), F.count("*").alias("n")))
+    rows, distinct = classes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    reach = components(links(classes.select("fp"), distinct, radius))
+    named = cut(classes.join(reach.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "n", "least", F.coalesce("component", "fp").alias("component")))
+    names = cut(named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("of")))
+    by_print = cut(join_hot(named.drop("least"), names, ["component"], "of", distinct).select("fp", "n", "component_id"))
+    return join_hot(prints, by_print, ["fp"], "n", rows).select(id_column, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def representatives(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = RADIUS) -> DataFrame:
