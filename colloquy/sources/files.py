@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 def transcripts(spark: SparkSession, path: str) -> DataFrame:
     """One row a file: job_id (the folder's name) and text."""
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
-    return spark.read.option("wholetext", True).text(path).select(name.alias("job_id"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(name.alias("job_id"), F.col("value").alias("text"))
 
 
 def json_files(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -16,9 +16,37 @@ def deduplicated_parts(parts: DataFrame, delay: str = "1 hour") -> DataFrame:
     return parts.withWatermark("arrived", delay).dropDuplicatesWithinWatermark(["upload_id", "index"])
 
 
-def latest_status(events: DataFrame) -> DataFrame:
-    """STR02: the last state of each job; for update mode."""
-    return events.groupBy("job_id").agg(F.max_by("state", "ts").alias("state"), F.max("ts").alias("updated_at"))
+def latest_status(events: DataFrame, idle: str = "1 day", delay: str = "10 minutes") -> DataFrame:
+    """STR02: the last state of each job, for update mode. events: job_id string, ts timestamp, state string.
+
+    A job of which nothing is heard for the idle time, by the watermark, is forgotten, so that state doesn't grow for ever;
+    a late event that is older than the last one changes nothing.
+    """
+    wait = int(pd.Timedelta(idle).total_seconds() * 1000)
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last, at = state.get if state.exists else (None, float("-inf"))
+        rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
+        ts = rows["ts"].iloc[-1].timestamp()
+        if ts >= at:
+            last, at = rows["state"].iloc[-1], ts
+        state.update((last, at))
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(at * 1000)) + wait)
+        yield pd.DataFrame({"job_id": [key[0]], "state": [last], "updated_at": [pd.Timestamp(at, unit="s")]})
+
+    return events.withWatermark("ts", delay).groupBy("job_id").applyInPandasWithState(step, "job_id string, state string, updated_at timestamp", "state string, at double", "update", "EventTimeTimeout")
+
+
+#: STR04: seconds between looks at a list of jobs, a job and its model.
+POLL = {"progress": 2.5, "list": 5.0, "status": 15.0}
+
+
+def polled(stream: DataFrame, what: str):
+    """STR04: a writer that looks for news at the interval of a view."""
+    return stream.writeStream.trigger(processingTime=f"{POLL[what]} seconds")
 
 
 def state_changes(events: DataFrame, most: int = 40) -> DataFrame:
