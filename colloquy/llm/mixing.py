@@ -10,9 +10,11 @@ shared again by weight. With targets min(MOST * size, level * weight) that is on
 ordering sources by MOST * size / weight. Of SEEDS hash seeds a source uses the one whose draw
 comes nearest to its target, from sums taken in one aggregation.
 
-Defined cases: a null or empty text has no words and is emitted like others; the null
-source is a source; sources without words have target 0 and emit nothing; repeated rows
-with the same id and text are drawn alike; a null id draws by its text; an empty table gives an empty result.
+Defined cases: a null or empty text has no words and is emitted like others; a text is measured
+whole, whatever its length; the null source is a source; sources without words have target 0 and emit
+nothing; of seeds that come equally near the smallest is used; repeated rows with the same id and text are
+drawn alike; a null id draws by its text; an empty table gives an empty result; the mix's other columns
+come back as they were, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import WORD, cut, free_name
+from colloquy.llm.common import WORD, cut, free_name, join_hot
 
 WEIGHTS, MOST, SEEDS = (5, 2, 1), 3, 16
 #: Rows up to which the table of sources is broadcast; beyond it is joined by shuffle.
@@ -45,7 +47,10 @@ def draw(seed: Column | int, key: Column, text_digest: Column) -> Column:
 
 
 def targets(sums: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """source, source_size, target, rate, from sums (source, source_size)."""
+    """source, source_size, target, rate, from sums (source, source_size), and its column rows, if it has one.
+
+    The windows run over sources, one row each, never over documents.
+    """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int"))
     s = sums.withColumn("weight", weight).withColumn("most", F.col("source_size") * F.lit(float(most)))
@@ -59,25 +64,35 @@ def targets(sums: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOS
     s = s.withColumn("level", F.first(fits, ignorenulls=True).over(whole))
     s = s.withColumn("target", F.least("most", F.coalesce(F.col("level") * F.col("weight"), "most")))
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
-    return s.select("source", "source_size", "target", rate.alias("rate"))
+    return s.select("source", "source_size", "target", rate.alias("rate"), *(["rows"] if "rows" in sums.columns else []))
+
+
+def by_source(rows: DataFrame, sources: DataFrame, source_column: str, n: int, total: int) -> DataFrame:
+    """rows with the columns of their source, from a table of n sources (source, rows, ...); total rows.
+
+    A small table is broadcast; of a larger one only the sources that many rows have, so no task holds a hot source.
+    """
+    if n <= BROADCAST_ROWS:
+        small = F.broadcast(sources.drop("rows"))
+        return rows.join(small, rows[source_column].eqNullSafe(small["source"])).drop(small["source"])
+    name, none = free_name(rows, "_name"), free_name(rows, "_none")
+    keyed = lambda df, c: df.withColumn(name, F.coalesce(c, F.lit(""))).withColumn(none, c.isNull())
+    return join_hot(keyed(rows, F.col(source_column)), keyed(sources, F.col("source")).drop("source"), [name, none], "rows", total).drop(name, none)
 
 
 def copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
-    """id, size, source_size, target, copies and key (the draw's text digest), one row a document."""
+    """id, size, source_size, target, copies, key (the draw's text digest), source, rate and seed, one row a document."""
     slim = cut(docs.select(F.col(id_column).alias("id"), F.col(source_column).alias("source"), size(F.col(text_column)).alias("size"), digest(F.col(text_column)).alias("key")))
-    sums = cut(slim.groupBy("source").agg(F.sum("size").alias("source_size")))
+    sums = cut(slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")))
     goal = cut(targets(sums))
-    n = goal.count()
-    small = F.broadcast(goal) if n <= BROADCAST_ROWS else goal
-    same = slim["source"].eqNullSafe(small["source"])
-    rated = slim.join(small, same).drop(small["source"])
+    n, total = sums.agg(F.count("*"), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    rated = by_source(slim, goal, "source", n, total)
     extra = lambda seed: draw(seed, F.col("id"), F.col("key")) < F.col("rate") - F.floor("rate")
     count = lambda seed: (F.floor("rate") + extra(seed).cast("int")).cast("long")
-    tried = rated.groupBy("source").agg(F.min("target").alias("goal"), *(F.sum(F.col("size") * count(k)).alias(f"s{k}") for k in range(SEEDS)))
+    tried = rated.groupBy("source").agg(F.count("*").alias("rows"), F.min("target").alias("goal"), *(F.sum(F.col("size") * count(k)).alias(f"s{k}") for k in range(SEEDS)))
     off = F.array(*(F.struct(F.abs(F.col(f"s{k}") - F.col("goal")).alias("off"), F.lit(k).alias("seed")) for k in range(SEEDS)))
-    seeds = cut(tried.select("source", F.array_min(off)["seed"].alias("seed")))
-    seeds = F.broadcast(seeds) if n <= BROADCAST_ROWS else seeds
-    drawn = rated.join(seeds, rated["source"].eqNullSafe(seeds["source"])).drop(seeds["source"])
+    seeds = cut(tried.select("source", "rows", F.array_min(off)["seed"].alias("seed")))
+    drawn = by_source(rated, seeds.withColumnRenamed("source", "of").select(F.col("of").alias("source"), "rows", "seed"), "source", n, total)
     return drawn.select("id", "size", "source_size", "target", "key", count(F.col("seed")).alias("copies"), "source", "rate", "seed")
 
 
@@ -85,12 +100,12 @@ def mixed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     """The documents, each as often as the mix takes it; columns as they came."""
     plan = copies(docs, id_column, text_column, source_column)
     rate, seed, copy = (free_name(docs, c) for c in ("_rate", "_seed", "_copy"))
-    rates = cut(plan.groupBy("source").agg(F.max("rate").alias(rate), F.max("seed").alias(seed)))
-    rates = F.broadcast(rates) if rates.count() <= BROADCAST_ROWS else rates
-    joined = docs.join(rates, docs[source_column].eqNullSafe(rates["source"])).drop(rates["source"])
-    n = F.floor(rate) + (draw(F.col(seed), F.col(id_column), digest(F.col(text_column))) < F.col(rate) - F.floor(rate)).cast("int")
-    each = F.explode(F.sequence(F.lit(1), F.least(n, F.lit(MOST)).cast("int")))
-    return joined.where(n > 0).withColumn(copy, each).drop(rate, seed, copy)
+    rates = cut(plan.groupBy("source").agg(F.max("rate").alias(rate), F.max("seed").alias(seed), F.count("*").alias("rows")))
+    n, total = rates.agg(F.count("*"), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    joined = by_source(docs, rates, source_column, n, total)
+    times = F.floor(rate) + (draw(F.col(seed), F.col(id_column), digest(F.col(text_column))) < F.col(rate) - F.floor(rate)).cast("int")
+    each = F.explode(F.sequence(F.lit(1), F.least(times, F.lit(MOST)).cast("int")))
+    return joined.where(times > 0).withColumn(copy, each).drop(rate, seed, copy)
 
 
 def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
