@@ -238,8 +238,8 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
 
 
 def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
+    """id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans (of all spans)."""
     prepare(docs.sparkSession)
     kind = docs.schema[id_column].dataType.simpleString()
-    schema = f"`{id_column}` {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string"
+    schema = f"`{id_column}` {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_spans long"
     return docs.select(id_column, text_column).mapInArrow(scanner(find, KINDS, id_column, text_column), schema)

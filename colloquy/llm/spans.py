@@ -29,7 +29,7 @@ def overlapping(spans: list[Span]) -> Callable[[int, int], bool]:
 
 
 def scanner(find: Callable[[str], tuple[list[Span], list[Span]]], kinds: list[str], id_column: str = "doc_id", text_column: str = "text"):
-    """A mapInArrow function: id, counts of base spans by kind, digest and lists of spans.
+    """A mapInArrow function: id, counts of base spans by kind, digest, list and number of spans.
 
     find gives the base spans and all spans of a text, each in the order wanted.
     """
@@ -38,16 +38,17 @@ def scanner(find: Callable[[str], tuple[list[Span], list[Span]]], kinds: list[st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: list[list[int]] = [[] for _ in kinds]
-            shas, texts = [], []
+            shas, texts, total = [], [], []
             for value in batch.column(text_column):
                 base, every = find(value.as_py() or "")
                 for n, kind in zip(counts, kinds, strict=True):
                     n.append(sum(s[0] == kind for s in base) if base else 0)
                 shas.append(digest(base) if base else nothing)
                 texts.append(join(every) if every else "")
+                total.append(len(every))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(id_column), *(pa.array(n, pa.int64()) for n in counts), pa.array(shas, pa.string()), pa.array(texts, pa.string())],
-                names=[id_column, *(f"n_{k}" for k in kinds), "base_sha256", "spans"],
+                [batch.column(id_column), *(pa.array(n, pa.int64()) for n in counts), pa.array(shas, pa.string()), pa.array(texts, pa.string()), pa.array(total, pa.int64())],
+                names=[id_column, *(f"n_{k}" for k in kinds), "base_sha256", "spans", "n_spans"],
             )
 
     return run
