@@ -1,4 +1,12 @@
-"""A corpus pipeline: toxicity, near-duplicates, secrets, mixing, packing."""
+"""A corpus pipeline: toxicity, near-duplicates, secrets, mixing, packing.
+
+Defined cases, for every stage: rows with a null id, text, lang or source are kept like others (a null
+text counts as empty; empty texts are near-duplicates of each other); repeated rows are rows of their
+own but for the near-duplicate stage, which keeps one, and for mixing, which draws them alike; texts
+are worked on whole, whatever their length; of linked documents of equal id the first read stays; an
+empty table gives an empty table; columns that the stages don't know come back as they were, whatever their names
+(packing returns its own columns alone).
+"""
 
 from __future__ import annotations
 
@@ -7,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.llm import mixing, packing, secret_scan, simhash, toxicity
-from colloquy.llm.common import fresh_path, prepare, table
+from colloquy.llm.common import fresh_path, prepare, remove, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,11 +59,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each written to the shared folder and read again."""
+    """The stages over documents, each written to the shared folder and read again; a stage's folder goes once the next is written."""
     prepare(spark)
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
         path = fresh_path(spark, "pipeline")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if last:
+            remove(spark, last)
+        docs, last = spark.read.parquet(path), path
     return docs
