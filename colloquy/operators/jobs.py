@@ -218,3 +218,52 @@ def bundle(jobs: DataFrame, segments: DataFrame, guesses: DataFrame, risk_rows:
         F.struct(F.col("summary"), F.col("topics"), F.col("decisions"), F.col("actions"), F.coalesce("risks", F.array().cast("array<struct<label:string,detail:string,severity:string>>")).alias("risks")).alias("extracted"),
     )
     return full.select(job, F.to_json(document).alias("document"))
+
+
+# Deliverables in order, formats in order, what a writer always returns.
+DELIVERABLES = ("transcript_clean", "note_general", "note_client", "note_self", "note_partner", "note_interview", "email_draft")
+FORMATS = ("md", "pdf", "docx", "json", "txt")
+ALWAYS = ("action_items.json", "INDEX.md", "agent_report.json")
+
+
+def deliverables(files: DataFrame, wanted: Column, job: str) -> DataFrame:
+    """FLT10, TOP11: of files (job, name) the deliverables in the formats wanted (all if empty), md standing in for a stem of which none is; with their place."""
+    fmt = F.regexp_extract("name", r"\.([^.]*)$", 1)
+    at = lambda c, values, other: F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, values)), c), F.lit(0)) - 1, F.lit(other))
+    known = files.withColumn("fmt", fmt).withColumn("stem", F.regexp_extract("name", r"^(.*)\.[^.]*$", 1)).where(F.col("stem").isin(*DELIVERABLES))
+    asked = known.withColumn("_asked", (F.size(wanted) == 0) | F.array_contains(wanted, F.col("fmt")))
+    some = F.max("_asked").over(Window.partitionBy(job, "stem"))
+    kept = asked.withColumn("_some", some).where(F.col("_asked") | (~F.col("_some") & (F.col("fmt") == "md")))
+    w = Window.partitionBy(job).orderBy(at(F.col("stem"), DELIVERABLES, 99), at(F.col("fmt"), FORMATS, 9), "name")
+    return kept.withColumn("place", F.row_number().over(w)).drop("_asked", "_some")
+
+
+def writer_problem(reply: Column, stems: Column) -> Column:
+    """SNK12: why a writer's reply, an object as VARIANT, is refused, or null: files that nobody asked for, files that are missing, content of the wrong kind."""
+    held = F.try_variant_get(reply, "$.files", "map<string,variant>")
+    allowed = F.concat(F.transform(F.filter(stems, lambda s: s != "transcript_clean"), lambda s: F.concat(s, F.lit(".md"))), F.array(*map(F.lit, ALWAYS)))
+    unknown, lacking = F.array_sort(F.array_except(F.map_keys(held), allowed)), F.array_except(allowed, F.map_keys(held))
+    text = lambda k: F.startswith(F.schema_of_variant(F.try_element_at(held, k)), F.lit("STRING"))
+    bad = F.filter(F.array_sort(F.map_keys(held)), lambda k: F.when(F.endswith(k, F.lit(".md")), ~text(k)).otherwise(text(k) & F.try_parse_json(F.try_variant_get(F.try_element_at(held, k), "$", "string")).isNull()))
+    return (
+        F.when(held.isNull(), "no files").when(F.size(unknown) > 0, F.concat(F.lit("unknown: "), F.array_join(unknown, ", "))).when(F.size(lacking) > 0, F.concat(F.lit("missing: "), F.get(lacking, F.lit(0))))
+        .when(F.size(bad) > 0, F.concat(F.lit("wrong: "), F.get(bad, F.lit(0))))
+    )
+
+
+def listing(texts: DataFrame, job: str, fields: str, text: str = "summary") -> DataFrame:
+    """SRC14: a row a job of its summary (JSON of fields); one that can't be read is a row in state error that says so."""
+    broken = F.try_parse_json(text).isNull()
+    row = F.from_json(F.when(~broken, F.col(text)), fields)
+    names = [f.split()[0] for f in fields.split(",")]
+    read = texts.select(job, broken.alias("_broken"), row.alias("_row"))
+    own = {"state": F.lit("error"), "title": F.col(job).cast("string")}
+    return read.select(job, *(F.when(F.col("_broken"), own[n]).otherwise(F.col(f"_row.{n}")).alias(n) if n in own else F.col(f"_row.{n}").alias(n) for n in names), F.when(F.col("_broken"), "unreadable").alias("error"))
+
+
+def ordered(rows: DataFrame, sort: str = "new") -> DataFrame:
+    """TOP09, TOP10: jobs (date, updated_at, bytes, needs_user, state) by a sort of the list: new, old, big or attention; a sort over ranges, no task holds all."""
+    date, at = F.coalesce("date", F.lit("")), F.coalesce("updated_at", F.lit(0))
+    newest = [date.desc(), at.desc()]
+    rank = F.when(F.col("needs_user"), 0).when(F.col("state") == "error", 1).when(F.col("state").isin("transcribing", *ACTIVE), 2).otherwise(3)
+    return rows.orderBy(*{"new": newest, "old": [date.asc(), at.asc()], "big": [F.coalesce("bytes", F.lit(0)).desc()], "attention": [rank, *newest]}[sort])

@@ -105,8 +105,8 @@ def fenced(df: DataFrame, job: str) -> DataFrame:
     return df.withColumn("is_fence", flag).withColumn("in_fence", (F.sum(flag.cast("int")).over(w) % 2 == 1) & ~F.col("is_fence"))
 
 
-def strip_stamps(df: DataFrame, job: str) -> DataFrame:
-    """FN20: lines without inline stamps and the holes they leave, outside fences; removed counts runs.
+def strip_stamps(df: DataFrame, job: str, only: Column | None = None) -> DataFrame:
+    """FN20: lines (those of only) without inline stamps and the holes they leave, outside fences; removed counts runs.
 
     Each stamp becomes a mark, with the ticks and parentheses at it, marks that are joined become one, and marks go.
     """
@@ -115,7 +115,7 @@ def strip_stamps(df: DataFrame, job: str) -> DataFrame:
     for left, right in (("`", "`"), ("[（(]", "[)）]")):
         marked = F.regexp_replace(marked, f"{left}?{HOLE}{right}?", HOLE)
     marked = F.regexp_replace(marked, rf"{HOLE}(?:\s*[{JOINERS}]\s*{HOLE})+", HOLE)
-    touch = ~F.col("is_fence") & ~F.col("in_fence") & F.contains(marked, F.lit(HOLE))
+    touch = ~F.col("is_fence") & ~F.col("in_fence") & F.contains(marked, F.lit(HOLE)) & (F.lit(True) if only is None else only)
     # Parentheses left empty, blanks that meet, and blanks before a sign that closes.
     clean = F.regexp_replace(F.replace(marked, F.lit(HOLE), F.lit("")), r"[（(]\s*[)）]", "")
     clean = F.regexp_replace(clean, r"[ \t]{2,}", " ")
@@ -129,11 +129,11 @@ def is_quoted(line: Column) -> Column:
     return F.startswith(F.ltrim(line), F.lit(">")) & (F.length(line) - F.length(F.ltrim(line)) <= 3)
 
 
-def strip_runs(df: DataFrame, job: str, banned: list[str], unquoted: list[str] = [], quote: Callable[[Column], Column] = is_quoted) -> DataFrame:  # noqa: B006
-    """FN21: without the whole runs of quoted lines that hold a banned term, outside fences; terms in unquoted count outside quotation marks."""
+def strip_runs(df: DataFrame, job: str, banned: list[str], unquoted: list[str] = [], quote: Callable[[Column], Column] = is_quoted, only: Column | None = None) -> DataFrame:  # noqa: B006
+    """FN21: without the whole runs of quoted lines (of those of only) that hold a banned term, outside fences; terms in unquoted count outside quotation marks."""
     at = fenced(df, job)
     w = Window.partitionBy(job).orderBy("line_no")
-    is_quote = quote(F.col("line")) & ~F.col("in_fence") & ~F.col("is_fence")
+    is_quote = quote(F.col("line")) & ~F.col("in_fence") & ~F.col("is_fence") & (F.lit(True) if only is None else only)
     bare = F.col("line")
     for a, b in QUOTED:
         bare = F.regexp_replace(bare, f"{a}[^{b}]*{b}", "")
@@ -181,6 +181,32 @@ def quoted(line: Column) -> Column:
     return F.when(fine, F.trim(_from(plain, at + 1, F.length(plain) - at - 1)))
 
 
+# Kinds of note that keep their stamps, and their words on how they were made; those words, at any place and outside quotation marks.
+STAMPED, EXPLAINED = ("transcript_clean", "note_interview"), ("transcript_clean",)
+EXPLAINS = ["講者對應為推測", "講者對應係推測", "講者對應仍為推測", "逐句歸屬", "未經使用者確認"]
+EXPLAINS_UNQUOTED = ["聲紋分群", "聲紋群", "講者標籤", "speaker 標籤", "speaker標籤", "依內容推斷", "依內容推測"]
+
+
+def scrub(notes: DataFrame, job: str, kind: str = "kind", text: str = "text") -> DataFrame:
+    """FN23: notes (job, kind, text) without stamps, disclaimers and heading limits, as far as their kind goes without them; removed counts stamps, lines and limits."""
+    own = lines(notes.select(job, kind, text), text)
+    before = own.groupBy(job).agg(F.count("*").alias("_n"))
+    stamps = strip_stamps(own, job, ~F.col(kind).isin(*STAMPED)).drop("is_fence", "in_fence")
+    runs = strip_runs(stamps, job, EXPLAINS, EXPLAINS_UNQUOTED, only=~F.col(kind).isin(*EXPLAINED))
+    clean = strip_heading_limits(runs)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"])
+    out = clean.groupBy(job).agg(F.array_join(ordered, "\n").alias("text"), F.sum(F.col("removed") + F.col("limits")).alias("_r"), F.count("*").alias("_m"))
+    return before.join(out, job, "left").select(job, F.coalesce("text", F.lit("")).alias("text"), (F.coalesce("_r", F.lit(0)) + F.col("_n") - F.coalesce("_m", F.lit(0))).alias("removed"))
+
+
+def spoken(transcripts: DataFrame, job: str, text: str = "text") -> DataFrame:
+    """SRC13: what is said in transcripts (job, text), squashed, and how it was got: by turns if there are two or more, else the whole file."""
+    said = parse_transcript(transcripts, job, text).where("not is_preamble")
+    joined = said.groupBy(job).agg(F.count("*").alias("n"), squash(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("index", "text"))), lambda t: t["text"]), " ")).alias("said"))
+    enough = F.coalesce(F.col("n") >= 2, F.lit(False))
+    return transcripts.select(job, text).join(joined, job, "left").select(job, F.when(enough, F.col("said")).otherwise(squash(F.col(text))).alias("said"), F.when(enough, "turns").otherwise("raw").alias("source"))
+
+
 def rejoin(df: DataFrame, job: str) -> DataFrame:
     """Lines back to one text a job."""
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"])

@@ -18,7 +18,7 @@ def pick(n: Column, *values: str) -> Column:
 
 
 def sql_pick(n: str, *values: str) -> str:
-    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + f"][{n} % {len(values)} + 1]"
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + f"][({n}) % {len(values)} + 1]"
 
 
 # Documents, one a kind of fault, and their problems.
@@ -366,10 +366,10 @@ def replacement_union(spark, sf):
     return answered(spark, sf)[1].select("job_id", "find", "replace", "note")
 
 
-@query("""SELECT doc_id, 'T ' || doc_id AS title, chr(10) || 'p ' || source || chr(10) || '> q' AS body, 'p ' || source AS first, source || ' of ' || coalesce(lang, '') AS filled, trim(left(source || ' a b ' || doc_id, 10)) AS name, CASE WHEN doc_id % 3 = 0 THEN 'advisory' WHEN doc_id % 5 >= 3 THEN 'action' ELSE 'record' END AS kind,
+@query("""SELECT doc_id, 'T ' || doc_id AS title, chr(10) || 'p ' || source || chr(10) || '> q' AS body, 'p ' || source AS first, source || ' of ' || coalesce(lang, '') AS filled, left(source || '_a_b_' || doc_id, 10) AS name, CASE WHEN doc_id % 3 = 0 THEN 'advisory' WHEN doc_id % 5 >= 3 THEN 'action' ELSE 'record' END AS kind,
  CASE WHEN doc_id % 7 = 0 THEN 'error' WHEN doc_id % 2 = 0 THEN 'done' WHEN doc_id % 3 = 0 AND doc_id % 5 = 0 THEN 'awaiting_answers' ELSE 'transcribing' END AS state, coalesce(CASE WHEN doc_id % 3 = 0 THEN 'clean' END, 'raw') AS used, CASE WHEN doc_id % 2 = 0 THEN source END AS guess_role FROM documents WHERE source IS NOT NULL""")
 def text_functions(spark, sf):
-    """FN18, FN19, FN24, FN25, FN32, FN34, FN37, SRC06: titles, first paragraphs, file names, templates and states of documents."""
+    """FN18, FN19, FN25, FN32, FN34, FN37, SRC06: titles, first paragraphs, file names, templates and states of documents."""
     n, source = F.col("doc_id"), F.col("source")
     note = F.concat(F.lit("# T "), n, F.lit("\n"), F.lit("\np "), source, F.lit("\n> q"))
     title, body = T.strip_leading_h1(note)
@@ -380,3 +380,77 @@ def text_functions(spark, sf):
         T.report_type(F.when(n % 3 == 0, "client").otherwise("team"), n % 5).alias("kind"), review.infer_state(n % 7 == 0, n % 2 == 0, n % 3 == 0, n % 5 == 0).alias("state"),
         files.first_existing(F.when(n % 3 == 0, "clean"), F.lit("raw")).alias("used"), role.alias("guess_role"),
     )
+
+
+@query(r"""WITH j AS (SELECT conv_id AS job_id, count(*) AS n, trim(regexp_replace(string_agg(trim(coalesce(text, '')), ' ' ORDER BY turn), '[\s\x{3000}]+', ' ', 'g')) AS said, arg_min(trim(coalesce(text, '')), turn) AS first, arg_min(role, turn) AS who FROM conversations GROUP BY 1)
+SELECT job_id, md5(CASE WHEN job_id % 3 > 0 AND n >= 2 THEN said ELSE trim(regexp_replace('# Title **' || who || '** [00:00:00] ' || first, '[\s\x{3000}]+', ' ', 'g')) END) AS digest, CASE WHEN job_id % 3 > 0 AND n >= 2 THEN 'turns' ELSE 'raw' END AS source FROM j WHERE job_id % 3 = 0 OR n >= 2""")
+def spoken_texts(spark, sf):
+    """SRC13: transcripts of several turns, and of one, which count as raw."""
+    t = conversation_turns(spark, sf)
+    n = F.count("*").over(evidence.Window.partitionBy("job_id"))
+    some = t.withColumn("n", n).where((F.col("job_id") % 3 == 0) & (F.col("index") == 0) | (F.col("job_id") % 3 > 0) & (F.col("n") >= 2))
+    block = F.concat(F.lit("**"), "speaker", F.lit("** ["), T.hhmmss(F.col("index") * 35.0), F.lit("]\n"), F.trim(F.col("text")), F.lit("\n"))
+    d = some.groupBy("job_id").agg(F.concat(F.lit("# Title\n"), F.array_join(in_order(block, F.col("index")), "\n")).alias("text"))
+    return lines.spoken(d, "job_id").select("job_id", F.md5(F.col("said").cast("binary")).alias("digest"), "source")
+
+
+_SCRUBBED = "## 重點（3 句以內）\n見[00:01:02]。\n\n> 講者對應為推測\n> 其他\n\n> 他說「聲紋分群」\n結尾"
+
+
+def _clean(kind: str) -> tuple[str, int]:
+    stamps, words = kind in lines.STAMPED, kind in lines.EXPLAINED
+    rows = ["## 重點", "見[00:01:02]。" if stamps else "見。", "", *([] if not words else ["> 講者對應為推測", "> 其他"]), "", "> 他說「聲紋分群」", "結尾"]
+    return "\n".join(rows), 1 + (not stamps) + 2 * (not words)
+
+
+@query("SELECT doc_id, CASE doc_id % 3 " + " ".join(f"WHEN {k} THEN md5('{_clean(s)[0]}' || chr(10) || doc_id)" for k, s in enumerate(("transcript_clean", "note_interview", "note_general"))) + " END AS digest, CASE doc_id % 3 " + " ".join(f"WHEN {k} THEN {_clean(s)[1]}" for k, s in enumerate(("transcript_clean", "note_interview", "note_general"))) + "::BIGINT END AS removed FROM documents")
+def note_scrub(spark, sf):
+    """FN23, FN21: what each kind of note loses."""
+    n = F.col("doc_id")
+    d = table(spark, sf, "documents").select("doc_id", pick(n, "transcript_clean", "note_interview", "note_general").alias("kind"), F.concat(F.lit(_SCRUBBED + "\n"), n).alias("text"))
+    return lines.scrub(d, "doc_id").select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), "removed")
+
+
+_DELIVERED = ("transcript_clean.md", "note_general.pdf", "email_draft.md", "note_self.docx", "note_general.md", "transcript.json", "note_self.md", "note_client.txt", "INDEX.md", "transcript_clean.pdf")
+
+
+@query(f"""WITH f AS (SELECT DISTINCT conv_id AS job_id, {sql_pick("turn * 3 + conv_id", *_DELIVERED)} AS name FROM conversations), g AS (SELECT *, split_part(name, '.', 1) AS stem, split_part(name, '.', 2) AS fmt, CASE job_id % 3 WHEN 0 THEN ['pdf'] WHEN 1 THEN ['md', 'docx'] ELSE ['md', 'pdf', 'docx', 'txt'] END AS w FROM f),
+k AS (SELECT *, list_contains(w, fmt) AS asked, list_position(['transcript_clean', 'note_general', 'note_client', 'note_self', 'note_partner', 'note_interview', 'email_draft'], stem) AS o FROM g WHERE stem NOT IN ('transcript', 'INDEX')), m AS (SELECT *, bool_or(asked) OVER (PARTITION BY job_id, stem) AS hit FROM k)
+SELECT job_id, name, CAST(row_number() OVER (PARTITION BY job_id ORDER BY o, list_position(['md', 'pdf', 'docx', 'json', 'txt'], fmt)) AS INT) AS place FROM m WHERE asked OR (NOT hit AND fmt = 'md')""")
+def deliverable_order(spark, sf):
+    """TOP11, FLT10: deliverables of each job in order, in the formats that it wants."""
+    f = conversation_turns(spark, sf).select("job_id", pick(F.col("index") * 3 + F.col("job_id"), *_DELIVERED).alias("name")).distinct()
+    n = F.col("job_id") % 3
+    wanted = F.when(n == 0, F.array(F.lit("pdf"))).when(n == 1, F.array(F.lit("md"), F.lit("docx"))).otherwise(F.array().cast("array<string>"))
+    return jobs.deliverables(f, wanted, "job_id").select("job_id", "name", "place")
+
+
+_WRITER = [('{"files": {"note_a.md": "x", "action_items.json": {}, "INDEX.md": "i", "agent_report.json": "{}"}}', None), ('{"files": {"note_a.md": "x", "evil.sh": "", "b.md": ""}}', "unknown: b.md, evil.sh"), ('{"files": {"note_a.md": "x", "INDEX.md": "i", "agent_report.json": {}}}', "missing: action_items.json"),
+           ('{"files": {"note_a.md": 1, "action_items.json": {}, "INDEX.md": "i", "agent_report.json": {}}}', "wrong: note_a.md"), ('{"files": {"note_a.md": "x", "action_items.json": "{oops", "INDEX.md": "i", "agent_report.json": {}}}', "wrong: action_items.json"), ('{"files": []}', "no files")]
+
+
+@query("SELECT event_id, CASE event_id % 6 " + " ".join(f"WHEN {k} THEN '{p}'" for k, (_, p) in enumerate(_WRITER) if p) + " END AS problem FROM events")
+def writer_replies(spark, sf):
+    """SNK12, SET07: replies with files that weren't asked for, that are missing or of the wrong kind."""
+    e = table(spark, sf, "events")
+    reply = files.loads_loose(F.concat(F.lit("here: "), pick(F.col("event_id"), *(r for r, _ in _WRITER))))
+    return e.select("event_id", jobs.writer_problem(reply, F.array(F.lit("note_a"), F.lit("transcript_clean"))).alias("problem"))
+
+
+@query("""SELECT doc_id, left('acme_(' || source || ')', 24) || '_' || CASE WHEN doc_id % 2 = 0 THEN 'a_b' ELSE '未命名會議' END || '_2024-01-0' || doc_id % 9 || '_note.md' AS name, 'a' || chr(10) || '* * *' || chr(10) || '--' || chr(10) || '- - -' || chr(10) || '* * *' AS rules FROM documents WHERE source IS NOT NULL""")
+def display_names(spark, sf):
+    """FN24, FN25: names for readers, of full-width and forbidden characters; rules without front matter."""
+    n = F.col("doc_id")
+    client = F.concat(F.lit("ａｃｍｅ：（"), F.col("source"), F.lit("）"))
+    title = F.when(n % 2 == 0, ' a?*  "b". ').otherwise(" ..- ")
+    d = table(spark, sf, "documents").where("source is not null")
+    return d.select("doc_id", T.display_name(F.lit("note.md"), client, title, F.concat(F.lit("2024-01-0"), n % 9)).alias("name"), T.plain_rules(F.lit("a\n---\n--\n- - -\n-----  ")).alias("rules"))
+
+
+@query("""SELECT user_id, CASE WHEN user_id % 7 = 0 THEN 'error' ELSE arg_max(event_type, ts) END AS state, CASE WHEN user_id % 7 = 0 THEN CAST(user_id AS VARCHAR) ELSE 't' || user_id END AS title, CASE WHEN user_id % 7 <> 0 THEN count(*) END AS bytes, CASE WHEN user_id % 7 = 0 THEN 'unreadable' END AS error FROM events GROUP BY 1""")
+def job_listing(spark, sf):
+    """SRC14, TOP09: a row a job, broken ones too, the newest first."""
+    e = table(spark, sf, "events").groupBy("user_id").agg(F.max_by("event_type", "ts").alias("state"), F.count("*").alias("bytes"), F.max("ts").cast("string").alias("date"))
+    text = F.to_json(F.struct("state", F.concat(F.lit("t"), "user_id").alias("title"), "bytes", "date"))
+    rows = jobs.listing(e.select("user_id", F.when(F.col("user_id") % 7 == 0, F.substring(text, 1, 20)).otherwise(text).alias("summary")), "user_id", "state string, title string, bytes long, date string")
+    return jobs.ordered(rows.withColumn("updated_at", F.lit(0)).withColumn("needs_user", F.lit(False)), "new").select("user_id", "state", "title", "bytes", "error")

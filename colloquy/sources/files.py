@@ -46,6 +46,11 @@ def first_object(text: Column) -> Column:
     return F.when(F.instr(text, "{") > 0, F.when(end > 0, F.substr(rest, F.lit(1), end)))
 
 
+def agent_json(spark: SparkSession, path: str) -> DataFrame:
+    """SRC18: the objects of files that agents wrote, whatever stands around them: job_id and the object as VARIANT, null where there is none."""
+    return transcripts(spark, path).select("job_id", loads_loose(F.col("text")).alias("value"))
+
+
 def first_existing(*sources: Column) -> Column:
     """SRC06-07: the first source that is there."""
     return F.coalesce(*sources)

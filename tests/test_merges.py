@@ -125,3 +125,20 @@ def test_evidence_drops(spark):
     assert {(r["turn"], r["gist"], r["topic_id"]) for r in m["points"].collect()} == {(0, "h", "T01")}
     assert [(r["literal"], r["topic_id"]) for r in m["numbers"].collect()] == [("3", "T01")] and m["actions"].count() == 0
     assert {r["reason"]: r["n"] for r in m["dropped"].collect()} == {"chunk_failed": 1, "point_no_topic": 1, "point_out_of_range": 1, "number_not_in_its_turn": 1, "action_out_of_range": 1}
+
+
+def test_lists_in_order(spark):
+    rows = [("a", "2024-01-02", 5, 10, False, "done"), ("b", "2024-01-02", 9, 30, True, "awaiting_answers"), ("c", None, 7, 20, False, "error"), ("d", "2024-01-03", 1, None, False, "writing")]
+    d = spark.createDataFrame(rows, "job string, date string, updated_at long, bytes long, needs_user boolean, state string")
+    names = lambda sort: "".join(r["job"] for r in jobs.ordered(d, sort).collect())
+    assert [names(s) for s in ("new", "old", "big", "attention")] == ["dbac", "cabd", "bcad", "bcda"]
+    scored = spark.createDataFrame([("x", 0.5), ("a", 0.5), ("z", 0.9)], "job string, score double")
+    assert [r["job"] for r in review.evaluate(scored).collect()] == ["z", "a", "x"]
+
+
+def test_agent_files(spark, tmp_path):
+    for job, text in (("j1", 'ok: {"a": 1} {"b": 2}'), ("j2", "none")):
+        (tmp_path / job).mkdir()
+        (tmp_path / job / "r.json").write_text(text)
+    got = files.agent_json(spark, str(tmp_path / "*/r.json")).select("job_id", F.try_variant_get("value", "$.a", "int").alias("a")).collect()
+    assert {r["job_id"]: r["a"] for r in got} == {"j1": 1, "j2": None}
