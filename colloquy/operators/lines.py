@@ -231,6 +231,8 @@ def quote_lines(notes: DataFrame, job: str, text: str = "text") -> DataFrame:
 
 #: Characters of quotations that one automaton holds, about 100 bytes each, and how many passes over the texts are worth it.
 AUTOMATON, PASSES = 1_000_000, 8
+#: Quotations that are broadcast to name what was found; together they have no more characters than those passes.
+BROADCAST = 500_000
 
 
 def traced(quotes: DataFrame, texts: DataFrame, job: str | None = None) -> DataFrame:
@@ -245,14 +247,16 @@ def traced(quotes: DataFrame, texts: DataFrame, job: str | None = None) -> DataF
     if job:
         return q.join(t, job).where(F.contains("_t", "_q")).drop("_q", "_t")
     q, t = q.select("quote_id", "_q"), t.select("text_id", "_t")
-    if (q.agg(F.sum(F.length("_q"))).first()[0] or 0) <= AUTOMATON * PASSES:
-        return scanned(q, t)
+    rows, chars = q.agg(F.count("*"), F.coalesce(F.sum(F.length("_q")), F.lit(0))).first()
+    if chars <= AUTOMATON * PASSES:
+        return scanned(F.broadcast(q) if rows <= BROADCAST else q, t)
     wordy = F.size(F.split("_q", " ")) >= 5
     return scanned(q.where(~wordy), t).unionByName(keyed(q.where(wordy), t))
 
 
 def scanned(quotes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs by one automaton over AUTOMATON characters of distinct quotes after the other."""
+    """Pairs by one automaton over AUTOMATON characters of distinct quotes after the other. Common quotes are no hot
+    key where quotes is broadcast."""
     before = F.sum(F.length("_q")).over(Window.orderBy(F.xxhash64("_q"), "_q")) - F.length("_q")
     parts = quotes.select("_q").distinct().withColumn("part", F.floor(before / AUTOMATON))
     schema = f"text_id {texts.schema['text_id'].dataType.simpleString()}, _q string"
