@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.operators import evidence
-from colloquy.plans.catalog import NOISE_SQL, conversation_turns, query
+from colloquy.plans.catalog import conversation_turns, query
 
 SIZE, LONGEST = 4, 600
 WORD = r"^\S+"
