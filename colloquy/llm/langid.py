@@ -9,7 +9,10 @@ prediction is the language of largest proportion in that set, the score its prop
 Defined cases: null texts and texts without a letter are ``und`` with score 0; rows with a null
 language teach nothing; rows with a null id count as those of empty id text; without anything
 learned every text is ``und``; ties go to the language that sorts first; repeated rows are predicted
-one by one; texts are read whole; an empty table gives an empty result.
+one by one; texts are read whole, whatever their length; an empty table gives an empty result; columns
+beside id, text and language are never read, so others may have any name.
+
+The model takes SIZE**3 floats a language on the driver and in each worker: languages are few, documents many.
 """
 
 from __future__ import annotations
