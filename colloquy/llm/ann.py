@@ -1,20 +1,25 @@
 """Operator 2: approximate nearest neighbours with a hierarchical k-means tree.
 
-The tree is fitted on a sample of at most SAMPLE rows (those of least id digest);
-every row is indexed in the leaf that a descent by nearest centre reaches. A query
-visits leaves best bin first: a priority queue holds nodes by the distance of their
-centres, the nearest is opened, leaves come out in order. How many leaves to visit is
-calibrated: CALIBRATION sampled rows are answered by brute force over all rows, and
-visits widen until the share of their true neighbours in visited leaves reaches TARGET.
-
-Leaves are gathered into shards of similar size, a leaf too large is dealt over
-several; a query goes once to each shard that holds a leaf it visits. Distances are
-Euclidean in double precision on the original vectors, ties go to the smaller id.
-
-Defined cases: vectors null, empty, zero or with null or non-finite components and rows with
-a null id take no part, as query or candidate; rows that share a query's id count as its own;
-a query id that comes repeatedly is answered once; repeated candidates count each; fewer
-than k candidates are all returned; an empty table gives an empty result.
+The top of the tree is fitted on a sample of at most SAMPLE rows (those of least id digest) and
+ends in cells of about CELL rows; below, each cell has a tree of its own, which the executor that
+holds the cell fits on at most SAMPLE of its rows, down to leaves of about LEAF rows. So leaves
+stay small however large the table is, and no machine holds the whole tree. Every row is indexed in
+the cell and leaf that a descent by nearest centre reaches; a cell of more than BLOCK rows is dealt
+over blocks by id digest, each with a tree.
+
+A query visits cells, and leaves in each of them, best bin first: a priority queue holds nodes by the
+distance of their centres, the nearest is opened, leaves come out in order. How many of both to visit
+is calibrated: CALIBRATION rows that the sample doesn't hold are answered by brute force over all rows, and
+visits widen until the share of their true neighbours in visited leaves reaches TARGET, with the
+fewest leaves in all. Distances are Euclidean in double precision on the original vectors, ties go to
+the smaller id.
+
+Defined cases: vectors null, empty, zero, with null or non-finite components or of another length than
+the commonest, and rows with a null id take no part, as query or candidate; rows that share a query's id
+count as its own; a query id that comes repeatedly is answered once, for the least of its vectors; repeated
+candidates count each; fewer than k candidates are all returned if they lie in visited leaves, and always
+where the table has no more than CELL rows, as then all are visited; an empty table gives an empty result; columns beside
+id and vector are read only by is_query, so others may have any name.
 """
 
 from __future__ import annotations
@@ -30,11 +35,11 @@ from pyspark.sql import functions as F
 
 from colloquy.llm.common import cut, prepare
 from colloquy.llm.sorted_runs import starts
-from colloquy.llm.vectors import dimension, matrix, usable
+from colloquy.llm.vectors import comparable, dimension, matrix
 
-K, BRANCH, LEAF, SAMPLE, CALIBRATION, TARGET = 10, 8, 32, 16_384, 128, 0.96
-#: Rows of a shard, at which leaves stop being added and beyond which a leaf is dealt out.
-SHARD = 8192
+K, BRANCH, LEAF, SAMPLE, CALIBRATION, TARGET = 10, 8, 64, 16_384, 128, 0.96
+#: Rows that a cell is meant to hold, and beyond which it is dealt over blocks; sampled rows that the top's leaves hold at least.
+CELL, BLOCK, LEAST = 4096, 65_536, 8
 
 
 @dataclass
@@ -118,8 +123,8 @@ def fit(x: np.ndarray, branch: int = BRANCH, leaf: int = LEAF, seed: int = 11) -
     return Tree(np.array(centres), children, np.array(number))
 
 
-def nearest(q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray, k: int, wanted: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(position of query, ids, distances) of the k nearest rows; wanted: which rows a query may take."""
+def nearest(q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray, k: int, wanted: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(position of query, ids, distances, positions) of the k nearest rows; wanted: which rows a query may take."""
     step = max(1, 8_000_000 // max(1, len(x)))
     for at in range(0, len(q), step):
         d = squared(q[at : at + step], x)
@@ -135,129 +140,151 @@ def nearest(q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray, k:
                 rows = np.flatnonzero(np.isfinite(near))
             exact = np.sqrt(((x[rows] - q[at + r]) ** 2).sum(1))
             best = np.lexsort((x_id[rows], exact))[:k]
-            yield at + r, x_id[rows[best]], exact[best]
+            yield at + r, x_id[rows[best]], exact[best], rows[best]
 
 
-def top(found: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-FOUND = "query_id long, vec_id long, score double"
-
+FOUND, NAMES = "query_id long, vec_id long, score double, cell long, leaf_rank long", ["query_id", "vec_id", "score"]
 
-def found_batch(out: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    ids = np.repeat(np.array([o[0] for o in out], np.int64), [len(o[1]) for o in out])
-    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate([o[1] for o in out]).astype(np.int64)), pa.array(np.concatenate([o[2] for o in out]).astype(np.float64))], names=["query_id", "vec_id", "score"])
 
-
-def brute_force(rows: DataFrame, q_id: np.ndarray, q: np.ndarray, k: int) -> DataFrame:
-    """The true neighbours of a few queries among rows (id, v)."""
-    d = q.shape[1]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                yield found_batch([(int(q_id[i]), a, s) for i, a, s in nearest(q, q_id, matrix(b.column("v"), d), b.column("id").to_numpy(), k)])
-
-    return top(rows.mapInArrow(run, FOUND), k)
-
-
-def calibrate(tree: Tree, rows: DataFrame, q_id: np.ndarray, q: np.ndarray, k: int, target: float) -> int:
-    """The fewest visits, widened by a quarter each time, that reach the target recall."""
-    d = q.shape[1]
-    truth = brute_force(rows, q_id, q, k).select("query_id", F.col("vec_id").alias("id")).join(rows, "id").toPandas()
-    if not len(truth):
-        return tree.leaves
-    leaf = tree.descend(np.array(truth["v"].tolist()).reshape(-1, d))
-    order = {int(i): {bin_: n for n, bin_ in enumerate(tree.best_bins(v, tree.leaves))} for i, v in zip(q_id, q, strict=True)}
-    needed = np.array([order[int(i)][int(n)] for i, n in zip(truth["query_id"], leaf, strict=True)])
-    visits = 1
-    while visits < tree.leaves and (needed < visits).mean() < target:
-        visits = min(tree.leaves, max(visits + 1, visits * 5 // 4))
-    return visits
-
-
-def search(vectors: DataFrame, is_query: Column, k: int = K, id_column: str = "vec_id", vector_column: str = "embedding", target: float = TARGET) -> DataFrame:
+def nearest_of(found: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+class Part:
+    """The rows of a block, ordered by leaf of the block's tree."""
+
+    def __init__(self, x: np.ndarray, ids: np.ndarray) -> None:
+        some = x if len(x) <= SAMPLE else x[np.sort(np.random.default_rng(len(x)).choice(len(x), SAMPLE, replace=False))]
+        self.tree = fit(some, leaf=max(2, int(LEAF * len(some) / len(x))))
+        leaf = np.concatenate([self.tree.descend(x[a : a + SAMPLE]) for a in range(0, len(x), SAMPLE)])
+        order = np.argsort(leaf, kind="stable")
+        self.x, self.ids, self.leaf = x[order], ids[order], leaf[order]
+        self.first = np.searchsorted(self.leaf, np.arange(self.tree.leaves + 1))
+
+    def answers(self, q_id: np.ndarray, q: np.ndarray, k: int, visits: int | None) -> tuple[np.ndarray, ...]:
+        """query ids, ids, distances and leaf ranks (0 unless all leaves are looked at) of the k nearest in visited leaves."""
+        leaves, out = self.tree.leaves, []
+        if visits is None or 4 * visits >= leaves:
+            # Most rows are wanted: one product for all queries, the others left out.
+            bins = [self.tree.best_bins(x, leaves if visits is None else visits) for x in q]
+            wanted = None
+            if visits is not None and visits < leaves:
+                may = np.zeros((len(q), leaves), bool)
+                for i, b in enumerate(bins):
+                    may[i, b] = True
+                wanted = may[:, self.leaf]
+            for i, ids, score, rows in nearest(q, q_id, self.x, self.ids, k, wanted):
+                rank = np.argsort(bins[i])[self.leaf[rows]] if visits is None else np.zeros(len(ids), np.int64)
+                out.append((np.full(len(ids), q_id[i]), ids, score, rank))
+        else:
+            for i, x in enumerate(q):
+                rows = np.concatenate([np.arange(self.first[b], self.first[b + 1]) for b in self.tree.best_bins(x, visits)])
+                for _, ids, score, _ in nearest(x[None], q_id[i : i + 1], self.x[rows], self.ids[rows], k):
+                    out.append((np.full(len(ids), q_id[i]), ids, score, np.zeros(len(ids), np.int64)))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+
+
+def best_visits(cell: np.ndarray, leaf: np.ndarray, cells: int, leaves: int, target: float) -> tuple[int, int]:
+    """The visits of cells and of leaves in each, widened by a quarter at a time, whose product is least
+    of those that hold the target share of neighbours, which have these ranks."""
+
+    def widened(most: int) -> list[int]:
+        steps = [1]
+        while steps[-1] < most:
+            steps.append(min(most, max(steps[-1] + 1, steps[-1] * 5 // 4)))
+        return steps
+
+    if not len(cell):
+        return cells, leaves
+    fine = [(c * f, c, f) for c in widened(cells) for f in widened(leaves) if ((cell < c) & (leaf < f)).mean() >= target]
+    return min(fine)[1:] if fine else (cells, leaves)
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = K, id_column: str = "vec_id", vector_column: str = "embedding", target: float = TARGET, sample: int = SAMPLE, cell: int = CELL, block: int = BLOCK) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: k nearest found for each row with is_query."""
     spark = vectors.sparkSession
     prepare(spark)
     d = dimension(vectors, vector_column)
-    rows = vectors.where(usable(F.col(vector_column)) & F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.transform(vector_column, lambda c: c.cast("double")).alias("v"), is_query.alias("asks"))
-    sample = rows.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas() if d else []
-    if not len(sample):
+    kind = "float" if d and vectors.schema[vector_column].dataType.elementType.typeName() == "float" else "double"
+    rows = vectors.where(comparable(F.col(vector_column), d) & F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.transform(vector_column, lambda c: c.cast(kind)).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    drawn = rows.select("id", "v").orderBy(F.xxhash64("id"), "id", "v").limit(sample + CALIBRATION).toPandas() if d else []
+    if not len(drawn):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    x, x_id = np.array(sample["v"].tolist()).reshape(-1, d), sample["id"].to_numpy()
-    tree = fit(x)
-    probe = np.unique(x_id[:CALIBRATION], return_index=True)[1]
-    visits = calibrate(tree, rows.select("id", "v"), x_id[probe], x[probe], k, target)
+    n = rows.count()
+    x, x_id = np.array(drawn["v"].tolist(), dtype=np.float64).reshape(-1, d), drawn["id"].to_numpy()
+    fitted = x[:sample]
+    top_tree = fit(fitted, leaf=max(LEAST, int(len(fitted) * cell / n)))
+    # Rows outside the sample; of a table that the sample holds whole, its last ones.
+    probe_id, at = np.unique(x_id[-CALIBRATION:], return_index=True)
+    probe = x[-CALIBRATION:][at]
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), b.column("asks"), pa.array(tree.descend(matrix(b.column("v"), d)).astype(np.int32))], names=["id", "v", "asks", "leaf"])
-
-    index = cut(rows.mapInArrow(indexed, "id long, v array<double>, asks boolean, leaf int"))
-    counts = np.zeros(tree.leaves, np.int64)  # as many as the sample has leaves at most
-    for leaf, n in index.groupBy("leaf").count().collect():
-        counts[leaf] = n
-    shard_of, blocks, size = np.zeros(tree.leaves, np.int32), [], 0
-    for leaf in range(tree.leaves):
-        if not leaf or size + counts[leaf] > SHARD:
-            blocks.append(1)
-            size = 0
-        size += counts[leaf]
-        shard_of[leaf] = len(blocks) - 1
-        blocks[-1] = max(1, -(-int(size) // (2 * SHARD)))
-    per_shard = F.array(*map(F.lit, blocks))
-    shards = F.array(*(F.lit(int(s)) for s in shard_of))
-    data = index.select(F.get(shards, F.col("leaf")).alias("shard"), "id", "v", "leaf").select("shard", F.pmod(F.xxhash64("id"), F.get(per_shard, F.col("shard"))).cast("int").alias("block"), F.lit(0).alias("side"), "id", "v", F.array("leaf").alias("leaves"))
-
-    def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            shard, block, row, leaves = [], [], [], []
-            for i, q in enumerate(matrix(b.column("v"), d)):
-                bins = np.array(tree.best_bins(q, visits))
-                own = shard_of[bins]
-                for s in np.unique(own):
-                    for part in range(blocks[s]):
-                        shard.append(s)
-                        block.append(part)
-                        row.append(i)
-                        leaves.append(bins[own == s])
-            row_ = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(block, pa.int32()), pa.array([1] * len(row), pa.int32()), b.column("id").take(row_), b.column("v").take(row_), pa.array(leaves, pa.list_(pa.int32()))], names=["shard", "block", "side", "id", "v", "leaves"])
-
-    layout = "shard int, block int, side int, id long, v array<double>, leaves array<int>"
-    asked = index.where("asks").dropDuplicates(["id"]).select("id", "v").mapInArrow(routed, layout)
-
-    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Holds the rows of one block; its queries, sorted behind them, stream past."""
-        at, held = None, []
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            begin = starts(t, ["shard", "block", "side"])
-            for a, b in zip(begin, [*begin[1:], t.num_rows], strict=True):
-                part = t.slice(a, b - a).combine_chunks()
-                key, side = (part.column("shard")[0].as_py(), part.column("block")[0].as_py()), part.column("side")[0].as_py()
-                v, ids, lists = matrix(part.column("v"), d), part.column("id").to_numpy(), part.column("leaves").combine_chunks()
-                if key != at:
-                    at, held = key, []
-                if not side:
-                    held.append((v, ids, lists.flatten().to_numpy()))
-                    continue
-                if not held:
-                    continue
-                if len(held) > 1:
-                    held = [tuple(np.concatenate(c) for c in zip(*held, strict=True))]
-                x, x_id, leaf = held[0]
-                for c in range(0, len(v), 256):
-                    some = lists.slice(c, 256)
-                    may = np.zeros((len(some), tree.leaves), bool)
-                    may[np.repeat(np.arange(len(some)), some.value_lengths().to_numpy()), some.flatten().to_numpy()] = True
-                    out = [(int(ids[c + i]), n, s) for i, n, s in nearest(v[c : c + 256], ids[c : c + 256], x, x_id, k, may[:, leaf]) if len(n)]
-                    if out:
-                        yield found_batch(out)
-
-    met = data.unionByName(asked).repartition("shard", "block").sortWithinPartitions("shard", "block", "side").mapInArrow(searched, FOUND)
-    return top(met, k)
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), b.column("asks"), pa.array(top_tree.descend(matrix(b.column("v"), d)).astype(np.int32))], names=["id", "v", "asks", "cell"])
+
+    index = cut(rows.mapInArrow(indexed, f"id long, v array<{kind}>, asks boolean, cell int"))
+    blocks = np.ones(top_tree.leaves, np.int64)  # SAMPLE / LEAST cells at most
+    for c, size in index.groupBy("cell").count().collect():
+        blocks[c] = -(-size // block)
+    per_cell = F.array(*(F.lit(int(b)) for b in blocks))
+    data = index.select("cell", F.pmod(F.xxhash64("id"), F.get(per_cell, F.col("cell"))).cast("int").alias("block"), F.lit(0).alias("side"), "id", "v")
+    layout = f"cell int, block int, side int, id long, v array<{kind}>"
+
+    def routed(visits: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                row, cells, parts = [], [], []
+                for i, q in enumerate(matrix(b.column("v"), d)):
+                    for c in top_tree.best_bins(q, visits):
+                        for part in range(blocks[c]):
+                            row.append(i)
+                            cells.append(c)
+                            parts.append(part)
+                take = pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(parts, pa.int32()), pa.array([1] * len(row), pa.int32()), b.column("id").take(take), b.column("v").take(take)], names=["cell", "block", "side", "id", "v"])
+
+        return run
+
+    def searched(visits: int | None):
+        """Holds the rows of one block and its tree; its queries, sorted behind them, stream past. Without visits
+        all leaves are looked at, and each row found comes with the rank of its leaf."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            key, held, part = None, [], None
+            for batch in batches:
+                t = pa.Table.from_batches([batch])
+                begin = starts(t, ["cell", "block", "side"])
+                for a, b in zip(begin, [*begin[1:], t.num_rows], strict=True):
+                    some = t.slice(a, b - a).combine_chunks()
+                    own, asking = (some.column("cell")[0].as_py(), some.column("block")[0].as_py()), some.column("side")[0].as_py()
+                    v, ids = matrix(some.column("v"), d), some.column("id").to_numpy()
+                    if own != key:
+                        key, held, part = own, [], None
+                    if not asking:
+                        held.append((v, ids))
+                    elif held:
+                        part = part or Part(*(np.concatenate(c) for c in zip(*held, strict=True)))
+                        for at in range(0, len(v), 256):
+                            out = part.answers(ids[at : at + 256], v[at : at + 256], k, visits)
+                            if len(out[0]):
+                                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*out[:3], np.full(len(out[0]), own[0], np.int64), out[3])], names=[*NAMES, "cell", "leaf_rank"])
+
+        return run
+
+    def met(queries: DataFrame, cells: int, leaves: int | None) -> DataFrame:
+        both = data.unionByName(queries.select("id", "v").mapInArrow(routed(cells), layout))
+        return both.repartition("cell", "block").sortWithinPartitions("cell", "block", "side", "id").mapInArrow(searched(leaves), FOUND)
+
+    probes = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(probe_id, probe, strict=True)], f"id long, v array<{kind}>")
+    truth = nearest_of(met(probes, top_tree.leaves, None), k).toPandas()  # CALIBRATION x k rows
+    order = {int(i): {c: r for r, c in enumerate(top_tree.best_bins(v, top_tree.leaves))} for i, v in zip(probe_id, probe, strict=True)}
+    cell_rank = np.array([order[int(i)][int(c)] for i, c in zip(truth["query_id"], truth["cell"], strict=True)])
+    if n <= cell:
+        visits = (top_tree.leaves, None)
+    else:
+        leaf_rank = truth["leaf_rank"].to_numpy()
+        visits = best_visits(cell_rank, leaf_rank, top_tree.leaves, int(leaf_rank.max(initial=0)) + 1, target)
+    asked = index.where("asks").groupBy("id").agg(F.min("v").alias("v"))
+    return nearest_of(met(asked, *visits), k).select("query_id", "rank", "vec_id", "score")

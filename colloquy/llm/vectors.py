@@ -15,11 +15,14 @@ def usable(v: Column) -> Column:
 
 
 def dimension(df: DataFrame, column: str) -> int:
-    """The length that usable vectors share (0 without any); other lengths are refused."""
-    low, high = df.where(usable(F.col(column))).agg(F.min(F.size(column)), F.max(F.size(column))).first()
-    if low != high:
-        raise ValueError(f"vectors of {low} to {high} components can't be compared")
-    return low or 0
+    """The commonest length of usable vectors, the smallest among equals; 0 without any."""
+    of = df.where(usable(F.col(column))).groupBy(F.size(column).alias("d")).agg(F.count("*").alias("n"))
+    return of.agg(F.max_by("d", F.struct("n", (-F.col("d")).alias("least")))).first()[0] or 0
+
+
+def comparable(v: Column, d: int) -> Column:
+    """Usable and of the table's length; vectors of another length can't be compared and count as unusable."""
+    return usable(v) & (F.size(v) == d)
 
 
 def matrix(column: pa.ChunkedArray | pa.Array, d: int) -> np.ndarray:
