@@ -7,15 +7,17 @@ goes into the bucket of its nearest axes and, multiprobe, into those where one
 fold takes its next best axis. Pairs that share a bucket are verified by cosine in
 double precision on the original vectors; no pair is linked unverified.
 
-Equal vectors are one node with a weight from the start. A pair that meets in several
+Equal vectors, told by all their components, are one node with a weight from the start. A pair that meets in several
 buckets counts in the first of them only, so link counts need no list of pairs:
 tasks return for each vector the weight of its links and one link to the least
 vector it reaches. Large buckets are cut into blocks, each pair of blocks a group of its own.
 
-Defined cases: vectors null, empty, zero or with null or non-finite components link
-with nothing and are their own component; repeated rows (equal id and vector) come back
-as often as they came in and count as links of each other; rows with a null id take
-part but name no component; an empty table gives an empty result.
+Defined cases: vectors null, empty, zero, with null or non-finite components or of another
+length than the commonest (the smallest of equally common ones) link with nothing and are their
+own component; repeated rows (equal id and vector) come back as often as they came in and count
+as links of each other; a cosine at the threshold links; rows with a null id take part but name no
+component; an empty table gives an empty result; columns beside id and vector are never read, so
+others may have any name.
 """
 
 from __future__ import annotations
@@ -27,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import cut, prepare
+from colloquy.llm.common import cut, join_hot, prepare
 from colloquy.llm.components import components
 from colloquy.llm.sorted_runs import least_labels, starts, whole_runs
-from colloquy.llm.vectors import dimension, matrix, usable
+from colloquy.llm.vectors import comparable, dimension, matrix
 
 THRESHOLD = 0.95
 #: Of random pairs at cosine 0.95 in 64 dimensions, 3 folds in 12 tables find all of 6,000, 4 in 16 all of 20,000.
@@ -39,6 +41,8 @@ TABLES, FOLDS, PROBES, SEED = 12, 3, 4, 7
 BLOCK = 2048
 #: Products in one piece of a comparison.
 PIECE = 4_000_000
+#: Vectors that are rotated at once, few enough for a processor's cache.
+ROWS = 512
 
 
 def signs(d: int, seed: int = SEED, tables: int = TABLES, folds: int = FOLDS) -> np.ndarray:
@@ -46,31 +50,44 @@ def signs(d: int, seed: int = SEED, tables: int = TABLES, folds: int = FOLDS) ->
     return np.random.default_rng(seed).choice([-1.0, 1.0], size=(tables, folds, 3, d))
 
 
-def hadamard(x: np.ndarray) -> np.ndarray:
-    """The fast Walsh-Hadamard transform of the rows, orthonormal."""
-    n, d = x.shape
+def hadamard(x: np.ndarray, spare: np.ndarray) -> np.ndarray:
+    """The fast Walsh-Hadamard transform of the columns, times the root of their length; both arrays are written over."""
+    d, n = x.shape
     h = 1
     while h < d:
-        y = x.reshape(n, d // (2 * h), 2, h)
-        x = np.stack((y[:, :, 0] + y[:, :, 1], y[:, :, 0] - y[:, :, 1]), axis=2).reshape(n, d)
+        y, out = x.reshape(d // (2 * h), 2, h, n), spare.reshape(d // (2 * h), 2, h, n)
+        np.add(y[:, 0], y[:, 1], out=out[:, 0])
+        np.subtract(y[:, 0], y[:, 1], out=out[:, 1])
+        x, spare = spare, x
         h *= 2
-    return x / np.sqrt(d)
+    return x
 
 
 def buckets(x: np.ndarray, flips: np.ndarray, probes: int = PROBES) -> np.ndarray:
     """n x tables x probes bucket numbers of unit vectors x; the first is the nearest axes' own."""
+    out = np.empty((len(x), flips.shape[0], probes), np.int64)
+    for at in range(0, len(x), ROWS):
+        out[at : at + ROWS] = _buckets(x[at : at + ROWS], flips, probes)
+    return out
+
+
+def _buckets(x: np.ndarray, flips: np.ndarray, probes: int) -> np.ndarray:
     n, d = x.shape
     width = flips.shape[-1]
-    padded = np.zeros((n, width))
-    padded[:, :d] = x
-    rows = np.arange(n)
+    padded = np.zeros((width, n))
+    padded[:d] = x.T
+    one, two = np.empty_like(padded), np.empty_like(padded)
     out = np.empty((n, flips.shape[0], probes), np.int64)
     for t, folds in enumerate(flips):
         best, second, loss = [], [], []
         for three in folds:
             y = padded
             for s in three:
-                y = hadamard(y * s)
+                np.multiply(y, s[:, None], out=one)
+                y = hadamard(one, two)
+                if y is one:
+                    one, two = two, one
+            y = np.ascontiguousarray(y.T)
             size = np.abs(y)
             order = np.argpartition(-size, min(probes, width - 1), axis=1)[:, :probes] if width > probes else np.tile(np.arange(width), (n, 1))
             order = np.take_along_axis(order, np.argsort(-np.take_along_axis(size, order, 1), axis=1, kind="stable"), 1)
@@ -87,7 +104,6 @@ def buckets(x: np.ndarray, flips: np.ndarray, probes: int = PROBES) -> np.ndarra
         if pick.shape[1]:
             out[:, t, 1:] = np.take_along_axis(other, pick, 1) if pick.shape[1] == probes - 1 else np.pad(np.take_along_axis(other, pick, 1), ((0, 0), (0, probes - 1 - pick.shape[1])), mode="edge")
         out[:, t] += t * base ** len(folds)
-    del rows
     return out
 
 
@@ -107,15 +123,16 @@ def met_before(codes: np.ndarray, i: np.ndarray, j: np.ndarray, bucket: np.ndarr
     return found
 
 
-def classes(vectors: DataFrame, id_column: str, vector_column: str) -> tuple[DataFrame, DataFrame]:
-    """Usable rows as (id, class), and classes (class, v, least id, copies)."""
+def classes(vectors: DataFrame, id_column: str, vector_column: str, d: int) -> tuple[DataFrame, DataFrame]:
+    """Comparable rows as (id, h, v), and their distinct vectors (node, h, v, least id, copies), node being a number of its own.
+
+    h is a digest of v that comes before it in keys, so that sorting and joining seldom look at v.
+    """
     kind = "float" if vectors.schema[vector_column].dataType.elementType.typeName() == "float" else "double"
     # Adding zero makes one of the two zeros.
-    good = vectors.where(usable(F.col(vector_column))).select(F.col(id_column).alias("id"), F.transform(vector_column, lambda x: x.cast(kind) + F.lit(0).cast(kind)).alias("v"))
-    keyed = good.withColumn("class", F.xxhash64("v")).withColumn("check", F.hash("v"))
-    # Two digests of 96 bits together name a class; equal vectors share them.
-    grouped = keyed.groupBy("class", "check").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.min("v").alias("v"))
-    return keyed.select("id", "class", "check"), grouped
+    good = vectors.where(comparable(F.col(vector_column), d)).select(F.col(id_column).alias("id"), F.transform(vector_column, lambda x: x.cast(kind) + F.lit(0).cast(kind)).alias("v")).select("id", F.xxhash64("v").alias("h"), "v")
+    grouped = cut(good.groupBy("h", "v").agg(F.min("id").alias("least"), F.count("*").alias("copies")))
+    return good, cut(grouped.withColumn("node", F.monotonically_increasing_id()))
 
 
 def links(nodes: DataFrame, d: int, threshold: float = THRESHOLD, tables: int = TABLES, folds: int = FOLDS) -> DataFrame:
@@ -137,9 +154,9 @@ def links(nodes: DataFrame, d: int, threshold: float = THRESHOLD, tables: int =
 
     keyed = cut(nodes.mapInArrow(hashed, f"node long, copies long, v {vector}, codes array<{name}>"))
     each = keyed.select("node", F.explode(F.array_distinct("codes")).alias("bucket"))
-    full = each.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    full = cut(each.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket", "size", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
     dealt = (
-        each.join(full, "bucket")
+        join_hot(each, full, ["bucket"], "size", full.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
         .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .select("bucket", "node", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         .select("bucket", "node", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") <= F.col("other")).alias("left"))
@@ -215,16 +232,17 @@ def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", vector_column
     """id, n_links, component_id, kept."""
     prepare(vectors.sparkSession)
     d = dimension(vectors, vector_column)
-    members, grouped = classes(vectors, id_column, vector_column)
-    grouped = cut(grouped.withColumn("node", F.xxhash64("class", "check")))
-    found = cut(links(grouped.select("node", "copies", "v"), d, threshold, tables, folds)) if d else None
-    if found is None:
+    if not d:
         return vectors.select(id_column, F.lit(0).cast("long").alias("n_links"), F.col(id_column).alias("component_id"), F.lit(True).alias("kept"))
+    members, grouped = classes(vectors, id_column, vector_column, d)
+    distinct, rows = grouped.agg(F.count("*"), F.sum("copies")).first()
+    found = cut(links(grouped.select("node", "copies", "v"), d, threshold, tables, folds))
     weights = found.groupBy("node").agg(F.sum("weight").alias("weight"))
     reach = components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
-    named = grouped.select("class", "check", "node", "least", "copies").join(weights, "node", "left").join(reach, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    names = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = cut(named.join(names, "component").select("class", "check", (F.col("copies") - 1 + F.coalesce("weight", F.lit(0))).alias("n_links"), "component_id"))
-    linked = members.join(named, ["class", "check"]).select(F.col("id").alias(id_column), "n_links", "component_id")
-    alone = vectors.where(~usable(F.col(vector_column))).select(id_column, F.lit(0).cast("long").alias("n_links"), F.col(id_column).alias("component_id"))
+    named = cut(grouped.select("node", "least", "copies").join(weights, "node", "left").join(reach, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    names = cut(named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("of")))
+    known = join_hot(named, names, ["component"], "of", distinct).select("node", (F.col("copies") - 1 + F.coalesce("weight", F.lit(0))).alias("n_links"), "component_id")
+    of_vector = cut(grouped.select("node", "h", "v", "copies").join(known, "node").drop("node"))
+    linked = join_hot(members, of_vector, ["h", "v"], "copies", rows).select(F.col("id").alias(id_column), "n_links", "component_id")
+    alone = vectors.where(~comparable(F.col(vector_column), d)).select(id_column, F.lit(0).cast("long").alias("n_links"), F.col(id_column).alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col(id_column) == F.col("component_id"), F.lit(False)))
