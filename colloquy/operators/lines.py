@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.text import STAMP, hhmmss, label_similarity, parse_stamp, sentences, squash
+from colloquy.operators import storage, substrings
+from colloquy.operators.scans import ROWS, Scan
 
 #: What may stand around the parts of a header.
 PAD = " \t\u3000"
@@ -78,10 +80,15 @@ def lines(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def parse_transcript(df: DataFrame, job: str, text: str = "text") -> DataFrame:
-    """SRC03: turns (job, index, t_start, t_end, stamp, speaker, text, raw, is_preamble, chars) of transcripts."""
-    w = Window.partitionBy(job).orderBy("line_no")
-    each = lines(df.select(job, text), text).withColumn("head", match_header(F.col("line")))
-    block = each.withColumn("block", F.sum(F.col("head").isNotNull().cast("int")).over(w))
+    """SRC03: turns (job, index, t_start, t_end, stamp, speaker, text, raw, is_preamble, chars) of transcripts, each a text."""
+    return parse_lines(lines(df.select(job, text), text), job, None)
+
+
+def parse_lines(df: DataFrame, job: str, rows: int | None = ROWS) -> DataFrame:
+    """SRC03: the same of transcripts that come line by line (job, line_no, line), however long they are."""
+    each = df.select(job, "line_no", "line").withColumn("head", match_header(F.col("line")))
+    scan = Scan(each, job, "line_no", rows=rows).running(F.col("head").isNotNull().cast("long"), "block")
+    block = storage.cut(scan.rows()) if scan.cut else scan.rows()  # headers are looked for once, whatever the passes behind
     body = F.when(F.col("head").isNull(), F.col("line")).when(F.col("head.rest") != "", F.col("head.rest"))
     ordered = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c.isNotNull(), F.struct("line_no", c.alias("x"))))), lambda x: x["x"]), "\n")
     edge = lambda c: F.trim(c, F.lit("\n"))
@@ -89,20 +96,19 @@ def parse_transcript(df: DataFrame, job: str, text: str = "text") -> DataFrame:
     turns = turns.where((F.col("block") > 0) | (squash(F.col("raw")) != ""))
     inline = F.nullif(F.regexp_extract("body", rf"\[\s*({STAMP})\s*\]", 1), F.lit(""))
     own = F.when(F.col("block") == 0, F.lit(0.0)).otherwise(F.coalesce(parse_stamp(F.col("head.ts")), parse_stamp(inline)))
-    by_block = Window.partitionBy(job).orderBy("block")
-    known = turns.withColumn("_own", own).withColumn("t_start", F.coalesce(F.last("_own", ignorenulls=True).over(by_block), F.lit(0.0)))
+    known = Scan(turns.withColumn("_own", own), job, "block", rows=rows).last_known(F.col("_own"), "_known").running(F.lit(1).cast("int"), "_n").rows().withColumn("t_start", F.coalesce("_known", F.lit(0.0)))
     trimmed = F.regexp_replace("body", r"^[\s\x{3000}]+|[\s\x{3000}]+$", "")
     return known.select(
-        job, (F.row_number().over(by_block) - 1).alias("index"), "t_start", parse_stamp(F.col("head.te")).alias("t_end"), hhmmss(F.col("t_start")).alias("stamp"),
+        job, (F.col("_n") - 1).cast("int").alias("index"), "t_start", parse_stamp(F.col("head.te")).alias("t_end"), hhmmss(F.col("t_start")).alias("stamp"),
         F.coalesce("head.speaker", F.lit("")).alias("speaker"), F.when(F.col("block") == 0, F.col("raw")).otherwise(trimmed).alias("text"), "raw", (F.col("block") == 0).alias("is_preamble"), F.length("raw").alias("chars"),
     )
 
 
-def fenced(df: DataFrame, job: str) -> DataFrame:
-    """WIN04: lines with is_fence and in_fence (a fence line itself is out of what it opens)."""
-    w = Window.partitionBy(job).orderBy("line_no")
+def fenced(df: DataFrame, job: str, rows: int | None = None) -> DataFrame:
+    """WIN04: lines with is_fence and in_fence (a fence line itself is out of what it opens). rows: as in Scan; the lines of one text are few."""
     flag = F.ltrim(F.col("line")).substr(1, 3).isin(*FENCES)
-    return df.withColumn("is_fence", flag).withColumn("in_fence", (F.sum(flag.cast("int")).over(w) % 2 == 1) & ~F.col("is_fence"))
+    marked = Scan(df.withColumn("is_fence", flag), job, "line_no", rows=rows).running(F.col("is_fence").cast("int"), "_fences").rows()
+    return marked.withColumn("in_fence", (F.col("_fences") % 2 == 1) & ~F.col("is_fence")).drop("_fences")
 
 
 def strip_stamps(df: DataFrame, job: str, only: Column | None = None) -> DataFrame:
@@ -229,42 +235,28 @@ def quote_lines(notes: DataFrame, job: str, text: str = "text") -> DataFrame:
     return notes.select(job, F.posexplode(F.split(text, "\n")).alias("line_no", "line")).select(job, (F.col("line_no") + 1).alias("line_no"), quoted(F.col("line")).alias("quote")).where("quote is not null")
 
 
-#: Characters of quotations that one automaton holds, about 100 bytes each, and how many passes over the texts are worth it.
-AUTOMATON, PASSES = 1_000_000, 8
-#: Quotations that are broadcast to name what was found; together they have no more characters than those passes.
-BROADCAST = 500_000
+#: Characters of distinct quotations that one automaton holds, about 100 bytes each; beyond, quotations and texts meet in an index.
+AUTOMATON = 1_000_000
 
 
 def traced(quotes: DataFrame, texts: DataFrame, job: str | None = None) -> DataFrame:
-    """JN09: (quote_id, text_id) of quotes (quote_id, quote) and the texts (text_id, text) that hold them, white space squashed.
+    """JN09, FLT05: (quote_id, text_id) of quotes (quote_id, quote) and the texts (text_id, text) that hold them, white space squashed.
 
     With a job both sides meet by job, which is kept. Without, texts stay where they are and run through an automaton of all
-    quotes, whatever their length or script, in passes of AUTOMATON characters of quotes. Beyond PASSES of them, quotes of five
-    words or more meet the texts by a key instead, and the passes are for the others. Blank quotes are traced to nothing.
+    quotes, whatever their length or script, if these have AUTOMATON characters at most; else they meet in an index of
+    substrings. Blank quotes are traced to nothing.
     """
     q = quotes.withColumn("_q", squash(F.col("quote"))).where(F.col("_q") != "")
     t = texts.withColumn("_t", squash(F.col("text")))
     if job:
         return q.join(t, job).where(F.contains("_t", "_q")).drop("_q", "_t")
     q, t = q.select("quote_id", "_q"), t.select("text_id", "_t")
-    rows, chars = q.agg(F.count("*"), F.coalesce(F.sum(F.length("_q")), F.lit(0))).first()
-    if chars <= AUTOMATON * PASSES:
-        return scanned(F.broadcast(q) if rows <= BROADCAST else q, t)
-    wordy = F.size(F.split("_q", " ")) >= 5
-    return scanned(q.where(~wordy), t).unionByName(keyed(q.where(wordy), t))
-
-
-def scanned(quotes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs by one automaton over AUTOMATON characters of distinct quotes after the other. Common quotes are no hot
-    key where quotes is broadcast."""
-    before = F.sum(F.length("_q")).over(Window.orderBy(F.xxhash64("_q"), "_q")) - F.length("_q")
-    parts = quotes.select("_q").distinct().withColumn("part", F.floor(before / AUTOMATON))
+    needles = q.select("_q").distinct().withColumn("_n", F.length("_q"))
+    if (needles.agg(F.sum("_n")).first()[0] or 0) > AUTOMATON:
+        return substrings.held(q.withColumnRenamed("_q", "quote"), t.withColumnRenamed("_t", "text"))
+    some = texts.sparkSession.sparkContext.broadcast([r["_q"] for r in needles.select("_q").collect()])  # AUTOMATON characters at most
     schema = f"text_id {texts.schema['text_id'].dataType.simpleString()}, _q string"
-    found = texts.sparkSession.createDataFrame([], schema)
-    for (part,) in parts.select("part").distinct().orderBy("part").collect():
-        needles = [r["_q"] for r in parts.where(F.col("part") == part).select("_q").collect()]  # AUTOMATON characters and one quote
-        found = found.unionByName(texts.mapInArrow(matcher(texts.sparkSession.sparkContext.broadcast(needles)), schema))
-    return quotes.join(found, "_q").select("quote_id", "text_id")
+    return q.join(t.mapInArrow(matcher(some), schema), "_q").select("quote_id", "text_id")
 
 
 _automata: dict[str, object] = {}
@@ -295,19 +287,6 @@ def matcher(needles) -> Callable[[Iterator], Iterator]:
     return run
 
 
-def keyed(quotes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs of quotes of five words or more: both meet by the quote's second to fourth words, and the pair is verified.
-
-    The first and last words of a quote may lie inside words of the text. Only the keys that some quote has are shuffled.
-    """
-    q = quotes.withColumn("_k", F.xxhash64(F.array_join(F.slice(F.split("_q", " "), 2, 3), " ")))
-    w = F.split("_t", " ")
-    pair = lambda a, b: F.concat_ws(" ", a, b)
-    grams = F.zip_with(F.zip_with(w, F.slice(w, 2, F.size(w)), pair), F.slice(w, 3, F.size(w)), pair)
-    slim = texts.select("text_id", F.explode(F.array_distinct(grams)).alias("g")).select("text_id", F.xxhash64("g").alias("_k")).join(q.select("_k").distinct(), "_k", "left_semi")
-    return q.join(slim, "_k").select("quote_id", "_q", "text_id").join(texts, "text_id").where(F.contains("_t", "_q")).select("quote_id", "text_id").distinct()
-
-
 def excerpts(df: DataFrame, keys: list[str], limit: int = 160) -> DataFrame:
     """FN07: of each text (keys, text, focus) the whole, squashed, if it fits; else the run of sentences nearest to the focus.
 

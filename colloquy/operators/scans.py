@@ -28,12 +28,17 @@ def same(a: list[Column], b: list[Column]) -> Column:
 
 
 class Scan:
-    """Rows under a scan by job and order (numeric or a time), then by other columns; each method adds a column to `df`."""
+    """Rows under a scan by job and order (numeric or a time), then by other columns; each method adds a column to `df`.
 
-    def __init__(self, df: DataFrame, job: str | list[str], order: Column | str, then: list[Column] | None = None, rows: int = ROWS) -> None:
+    rows: what a job may hold uncut; None where jobs are known to be small, so that they aren't counted.
+    """
+
+    def __init__(self, df: DataFrame, job: str | list[str], order: Column | str, then: list[Column] | None = None, rows: int | None = ROWS) -> None:
         self.job = [job] if isinstance(job, str) else job
         self.order, self.then = F.col(order) if isinstance(order, str) else order, list(then or [])
-        self.cut = False
+        self.cut, self.df = False, df
+        if rows is None:
+            return
         sizes = df.groupBy(*self.job).agg(F.count("*").alias("_n"))
         total, most = sizes.agg(F.sum("_n"), F.max("_n")).first()
         least = max(rows, int((total or 0) * SHARE))
@@ -46,7 +51,7 @@ class Scan:
         """_seg: the segment of a row in a large job, null in others."""
         keys = [f"_k{i}" for i in range(len(self.job))]
         large = F.broadcast(large.select(*(F.col(c).alias(k) for c, k in zip(self.job, keys, strict=True))))
-        own = same([df[c] for c in self.job], [F.col(k) for k in keys])
+        own = same([F.col(c) for c in self.job], [F.col(k) for k in keys])
         bounds = F.percentile_approx("_o", [i / n for i in range(1, n)], F.lit(100 * n))
         at = df.withColumn("_o", self.order).join(large, own).groupBy(*keys).agg(bounds.alias("_b"))
         # Every STEP-th bound first, then those behind it: few comparisons a row.
@@ -66,7 +71,7 @@ class Scan:
         sums = self.df.where(F.col("_seg").isNotNull()).groupBy(*self.job, "_seg").agg(summary.alias("_sum"))
         before = Window.partitionBy(*self.job).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
         taken = sums.select(*(F.col(c).alias(k) for c, k in zip(self.job, keys, strict=True)), F.col("_seg").alias("_s"), carry(F.col("_sum")).over(before).alias("_carry"))
-        own = same([self.df[c] for c in self.job], [F.col(k) for k in keys]) & (F.col("_seg") == F.col("_s"))
+        own = same([F.col(c) for c in self.job], [F.col(k) for k in keys]) & (F.col("_seg") == F.col("_s"))
         return self.df.join(F.broadcast(taken), own, "left").drop(*keys, "_s")
 
     def running(self, value: Column, name: str) -> Scan:

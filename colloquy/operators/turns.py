@@ -1,7 +1,7 @@
 """Ordered grouping over turns: islands, packing under a budget, overlap context, splitting.
 
-Every function works on a table of many jobs; a job is the unit of partitioning, order is
-an explicit column, and nothing is gathered but a job's own rows.
+Every function works on a table of many jobs; a job is the unit of partitioning unless it is larger than a task may
+be, which scans and packing cut; order is an explicit column, and nothing is gathered but a job's own rows.
 """
 
 from __future__ import annotations
@@ -10,17 +10,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.text import NOISE
+from colloquy.operators.packing import pack  # noqa: F401  belongs to the turns
+from colloquy.operators.scans import ROWS, Scan
 
 
 def by(job: str, order: str) -> Window:
     return Window.partitionBy(job).orderBy(order)
 
 
-def islands(df: DataFrame, job: str, order: str, key: Column, name: str = "island") -> DataFrame:
-    """GRP03, WIN01: runs of equal keys (null equals null), numbered from 0."""
-    w = by(job, order)
-    new = (F.lag(F.lit(1)).over(w).isNull() | ~key.eqNullSafe(F.lag(key).over(w))).cast("int")
-    return df.withColumn("_new", new).withColumn(name, (F.sum("_new").over(w) - 1).cast("long")).drop("_new")
+def islands(df: DataFrame, job: str, order: str, key: Column, name: str = "island", rows: int | None = ROWS) -> DataFrame:
+    """GRP03, WIN01, WIN03: runs of equal keys (null equals null), numbered from 0, in jobs of any size."""
+    scan = Scan(df, job, order, rows=rows).previous(key, "_before")
+    new = (F.col("_before").isNull() | ~key.eqNullSafe(F.col("_before.v"))).cast("long")
+    return scan.running(new, "_run").rows().withColumn(name, F.col("_run") - 1).drop("_before", "_run")
 
 
 def absorb_short(runs: DataFrame, job: str, order: str, key: str, duration: str, least: float) -> DataFrame:
@@ -40,22 +42,6 @@ def absorb_short(runs: DataFrame, job: str, order: str, key: str, duration: str,
     return pieces.withColumn("piece_speaker", own).drop("_first", "_kept", "_before", "_start")
 
 
-def pack(turns: DataFrame, job: str, order: str, size: Column, budget: int) -> DataFrame:
-    """GRP04: greedy chunks under a budget; a turn is never split, one above the budget stands alone.
-
-    The fold keeps only where chunks begin; turns find theirs by counting the beginnings up to them.
-    """
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), size.cast("long").alias("n"))))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("at"))
-
-    def step(a: Column, x: Column) -> Column:
-        new = (F.size(a["at"]) == 0) | (a["used"] + x["n"] > budget)
-        return F.struct(F.when(new, x["n"]).otherwise(a["used"] + x["n"]).alias("used"), F.when(new, F.array_append(a["at"], x["o"].cast("long"))).otherwise(a["at"]).alias("at"))
-
-    begins = turns.groupBy(job).agg(F.aggregate(rows, start, step, lambda a: a["at"]).alias("_at"))
-    return turns.join(begins, job).withColumn("chunk", (F.size(F.filter("_at", lambda s: s <= F.col(order))) - 1).cast("long")).drop("_at")
-
-
 def chunk_rollup(packed: DataFrame, job: str, order: str, size: Column) -> DataFrame:
     """AGG16: turns, characters and range of each chunk."""
     return packed.groupBy(job, "chunk").agg(F.count("*").alias("turns"), F.sum(size).cast("long").alias("chars"), F.min(order).alias("first_turn"), F.max(order).alias("last_turn"))
@@ -85,9 +71,9 @@ def keep_first(df: DataFrame, keys: list[Column], order: list[Column]) -> DataFr
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def carry_forward(df: DataFrame, job: str, order: str, column: str, name: str, start: Column) -> DataFrame:
-    """WIN02: the last known value, start before any."""
-    return df.withColumn(name, F.coalesce(F.last(column, ignorenulls=True).over(by(job, order)), start))
+def carry_forward(df: DataFrame, job: str, order: str, column: str, name: str, start: Column, rows: int | None = ROWS) -> DataFrame:
+    """WIN02: the last known value, start before any, in jobs of any size."""
+    return Scan(df, job, order, rows=rows).last_known(F.col(column), name).rows().withColumn(name, F.coalesce(name, start))
 
 
 def cluster_topics(topics: DataFrame, job: str = "job_id", least: float = 0.5) -> DataFrame:

@@ -53,7 +53,8 @@ c AS (SELECT t.*, w.chunk FROM t JOIN w USING (job_id, p)) """
 @query(CHUNKS + """SELECT job_id, chunk, count(*) AS turns, CAST(sum(n) AS BIGINT) AS chars, min("index") AS first_turn, max("index") AS last_turn FROM c GROUP BY ALL""")
 def turn_chunks(spark, sf):
     """GRP04, AGG16, SRC05, SNK21."""
-    return turns.chunk_rollup(packed(spark, sf), "job_id", "index", F.length("text"))
+    sizes = conversation_turns(spark, sf).select("job_id", "index", F.length("text").alias("n"))
+    return turns.chunk_rollup(turns.pack(sizes, "job_id", "index", F.col("n"), BUDGET), "job_id", "index", F.col("n"))
 
 
 @query(CHUNKS + """, b AS (SELECT job_id, chunk, min(p) AS b FROM c GROUP BY ALL)
