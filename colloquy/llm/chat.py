@@ -13,8 +13,8 @@ assistant turns. A conversation comes in parts of whole turns, PART characters o
 partition, so none has to fit in memory as a whole; most are one part.
 
 Defined cases: a message whose parent is null or isn't in its tree is a root; messages in a circle and those below
-have no root and come in no path; of messages that share an id, or have none, each is a message, replies hang on the
-first of them (by parent, role and text), and none on a null id; a null tree is a tree; null or NaN scores count 0;
+have no root and come in no path; of messages that share an id, or have none, each is a message, replies hang on one
+of them (the first by a digest of parent and role, then text: the same in every run), and none on a null id; a null tree is a tree; null or NaN scores count 0;
 null roles and texts are empty; texts are taken whole; empty tables give empty results; only the named columns are
 read, so others may have any name.
 """
@@ -145,7 +145,7 @@ def formatted(turns: DataFrame, keys: list[str], order: str, part_chars: int = P
                     if part is not None:
                         flush()
                     own, part = key, 0
-                if text and at + len(h) + len(s) > part_chars:
+                if text and at + len(h) + len(s) + len(END) + 1 > part_chars:
                     flush()
                 if learned:
                     mask.append({"start": at + len(h), "end": at + len(h) + len(s)})

@@ -14,7 +14,7 @@ only the best k of each task are shuffled, and only the k-th score of each searc
 batch reads what its radii reach, so work is batches times that.
 
 Defined cases: rows with a null id or label, a null vector or one with null or non-finite components take no part; zero
-vectors do; rows are compared with rows of equally many components; rows that share the anchor's id are not its
+vectors do; rows are compared with rows of equally many components, none included; rows that share the anchor's id are not its
 candidates; a repeated anchor asks once, with its least (vector, label); repeated candidates count each; equal scores come by smaller
 id; fewer than k candidates are all returned; an anchor without positives, or a positive of score below 0, has no rows; an
 empty table gives an empty result; columns beside id and vector are read only by label and is_anchor, so others
@@ -224,6 +224,8 @@ def mine(vectors: DataFrame, label: Column, is_anchor: Column, k: int = K, low:
     spark.createDataFrame([], RESULT).write.parquet(path)
     for d, n, longest in sorted(sizes):
         own = rows.where(F.size("v") == d).withColumn("v", F.col("v").cast("array<int>"))
+        if not d:  # empty vectors score as a zero does
+            own, d = own.withColumn("v", F.array(F.lit(0))), 1
         drawn = own.select("v").orderBy(F.xxhash64("id"), "id", "v").limit(SAMPLE).toPandas()
         x = np.array(drawn["v"].tolist(), dtype=np.float64).reshape(len(drawn), d)
         space = Space(longest, np.zeros((1, d + 1)))
