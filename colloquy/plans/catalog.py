@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions import text as T
-from colloquy.operators import intervals, lines, review, turns
+from colloquy.operators import intervals, lines, review, substrings, turns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -264,6 +264,19 @@ def quote_traceability(spark, sf):
     return lines.traced(q, d).select(F.col("quote_id").alias("item_id"), F.col("text_id").alias("doc_id"))
 
 
+LATIN, IDEOGRAPHS = "abcdefghijklmnopqrstuvwxyz \n\r\t", "天地玄黃宇宙洪荒日月盈昃辰宿列張寒來暑往秋收冬藏閏餘"
+
+
+@query("""WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'abcdefghijklmnopqrstuvwxyz ' || chr(10) || chr(13) || chr(9), '天地玄黃宇宙洪荒日月盈昃辰宿列張寒來暑往秋收冬藏閏餘') AS t FROM documents),
+q AS (SELECT doc_id AS quote_id, substr(t, 1 + doc_id % 50, 1 + doc_id * 7 % 70) AS q FROM t) SELECT quote_id, doc_id FROM q JOIN t ON q <> '' AND contains(t, q)""")
+def ideograph_quotations(spark, sf):
+    """JN09, FLT05: a quotation from each document, of 1 to 70 characters of a script without spaces, in all documents, by the index of substrings."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("text_id"), F.translate(F.coalesce("text", F.lit("")), LATIN, IDEOGRAPHS).alias("text"))
+    i = F.col("text_id")
+    q = d.select(i.alias("quote_id"), F.substr("text", (1 + i % 50).cast("int"), (1 + i * 7 % 70).cast("int")).alias("quote"))
+    return substrings.held(q, d).select("quote_id", F.col("text_id").alias("doc_id"))
+
+
 @query(PAIRS + "SELECT item_id FROM q WHERE NOT EXISTS (SELECT 1 FROM t WHERE contains(t, q))")
 def untraceable_quotes(spark, sf):
     """JN09 anti."""

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions import text as T
-from colloquy.operators import render, review, turns
+from colloquy.operators import render, review, similar, turns
 from colloquy.plans.catalog import CARDS, CHUNKS, cards, conversation_turns, packed, query, table
 
 STAMP_SQL = """printf('%02d:%02d:%02d', "index" * 35 // 3600, "index" * 35 % 3600 // 60, "index" * 35 % 60)"""
@@ -233,10 +233,10 @@ b AS (SELECT t.conv_id AS job, t.turn, max(len(list_intersect(t.s, u.s)) / (len(
 @query(ALIKE + "SELECT job AS job_id, turn FROM b WHERE best < 0.5")
 def missing_topics(spark, sf):
     """JN10: topics are whole turns, titles whole turns or their first words."""
-    i, x = F.col("index"), F.col("text")
-    title = F.when(i % 2 == 0, x).otherwise(F.get(F.split(x, " "), F.lit(0)))
-    j = conversation_turns(spark, sf).groupBy("job_id").agg(F.collect_list(F.struct(i.alias("id"), x.alias("label"))).alias("topics"), F.collect_list(title).alias("titles"))
-    return j.select("job_id", F.explode(review.missing_topics(F.col("topics"), F.col("titles"))).alias("turn"))
+    t = conversation_turns(spark, sf)
+    title = F.when(F.col("index") % 2 == 0, F.col("text")).otherwise(F.get(F.split("text", " "), F.lit(0)))
+    left = similar.unmatched(t.select("job_id", F.col("index").alias("id"), F.col("text").alias("label")), t.select("job_id", title.alias("label")), "job_id")
+    return left.select("job_id", F.col("id").alias("turn"))
 
 
 _CHECKED = [render.HEADINGS[k] for k in ("highlights", "topics", "open", "next")]
