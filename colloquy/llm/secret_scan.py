@@ -1,11 +1,14 @@
 """Operator 1: secret scans.
 
 Base patterns find assignments, access keys and hexadecimal strings. The method
-adds spans: over each candidate string (a run of key characters) a window slides,
+adds spans: over each candidate string (a run of LEAST key characters or more) a window slides,
 its Shannon entropy kept by incremental counts, with a threshold for each
 character class; stretches above it that no allow-list rule explains are reported
-as kind ``entropy``. Every candidate with a letter is scored, digits or not. Letters count
-as words by the share of their letter pairs that are common in English, German, French or
+as kind ``entropy``. The window is WINDOW characters, or the candidate where that is shorter, with the threshold's
+share of what so many characters can reach. What is left of a candidate between stretches or at its ends and is
+shorter than a window, and so can't be judged alone, goes with them. A stretch is left out only if one base span holds all of it, so spans may overlap.
+Every candidate with a letter is scored, digits or not; one shorter than WINDOW must have two of upper case,
+lower case and digits. Letters count as words by the share of their letter pairs that are common in English, German, French or
 Spanish, and by few changes to upper case; random letters pass as words now and then.
 
 Defined cases: a null or empty text has no spans; repeated rows are scanned one by
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from colloquy.llm.common import prepare
-from colloquy.llm.spans import Span, overlapping, scanner
+from colloquy.llm.spans import Span, scanner, within
 
 KINDS = ["assign", "access", "hex"]
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -33,9 +36,9 @@ ASSIGN_HINT = re.compile("passw|secret|token|api", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 
-WINDOW = 20
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % WINDOW)
-UPPER, LOWER = re.compile("[A-Z]"), re.compile("[a-z]")
+WINDOW, LEAST = 20, 12
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % LEAST)
+UPPER, LOWER, DIGIT = re.compile("[A-Z]"), re.compile("[a-z]"), re.compile("[0-9]")
 #: Bits a character that a window of WINDOW characters must reach, by character class.
 THRESHOLDS = {"hex": 2.9, "lower": 3.4, "upper": 3.4, "mixed": 3.6}
 #: Candidates that are no secrets: UUIDs, dates and times; worded() knows paths and names.
@@ -76,17 +79,18 @@ def character_class(candidate: str) -> str:
 
 
 def hot_stretches(candidate: str) -> list[tuple[int, int]]:
-    """Stretches covered by windows whose entropy reaches the class's threshold.
+    """Stretches covered by windows whose entropy reaches the class's threshold, with what is too short to be judged beside them.
 
     The sum of c*log2(c) is changed by the character that enters and the one that
     leaves, so a step costs the same whatever the window.
     """
-    least = THRESHOLDS[character_class(candidate)] - 1e-9  # sums round
+    window = min(WINDOW, len(candidate))
+    full = math.log2(window) if window else 0.0
+    least = THRESHOLDS[character_class(candidate)] * full / math.log2(WINDOW) - 1e-9  # sums round
     counts: dict[str, int] = {}
     total, found = 0.0, []
-    full = math.log2(WINDOW)
     for i, ch in enumerate(candidate):
-        out = candidate[i - WINDOW] if i >= WINDOW else ""
+        out = candidate[i - window] if i >= window else ""
         if out != ch:
             if out:  # the one that leaves goes first, so no count exceeds the window
                 n = counts[out]
@@ -95,15 +99,24 @@ def hot_stretches(candidate: str) -> list[tuple[int, int]]:
             n = counts.get(ch, 0)
             total += _PART[n + 1] - _PART[n]
             counts[ch] = n + 1
-        if i >= WINDOW - 1 and full - total / WINDOW >= least:
-            a = i - WINDOW + 1
-            if found and a <= found[-1][1]:
+        if i >= window - 1 and full - total / window >= least:
+            a = i - window + 1
+            if found and a - found[-1][1] < window:
                 found[-1] = (found[-1][0], i + 1)
             else:
                 found.append((a, i + 1))
+    if found and found[0][0] < window:
+        found[0] = (0, found[0][1])
+    if found and len(candidate) - found[-1][1] < window:
+        found[-1] = (found[-1][0], len(candidate))
     return found
 
 
+def mixed(candidate: str) -> bool:
+    """Two of upper case, lower case and digits."""
+    return sum(p.search(candidate) is not None for p in (UPPER, LOWER, DIGIT)) >= 2
+
+
 def allowed(candidate: str) -> bool:
     return any(p.fullmatch(candidate) for p in ALLOWED)
 
@@ -136,13 +149,13 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
     rank = {k: i for i, k in enumerate([*KINDS, "entropy"])}
     order = lambda s: (s[1], rank[s[0]], s[2])
     base.sort(key=order)
-    touches = overlapping(base)
+    covered = within(base)
     added: list[Span] = []
     for m in CANDIDATE.finditer(text):
         s = m.group()
-        if (LOWER.search(s) or UPPER.search(s)) and not allowed(s) and (hot := hot_stretches(s)) and not worded(s):
+        if (LOWER.search(s) or UPPER.search(s)) and (len(s) >= WINDOW or mixed(s)) and not allowed(s) and (hot := hot_stretches(s)) and not worded(s):
             for a, b in hot:
-                if not touches(m.start() + a, m.start() + b):
+                if not covered(m.start() + a, m.start() + b):
                     added.append(("entropy", m.start() + a, m.start() + b))
     return base, sorted([*base, *added], key=order) if added else base
 

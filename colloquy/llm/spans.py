@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
+from bisect import bisect_right
 from collections.abc import Callable, Iterable, Iterator
 from itertools import accumulate
 
@@ -21,11 +21,11 @@ def digest(spans: Iterable[Span]) -> str:
     return hashlib.sha256(join(spans).encode()).hexdigest()
 
 
-def overlapping(spans: list[Span]) -> Callable[[int, int], bool]:
-    """Whether a stretch overlaps any of the spans, which are ordered by start: one search a question."""
+def within(spans: list[Span]) -> Callable[[int, int], bool]:
+    """Whether a stretch lies inside one of the spans, which are ordered by start: one search a question."""
     first = [a for _, a, _ in spans]
     furthest = list(accumulate((b for *_, b in spans), max))
-    return lambda a, b: bool((n := bisect_left(first, b)) and furthest[n - 1] > a)
+    return lambda a, b: bool((n := bisect_right(first, a)) and furthest[n - 1] >= b)
 
 
 def scanner(find: Callable[[str], tuple[list[Span], list[Span]]], kinds: list[str], id_column: str = "doc_id", text_column: str = "text"):
