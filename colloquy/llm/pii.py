@@ -15,14 +15,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_right
 from collections.abc import Callable, Iterable, Iterator
-from itertools import accumulate
 
 from pyspark.sql import DataFrame
 
 from colloquy.llm.common import prepare
-from colloquy.llm.spans import Span, scanner
+from colloquy.llm.spans import Span, scanner, within
 
 KINDS = ["email", "ip", "card", "phone"]
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -85,6 +83,7 @@ DIGIT_NAMES = [
     "zéro un deux trois quatre cinq six sept huit neuf",
     "cero uno dos tres cuatro cinco seis siete ocho nueve",
 ]
+DIGIT_LETTERS = {"O": "0", "o": "0", "I": "1", "l": "1"}
 AT_WORDS, DOT_WORDS = "at|arroba|ät|chez", "dot|punkt|point|punto"
 
 _GLYPHS = dict(zip(LOOKALIKES[::2], LOOKALIKES[1::2], strict=True)) | dict.fromkeys(DASHES, "-") | dict.fromkeys(SPACES, " ") | dict.fromkeys(HIDDEN, "") | dict.fromkeys(DOTS, ".")
@@ -100,16 +99,25 @@ _SPELLED_WORD = re.compile(rf"(?:(?P<plus>plus)|(?P<name>{_NAME})|(?P<digit>[0-9
 _BOXED_AT = re.compile(rf"[\[({{<]\s*(?:{AT_WORDS}|@)\s*[\])}}>]\s*", re.IGNORECASE)
 _BOXED_DOT = re.compile(rf"[\[({{<]\s*(?:{DOT_WORDS}|\.)\s*[\])}}>]\s*", re.IGNORECASE)
 _ATOM = r"[A-Za-z0-9_%+-]+"
-_SAID = re.compile(rf"(?<![A-Za-z0-9._%+-]){_ATOM}(?:(?:\.|\s+(?:{DOT_WORDS})\s+){_ATOM}){{0,4}}(?:\s+(?:{AT_WORDS})\s+|@){_ATOM}(?:(?:\.|\s+(?:{DOT_WORDS})\s+){_ATOM}){{1,6}}", re.IGNORECASE)
-# Matches begin where white space begins, so each run of it is read once.
+# Chains of atoms, joined by written or said dots, forwards and, over the reversed text, backwards. They give nothing back, so each is read once.
+_CHAIN = re.compile(rf"{_ATOM}+(?:(?:\.|\s++(?:{DOT_WORDS})\s++){_ATOM}+)*+", re.IGNORECASE)
+_CHAIN_BACK = re.compile(rf"{_ATOM}+(?:(?:\.|\s++(?:{DOT_WORDS[::-1]})\s++){_ATOM}+)*+", re.IGNORECASE)
+# Matches begin where white space begins, so each run of it is read once; two at words may share the white space between them.
 _SAID_DOT = re.compile(rf"(?<!\s)\s+(?:{DOT_WORDS})\s+", re.IGNORECASE)
-_SAID_AT = re.compile(rf"(?<!\s)\s+(?:{AT_WORDS})\s+", re.IGNORECASE)
+_SAID_AT = re.compile(rf"(?<!\s)\s+(?:{AT_WORDS})(?=\s)|(?<=[A-Za-z0-9_%+-])@(?=[A-Za-z0-9_%+-])", re.IGNORECASE)
+_WHOLE_AT = re.compile(rf"\s+(?:{AT_WORDS})\s+|@", re.IGNORECASE)
+_LABEL = re.compile("[A-Za-z]{2,}")
+# Endings of file names, which a domain of two labels behind a said "at" doesn't have.
+FILE_ENDINGS = frozenset("bat bin cfg conf cpp css csv doc docx exe gif gz htm html ini jpeg jpg js json log md mov mp3 mp4 pdf php png ppt pptx py rar rs rtf sh sql svg tar ts txt wav xls xlsx xml yaml yml zip".split())
 _NUMBER_DOT = re.compile(rf"(?<=[0-9])\s+(?:{DOT_WORDS})\s+(?=[0-9])", re.IGNORECASE)
 # All that the transducers rewrite holds a dot word, a box or an at word before a domain whose first dot is written.
 _HINT = re.compile(rf"(?<![^\W_])(?:{DOT_WORDS})(?![^\W_])|[\[({{<]\s*(?:{AT_WORDS}|@|\.)\s*[\])}}>]|(?<=\s)(?:{AT_WORDS})\s+{_ATOM}\.[A-Za-z0-9_%+-]", re.IGNORECASE)
 
 
 _DOT_WORD = re.compile(DOT_WORDS, re.IGNORECASE)
+# Groups of digits with letters in their places, and a sign that there may be one.
+_DIGIT_RUN = re.compile(r"(?<![\w+.-])\+?(?=[0-9OoIl -]*[OoIl])[0-9OoIl]++(?:[ -][0-9OoIl]++)*+(?!\w)")
+_LETTERED = re.compile("[0-9][OoIl]|[OoIl][0-9]")
 _NOT_ASCII = re.compile("[^\x00-\x7f]")
 
 #: What a transducer puts out: characters, and the positions (end exclusive) they stand for.
@@ -152,21 +160,58 @@ class Tape:
         return True
 
 
+def domain(text: str) -> bool:
+    """Whether what stands behind a said "at" can be a domain: two labels or more, the last of two letters or more, no file
+    name, and no sentence that begins behind a written dot."""
+    written = re.split(rf"(\.)|\s+(?:{DOT_WORDS})\s+", text, flags=re.IGNORECASE)
+    labels, last = written[::2], written[-1]
+    if len(labels) < 2 or not _LABEL.fullmatch(last):
+        return False
+    if written[-2] is None:  # the dot is said
+        return True
+    return not (last[0].isupper() and last[1:].islower()) and not (len(labels) == 2 and last.lower() in FILE_ENDINGS)
+
+
 def said(text: str) -> Iterator[re.Match]:
-    """The dot words, and between them the at words, of all disguised addresses, in order."""
-    for m in _SAID.finditer(text):
-        at, stop = m.span()
-        for dot in _SAID_DOT.finditer(text, at, stop):
-            yield from _SAID_AT.finditer(text, at, dot.start())
-            yield dot
-            at = dot.end()
-        yield from _SAID_AT.finditer(text, at, stop)
+    """The dot words, and between them the at words, of all disguised addresses, in order.
+
+    Each at takes the chains of atoms on both sides, however long; a chain that one at has taken, or that can't be a domain, isn't
+    read again, so the work grows with the text.
+    """
+    back = None
+    done = known = 0  # no address reaches back before the first; up to the second lies a chain that is no domain
+    for at in _SAID_AT.finditer(text):
+        if at.start() < max(done, known):
+            continue
+        at = _WHOLE_AT.match(text, at.start())
+        right = _CHAIN.match(text, at.end())
+        if right is None or "." not in right.group() and not _SAID_DOT.search(right.group()):
+            continue
+        if at.group() != "@" and not domain(right.group()):
+            known = right.end()
+            continue
+        back = back or text[::-1]
+        left = _CHAIN_BACK.match(back, len(text) - at.start(), len(text) - done)
+        if left is None:
+            continue
+        a, b = len(text) - left.end(), right.end()
+        yield from _SAID_DOT.finditer(text, a, at.start())
+        yield at
+        yield from _SAID_DOT.finditer(text, at.end(), b)
+        done = b
 
 
 def _said(m: re.Match) -> list[Piece]:
     return [("." if _DOT_WORD.fullmatch(m.group().strip()) else "@", m.start(), m.end())]
 
 
+def _digit_letters(m: re.Match) -> list[Piece] | None:
+    """Letters that look like digits among seven digits or more."""
+    if len(_DIGIT.findall(m.group())) < 7:
+        return None
+    return [(DIGIT_LETTERS.get(c, c), m.start() + i, m.start() + i + 1) for i, c in enumerate(m.group())]
+
+
 def _glyph(m: re.Match) -> list[Piece] | None:
     c = m.group()
     if c in _GLYPHS:
@@ -201,6 +246,8 @@ def normalised(text: str) -> Tape | None:
     tape, changed = Tape(text), False
     if _BEYOND.search(text):
         changed |= tape.rewrite(_NOT_ASCII.finditer(text), _glyph)
+    if _LETTERED.search(tape.text):
+        changed |= tape.rewrite(_DIGIT_RUN.finditer(tape.text), _digit_letters)
     if _SPELLED_HINT.search(tape.text):
         changed |= tape.rewrite(_SPELLED.finditer(tape.text), _digits)
     if _HINT.search(tape.text):
@@ -212,14 +259,7 @@ def normalised(text: str) -> Tape | None:
 
 
 def may_differ(text: str) -> bool:
-    return bool(_BEYOND.search(text) or _HINT.search(text) or _SPELLED_HINT.search(text))
-
-
-def within(spans: list[Span]) -> Callable[[int, int], bool]:
-    """Whether a stretch lies inside one of the spans, which are ordered by start."""
-    first = [a for _, a, _ in spans]
-    furthest = list(accumulate((b for *_, b in spans), max))
-    return lambda a, b: bool((n := bisect_right(first, a)) and furthest[n - 1] >= b)
+    return bool(_BEYOND.search(text) or _HINT.search(text) or _SPELLED_HINT.search(text) or _LETTERED.search(text))
 
 
 def find(text: str) -> tuple[list[Span], list[Span]]:

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import time
 import zlib
 from itertools import product
@@ -58,15 +59,41 @@ def test_entropy_is_that_of_a_naive_recount():
     for _ in range(3000):
         s = "".join(rng.choice(rng.choice(["ab", "abc123", "aAbBcC019+/", "0123456789abcdef", "XYZQWE-_="])) for _ in range(rng.randint(0, 70)))
         s += s[:1] * rng.choice([0, 0, 25])
-        least = secret_scan.THRESHOLDS[secret_scan.character_class(s)] - 1e-9
+        n = min(secret_scan.WINDOW, len(s))
+        least = secret_scan.THRESHOLDS[secret_scan.character_class(s)] * (math.log2(n) if n else 0) / math.log2(secret_scan.WINDOW) - 1e-9
         covered = set()
-        for a in range(len(s) - secret_scan.WINDOW + 1):
-            w = s[a : a + secret_scan.WINDOW]
-            if -sum(w.count(c) / len(w) * math.log2(w.count(c) / len(w)) for c in set(w)) >= least:
+        for a in range(len(s) - n + 1):
+            w = s[a : a + n]
+            if w and -sum(w.count(c) / len(w) * math.log2(w.count(c) / len(w)) for c in set(w)) >= least:
                 covered |= set(range(a, a + len(w)))
+        # What lies between or beside covered characters and is shorter than a window goes with them.
+        for run in [[-1, *sorted(covered), len(s)]] if covered else []:
+            for a, b in zip(run, run[1:], strict=False):
+                covered |= set(range(a + 1, b)) if b - a - 1 < n else set()
         assert {i for a, b in secret_scan.hot_stretches(s) for i in range(a, b)} == covered
 
 
+BASE62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def test_no_part_of_a_key_is_left():
+    """Keys with a base span inside go whole: hexadecimal, access and assignment parts."""
+    rng = random.Random(9)
+    draw = lambda n, of=BASE62: "".join(rng.choice(of) for _ in range(n))
+    for _ in range(1000):
+        for key in (draw(30) + draw(16, "0123456789abcdef") + draw(30), draw(10) + "AKIA" + draw(16, BASE62[:26]) + draw(25), draw(25) + "token=" + draw(25), "AKIA" + draw(16, BASE62[:26]) + draw(20)):
+            assert secret_scan.redacted(f"( {key} )") == "( [SECRET] )"
+
+
+@pytest.mark.parametrize("n", [12, 13, 16, 19, 24])
+def test_short_keys_are_found(n):
+    rng = random.Random(n)
+    keys = ["".join(rng.choice(BASE62) for _ in range(n)) for _ in range(2000)]
+    assert sum(secret_scan.redacted(f"key {k}.") != "key [SECRET]." for k in keys) < 0.03 * len(keys)
+    for words in ("internationally", "Donaudampfschiff", "getElementById", "2024-01-02T10", "z" * 19, "xyzxyzxyzxyz", "well-known-path", "1234567890123"):
+        assert secret_scan.find(words)[1] == []
+
+
 def test_decode_is_the_best_of_all_paths():
     rng = random.Random(5)
     model = toxicity.language_model(np.random.default_rng(6).integers(0, 60, toxicity.SIZE**3).astype(float)).astype(float)
@@ -292,3 +319,64 @@ def test_pipeline_stages_on_awkward_rows(spark, tmp_path):
     docs = wide(spark, rows)
     docs.write.parquet(folder + "/documents.parquet")
     assert corpus_pipeline.run(spark, folder).count() > 0
+
+
+def slow_addresses(text):
+    """Said addresses by walking over words from each at, both ways, atom by atom."""
+    tokens = [(m.group(), m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9-]+|\s+|.", text)]
+    word = lambda i: tokens[i][0] if 0 <= i < len(tokens) else ""
+    atom = lambda i: bool(re.fullmatch("[A-Za-z0-9-]+", word(i)))
+    said_dot = lambda i, step: word(i).isspace() and word(i + step).lower() in pii.DOT_WORDS.split("|") and word(i + 2 * step).isspace()
+
+    def walk(i, step):
+        labels, dots = [word(i)], []
+        while True:
+            far = 2 if word(i + step) == "." else 4 if said_dot(i + step, step) else 0
+            if not far or not atom(i + far * step):
+                return i, labels, dots
+            dots.append(far == 4)
+            i += far * step
+            labels.append(word(i))
+
+    found, done = [], 0
+    for i, (t, start, _) in enumerate(tokens):
+        if t.lower() not in pii.AT_WORDS.split("|") or not word(i - 1).isspace() or not word(i + 1).isspace() or start < done or not atom(i + 2):
+            continue
+        end, labels, dots = walk(i + 2, 1)
+        last = labels[-1]
+        if not dots or not re.fullmatch("[A-Za-z]{2,}", last) or (not dots[-1] and (last[0].isupper() and last[1:].islower() or len(labels) == 2 and last.lower() in pii.FILE_ENDINGS)):
+            continue
+        if atom(i - 2) and tokens[i - 2][1] >= done:
+            j = i - 2
+            while True:
+                far = 2 if word(j - 1) == "." else 4 if said_dot(j - 1, -1) else 0
+                if not far or not atom(j - far) or tokens[j - far][1] < done:
+                    break
+                j -= far
+            found.append(("email", tokens[j][1], tokens[end][2]))
+            done = tokens[end][2]
+    return found
+
+
+def test_said_addresses_of_any_length_equal_a_slow_walk():
+    rng = random.Random(11)
+    words = ["at", "dot", "jane", "x", "mail", "com", "org", "Then", "md", "5", "punkt", "me", "chez", "no"]
+    some = 0
+    for _ in range(6000):
+        text = "".join(rng.choice(words) + rng.choice([" ", " ", " ", ".", "  ", " at ", " dot ", ", ", "\n"]) for _ in range(rng.randint(2, 18)))
+        want = slow_addresses(text)
+        assert pii.find(text)[1] == want, text
+        some += len(want)
+    assert some > 1500
+    for n in (1, 5, 6, 40):
+        local, domain = (" dot ".join(f"a{i}" for i in range(n)), ".".join(f"b{i}" for i in range(n)) + ".com")
+        text = f"write to {local} at {domain}, please"
+        assert pii.find(text)[1] == [("email", 9, len(text) - 8)]
+
+
+def test_no_addresses_and_digits_with_letters():
+    for text in ("meet at 10.30", "look at readme.md", "back at no.5", "arrived at Berlin.Then left", "is at 4.2 bar", "call O and l"):
+        assert pii.find(text)[1] == [], text
+    assert pii.find("pay 4l11 1111 1111 1111 now")[1] == [("card", 4, 23)]
+    assert pii.find("call +49 l7O 123456O!")[1] == [("phone", 5, 20)]
+    assert pii.find("pay 4l11 1111 1111 1112 now")[1] == []
