@@ -21,12 +21,19 @@ def json_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def loads_loose(text: Column) -> Column:
     """SRC02: an object as VARIANT from a reply: the text itself, the text without its fences, or the first balanced object in it; else null."""
-    bare = F.regexp_replace(text, r"(?m)^\s*```(?:json)?\s*|\s*```\s*$", "")
+    bare = F.array_join(F.transform(F.split(text, "\n"), _without_fence), "\n")
     whole = F.coalesce(F.try_parse_json(text), F.try_parse_json(bare))
     only_object = lambda v: F.when(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), v)
     return F.when(whole.isNotNull(), only_object(whole)).otherwise(only_object(F.try_parse_json(first_object(text))))
 
 
+def _without_fence(line: Column) -> Column:
+    """A line without the fence that it begins with, the word json behind that, and one that it ends with."""
+    plain, fence = F.trim(line, F.lit(" \t\r")), "`" * 3
+    inner = F.when(F.startswith(plain, F.lit(f"{fence}json")), F.substr(plain, F.lit(8))).when(F.startswith(plain, F.lit(fence)), F.substr(plain, F.lit(4))).otherwise(plain)
+    return F.when(F.endswith(inner, F.lit(fence)), F.substr(inner, F.lit(1), F.length(inner) - 3)).otherwise(inner)
+
+
 def first_object(text: Column) -> Column:
     """The text from its first brace to the one that closes it, braces in strings apart; null if none does.
 

@@ -183,3 +183,39 @@ def test_file_sinks(spark, tmp_path):
     for n in ("b.md", "a.json"):
         (tmp_path / "names" / n).write_text("x")
     assert [r["name"] for r in files.names(spark, str(tmp_path / "names")).collect()] == ["a.json", "b.md"]
+
+
+def test_script_trie_equals_a_naive_scan(spark):
+    """Overlapping phrases, the longest at each place, outputs not read again; a large table."""
+    import random
+
+    rng = random.Random(1)
+    for n in (3, 40, 20_000):
+        letters = "你好嗎我們是abc"
+        table = {"".join(rng.choice(letters) for _ in range(rng.randint(1 if n < 100 else 4, 7))): "".join(rng.choice(letters) for _ in range(rng.randint(0, 4))) for _ in range(n)}
+        texts = ["".join(rng.choice(letters + "x。") for _ in range(rng.randint(0, 200))) for _ in range(60)] + [None, ""]
+
+        def naive(t):
+            out, i = "", 0
+            while i < len(t):
+                k = next((k for k in range(7, 0, -1) if t[i : i + k] in table and i + k <= len(t)), 0)
+                out, i = out + (table[t[i : i + k]] if k else t[i]), i + (k or 1)
+            return out
+
+        got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.map_script(F.col("t"), {"嗎": "吗"}, table).alias("x")).orderBy("i").collect()
+        assert [r["x"] for r in got] == [t if t is None else naive(t.replace("嗎", "吗")) for t in texts]
+
+
+def test_names_quotations_and_reports(spark):
+    def one(c):
+        return spark.range(1).select(c.alias("x")).first()["x"]
+
+    assert [one(T.slug(F.lit(x))) for x in (" a/b:c  d ", "", "...", "ＡＢ　Ｃ", "x" * 50, "a--b", "會 議")] == ["a-b-c-d", "會議", "會議", "AB-C", "x" * 40, "a--b", "會-議"]
+    kinds = [one(T.report_type(F.lit(a), F.lit(n))) for a, n in ((" Client ", 0), ("PARTNER", 5), ("x", 3), (None, 2))]
+    assert kinds == ["advisory", "advisory", "action", "record"] and all(one(T.report_reason(F.lit(k))) for k in kinds)
+    note = "他說「這句話剛好有十個字喔」和「太短」\n> [00:01] 王：「引號裡面的話也要十個字」\n>   李: plain words are quoted\n> [x] short\n「「這句話剛好有十個字喔」"
+    assert one(T.quotations(F.lit(note))) == ["這句話剛好有十個字喔", "引號裡面的話也要十個字", "plain words are quoted"]
+    assert one(T.query_tokens(F.lit("見 API/v2: 預算 a 會 __x.y- 預算 ab"))) == ["預算", "apiv2", "xy"]
+    assert one(T.roster(F.lit("王、李 張/王\n陳，"))) == ["王", "李", "張", "陳"]
+    assert [tuple(one(c) for c in T.speaker_guess(F.lit(v))) for v in ("王（主席）", "王", "王（）", " 王 （ a（b） ） ", "（x）")] == [("王", "主席"), ("王", None), ("王（）", None), ("王", "a（b）"), ("", "x")]
+    assert one(T.sentences(F.lit("a。b？！c"))) == ["a。", "b？", "！", "c"] and one(T.sentences(F.lit(""))) == []

@@ -46,11 +46,10 @@ def test_quotation_lines(spark):
     assert column(spark, list(want), lines.quoted) == list(want.values())
 
 
-@pytest.mark.parametrize("passes", [8, 0])
-def test_traced(spark, monkeypatch, passes):
-    """Quotations of any length and script, by one automaton and, beyond its passes, by key."""
-    monkeypatch.setattr(lines, "PASSES", passes)
-    monkeypatch.setattr(lines, "AUTOMATON", 30)  # several passes
+@pytest.mark.parametrize("most", [10**6, 20])
+def test_traced(spark, monkeypatch, most):
+    """Quotations of any length and script, by one automaton and, beyond what it holds, by the index."""
+    monkeypatch.setattr(lines, "AUTOMATON", most)
     quotes = ["會議結論", "brown", " ", "brown  fox", "zzz", "one two three four five six", "", None, "two\nthree", "quick brown fox jumps over it"]
     texts = ["今天會議結論如下", "quick brown\nfox", None, "xone two three four five sixy", "a quick  brown fox jumps over it all", ""]
     got = lines.traced(spark.createDataFrame(list(enumerate(quotes)), "quote_id int, quote string"), spark.createDataFrame(list(enumerate(texts)), "text_id int, text string"))
