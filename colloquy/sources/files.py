@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +56,32 @@ def agent_json(spark: SparkSession, path: str) -> DataFrame:
     return transcripts(spark, path).select("job_id", loads_loose(F.col("text")).alias("value"))
 
 
+# Fixed value: the file of a job's folder that tells what the job is.
+SUMMARY = "job.json"
+
+
+def archive(spark: SparkSession, path: str, fields: str) -> DataFrame:
+    """SRC14, SRC05: one row a job folder below path: job_id, its summary's fields, names (sorted) and bytes of its files, updated_at, error.
+
+    Names and sizes come from the listing; only summaries are opened, many to a task. A folder whose summary is missing or no object is a row in
+    state error that says so, and hides no other. Folders whose names begin with a dot and those without any file are left out.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    raw = spark._jvm.org.apache.hadoop.fs.Path(path).toUri().getRawPath().rstrip("/") + "/"
+    below = F.substr("_metadata.file_path", F.instr("_metadata.file_path", raw) + len(raw))
+    job = F.url_decode(F.replace(F.get(F.split(below, "/"), F.lit(0)), F.lit("+"), F.lit("%2B")))
+    each = listed.select(job.alias("job_id"), F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_modification_time").alias("at"))
+    files = each.where(~F.startswith("job_id", F.lit("."))).groupBy("job_id").agg(F.array_sort(F.collect_set("name")).alias("names"), F.sum("size").alias("bytes"), F.max("at").alias("updated_at"))
+    told = spark.read.option("pathGlobFilter", SUMMARY).option("recursiveFileLookup", True).text(path, wholetext=True).select(job.alias("job_id"), F.col("value").alias("summary"))
+    object_ = F.startswith(F.schema_of_variant(F.try_parse_json("summary")), F.lit("OBJECT"))
+    both = files.join(told, "job_id", "left").withColumn("_error", F.when(F.col("summary").isNull(), "missing").when(~F.coalesce(object_, F.lit(False)), "unreadable"))
+    row = F.from_json(F.when(F.col("_error").isNull(), F.col("summary")), fields)
+    names = [f.split()[0] for f in fields.split(",")]
+    instead = {"state": F.lit("error"), "title": F.col("job_id")}
+    rows = both.withColumn("_row", row)
+    return rows.select("job_id", *(F.when(F.col("_error").isNotNull(), instead[n]).otherwise(F.col(f"_row.{n}")).alias(n) if n in instead else F.col(f"_row.{n}").alias(n) for n in names), "names", "bytes", "updated_at", F.col("_error").alias("error"))
+
+
 def first_existing(*sources: Column) -> Column:
     """SRC06-07: the first source that is there."""
     return F.coalesce(*sources)
@@ -68,29 +92,6 @@ def names(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("_metadata.file_name").alias("name")).distinct().orderBy("name")
 
 
-def write_table(df: DataFrame, path: str) -> None:
-    """SNK02, SNK04: a table that readers see whole or not at all: it is written beside its place, then renamed into it.
-
-    The old table stays until the new one is whole; between the two renames there is no table, never a part of one.
-    """
-    spark = df.sparkSession
-    at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
-    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    new, old = f"{path}.{uuid.uuid4().hex}.new", f"{path}.{uuid.uuid4().hex}.old"
-    df.write.parquet(new)
-    had = fs.exists(at(path))
-    if had and not fs.rename(at(path), at(old)) or not fs.rename(at(new), at(path)):
-        raise OSError(f"could not replace {path}")
-    if had:
-        fs.delete(at(old), True)
-
-
-def write_transcripts(turns: DataFrame, path: str) -> None:
-    """SNK01: turns as JSON rows and as text, one line a turn."""
-    turns.write.mode("overwrite").json(f"{path}/json")
-    turns.select(F.col("text").alias("value")).write.mode("overwrite").text(f"{path}/text")
-
-
 def park(messages: DataFrame, path: str) -> None:
     """SNK22: notices that weren't delivered, appended to a log."""
     header = F.concat(F.lit("=== "), F.date_format("at", "yyyy-MM-dd HH:mm:ss"), *(F.concat(F.lit(f" | {c}="), F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("-"))) for c in ("event", "mode")), F.lit(" | "), F.coalesce(F.nullif(F.col("reason"), F.lit("")), F.lit("-")), F.lit(" ==="))

@@ -28,16 +28,19 @@ def latest_status(events: DataFrame, idle: str = "1 day", delay: str = "10 minut
         if state.hasTimedOut:
             state.remove()
             return
-        last, at = state.get if state.exists else (None, float("-inf"))
-        rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
-        ts = rows["ts"].iloc[-1].timestamp()
-        if ts >= at:
-            last, at = rows["state"].iloc[-1], ts
+        last, at = state.get if state.exists else (None, -(2**62))
+        rows = pd.concat(list(batches)).sort_values("ms", kind="stable")
+        ms = int(rows["ms"].iloc[-1])
+        if ms >= at:
+            last, at = rows["state"].iloc[-1], ms
         state.update((last, at))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(at * 1000)) + wait)
-        yield pd.DataFrame({"job_id": [key[0]], "state": [last], "updated_at": [pd.Timestamp(at, unit="s")]})
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), at) + wait)
+        yield pd.DataFrame({"job_id": [key[0]], "state": [last], "ms": [at]})
 
-    return events.withWatermark("ts", delay).groupBy("job_id").applyInPandasWithState(step, "job_id string, state string, updated_at timestamp", "state string, at double", "update", "EventTimeTimeout")
+    # Milliseconds come from the JVM: pandas shows times in the session's zone, the watermark is in none.
+    timed = events.withWatermark("ts", delay).withColumn("ms", F.unix_millis("ts"))
+    found = timed.groupBy("job_id").applyInPandasWithState(step, "job_id string, state string, ms long", "state string, ms long", "update", "EventTimeTimeout")
+    return found.select("job_id", "state", F.timestamp_millis("ms").alias("updated_at"))
 
 
 #: STR04: seconds between looks at a list of jobs, a job and its model.
@@ -49,27 +52,6 @@ def polled(stream: DataFrame, what: str):
     return stream.writeStream.trigger(processingTime=f"{POLL[what]} seconds")
 
 
-def state_changes(events: DataFrame, most: int = 40) -> DataFrame:
-    """STR01: for each job and micro-batch its state and its last changes; repeats add nothing.
-
-    events: job_id string, ts double, state string. Output in append mode.
-    """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        times, names = state.get if state.exists else ([], [])
-        times, names = list(times), list(names)
-        rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
-        for ts, name in zip(rows["ts"], rows["state"], strict=True):
-            if not names or names[-1] != name:
-                times.append(float(ts))
-                names.append(name)
-        times, names = times[-most:], names[-most:]
-        state.update((times, names))
-        yield pd.DataFrame({"job_id": [key[0]], "state": [names[-1]], "changes": [len(names)], "history": [names]})
-
-    return events.groupBy("job_id").applyInPandasWithState(step, "job_id string, state string, changes long, history array<string>", "times array<double>, names array<string>", "append", "NoTimeout")
-
-
 def sessions(events: DataFrame, idle: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:
     """STR03: spells of activity that end after an idle time; a spell comes out once the watermark passes it."""
     s = events.withWatermark("ts", delay).groupBy("job_id", F.session_window("ts", idle).alias("w")).agg(F.count("*").alias("events"))
@@ -77,5 +59,5 @@ def sessions(events: DataFrame, idle: str = "30 minutes", delay: str = "10 minut
 
 
 def watch(spark, folder: str, schema: str) -> DataFrame:
-    """STR06: bundles dropped into a folder as a stream."""
+    """STR06: bundles dropped into a folder as a stream; versions.hand_off puts them into a table, each batch once."""
     return spark.readStream.schema(schema).json(folder)

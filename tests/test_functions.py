@@ -173,12 +173,6 @@ def test_file_sinks(spark, tmp_path):
         files.park(m, str(tmp_path / "log"))
     got = [r["value"] for r in spark.read.text(str(tmp_path / "log")).collect()]
     assert sorted(got) == sorted(["=== 2024-01-02 03:04:05 | event=done | mode=- | offline ===", "hello", ""] * 2)
-    t = spark.createDataFrame([(1, "a"), (2, "b")], "turn long, text string")
-    files.write_transcripts(t, str(tmp_path / "t"))
-    assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "t" / "text")).collect()) == ["a", "b"] and spark.read.json(str(tmp_path / "t" / "json")).count() == 2
-    files.write_table(t, str(tmp_path / "p"))
-    files.write_table(t.limit(1), str(tmp_path / "p"))
-    assert spark.read.parquet(str(tmp_path / "p")).count() == 1
     (tmp_path / "names").mkdir()
     for n in ("b.md", "a.json"):
         (tmp_path / "names" / n).write_text("x")

@@ -104,14 +104,6 @@ def test_export_names(spark):
     assert [r["export_name"] for r in jobs.export_names(d, "j", "o", "name").orderBy("o").collect()] == ["a.md", "a_2.md", "a_2_2.md", "a_3.md", "b", "b_2", "a_2_3.md"]
 
 
-def test_replaced_table(spark, tmp_path):
-    path = str(tmp_path / "t")
-    for n in (3, 5):
-        files.write_table(spark.range(n), path)
-        assert spark.read.parquet(path).count() == n
-    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["t"]
-
-
 def test_evidence_drops(spark):
     """A failed chunk, turns of another chunk, a number that isn't said, a point without a topic."""
     reply = {"topics": [{"topic_id": "a", "label": " ", "turns": [0, 5], "status": "odd", "status_turn": 5}], "points": [{"turn": 1, "speaker": "x", "gist": "g", "topic_id": "zz"}, {"turn": 0, "speaker": "x", "gist": "h", "topic_id": "a"}, {"turn": 9, "speaker": "", "gist": "", "topic_id": "a"}],

@@ -4,17 +4,6 @@ from colloquy.sources import files
 from colloquy.streaming import jobs
 
 
-def test_state_changes(spark, tmp_path):
-    (tmp_path / "in").mkdir()
-    rows = [("a", float(i), s) for i, s in enumerate(["scanning", "scanning", "writing", "scanning"])]
-    spark.createDataFrame(rows, "job_id string, ts double, state string").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
-    stream = jobs.state_changes(jobs.watch(spark, str(tmp_path / "in"), "job_id string, ts double, state string"))
-    q = stream.writeStream.format("memory").queryName("changes").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = spark.table("changes").collect()
-    assert [(r["job_id"], r["state"], r["changes"], r["history"]) for r in got] == [("a", "scanning", 3, ["scanning", "writing", "scanning"])]
-
-
 def test_loose_json(spark):
     rows = [('{"a": 1}',), ('x ```json\n{"a": 2}\n``` y',), ('so: {"a": 3} ok',), ("[1]",), ("{broken",), (None,)]
     d = spark.createDataFrame(rows, "t string")
