@@ -72,7 +72,7 @@ def main(args: list[str] | None = None) -> None:
         if a.fix:
             review.autofix(notes, "job_id", {}).write.parquet(a.fix)
     else:
-        from colloquy.plans import catalog, giants, merges, notes, reports  # noqa: F401  these add their queries to the catalog
+        from colloquy.plans import catalog, giants, merges, notes, outputs, reports  # noqa: F401  these add their queries to the catalog
 
         if a.what == "queries":
             print("\n".join(sorted(catalog.QUERIES)))

@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from colloquy.plans import catalog, giants, merges, notes, reports  # noqa: F401  these add their queries to the catalog
+from colloquy.plans import catalog, giants, merges, notes, outputs, reports  # noqa: F401  these add their queries to the catalog
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
