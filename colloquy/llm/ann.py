@@ -1,9 +1,9 @@
 """Operator 2: approximate nearest neighbours with a hierarchical k-means tree.
 
 The top of the tree is fitted on a sample of at most SAMPLE rows (those of least id digest) and
-ends in cells of about CELL rows; below, each cell has a tree of its own, which the executor that
-holds the cell fits on at most SAMPLE of its rows, down to leaves of about LEAF rows. So leaves
-stay small however large the table is, and no machine holds the whole tree. Every row is indexed in
+ends in cells of about an eighth of the rows, CELL at most; below, each cell has a tree of its own, which the executor that
+holds the cell fits on at most SAMPLE of its rows, down to leaves of about a 64th of the rows, 8 at least and LEAF at most. So
+tables of every size are searched through the tree, leaves stay small however large the table is, and no machine holds the whole tree. Every row is indexed in
 the cell and leaf that a descent by nearest centre reaches; a cell of more than BLOCK rows is dealt
 over blocks by id digest, each with a tree.
 
@@ -11,14 +11,14 @@ A query visits cells, and leaves in each of them, best bin first: a priority que
 distance of their centres, the nearest is opened, leaves come out in order. How many of both to visit
 is calibrated: CALIBRATION rows that the sample doesn't hold are answered by brute force over all rows, and
 visits widen until the share of their true neighbours in visited leaves reaches TARGET, with the
-fewest leaves in all. Distances are Euclidean in double precision on the original vectors, ties go to
+fewest leaves in all. A query goes on beyond that until it has seen LEAF rows, and k besides one. Distances are Euclidean in double precision on the original vectors, ties go to
 the smaller id.
 
-Defined cases: vectors null, empty, zero, with null or non-finite components or of another length than
-the commonest, and rows with a null id take no part, as query or candidate; rows that share a query's id
-count as its own; a query id that comes repeatedly is answered once, for the least of its vectors; repeated
-candidates count each; fewer than k candidates are all returned if they lie in visited leaves, and always
-where the table has no more than CELL rows, as then all are visited; an empty table gives an empty result; columns beside
+Defined cases: vectors null, empty, zero or with null or non-finite components, and rows with a null id take no part, as query
+or candidate; vectors are compared with those of their own length, one length after the other; rows that share a query's id
+count as its own; a query id that comes repeatedly is answered once in each length, for the least of its vectors; repeated
+candidates count each; fewer than k candidates are all returned, unless rows that share the query's id stand before
+them; an empty table gives an empty result; columns beside
 id and vector are read only by is_query, so others may have any name.
 """
 
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from colloquy.llm.common import cut, prepare
 from colloquy.llm.sorted_runs import starts
-from colloquy.llm.vectors import comparable, dimension, matrix
+from colloquy.llm.vectors import comparable, lengths, matrix
 
 K, BRANCH, LEAF, SAMPLE, CALIBRATION, TARGET = 10, 8, 64, 16_384, 128, 0.96
 #: Rows that a cell is meant to hold, and beyond which it is dealt over blocks; sampled rows that the top's leaves hold at least.
@@ -69,14 +69,15 @@ class Tree:
             open_ = np.concatenate(stay) if stay else open_[:0]
         return self.leaf[at]
 
-    def best_bins(self, q: np.ndarray, visits: int) -> list[int]:
-        """The first leaves that a best-bin-first traversal reaches."""
+    def best_bins(self, q: np.ndarray, visits: int, sizes: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """The first leaves that a best-bin-first traversal reaches, and as many more as hold least rows, by their sizes."""
         d = squared(q[None], self.centres)[0]
-        queue, out = [(d[0], 0)], []
-        while queue and len(out) < visits:
+        queue, out, rows = [(d[0], 0)], [], 0
+        while queue and (len(out) < visits or sizes is not None and rows < least):
             _, node = heapq.heappop(queue)
             if self.leaf[node] >= 0:
                 out.append(int(self.leaf[node]))
+                rows += 0 if sizes is None else int(sizes[out[-1]])
             for kid in self.children[node]:
                 heapq.heappush(queue, (d[kid], int(kid)))
         return out
@@ -154,20 +155,21 @@ def nearest_of(found: DataFrame, k: int) -> DataFrame:
 class Part:
     """The rows of a block, ordered by leaf of the block's tree."""
 
-    def __init__(self, x: np.ndarray, ids: np.ndarray) -> None:
+    def __init__(self, x: np.ndarray, ids: np.ndarray, leaf_rows: int) -> None:
         some = x if len(x) <= SAMPLE else x[np.sort(np.random.default_rng(len(x)).choice(len(x), SAMPLE, replace=False))]
-        self.tree = fit(some, leaf=max(2, int(LEAF * len(some) / len(x))))
+        self.tree = fit(some, leaf=max(2, int(leaf_rows * len(some) / len(x))))
         leaf = np.concatenate([self.tree.descend(x[a : a + SAMPLE]) for a in range(0, len(x), SAMPLE)])
         order = np.argsort(leaf, kind="stable")
         self.x, self.ids, self.leaf = x[order], ids[order], leaf[order]
         self.first = np.searchsorted(self.leaf, np.arange(self.tree.leaves + 1))
+        self.sizes = np.diff(self.first)
 
-    def answers(self, q_id: np.ndarray, q: np.ndarray, k: int, visits: int | None) -> tuple[np.ndarray, ...]:
+    def answers(self, q_id: np.ndarray, q: np.ndarray, k: int, visits: int | None, least: int) -> tuple[np.ndarray, ...]:
         """query ids, ids, distances and leaf ranks (0 unless all leaves are looked at) of the k nearest in visited leaves."""
         leaves, out = self.tree.leaves, []
         if visits is None or 4 * visits >= leaves:
             # Most rows are wanted: one product for all queries, the others left out.
-            bins = [self.tree.best_bins(x, leaves if visits is None else visits) for x in q]
+            bins = [self.tree.best_bins(x, leaves if visits is None else visits, self.sizes, least) for x in q]
             wanted = None
             if visits is not None and visits < leaves:
                 may = np.zeros((len(q), leaves), bool)
@@ -179,7 +181,7 @@ class Part:
                 out.append((np.full(len(ids), q_id[i]), ids, score, rank))
         else:
             for i, x in enumerate(q):
-                rows = np.concatenate([np.arange(self.first[b], self.first[b + 1]) for b in self.tree.best_bins(x, visits)])
+                rows = np.concatenate([np.arange(self.first[b], self.first[b + 1]) for b in self.tree.best_bins(x, visits, self.sizes, least)])
                 for _, ids, score, _ in nearest(x[None], q_id[i : i + 1], self.x[rows], self.ids[rows], k):
                     out.append((np.full(len(ids), q_id[i]), ids, score, np.zeros(len(ids), np.int64)))
         return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
@@ -201,17 +203,27 @@ def best_visits(cell: np.ndarray, leaf: np.ndarray, cells: int, leaves: int, tar
     return min(fine)[1:] if fine else (cells, leaves)
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = K, id_column: str = "vec_id", vector_column: str = "embedding", target: float = TARGET, sample: int = SAMPLE, cell: int = CELL, block: int = BLOCK) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: k nearest found for each row with is_query."""
+def search(vectors: DataFrame, is_query: Column, k: int = K, id_column: str = "vec_id", vector_column: str = "embedding", target: float = TARGET, sample: int = SAMPLE, cell: int = CELL, block: int = BLOCK, looked: dict | None = None) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score: k nearest found for each row with is_query. looked: gets, by length of vectors, the
+    visits of cells and leaves and how many there are."""
+    prepare(vectors.sparkSession)
+    found = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for d in lengths(vectors, vector_column):
+        found = found.unionByName(of_length(vectors, is_query, k, id_column, vector_column, d, target, sample, cell, block, looked))
+    return found
+
+
+def of_length(vectors: DataFrame, is_query: Column, k: int, id_column: str, vector_column: str, d: int, target: float, sample: int, cell: int, block: int, looked: dict | None) -> DataFrame:
+    """The same of the vectors of d components."""
     spark = vectors.sparkSession
-    prepare(spark)
-    d = dimension(vectors, vector_column)
-    kind = "float" if d and vectors.schema[vector_column].dataType.elementType.typeName() == "float" else "double"
+    kind = "float" if vectors.schema[vector_column].dataType.elementType.typeName() == "float" else "double"
     rows = vectors.where(comparable(F.col(vector_column), d) & F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.transform(vector_column, lambda c: c.cast(kind)).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    drawn = rows.select("id", "v").orderBy(F.xxhash64("id"), "id", "v").limit(sample + CALIBRATION).toPandas() if d else []
-    if not len(drawn):
+    drawn = rows.select("id", "v").orderBy(F.xxhash64("id"), "id", "v").limit(sample + CALIBRATION).toPandas()
+    if not len(drawn):  # no row of this length has an id
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     n = rows.count()
+    leaf_rows = max(8, min(LEAF, n // 64))
+    cell = max(4 * leaf_rows, min(cell, n // 8))
     x, x_id = np.array(drawn["v"].tolist(), dtype=np.float64).reshape(-1, d), drawn["id"].to_numpy()
     fitted = x[:sample]
     top_tree = fit(fitted, leaf=max(LEAST, int(len(fitted) * cell / n)))
@@ -225,9 +237,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, id_column: str = "v
                 yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), b.column("asks"), pa.array(top_tree.descend(matrix(b.column("v"), d)).astype(np.int32))], names=["id", "v", "asks", "cell"])
 
     index = cut(rows.mapInArrow(indexed, f"id long, v array<{kind}>, asks boolean, cell int"))
-    blocks = np.ones(top_tree.leaves, np.int64)  # SAMPLE / LEAST cells at most
+    blocks, sizes = np.ones(top_tree.leaves, np.int64), np.zeros(top_tree.leaves, np.int64)  # SAMPLE / LEAST cells at most
     for c, size in index.groupBy("cell").count().collect():
-        blocks[c] = -(-size // block)
+        blocks[c], sizes[c] = -(-size // block), size
     per_cell = F.array(*(F.lit(int(b)) for b in blocks))
     data = index.select("cell", F.pmod(F.xxhash64("id"), F.get(per_cell, F.col("cell"))).cast("int").alias("block"), F.lit(0).alias("side"), "id", "v")
     layout = f"cell int, block int, side int, id long, v array<{kind}>"
@@ -237,7 +249,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, id_column: str = "v
             for b in batches:
                 row, cells, parts = [], [], []
                 for i, q in enumerate(matrix(b.column("v"), d)):
-                    for c in top_tree.best_bins(q, visits):
+                    for c in top_tree.best_bins(q, visits, sizes, k + 1):
                         for part in range(blocks[c]):
                             row.append(i)
                             cells.append(c)
@@ -247,7 +259,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, id_column: str = "v
 
         return run
 
-    def searched(visits: int | None):
+    def searched(visits: int | None, least: int):
         """Holds the rows of one block and its tree; its queries, sorted behind them, stream past. Without visits
         all leaves are looked at, and each row found comes with the rank of its leaf."""
 
@@ -265,9 +277,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, id_column: str = "v
                     if not asking:
                         held.append((v, ids))
                     elif held:
-                        part = part or Part(*(np.concatenate(c) for c in zip(*held, strict=True)))
+                        part = part or Part(*(np.concatenate(c) for c in zip(*held, strict=True)), leaf_rows)
                         for at in range(0, len(v), 256):
-                            out = part.answers(ids[at : at + 256], v[at : at + 256], k, visits)
+                            out = part.answers(ids[at : at + 256], v[at : at + 256], k, visits, least)
                             if len(out[0]):
                                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*out[:3], np.full(len(out[0]), own[0], np.int64), out[3])], names=[*NAMES, "cell", "leaf_rank"])
 
@@ -275,16 +287,15 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, id_column: str = "v
 
     def met(queries: DataFrame, cells: int, leaves: int | None) -> DataFrame:
         both = data.unionByName(queries.select("id", "v").mapInArrow(routed(cells), layout))
-        return both.repartition("cell", "block").sortWithinPartitions("cell", "block", "side", "id").mapInArrow(searched(leaves), FOUND)
+        return both.repartition("cell", "block").sortWithinPartitions("cell", "block", "side", "id").mapInArrow(searched(leaves, max(k + 1, -(-LEAF // cells))), FOUND)
 
     probes = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(probe_id, probe, strict=True)], f"id long, v array<{kind}>")
     truth = nearest_of(met(probes, top_tree.leaves, None), k).toPandas()  # CALIBRATION x k rows
     order = {int(i): {c: r for r, c in enumerate(top_tree.best_bins(v, top_tree.leaves))} for i, v in zip(probe_id, probe, strict=True)}
     cell_rank = np.array([order[int(i)][int(c)] for i, c in zip(truth["query_id"], truth["cell"], strict=True)])
-    if n <= cell:
-        visits = (top_tree.leaves, None)
-    else:
-        leaf_rank = truth["leaf_rank"].to_numpy()
-        visits = best_visits(cell_rank, leaf_rank, top_tree.leaves, int(leaf_rank.max(initial=0)) + 1, target)
+    leaf_rank = truth["leaf_rank"].to_numpy()
+    visits = best_visits(cell_rank, leaf_rank, top_tree.leaves, int(leaf_rank.max(initial=0)) + 1, target)
+    if looked is not None:
+        looked[d] = {"rows": n, "cells": (visits[0], top_tree.leaves), "leaves": (visits[1], -(-cell // leaf_rows))}
     asked = index.where("asks").groupBy("id").agg(F.min("v").alias("v"))
     return nearest_of(met(asked, *visits), k).select("query_id", "rank", "vec_id", "score")
