@@ -5,8 +5,9 @@ for it would change the count) is joined to the counts that the cache holds for
 tokenizer's digest. Only distinct misses are encoded, and appended to the cache. The
 cache is a folder with one partition a tokenizer, so that only its counts are read.
 
-Copies of a missed text are dropped in each task before texts are shuffled, and again
-behind the shuffle, so neither repeated rows nor null ids are encoded twice and no digest
+Texts are read beside a bitmap of fixed size that tells the missed digests, so that only
+missed texts are shuffled (and one in many others, where digests share a bit). Copies of a missed
+text are dropped in each task before texts are shuffled, and again behind the shuffle, so neither repeated rows nor null ids are encoded twice and no digest
 is hot. The join that brings counts back carries no text and broadcasts the hot digests.
 
 Defined cases: a null text counts as empty and has no tokens; equal texts are encoded
@@ -24,11 +25,13 @@ import re
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm.common import cut, exists, fresh_path, join_hot, prepare
+from colloquy.operators.substrings import bitmap
 
 LIMIT = 512
 CACHE = "digest string, n_tokens long, tokenizer string"
@@ -103,10 +106,26 @@ def unseen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.filter(pa.array(keep, pa.bool_()))
 
 
+def missing_texts(docs: DataFrame, misses: DataFrame, text_column: str) -> DataFrame:
+    """(key, text) of the rows that may be misses (digest), copies in a task dropped: what is shuffled."""
+    key = lambda c: F.xxhash64(c).alias("h")
+    missed = docs.sparkSession.sparkContext.broadcast(bitmap(misses.select(key(F.unhex("digest")))))
+    text = F.coalesce(text_column, F.lit(""))
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = missed.value
+        for b in batches:
+            low = b.column("h").to_numpy().view(np.uint64) & np.uint64(64 * len(words) - 1)
+            hit = (words[low >> np.uint64(6)] >> (low & np.uint64(63))) & np.uint64(1)
+            yield b.select(["key", "text"]).filter(pa.array(hit.astype(bool)))
+
+    own = docs.select(F.unhex(F.sha2(text, 256)).alias("key"), text.alias("text")).withColumn("h", key("key"))
+    return own.mapInArrow(lambda batches: unseen(wanted(batches)), "key binary, text string")
+
+
 def encode_misses(docs: DataFrame, misses: DataFrame, path: str, text_column: str) -> DataFrame:
     """(digest, n_tokens) for each missing digest, its text encoded once."""
-    text = F.coalesce(text_column, F.lit(""))
-    texts = docs.select(F.unhex(F.sha2(text, 256)).alias("key"), text.alias("text")).mapInArrow(unseen, "key binary, text string")
+    texts = missing_texts(docs, misses, text_column)
     # Dealt by digest whatever join is chosen, so that copies from all tasks meet.
     wanted = texts.repartition("key").join(misses.select(F.unhex("digest").alias("key")), "key", "left_semi")
 
@@ -131,7 +150,7 @@ def keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
 def fill(docs: DataFrame, digests: DataFrame, path: str, cache: str, text_column: str = "text") -> None:
     """Encode the texts of digests (digest, each once) that the cache lacks, and append their counts to it."""
     version = tokenizer_digest(path)
-    misses = digests.select("digest").join(read_cache(docs.sparkSession, cache, version).select("digest"), "digest", "left_anti")
+    misses = cut(digests.select("digest").join(read_cache(docs.sparkSession, cache, version).select("digest"), "digest", "left_anti"))
     new = encode_misses(docs, misses, path, text_column).withColumn("tokenizer", F.lit(version))
     new.write.mode("append").partitionBy("tokenizer").parquet(cache)
 
