@@ -12,9 +12,8 @@ buckets counts in the first of them only, so link counts need no list of pairs:
 tasks return for each vector the weight of its links and one link to the least
 vector it reaches. Large buckets are cut into blocks, each pair of blocks a group of its own.
 
-Defined cases: vectors null, empty, zero, with null or non-finite components or of another
-length than the commonest (the smallest of equally common ones) link with nothing and are their
-own component; repeated rows (equal id and vector) come back as often as they came in and count
+Defined cases: vectors null, empty, zero or with null or non-finite components link with nothing and are their
+own component; vectors are compared with those of their own length, one length after the other; repeated rows (equal id and vector) come back as often as they came in and count
 as links of each other; a cosine at the threshold links; rows with a null id take part but name no
 component; an empty table gives an empty result; columns beside id and vector are never read, so
 others may have any name.
@@ -32,7 +31,7 @@ from pyspark.sql import functions as F
 from colloquy.llm.common import cut, join_hot, prepare
 from colloquy.llm.components import components
 from colloquy.llm.sorted_runs import least_labels, starts, whole_runs
-from colloquy.llm.vectors import comparable, dimension, matrix
+from colloquy.llm.vectors import comparable, lengths, matrix, usable
 
 THRESHOLD = 0.95
 #: Of random pairs at cosine 0.95 in 64 dimensions, 3 folds in 12 tables find all of 6,000, 4 in 16 all of 20,000.
@@ -231,9 +230,14 @@ def links(nodes: DataFrame, d: int, threshold: float = THRESHOLD, tables: int =
 def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", threshold: float = THRESHOLD, tables: int = TABLES, folds: int = FOLDS) -> DataFrame:
     """id, n_links, component_id, kept."""
     prepare(vectors.sparkSession)
-    d = dimension(vectors, vector_column)
-    if not d:
-        return vectors.select(id_column, F.lit(0).cast("long").alias("n_links"), F.col(id_column).alias("component_id"), F.lit(True).alias("kept"))
+    found = vectors.where(~usable(F.col(vector_column))).select(id_column, F.lit(0).cast("long").alias("n_links"), F.col(id_column).alias("component_id"))
+    for d in lengths(vectors, vector_column):
+        found = found.unionByName(of_length(vectors, id_column, vector_column, d, threshold, tables, folds))
+    return found.withColumn("kept", F.coalesce(F.col(id_column) == F.col("component_id"), F.lit(False)))
+
+
+def of_length(vectors: DataFrame, id_column: str, vector_column: str, d: int, threshold: float, tables: int, folds: int) -> DataFrame:
+    """id, n_links, component_id of the vectors of d components."""
     members, grouped = classes(vectors, id_column, vector_column, d)
     distinct, rows = grouped.agg(F.count("*"), F.sum("copies")).first()
     found = cut(links(grouped.select("node", "copies", "v"), d, threshold, tables, folds))
@@ -243,6 +247,4 @@ def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", vector_column
     names = cut(named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("of")))
     known = join_hot(named, names, ["component"], "of", distinct).select("node", (F.col("copies") - 1 + F.coalesce("weight", F.lit(0))).alias("n_links"), "component_id")
     of_vector = cut(grouped.select("node", "h", "v", "copies").join(known, "node").drop("node"))
-    linked = join_hot(members, of_vector, ["h", "v"], "copies", rows).select(F.col("id").alias(id_column), "n_links", "component_id")
-    alone = vectors.where(~comparable(F.col(vector_column), d)).select(id_column, F.lit(0).cast("long").alias("n_links"), F.col(id_column).alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col(id_column) == F.col("component_id"), F.lit(False)))
+    return join_hot(members, of_vector, ["h", "v"], "copies", rows).select(F.col("id").alias(id_column), "n_links", "component_id")

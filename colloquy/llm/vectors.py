@@ -14,14 +14,14 @@ def usable(v: Column) -> Column:
     return F.coalesce(v.isNotNull() & (F.size(v) > 0) & fine & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def dimension(df: DataFrame, column: str) -> int:
-    """The commonest length of usable vectors, the smallest among equals; 0 without any."""
-    of = df.where(usable(F.col(column))).groupBy(F.size(column).alias("d")).agg(F.count("*").alias("n"))
-    return of.agg(F.max_by("d", F.struct("n", (-F.col("d")).alias("least")))).first()[0] or 0
+def lengths(df: DataFrame, column: str) -> list[int]:
+    """The lengths of usable vectors, in order: one row a length comes to the driver."""
+    of = df.where(usable(F.col(column))).groupBy(F.size(column).alias("d")).count()
+    return sorted(r["d"] for r in of.collect())
 
 
 def comparable(v: Column, d: int) -> Column:
-    """Usable and of the table's length; vectors of another length can't be compared and count as unusable."""
+    """Usable and of this length; vectors are compared with those of their own length."""
     return usable(v) & (F.size(v) == d)
 
 

@@ -197,7 +197,7 @@ def vector_rows(spark, values):
     return spark.createDataFrame([(i, None if v is None else [float(c) for c in v], "x", 1, 2, 3, 4) for i, v in values], VECTORS)
 
 
-def test_vectors_of_other_lengths_take_no_part(spark):
+def test_vectors_are_compared_within_their_length(spark):
     rng = np.random.default_rng(9)
     x = rng.normal(size=(60, 8))
     values = [*enumerate(x), (60, x[0] * 2), (61, x[0][:5]), (62, x[0][:5]), (None, x[1]), (1, x[1]), (63, None)]
@@ -206,10 +206,13 @@ def test_vectors_of_other_lengths_take_no_part(spark):
     by = {}
     for r in rows:
         by.setdefault(r["vec_id"], []).append((r["n_links"], r["component_id"], r["kept"]))
-    assert len(rows) == len(values) and by[61] == [(0, 61, True)] and by[62] == [(0, 62, True)] and by[60] == [(1, 0, False)] and by[0] == [(1, 0, True)]
+    assert len(rows) == len(values) and by[61] == [(1, 61, True)] and by[62] == [(1, 61, False)] and by[63] == [(0, 63, True)] and by[60] == [(1, 0, False)] and by[0] == [(1, 0, True)]
     assert by[1] == [(2, 1, True)] * 2 and by[None] == [(2, 1, False)]
-    found = ann.search(df, F.col("vec_id") % 10 == 0).collect()
-    assert {r["query_id"] for r in found} == {0, 10, 20, 30, 40, 50, 60} and not {r["vec_id"] for r in found} & {61, 62, 63}
+    found = ann.search(df, (F.col("vec_id") % 10 == 0) | (F.col("vec_id") > 60)).collect()
+    assert {r["query_id"] for r in found} == {0, 10, 20, 30, 40, 50, 60, 61, 62} and not {r["vec_id"] for r in found if r["query_id"] <= 60} & {61, 62, 63}
+    assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found if r["query_id"] > 60] == [(61, 1, 62, 0.0), (62, 1, 61, 0.0)]
+    none = embed_dedup.near_duplicates(vector_rows(spark, [(None, None), (1, None)])).collect()
+    assert {(r["vec_id"], r["kept"]) for r in none} == {(None, False), (1, True)}
 
 
 def test_neighbours_at_ties_and_of_repeated_queries(spark):
@@ -223,6 +226,25 @@ def test_neighbours_at_ties_and_of_repeated_queries(spark):
     assert [i for _, i, _ in got[100]] == [i for _, i in want] and [s for *_, s in got[100]] == pytest.approx([s for s, _ in want])
 
 
+@pytest.mark.parametrize("n", [500, 2000])
+def test_small_tables_are_searched_through_the_tree(spark, n):
+    """With production settings, fewer leaves than all are visited, and recall holds; rows without a near neighbour at all."""
+    x = np.random.default_rng(n).normal(size=(n, 16))
+    looked: dict = {}
+    rows = ann.search(vector_rows(spark, enumerate(x)), F.col("vec_id") % 20 == 0, looked=looked).collect()
+    x = x.astype(np.float32).astype(float)
+    hit = 0
+    for q in range(0, n, 20):
+        far = ((x - x[q]) ** 2).sum(1)
+        far[q] = np.inf
+        own = [r["vec_id"] for r in rows if r["query_id"] == q]
+        assert len(own) == 10
+        hit += len(set(own) & set(np.argsort(far)[:10].tolist()))
+    assert hit / (n // 20 * 10) >= 0.9
+    (cells, of), (leaves, all_) = looked[16]["cells"], looked[16]["leaves"]
+    assert of >= 4 and cells * leaves < of * all_
+
+
 def test_neighbours_through_many_cells_and_blocks(spark):
     rng = np.random.default_rng(10)
     centres = rng.normal(size=(30, 12)) * 4
@@ -256,6 +278,12 @@ def test_cache_encodes_each_text_once(spark, tmp_path, monkeypatch):
     got = token_counts.token_counts(docs, path, cache).collect()
     assert len(got) == len(rows) and stored().count() == 4  # the hit wasn't encoded again, each miss once
     assert {(r["doc_id"], r["n_tokens"], r["over_limit"]) for r in got} == {(i, token_counts.counter(path)([t or ""])[0], i == 5) for i, t in rows}
+    # Over a full cache no text is shuffled, and of a new one only that.
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest")
+    misses = lambda d: d.select(digest).distinct().join(stored().select("digest"), "digest", "left_anti")
+    assert token_counts.missing_texts(docs, misses(docs), "text").count() == 0
+    more = docs.unionByName(docs.where("doc_id = 5").withColumn("text", F.lit("new")))
+    assert [r["text"] for r in token_counts.missing_texts(more, misses(more), "text").collect()] == ["new"]
     other = public_tokenizers.path("piece_bpe_32k.model")
     assert {(r["doc_id"], r["n_tokens"]) for r in token_counts.token_counts(docs, other, cache).collect()} == {(i, token_counts.counter(other)([t or ""])[0]) for i, t in rows}
     assert stored().select("tokenizer").distinct().count() == 2
