@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.functions.text import STAMP, hhmmss, label_similarity, parse_stamp, sentences, squash
+from colloquy.functions.text import ENDINGS, STAMP, hhmmss, label_similarity, parse_stamp, squash
 from colloquy.operators import storage, substrings
 from colloquy.operators.scans import ROWS, Scan
 
@@ -65,12 +65,15 @@ def match_header(line: Column) -> Column:
     within, before = stamp_range(_from(inner, 1, first)), stamp_range(_from(line, 1, second))
     said = F.ltrim(_from(line, second + 1), F.lit(PAD))
     colon = F.instr(F.translate(said, "：", ":"), ":")
-    return (
+    # Most lines are no headers, which their first character tells.
+    may = F.substr(F.ltrim(line, F.lit(PAD)), F.lit(1), F.lit(1)).isin("*", "[", "`")
+    found = (
         F.when(ruled, head(_from(inner, 3, F.length(inner) - 4), F.coalesce(after, F.struct(F.lit(None).cast("string").alias("ts"), F.lit(None).cast("string").alias("te")))))
         .when(is_bold & (tail == "") & within.isNotNull(), head(_from(inner, first + 1), within))
         .when(is_bold & after.isNotNull() & ~F.regexp_like(inner, F.lit(r"[\[\]]")), head(inner, after))
         .when(before.isNotNull() & colon.between(1, NAME + 1), head(_from(said, 1, colon - 1), before, _bare(_from(said, colon + 1)).alias("rest")))
     )
+    return F.when(may, found)
 
 
 def lines(df: DataFrame, text: str = "text") -> DataFrame:
@@ -297,13 +300,13 @@ def excerpts(df: DataFrame, keys: list[str], limit: int = 160) -> DataFrame:
     t = df.select(*keys, "focus", squash(F.col("text")).alias("t"))
     whole = t.where(F.length("t") <= limit).select(*keys, F.col("t").alias("excerpt"))
     s = t.where(F.length("t") > limit)
-    lengths = F.transform(sentences(F.col("t")), F.length)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends"))
-    ends = F.aggregate(lengths, start, lambda a, n: F.struct((a["at"] + n).alias("at"), F.array_append(a["ends"], a["at"] + n).alias("ends")), lambda a: a["ends"])
+    # A sentence ends where a sign does, and the last one where the text does.
+    signs = F.array_compact(F.transform(F.split("t", ""), lambda c, i: F.when(c.isin(*ENDINGS), i + 1)))
+    ends = F.when(F.get(signs, F.size(signs) - 1) == F.length("t"), signs).otherwise(F.concat(signs, F.array(F.length("t"))))
     placed = s.withColumn("ends", ends).withColumn("first", F.get("ends", F.lit(0)))
     begins = F.concat(F.array(F.lit(0)), F.slice("ends", 1, F.size("ends") - 1))
     each = placed.select(*keys, "t", "focus", "ends", F.posexplode(begins).alias("a", "begin"))
-    runs = each.select(*keys, "t", "focus", "a", "begin", F.explode(F.filter("ends", lambda e: (e > F.col("begin")) & (e <= F.col("begin") + limit))).alias("end"))
+    runs = each.select(*keys, "t", "focus", "a", "begin", F.explode(F.filter(F.slice("ends", F.col("a") + 1, F.lit(limit)), lambda e: e <= F.col("begin") + limit)).alias("end"))
     win = F.substr("t", F.col("begin") + 1, F.col("end") - F.col("begin"))
     rank = F.struct(label_similarity(win, F.col("focus")).alias("sim"), (F.col("end") - F.col("begin")).alias("n"), (-F.col("a")).alias("a"))
     best = runs.groupBy(*keys).agg(F.max(F.struct(rank.alias("rank"), "begin", "end")).alias("best"))

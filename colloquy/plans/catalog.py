@@ -504,7 +504,7 @@ def deliverable_allowlist(spark, sf):
     kinds = F.array(*map(F.lit, ("md", "pdf", "docx")))
     d = table(spark, sf, "documents").withColumn("fmt", F.get(F.array(*map(F.lit, ("md", "pdf", "docx", "tmp"))), (F.col("doc_id") % 4).cast("int")))
     f = d.withColumn("name", F.concat_ws(".", "source", "fmt")).where(F.array_contains(kinds, F.col("fmt")))
-    has = F.broadcast(f.groupBy("source").agg((F.count_if(F.col("fmt") == "md") > 0).alias("has_md"))) if f.select("source").distinct().limit(10_001).count() <= 10_000 else f.groupBy("source").agg((F.count_if(F.col("fmt") == "md") > 0).alias("has_md"))
+    has = f.groupBy("source").agg((F.count_if(F.col("fmt") == "md") > 0).alias("has_md"))
     return f.join(has, "source").select("doc_id", "name", (F.array_position(kinds, F.col("fmt")) - 1).cast("int").alias("fmt_rank"), "has_md")
 
 
@@ -514,9 +514,8 @@ def bundle_segments(spark, sf):
     t = conversation_turns(spark, sf)
     number = F.when(F.col("speaker") == "system", 1).when(F.col("speaker") == "user", 2).otherwise(3)
     ms = lambda s: F.round(s * 1000).cast("long")
-    doc = F.to_json(F.struct(F.concat(F.lit("seg-"), F.row_number().over(Window.partitionBy("job_id").orderBy("index"))).alias("id"), F.concat(F.lit("講者"), number).alias("label"), ms(F.col("index") * 35.0).alias("startMs"), ms(F.col("index") * 35.0 + 30.25).alias("endMs")))
-    back = F.from_json(doc, "id string, label string, startMs long, endMs long")
-    return t.select("job_id", back.alias("b")).select("job_id", "b.*")
+    place = F.row_number().over(Window.partitionBy("job_id").orderBy("index"))
+    return t.select("job_id", F.concat(F.lit("seg-"), place).alias("id"), F.concat(F.lit("講者"), number).alias("label"), ms(F.col("index") * 35.0).alias("startMs"), ms(F.col("index") * 35.0 + 30.25).alias("endMs"))
 
 
 @query(LINES + """SELECT doc_id, no AS line_no, line FROM l QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY no DESC) <= 3""")

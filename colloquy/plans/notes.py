@@ -27,9 +27,12 @@ def evidence(spark: SparkSession, sf: str) -> DataFrame:
     o = F.floor(i / 2)
     no = lambda s: F.array().cast(f"array<struct<{s}>>")
     point = F.struct(i.alias("turn"), who.alias("speaker"), x.alias("point"))
+    some = lambda test, *fields: F.collect_list(F.when(test, F.struct(i.cast("long").alias("turn"), *fields)))
     topic = t.groupBy("job_id", o.alias("o")).agg(
         F.min_by(x, i).alias("label"), F.max_by(who, i).alias("last"), F.array_sort(F.collect_list("index")).alias("turns"), F.array(F.min(point)).alias("first"),
         F.array_sort(F.collect_list(F.struct(i.alias("turn"), who.alias("speaker"), x.alias("gist")))).alias("points"), F.min_by(F.concat(F.lit("> "), who, F.lit("：「"), x, F.lit("」")), i).alias("quote"),
+        some(i % 3 == 0, x.alias("what"), who.alias("owner"), F.when(i % 2 == 0, render.UNDATED).otherwise(F.concat(F.lit("day-"), i)).alias("due")).alias("actions"),
+        some(i % 4 == 1, (i + 10).cast("string").alias("literal"), F.lit("").alias("means")).alias("numbers"), some(i % 5 == 4, x.alias("why")).alias("unclear"),
     )
     o, even = F.col("o"), F.col("o") % 2 == 0
     status = F.when(o % 3 == 0, "decided").when(o % 3 == 1, "pending").otherwise("parked")
@@ -37,12 +40,8 @@ def evidence(spark: SparkSession, sf: str) -> DataFrame:
         "o", F.format_string("T%02d", o + 1).alias("id"), "label", F.lit(None).cast("string").alias("heading"), status.alias("status"), F.when(even, F.col("last")).otherwise("").alias("basis"), "turns",
         F.when(even, F.col("first")).otherwise(no("turn:long,speaker:string,point:string")).alias("discussion"), "points", F.when(even, F.array().cast("array<string>")).otherwise(F.array("quote")).alias("quotes"),
     )
-    some = lambda test, *fields: F.array_sort(F.collect_list(F.when(test, F.struct(i.cast("long").alias("turn"), *fields))))
-    rest = t.groupBy("job_id").agg(
-        some(i % 3 == 0, x.alias("what"), who.alias("owner"), F.when(i % 2 == 0, render.UNDATED).otherwise(F.concat(F.lit("day-"), i)).alias("due")).alias("actions"),
-        some(i % 4 == 1, (i + 10).cast("string").alias("literal"), F.lit("").alias("means")).alias("numbers"), some(i % 5 == 4, x.alias("why")).alias("unclear"),
-    )
-    return topic.groupBy("job_id").agg(F.array_sort(F.collect_list(made)).alias("topics")).join(rest, "job_id")
+    whole = lambda c: F.array_sort(F.flatten(F.collect_list(c))).alias(c)
+    return topic.groupBy("job_id").agg(F.array_sort(F.collect_list(made)).alias("topics"), whole("actions"), whole("numbers"), whole("unclear"))
 
 
 TOPICS = """WITH t AS (SELECT conv_id AS job_id, turn AS i, role, translate(coalesce(text, ''), chr(10), ' ') AS t FROM conversations),
