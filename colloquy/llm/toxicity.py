@@ -10,7 +10,7 @@ document frequencies by label give each a lower confidence bound of its log odds
 logistic regression on a document's three strongest words and its length gives the score.
 The classifier is fitted on SAMPLE labelled rows of each label at most (those of least id digest),
 each weighing as many labels as it stands for, so that the share of toxic ones is that of all labels;
-its features are the FEATURES of highest bound among those that LEAST_DOCS toxic documents of the sample hold.
+its features are all that LEAST_DOCS toxic documents of the sample hold, or more, and that a lower bound on their lift speaks for.
 The character model counts every document.
 
 Defined cases: a null or empty text has no words and gets the score that the regression gives
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from colloquy.llm.common import crc_bucket, cut, prepare
 
-SAMPLE, FEATURES, LEAST_DOCS = 10_000, 20_000, 3
+SAMPLE, LEAST_DOCS = 10_000, 3
 PREFIXES = (4, 5, 6)
 #: What a worker remembers: words, and the longest of them. Other words are read again.
 REMEMBERED, LONGEST = 400_000, 64
@@ -286,7 +286,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_column: str
         return scorer
     counts = learned.select("text", "y").mapInArrow(seen, "f string, y int").groupBy("f").agg(F.sum("y").cast("int").alias("a"), F.sum(F.lit(1) - F.col("y")).cast("int").alias("b"))
     lift = F.log((F.col("a") + 0.5) / (scorer.n1 + 1)) - F.log((F.col("b") + 0.5) / (scorer.n0 + 1)) - F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-    best = counts.where(F.col("a") >= LEAST_DOCS).withColumn("lift", lift).where("lift > 0").orderBy(F.desc("lift"), "f").limit(FEATURES)
+    best = counts.where(F.col("a") >= LEAST_DOCS).withColumn("lift", lift).where("lift > 0").select("f", "a", "b")
     scorer.features = {r["f"]: (r["a"], r["b"]) for r in best.collect()}
 
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,7 +315,7 @@ def held(spark, scorer: Scorer):
     """A function that gives a worker's own copy of the scorer, with what it remembers."""
     import uuid
 
-    name, sent = uuid.uuid4().hex, spark.sparkContext.broadcast(scorer)  # bounded: FEATURES and SIZE**3
+    name, sent = uuid.uuid4().hex, spark.sparkContext.broadcast(scorer)  # as large as the words of the labelled sample, and SIZE**3
 
     def get() -> Scorer:
         if name not in _workers:
