@@ -61,7 +61,7 @@ SUMMARY = "job.json"
 
 
 def archive(spark: SparkSession, path: str, fields: str) -> DataFrame:
-    """SRC14, SRC05: one row a job folder below path: job_id, its summary's fields, names (sorted) and bytes of its files, updated_at, error.
+    """SRC14, SRC05: one row a job folder below path: job_id, its summary's fields, names (sorted) and bytes of its files, updated_at (milliseconds), error.
 
     Names and sizes come from the listing; only summaries are opened, many to a task. A folder whose summary is missing or no object is a row in
     state error that says so, and hides no other. Folders whose names begin with a dot and those without any file are left out.
@@ -71,7 +71,7 @@ def archive(spark: SparkSession, path: str, fields: str) -> DataFrame:
     below = F.substr("_metadata.file_path", F.instr("_metadata.file_path", raw) + len(raw))
     job = F.url_decode(F.replace(F.get(F.split(below, "/"), F.lit(0)), F.lit("+"), F.lit("%2B")))
     each = listed.select(job.alias("job_id"), F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_modification_time").alias("at"))
-    files = each.where(~F.startswith("job_id", F.lit("."))).groupBy("job_id").agg(F.array_sort(F.collect_set("name")).alias("names"), F.sum("size").alias("bytes"), F.max("at").alias("updated_at"))
+    files = each.where(~F.startswith("job_id", F.lit("."))).groupBy("job_id").agg(F.array_sort(F.collect_set("name")).alias("names"), F.sum("size").alias("bytes"), F.unix_millis(F.max("at")).alias("updated_at"))
     told = spark.read.option("pathGlobFilter", SUMMARY).option("recursiveFileLookup", True).text(path, wholetext=True).select(job.alias("job_id"), F.col("value").alias("summary"))
     object_ = F.startswith(F.schema_of_variant(F.try_parse_json("summary")), F.lit("OBJECT"))
     both = files.join(told, "job_id", "left").withColumn("_error", F.when(F.col("summary").isNull(), "missing").when(~F.coalesce(object_, F.lit(False)), "unreadable"))

@@ -93,3 +93,22 @@ def test_command_line(spark, tmp_path, capsys):
     assert "turn_chunks" in capsys.readouterr().out
     cli.main(["run", "fallback_plan", "/root/testdata/sf0.001", "--out", str(tmp_path / "out")])
     assert spark.read.parquet(str(tmp_path / "out")).count() > 0
+    out = lambda: [json.loads(r) for r in capsys.readouterr().out.splitlines()]
+    out()
+    cli.main(["evaluate", str(tmp_path / "t/*/*.md"), str(tmp_path / "n/*/*.md"), "--worst", "j2"])
+    rows = out()
+    assert [r["job"] for r in rows[:2]] == sorted(("j1", "j2"), key=lambda j: -next(r["score"] for r in rows[:2] if r["job"] == j)) and rows[2]["rank"] in (1, 2)
+    cli.main(["export", str(tmp_path / "t/*/*.md"), str(tmp_path / "bundles")])
+    from colloquy.sources import versions
+
+    bundles = {r["job_id"]: json.loads(r["document"]) for r in versions.read(spark, str(tmp_path / "bundles")).collect()}
+    assert set(bundles) == {"j1", "j2"} and [s["text"] for s in bundles["j1"]["transcript"]["segments"]] == ["你好 嗎", "abc"]
+    (tmp_path / "archive" / "j9").mkdir(parents=True)
+    (tmp_path / "archive" / "j9" / "job.json").write_text('{"state": "done", "title": "T"}')
+    cli.main(["jobs", str(tmp_path / "archive")])
+    assert [(r["job_id"], r["state"], r["names"]) for r in out()] == [("j9", "done", ["job.json"])]
+    for state in ("scanning", "scanning", "done"):
+        cli.main(["state", str(tmp_path / "states"), "j1", "--set", state, "--note", "n"])
+    out()
+    cli.main(["state", str(tmp_path / "states")])
+    assert [(r["state"], r["back"]) for r in out()] == [("done", 1), ("scanning", 2)]
