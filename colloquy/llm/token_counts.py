@@ -27,7 +27,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm.common import cut, exists, fresh_path, join_hot, prepare
@@ -87,10 +87,14 @@ def counter(path: str):
 
 
 def read_cache(spark, path: str, version: str) -> DataFrame:
-    """(digest, n_tokens) of a tokenizer; a folder that isn't there yet is an empty cache."""
-    if not exists(spark, path):
-        return spark.createDataFrame([], CACHE).drop("tokenizer")
-    return spark.read.schema(CACHE).parquet(path).where(F.col("tokenizer") == version).drop("tokenizer")
+    """(digest as bytes, n_tokens) of a tokenizer; a folder that isn't there yet is an empty cache."""
+    held = spark.read.schema(CACHE).parquet(path) if exists(spark, path) else spark.createDataFrame([], CACHE)
+    return held.where(F.col("tokenizer") == version).select(F.unhex("digest").alias("digest"), "n_tokens")
+
+
+def digest_of(text: Column) -> Column:
+    """The digest's 32 bytes; the cache holds it in hexadecimal."""
+    return F.unhex(F.sha2(text, 256))
 
 
 def unseen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,9 +111,9 @@ def unseen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def missing_texts(docs: DataFrame, misses: DataFrame, text_column: str) -> DataFrame:
-    """(key, text) of the rows that may be misses (digest), copies in a task dropped: what is shuffled."""
+    """(key, text) of the rows that may be misses (digest, as bytes), copies in a task dropped: what is shuffled."""
     key = lambda c: F.xxhash64(c).alias("h")
-    missed = docs.sparkSession.sparkContext.broadcast(bitmap(misses.select(key(F.unhex("digest")))))
+    missed = docs.sparkSession.sparkContext.broadcast(bitmap(misses.select(key(F.col("digest")))))
     text = F.coalesce(text_column, F.lit(""))
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +123,7 @@ def missing_texts(docs: DataFrame, misses: DataFrame, text_column: str) -> DataF
             hit = (words[low >> np.uint64(6)] >> (low & np.uint64(63))) & np.uint64(1)
             yield b.select(["key", "text"]).filter(pa.array(hit.astype(bool)))
 
-    own = docs.select(F.unhex(F.sha2(text, 256)).alias("key"), text.alias("text")).withColumn("h", key("key"))
+    own = docs.select(digest_of(text).alias("key"), text.alias("text")).withColumn("h", key("key"))
     return own.mapInArrow(lambda batches: unseen(wanted(batches)), "key binary, text string")
 
 
@@ -127,7 +131,7 @@ def encode_misses(docs: DataFrame, misses: DataFrame, path: str, text_column: st
     """(digest, n_tokens) for each missing digest, its text encoded once."""
     texts = missing_texts(docs, misses, text_column)
     # Dealt by digest whatever join is chosen, so that copies from all tasks meet.
-    wanted = texts.repartition("key").join(misses.select(F.unhex("digest").alias("key")), "key", "left_semi")
+    wanted = texts.repartition("key").join(misses.select(F.col("digest").alias("key")), "key", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path)
@@ -144,7 +148,7 @@ def encode_misses(docs: DataFrame, misses: DataFrame, path: str, text_column: st
 def keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """id, digest and n_bytes of each row."""
     text = F.coalesce(text_column, F.lit(""))
-    return docs.select(F.col(id_column).alias("id"), F.sha2(text, 256).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"))
+    return docs.select(F.col(id_column).alias("id"), digest_of(text).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"))
 
 
 def fill(docs: DataFrame, digests: DataFrame, path: str, cache: str, text_column: str = "text") -> None:
@@ -158,7 +162,7 @@ def fill(docs: DataFrame, digests: DataFrame, path: str, cache: str, text_column
 def fill_from(docs: DataFrame, path: str, cache: str, text_column: str = "text") -> None:
     """Encode the distinct texts of a batch that the cache lacks."""
     prepare(docs.sparkSession)
-    fill(docs, docs.select(F.sha2(F.coalesce(text_column, F.lit("")), 256).alias("digest")).distinct(), path, cache, text_column)
+    fill(docs, docs.select(digest_of(F.coalesce(text_column, F.lit(""))).alias("digest")).distinct(), path, cache, text_column)
 
 
 def token_counts(docs: DataFrame, path: str, cache: str | None = None, id_column: str = "doc_id", text_column: str = "text", limit: int = LIMIT) -> DataFrame:

@@ -279,8 +279,8 @@ def test_cache_encodes_each_text_once(spark, tmp_path, monkeypatch):
     assert len(got) == len(rows) and stored().count() == 4  # the hit wasn't encoded again, each miss once
     assert {(r["doc_id"], r["n_tokens"], r["over_limit"]) for r in got} == {(i, token_counts.counter(path)([t or ""])[0], i == 5) for i, t in rows}
     # Over a full cache no text is shuffled, and of a new one only that.
-    digest = F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest")
-    misses = lambda d: d.select(digest).distinct().join(stored().select("digest"), "digest", "left_anti")
+    digest = token_counts.digest_of(F.coalesce("text", F.lit(""))).alias("digest")
+    misses = lambda d: d.select(digest).distinct().join(stored().select(F.unhex("digest").alias("digest")), "digest", "left_anti")
     assert token_counts.missing_texts(docs, misses(docs), "text").count() == 0
     more = docs.unionByName(docs.where("doc_id = 5").withColumn("text", F.lit("new")))
     assert [r["text"] for r in token_counts.missing_texts(more, misses(more), "text").collect()] == ["new"]
