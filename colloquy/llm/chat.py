@@ -2,7 +2,8 @@
 
 Messages (tree, id, parent, role, text, score) are linked upwards. Self-joins on the ancestor known so far, which
 double the steps each round, give each message its root, depth and the sum of scores on the way: log2 of the
-depth in rounds, whatever the trees look like, and rows without texts. Leaves are ranked in
+depth in rounds, whatever the trees look like, and rows without texts (a message that very many answer makes a hot key, which
+adaptive execution splits, as the other side has it once). Leaves are ranked in
 their tree by that sum (ties to the smaller id), and the paths of the chosen ones are enumerated by the same jumps taken down
 from the largest: a path element at depth d has one 2^k steps above it if d >= 2^k. Texts join only then.
 
@@ -63,13 +64,8 @@ def keyed(messages: DataFrame, tree: str, message: str, parent: str, role: str,
     return numbered(own, ["tree", "id"], F.xxhash64("parent", "role"), "nth", [F.col("parent"), F.col("role"), F.col("text"), F.col("score")])
 
 
-def node(tree: str, message: str, nth: Column) -> Column:
-    """A message's key; structures are equal where their nulls are."""
-    return F.struct(F.col(tree).alias("tree"), F.col(message).alias("id"), nth.alias("nth"))
-
-
 def jumps(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """Of nodes (node, up: the parent's key or null, score) those that have a root: (node, root, depth, total); and
+    """Of nodes (node, up: the parent or null, score) those that have a root: (node, depth, total); and
     the rounds: (node, up, steps), steps being 2^k where the way is that long."""
     here = F.col("up").isNull()
     state = cut(nodes.select("node", F.coalesce("up", "node").alias("up"), F.when(here, 0).otherwise(1).cast("long").alias("steps"), F.when(here, 0.0).otherwise(F.col("score")).alias("total"), F.col("score"), here.alias("done")))
@@ -84,33 +80,34 @@ def jumps(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
             break
         open_ = left
     first = state.where("done and steps = 0").select(F.col("node").alias("up"), F.col("score").alias("_first"))
-    return state.where("done").join(first, "up").select("node", F.col("up").alias("root"), F.col("steps").alias("depth"), (F.col("total") + F.col("_first")).alias("total")), rounds
+    return state.where("done").join(first, "up").select("node", F.col("steps").alias("depth"), (F.col("total") + F.col("_first")).alias("total")), rounds
 
 
 def paths(messages: DataFrame, tree: str = "tree", message: str = "id", parent: str = "parent", role: str = "role", text: str = "text", score: str | None = "score", branches: int | None = 1) -> DataFrame:
-    """tree, root, leaf (keys), branch (from 1, by score in the tree), total, position (from 0), role, text: the turns of each tree's
+    """tree, leaf (id, nth), branch (from 1, by score in the tree), total, position (from 0), role, text: the turns of each tree's
     best branches (all, if None)."""
     prepare(messages.sparkSession)
-    own = cut(keyed(messages, tree, message, parent, role, text, score))
-    known = own.select(node("tree", "id", F.col("nth")).alias("node"), node("tree", "parent", F.lit(1).cast("long")).alias("up"), "score", F.col("parent").isNotNull().alias("linked"))
-    there = known.where("node.nth = 1 and node.id is not null").select(F.col("node").alias("up"), F.lit(True).alias("found"))
-    nodes = cut(known.join(there, "up", "left").select("node", F.when(F.col("found") & F.col("linked"), F.col("up")).alias("up"), "score"))
+    # Numbers stand for messages from here on; structures are equal where their nulls are.
+    own = cut(keyed(messages, tree, message, parent, role, text, score).withColumn("node", F.monotonically_increasing_id()))
+    there = own.where("nth = 1 and id is not null").select(F.struct("tree", "id").alias("key"), F.col("node").alias("up"))
+    linked = own.where("parent is not null").select(F.struct("tree", F.col("parent").alias("id")).alias("key"), F.col("node").alias("_node")).join(there, "key").select("_node", "up")
+    nodes = cut(own.join(linked, F.col("node") == F.col("_node"), "left").select("node", "up", "score"))
     rooted, rounds = jumps(nodes)
-    leaves = rooted.join(nodes.where("up is not null").select(F.col("up").alias("node")).distinct(), "node", "left_anti").withColumn("tree", F.col("node.tree"))
-    order = [F.col("node.id"), F.col("node.nth")]
+    leaves = rooted.join(nodes.where("up is not null").select(F.col("up").alias("node")).distinct(), "node", "left_anti").join(own.select("node", "tree", "id", "nth"), "node")
+    order = [F.col("id"), F.col("nth")]
     if branches is None:
         ranked = numbered(leaves, "tree", -F.col("total"), "branch", order)
     else:  # only so many rows of a tree and task are shuffled
         w = Window.partitionBy("tree").orderBy(F.desc("total"), *order)
         ranked = leaves.withColumn("branch", F.row_number().over(w).cast("long")).where(F.col("branch") <= branches)
-    chosen = cut(ranked.select("tree", "root", F.col("node").alias("leaf"), "branch", "total", "depth"))
-    steps = chosen.select("leaf", F.col("leaf").alias("node"), F.col("depth").alias("position"))
+    chosen = cut(ranked.select("tree", F.col("node").alias("end"), F.struct("id", "nth").alias("leaf"), "branch", "total", "depth"))
+    steps = chosen.select("end", F.col("end").alias("node"), F.col("depth").alias("position"))
     for k in reversed(range(len(rounds))):
         far = rounds[k].select("node", F.col("up").alias("_up"))
-        above = steps.where(F.col("position") >= 2**k).join(far, "node").select("leaf", F.col("_up").alias("node"), (F.col("position") - 2**k).alias("position"))
+        above = steps.where(F.col("position") >= 2**k).join(far, "node").select("end", F.col("_up").alias("node"), (F.col("position") - 2**k).alias("position"))
         steps = cut(steps.unionByName(above))
-    said = own.select(node("tree", "id", F.col("nth")).alias("node"), "role", "text")
-    return steps.join(said, "node").join(chosen.drop("depth"), "leaf").select("tree", "root", "leaf", "branch", "total", "position", "role", "text")
+    said = own.select("node", "role", "text")
+    return steps.join(said, "node").join(chosen.drop("depth"), "end").select("tree", "leaf", "branch", "total", "position", "role", "text")
 
 
 def formatted(turns: DataFrame, keys: list[str], order: str, part_chars: int = PART) -> DataFrame:

@@ -258,3 +258,11 @@ def test_queries_equal_their_sql(spark, name):
     assert sorted(got.columns) == columns
     listed = lambda df: sorted(map(tuple, df[columns].astype(object).to_numpy().tolist()))
     assert listed(got) == listed(want)
+
+
+def test_paths_of_a_hub(spark):
+    """Most messages answer one root, which all paths share."""
+    rows = [("t", 0, None, "user", "root", 0.0, "", 0)] + [("t", i, 0 if i % 3 else max(0, i - 1), "user", str(i), float(i % 7), "", 0) for i in range(1, 400)]
+    df = spark.createDataFrame(rows, MESSAGES)
+    got = got_paths(chat.paths(df, branches=None))
+    assert {(t, leaf): (s, p) for (t, leaf, _, s), p in got.items()} == {k: (float(s), p) for k, (s, p) in plain_paths(rows).items()}
