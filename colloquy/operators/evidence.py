@@ -56,6 +56,7 @@ def merge_evidence(replies: DataFrame, owned: DataFrame, job: str = "job_id", ro
     roster = F.array().cast("array<string>") if roster is None else roster
     own = owned.select(job, "chunk", F.col("index").alias("turn"), F.col("speaker").alias("said_by"), "text")
     at = [job, "chunk", "turn"]
+    # The reasons that rows are dropped for, chunk_failed and those behind keep().
     lost: list[DataFrame] = [replies.where(F.col("reply").isNull()).select(job, F.lit("chunk_failed").alias("reason"))]
 
     def keep(rows: DataFrame, reason: str, test: Column) -> DataFrame:

@@ -24,6 +24,21 @@ HEADINGS = {
     "numbers": "關鍵數字", "quotes": "重點語錄", "open": "未解決事項與待確認", "next": "下次會議",
 }
 TITLES = {"note_general": "會議記錄", "note_client": "會議記錄", "note_self": "內部覆盤", "note_partner": "夥伴補課摘要", "note_interview": "訪談紀要"}
+# What documents say where nothing is known, and their sentences.
+SAYS = {
+    "speaker": "未知講者",
+    "basis": "會中明確拍板",
+    "begun": "未開始",
+    "purpose": "（未說明用途）",
+    "settled": "- 本次會議沒有懸而未決的事項。",
+    "unclear": "- （音檔不清楚）",
+    "title": "未命名會議",
+    "conclusion": "- **結論**：",
+    "silent": "- 未討論",
+    "fixed": "上下文判讀",
+    "files": "# 檔案清單 — ",
+    "clean": "# 逐字稿（定稿）：",
+}
 STATUS = {"decided": "已決議", "pending": "待定", "parked": "保留"}
 KINDS = {
     "transcript_clean": ("定稿逐字稿（已校訂）", "內部；經確認後可供客戶查核"),
@@ -61,7 +76,7 @@ def headed(topic: Column) -> Column:
 
 def turn_line(index: Column, stamp: Column, speaker: Column, text: Column) -> Column:
     """SNK11: a turn as one line under its number, without a leading stamp."""
-    who = F.coalesce(blank(speaker), F.lit("未知講者"))
+    who = F.coalesce(blank(speaker), F.lit(SAYS["speaker"]))
     return F.concat(F.lit("#"), index.cast("string"), F.lit(" ["), stamp, F.lit("] "), who, F.lit("："), squash(unstamped(text)))
 
 
@@ -71,7 +86,7 @@ def unstamped(text: Column) -> Column:
 
 def turn_block(stamp: Column, speaker: Column, text: Column) -> Column:
     """SNK11: a turn as a header and its text."""
-    return F.concat(F.lit("**["), stamp, F.lit("] "), F.coalesce(blank(speaker), F.lit("未知講者")), F.lit("**\n\n"), unstamped(text), F.lit("\n"))
+    return F.concat(F.lit("**["), stamp, F.lit("] "), F.coalesce(blank(speaker), F.lit(SAYS["speaker"])), F.lit("**\n\n"), unstamped(text), F.lit("\n"))
 
 
 def chunk_text(turns: DataFrame, job: str, order: str, block: str, stamp: str, chars: str) -> DataFrame:
@@ -111,7 +126,7 @@ def status_label(status: Column) -> Column:
 def topic_lines(topic: Column, number: Column) -> Column:
     """SNK06: heading, bullets, conclusion and at most two quotations of a topic."""
     basis = blank(topic["basis"])
-    end = F.concat(F.lit("- **結論**："), status_label(topic["status"]), F.coalesce(F.concat(F.lit("——"), basis), F.lit("")))
+    end = F.concat(F.lit(SAYS["conclusion"]), status_label(topic["status"]), F.coalesce(F.concat(F.lit("——"), basis), F.lit("")))
     quotes = F.slice(topic["quotes"], 1, 2)
     quoted = F.when(F.size(quotes) > 0, F.concat(strings(""), quotes)).otherwise(strings())
     return F.concat(strings(F.concat(F.lit("### "), number.cast("string"), F.lit(". "), headed(topic)), "", "- **討論內容**："), bullets(topic), strings(end), quoted, strings(""))
@@ -134,26 +149,26 @@ def section(key: str, highlights: Column) -> Column:
         return or_else(F.flatten(F.transform(topics, lambda t, i: topic_lines(t, i + 1))), "（逐字稿中未辨識出可整理的議題。）")
     if key == "decisions":
         decided = F.filter(topics, lambda t: t["status"] == "decided")
-        rows = numbered(decided, lambda t, n: row(n, headed(t), cell(F.coalesce(blank(t["basis"]), F.lit("會中明確拍板")))))
+        rows = numbered(decided, lambda t, n: row(n, headed(t), cell(F.coalesce(blank(t["basis"]), F.lit(SAYS["basis"])))))
         return F.concat(strings("| # | 決議 | 依據／理由 |", "|---|---|---|"), or_else(rows, "| — | 本次會議未產生明確決議 | 所有議題均未拍板 |"))
     if key == "actions":
-        rows = numbered(actions, lambda a, n: row(n, cell(a["what"]), a["owner"], a["due"], F.lit("未開始")))
+        rows = numbered(actions, lambda a, n: row(n, cell(a["what"]), a["owner"], a["due"], F.lit(SAYS["begun"])))
         return F.concat(strings("| # | 事項 | 負責人 | 期限 | 狀態 |", "|---|---|---|---|---|"), or_else(rows, "| — | 本次會議未產生待辦事項 | — | — | — |"))
     if key == "numbers":
-        return or_else(F.transform(numbers, lambda n: F.concat(F.lit("- **"), n["literal"], F.lit("** — "), F.coalesce(blank(n["means"]), F.lit("（未說明用途）")))), "- 未討論")
+        return or_else(F.transform(numbers, lambda n: F.concat(F.lit("- **"), n["literal"], F.lit("** — "), F.coalesce(blank(n["means"]), F.lit(SAYS["purpose"])))), SAYS["silent"])
     if key == "quotes":
-        return or_else(F.flatten(F.transform(topics, lambda t: F.flatten(F.transform(F.slice(t["quotes"], 1, 2), lambda q: F.array(q, F.lit("")))))), "- 未討論")
+        return or_else(F.flatten(F.transform(topics, lambda t: F.flatten(F.transform(F.slice(t["quotes"], 1, 2), lambda q: F.array(q, F.lit("")))))), SAYS["silent"])
     if key == "open":
         waiting = F.filter(topics, lambda t: t["status"].isin("pending", "parked"))
         asked = F.transform(waiting, lambda t: F.concat(F.lit("- "), headed(t), F.lit("——"), status_label(t["status"]), F.coalesce(F.concat(F.lit("；"), cell(blank(t["basis"]))), F.lit(""))))
-        return or_else(F.concat(asked, F.transform(F.slice(unclear, 1, 5), lambda u: F.concat(F.lit("- （音檔不清楚）"), u["why"]))), "- 本次會議沒有懸而未決的事項。")
+        return or_else(F.concat(asked, F.transform(F.slice(unclear, 1, 5), lambda u: F.concat(F.lit(SAYS["unclear"]), u["why"]))), SAYS["settled"])
     dated = F.slice(F.filter(actions, lambda a: a["due"] != UNDATED), 1, 5)
-    return or_else(F.transform(dated, lambda a: F.concat(F.lit("- "), a["due"], F.lit("："), cell(a["what"]), F.lit("（"), a["owner"], F.lit("）"))), "- 未討論")
+    return or_else(F.transform(dated, lambda a: F.concat(F.lit("- "), a["due"], F.lit("："), cell(a["what"]), F.lit("（"), a["owner"], F.lit("）"))), SAYS["silent"])
 
 
 def document(stem: str, title: Column, highlights: Column) -> Column:
     """SNK05, FN09: a document of a kind over a row of EVIDENCE; unknown kinds are general notes."""
-    parts = [strings(F.concat(F.lit("# "), F.coalesce(blank(title), F.lit("未命名會議")), F.lit(" " + TITLES.get(stem, "會議記錄"))), "")]
+    parts = [strings(F.concat(F.lit("# "), F.coalesce(blank(title), F.lit(SAYS["title"])), F.lit(" " + TITLES.get(stem, "會議記錄"))), "")]
     for n, key in enumerate(SKELETONS.get(stem, SKELETONS["note_general"]), 1):
         parts += [strings(F.concat(F.lit("## "), chinese_index(F.lit(n)), F.lit("、" + HEADINGS[key])), ""), section(key, highlights), strings("")]
     return F.concat(F.rtrim(F.array_join(F.concat(*parts), "\n"), F.lit(" \n")), F.lit("\n"))
@@ -163,8 +178,8 @@ def action_items() -> Column:
     """SNK07: decisions, actions, risks and numbers of a row of EVIDENCE as one struct for to_json."""
     decided = F.filter("topics", lambda t: t["status"] == "decided")
     return F.struct(
-        F.transform(decided, lambda t: F.struct(headed(t).alias("decision"), F.coalesce(blank(t["basis"]), F.lit("會中明確拍板")).alias("basis"))).alias("decisions"),
-        F.transform("actions", lambda a: F.struct(a["what"].alias("item"), a["owner"].alias("responsible"), a["due"].alias("deadline"), F.lit("未開始").alias("status"))).alias("actions"),
+        F.transform(decided, lambda t: F.struct(headed(t).alias("decision"), F.coalesce(blank(t["basis"]), F.lit(SAYS["basis"])).alias("basis"))).alias("decisions"),
+        F.transform("actions", lambda a: F.struct(a["what"].alias("item"), a["owner"].alias("responsible"), a["due"].alias("deadline"), F.lit(SAYS["begun"]).alias("status"))).alias("actions"),
         F.transform("unclear", lambda u: F.struct(u["why"].alias("risk"), F.concat(F.lit("turn "), u["turn"].cast("string")).alias("source"))).alias("risks"),
         F.transform("numbers", lambda n: n["literal"]).alias("numbers"),
     )
@@ -174,7 +189,7 @@ def index_document(stems: list[str], title: Column, client: Column, date: Column
     """SNK08: the list of deliverables with the counts of topics and actions."""
     fact = lambda name, v: F.concat(F.lit(f"- **{name}**："), v)
     dash = F.lit("—")
-    head = strings(F.concat(F.lit("# 檔案清單 — "), F.coalesce(blank(title), F.lit("未命名會議"))), "", fact("對象", F.coalesce(blank(client), dash)), fact("日期", F.coalesce(blank(date), dash)), fact("議題數", F.size("topics").cast("string")), fact("待辦數", F.size("actions").cast("string")), "", "## 交付文件", "", "| 檔案 | 內容 | 讀者 |", "|---|---|---|")
+    head = strings(F.concat(F.lit(SAYS["files"]), F.coalesce(blank(title), F.lit(SAYS["title"]))), "", fact("對象", F.coalesce(blank(client), dash)), fact("日期", F.coalesce(blank(date), dash)), fact("議題數", F.size("topics").cast("string")), fact("待辦數", F.size("actions").cast("string")), "", "## 交付文件", "", "| 檔案 | 內容 | 讀者 |", "|---|---|---|")
     files = ["| `{}.md` | {} | {} |".format(s, *KINDS.get(s, ("會議文件", "內部"))) for s in stems]
     return F.concat(F.array_join(F.concat(head, strings(*files, "| `action_items.json` | 決議／待辦／風險／關鍵數字（結構化） | 內部 |")), "\n"), F.lit("\n"))
 
@@ -187,8 +202,8 @@ def clean_transcript(title: Column, facts: dict[str, Column], confirmed: Column,
     none = strings()
     rows = lambda pairs, sign: F.transform(pairs, lambda p: F.concat(F.lit("- "), p["label"], F.lit(sign), p["name"]))
     names = lambda pairs, head, sign: F.when(F.size(pairs) > 0, F.concat(strings("", head, ""), rows(pairs, sign))).otherwise(none)
-    head = F.concat(strings(F.concat(F.lit("# 逐字稿（定稿）："), title), "", *(F.concat(F.lit(f"- **{k}**："), v) for k, v in facts.items())), names(confirmed, "**講者對應（使用者確認）**", " = "), names(guessed, "**講者對應（系統推測，未經確認）**", " ≈ "), strings("", "---", ""))
-    table = F.transform(fixes, lambda f: row(f["find"], f["put"], F.coalesce(blank(f["note"]), F.lit("上下文判讀"))))
+    head = F.concat(strings(F.concat(F.lit(SAYS["clean"]), title), "", *(F.concat(F.lit(f"- **{k}**："), v) for k, v in facts.items())), names(confirmed, "**講者對應（使用者確認）**", " = "), names(guessed, "**講者對應（系統推測，未經確認）**", " ≈ "), strings("", "---", ""))
+    table = F.transform(fixes, lambda f: row(f["find"], f["put"], F.coalesce(blank(f["note"]), F.lit(SAYS["fixed"]))))
     tail = F.when(F.size(fixes) > 0, F.concat(strings("", "---", "", "## 修正對照表", "", "| 原文（ASR） | 修正後 | 依據 |", "|---|---|---|"), table)).otherwise(none)
     return F.concat(F.array_join(head, "\n"), F.trim(body, F.lit(" \n")), F.lit("\n"), F.array_join(tail, "\n"), F.lit("\n"))
 
