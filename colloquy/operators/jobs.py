@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.functions.text import keyword_level, speaker_guess
+from colloquy.functions.text import keyword_level, once, speaker_guess
 from colloquy.operators.evidence import blank_as
 from colloquy.operators.lines import FENCES, lines
 
@@ -240,15 +240,19 @@ def deliverables(files: DataFrame, wanted: Column, job: str) -> DataFrame:
 
 def writer_problem(reply: Column, stems: Column) -> Column:
     """SNK12: why a writer's reply, an object as VARIANT, is refused, or null: files that nobody asked for, files that are missing, content of the wrong kind."""
-    held = F.try_variant_get(reply, "$.files", "map<string,variant>")
     allowed = F.concat(F.transform(F.filter(stems, lambda s: s != "transcript_clean"), lambda s: F.concat(s, F.lit(".md"))), F.array(*map(F.lit, ALWAYS)))
-    unknown, lacking = F.array_sort(F.array_except(F.map_keys(held), allowed)), F.array_except(allowed, F.map_keys(held))
-    text = lambda k: F.startswith(F.schema_of_variant(F.try_element_at(held, k)), F.lit("STRING"))
-    bad = F.filter(F.array_sort(F.map_keys(held)), lambda k: F.when(F.endswith(k, F.lit(".md")), ~text(k)).otherwise(text(k) & F.try_parse_json(F.try_variant_get(F.try_element_at(held, k), "$", "string")).isNull()))
-    return (
-        F.when(held.isNull(), "no files").when(F.size(unknown) > 0, F.concat(F.lit("unknown: "), F.array_join(unknown, ", "))).when(F.size(lacking) > 0, F.concat(F.lit("missing: "), F.get(lacking, F.lit(0))))
-        .when(F.size(bad) > 0, F.concat(F.lit("wrong: "), F.get(bad, F.lit(0))))
-    )
+
+    def problem(held: Column) -> Column:
+        unknown, lacking = F.array_sort(F.array_except(F.map_keys(held), allowed)), F.array_except(allowed, F.map_keys(held))
+        text = lambda e: F.startswith(F.schema_of_variant(e["value"]), F.lit("STRING"))
+        wrong = lambda e: F.when(F.endswith(e["key"], F.lit(".md")), ~text(e)).otherwise(text(e) & F.try_parse_json(F.try_variant_get(e["value"], "$", "string")).isNull())
+        bad = F.array_min(F.transform(F.filter(F.map_entries(held), wrong), lambda e: e["key"]))
+        return (
+            F.when(held.isNull(), "no files").when(F.size(unknown) > 0, F.concat(F.lit("unknown: "), F.array_join(unknown, ", "))).when(F.size(lacking) > 0, F.concat(F.lit("missing: "), F.get(lacking, F.lit(0))))
+            .when(bad.isNotNull(), F.concat(F.lit("wrong: "), bad))
+        )
+
+    return once(F.try_variant_get(reply, "$.files", "map<string,variant>"), problem)
 
 
 def listing(texts: DataFrame, job: str, fields: str, text: str = "summary") -> DataFrame:

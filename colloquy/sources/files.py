@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colloquy.functions.text import once
+
 
 def transcripts(spark: SparkSession, path: str) -> DataFrame:
     """One row a file: job_id (the folder's name) and text."""
@@ -17,12 +19,19 @@ def json_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
 
 
+#: What JSON can begin with. Text that begins otherwise isn't parsed: an error costs more than all the rest of a row.
+_BEGUN = r"""^[\s\x{FEFF}]*[\[{"0-9tfnNI+.-]"""
+
+
 def loads_loose(text: Column) -> Column:
     """SRC02: an object as VARIANT from a reply: the text itself, the text without its fences, or the first balanced object in it; else null."""
-    bare = F.array_join(F.transform(F.split(text, "\n"), _without_fence), "\n")
-    whole = F.coalesce(F.try_parse_json(text), F.try_parse_json(bare))
-    only_object = lambda v: F.when(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), v)
-    return F.when(whole.isNotNull(), only_object(whole)).otherwise(only_object(F.try_parse_json(first_object(text))))
+
+    def read(text: Column) -> Column:
+        bare = F.array_join(F.transform(F.split(text, "\n"), _without_fence), "\n")
+        parsed = lambda t: F.when(F.rlike(t, F.lit(_BEGUN)), F.try_parse_json(t))
+        return F.coalesce(parsed(text), once(F.nullif(bare, text), parsed), F.try_parse_json(first_object(text)))
+
+    return once(once(text, read), lambda v: F.when(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), v))
 
 
 def _without_fence(line: Column) -> Column:
@@ -47,8 +56,8 @@ def first_object(text: Column) -> Column:
         length = a["length"] + F.length(p)
         return F.struct(depth.alias("depth"), length.alias("length"), F.when((a["end"] == 0) & (p == "}") & (depth == 0), length).otherwise(a["end"]).alias("end"))
 
-    end = F.aggregate(pieces, start, step, lambda a: a["end"])
-    return F.when(F.instr(text, "{") > 0, F.when(end > 0, F.substr(rest, F.lit(1), end)))
+    cut = once(F.aggregate(pieces, start, step, lambda a: a["end"]), lambda end: F.when(end > 0, F.substr(rest, F.lit(1), end)))
+    return F.when(F.instr(text, "{") > 0, cut)
 
 
 def agent_json(spark: SparkSession, path: str) -> DataFrame:

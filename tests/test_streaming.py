@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from colloquy.operators.jobs import writer_problem
 from colloquy.sources import files
 from colloquy.streaming import jobs
 
@@ -112,3 +113,11 @@ def test_command_line(spark, tmp_path, capsys):
     out()
     cli.main(["state", str(tmp_path / "states")])
     assert [(r["state"], r["back"]) for r in out()] == [("done", 1), ("scanning", 2)]
+
+
+def test_a_reply_is_read_once(spark):
+    """Whatever of a reply the checks look at, its text is cut and parsed in one place of the plan; keys in any order, nulls and fences."""
+    rows = [('so: {"files": {"b.md": "x", "INDEX.md": 1, "action_items.json": {}, "agent_report.json": "{}"}}', "wrong: INDEX.md"), ('```json\n{"files": {"z": 1, "a": null}}\n```', "unknown: a, z"), ('﻿ {"files": 1}', "no files"), (None, "no files")]
+    d = spark.createDataFrame([(t,) for t, _ in rows], "t string").select(writer_problem(files.loads_loose(F.col("t")), F.array(F.lit("b"))).alias("p"))
+    assert [r[0] for r in d.collect()] == [p for _, p in rows]
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
