@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.functions.text import ENDINGS, STAMP, hhmmss, label_similarity, parse_stamp, squash
+from colloquy.functions.text import ENDINGS, NOISE, STAMP, hhmmss, parse_stamp, squash
 from colloquy.operators import storage, substrings
 from colloquy.operators.scans import ROWS, Scan
 
@@ -293,23 +293,64 @@ def matcher(needles) -> Callable[[Iterator], Iterator]:
 def excerpts(df: DataFrame, keys: list[str], limit: int = 160) -> DataFrame:
     """FN07: of each text (keys, text, focus) the whole, squashed, if it fits; else the run of sentences nearest to the focus.
 
-    A run is told by where it begins and ends in the text, so rows carry positions, not sentences, and only runs
-    that fit are ever looked at: from each sentence on, those that end within the limit. Without one it is the
-    first sentence, cut.
+    Only runs that fit are looked at: from each sentence on, those that end within the limit; without one it is the first
+    sentence, cut. Bigrams are of lower-case characters, each by itself. Null texts give no row.
     """
-    t = df.select(*keys, "focus", squash(F.col("text")).alias("t"))
-    whole = t.where(F.length("t") <= limit).select(*keys, F.col("t").alias("excerpt"))
-    s = t.where(F.length("t") > limit)
-    # A sentence ends where a sign does, and the last one where the text does.
-    signs = F.array_compact(F.transform(F.split("t", ""), lambda c, i: F.when(c.isin(*ENDINGS), i + 1)))
-    ends = F.when(F.get(signs, F.size(signs) - 1) == F.length("t"), signs).otherwise(F.concat(signs, F.array(F.length("t"))))
-    placed = s.withColumn("ends", ends).withColumn("first", F.get("ends", F.lit(0)))
-    begins = F.concat(F.array(F.lit(0)), F.slice("ends", 1, F.size("ends") - 1))
-    each = placed.select(*keys, "t", "focus", "ends", F.posexplode(begins).alias("a", "begin"))
-    runs = each.select(*keys, "t", "focus", "a", "begin", F.explode(F.filter(F.slice("ends", F.col("a") + 1, F.lit(limit)), lambda e: e <= F.col("begin") + limit)).alias("end"))
-    win = F.substr("t", F.col("begin") + 1, F.col("end") - F.col("begin"))
-    rank = F.struct(label_similarity(win, F.col("focus")).alias("sim"), (F.col("end") - F.col("begin")).alias("n"), (-F.col("a")).alias("a"))
-    best = runs.groupBy(*keys).agg(F.max(F.struct(rank.alias("rank"), "begin", "end")).alias("best"))
-    cut = F.substr("t", F.lit(1), F.least(F.coalesce("first", F.lit(limit)), F.lit(limit)))
-    own = F.trim(F.substr("t", F.col("best.begin") + 1, F.col("best.end") - F.col("best.begin")))
-    return placed.join(best, keys, "left").select(*keys, F.coalesce(own, cut).alias("excerpt")).unionByName(whole)
+    t = df.select(*keys, squash(F.col("text")).alias("t"), "focus").where("t is not null")
+    return t.select(*keys, F.arrow_udf(nearest(limit), "string")("t", "focus").alias("excerpt"))
+
+
+def nearest(limit: int) -> Callable:
+    """A function: (texts, focuses) -> excerpts. A run's bigrams are those of the run that is a sentence shorter and its last sentence's."""
+    noise, ending = NOISE.replace(r"\x{3000}", "\u3000"), f"[{ENDINGS}]"
+
+    def run(texts, focuses):
+        import re
+
+        import pyarrow as pa
+
+        noises, endings = re.compile(noise, re.ASCII), re.compile(ending)
+
+        def bare(text: str) -> str:
+            return noises.sub("", text).replace("Σ", "σ").replace("İ", "i").lower()
+
+        def excerpt(t: str, near: set[str]) -> str:
+            ends = [m.end() for m in endings.finditer(t)]
+            if not ends or ends[-1] < len(t):
+                ends.append(len(t))
+            begins = [0, *ends[:-1]]
+            parts = [bare(t[b:e]) for b, e in zip(begins, ends)]
+            at = [0]
+            for x in parts:
+                at.append(at[-1] + len(x))
+            low = "".join(parts)
+            pairs = [low[i : i + 2] for i in range(len(low) - 1)]
+            best = None
+            for a, begin in enumerate(begins):
+                seen, both = set(), set()
+                for e in range(a, len(ends)):
+                    if ends[e] - begin > limit:
+                        break
+                    new = pairs[max(at[a], at[e] - 1) : max(at[e + 1] - 1, 0)]
+                    seen.update(new)
+                    both.update(near.intersection(new))
+                    own, common = len(seen), len(both)
+                    if at[e + 1] - at[a] == 1:
+                        own, common = 1, int(low[at[a]] in near)
+                    sim = common / (own + len(near) - common) if own and near else 0.0
+                    best = max(best or (-1.0,), (sim, ends[e] - begin, -a))
+            if best is None:
+                return t[: min(ends[0], limit)]
+            return t[begins[-best[2]] : begins[-best[2]] + best[1]].strip(" ")
+
+        out, last, near = [], None, set()
+        for t, focus in zip(texts.to_pylist(), focuses.to_pylist()):
+            if len(t) > limit:
+                if focus != last:
+                    last, low = focus, bare(focus or "")
+                    near = {low} if len(low) == 1 else {low[i : i + 2] for i in range(len(low) - 1)}
+                t = excerpt(t, near)
+            out.append(t)
+        return pa.array(out, pa.string())
+
+    return run

@@ -1,5 +1,8 @@
 """Golden values of text functions and operators that SQL can't express."""
 
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from colloquy.functions import text as T
@@ -63,6 +66,30 @@ def test_excerpt(spark):
     assert got[1] == "短句。" and "付款條件" in got[2] and len(got[2]) <= 20 and got[2] in rows[1][1] and got[3] == "長" * 20
 
 
+def test_excerpts_are_the_best_of_all_runs(spark):
+    """Texts of short, long, empty and Greek sentences against looking at every run; rows aren't multiplied by their runs."""
+    rng, limit, noise = random.Random(5), 24, " 。，！？!?.,-'"
+    word = lambda: "".join(rng.choice("abAΣİςß會議😀 ,-。!?") for _ in range(rng.choice([0, 3, 30, 90])))
+    rows = [(i, word(), word() if i % 5 else None) for i in range(300)] + [(300, None, "x"), (301, "a。" * 40, "a"), (302, "!" * 50, ""), (303, "長" * 30 + "。短。", "長")]
+
+    def grams(x):
+        x = "".join(c.lower()[0] for c in x or "" if c not in noise)
+        return {x} if len(x) == 1 else {x[i : i + 2] for i in range(len(x) - 1)}
+
+    def best(text, focus):
+        t, y = " ".join(text.split()), grams(focus)
+        if len(t) <= limit:
+            return t
+        one = re.findall("[^。！？!?]*[。！？!?]|[^。！？!?]+", t)
+        runs = [("".join(one[a:e]), -a) for a in range(len(one)) for e in range(a + 1, len(one) + 1) if sum(map(len, one[a:e])) <= limit]
+        ranked = [(len(grams(w) & y) / len(grams(w) | y) if grams(w) and y else 0.0, len(w), a, w) for w, a in runs]
+        return max(ranked)[3].strip(" ") if ranked else one[0][:limit]
+
+    d = lines.excerpts(spark.createDataFrame(rows, "k long, text string, focus string"), ["k"], limit)
+    assert {r["k"]: r["excerpt"] for r in d.collect()} == {k: best(t, f) for k, t, f in rows if t is not None}
+    assert "Generate" not in d._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_candidates(spark):
     s = spark.createDataFrame([(1, i, s, float(i), i + 1.0) for i, s in enumerate([0, 1, 0, 2])], "job long, i int, s int, a double, b double")
     r = intervals.segment_stats(s, "job", "i", "s", "a", "b").first()
