@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -259,35 +258,7 @@ def traced(quotes: DataFrame, texts: DataFrame, job: str | None = None) -> DataF
         return substrings.held(q.withColumnRenamed("_q", "quote"), t.withColumnRenamed("_t", "text"))
     some = texts.sparkSession.sparkContext.broadcast([r["_q"] for r in needles.select("_q").collect()])  # AUTOMATON characters at most
     schema = f"text_id {texts.schema['text_id'].dataType.simpleString()}, _q string"
-    return q.join(t.mapInArrow(matcher(some), schema), "_q").select("quote_id", "text_id")
-
-
-_automata: dict[str, object] = {}
-
-
-def matcher(needles) -> Callable[[Iterator], Iterator]:
-    """A mapInArrow function over (text_id, _t): (text_id, _q) for each needle that a text holds."""
-
-    name = uuid.uuid4().hex
-
-    def run(batches: Iterator) -> Iterator:
-        import ahocorasick
-        import pyarrow as pa
-
-        if name not in _automata:  # a worker builds it once
-            _automata.clear()
-            built = ahocorasick.Automaton()
-            for n in needles.value:
-                built.add_word(n, n)
-            built.make_automaton()
-            _automata[name] = built
-        automaton = _automata[name]
-        for b in batches:
-            hits = [sorted({n for _, n in automaton.iter(x)}) if x else [] for x in b.column("_t").to_pylist()]
-            row = pa.array([i for i, h in enumerate(hits) for _ in h], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("text_id").take(row), pa.array([n for h in hits for n in h], pa.string())], names=["text_id", "_q"])
-
-    return run
+    return q.join(t.mapInArrow(substrings.matcher(some), schema), "_q").select("quote_id", "text_id")
 
 
 def excerpts(df: DataFrame, keys: list[str], limit: int = 160) -> DataFrame:

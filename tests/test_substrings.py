@@ -47,3 +47,17 @@ def test_many_quotations_go_through_the_index(spark, monkeypatch):
     monkeypatch.setattr(lines, "AUTOMATON", 3)
     assert few == {tuple(r) for r in lines.traced(q, t).collect()} == {(1, 1), (2, 2)}
     assert lines.traced(q.where(F.lit(False)), t).count() == 0
+
+
+def test_what_is_stored_grows_with_the_strings_only(spark, monkeypatch):
+    """Neither keys nor hits are checkpointed; short strings in place and by the index give the same."""
+    stored, cut = [], substrings.cut
+    monkeypatch.setattr(substrings, "cut", lambda df: [d := cut(df), stored.append(d.count())][0])
+    texts = [f"{i} 的會議紀錄全文，第{i % 7}號決議付款條件三十天內完成交付並且驗收" for i in range(60)]
+    quotes = ["的", "議付", texts[5][:30], texts[9], "沒有"]
+    q, t = spark.createDataFrame(list(enumerate(quotes)), "quote_id long, quote string"), spark.createDataFrame(list(enumerate(texts)) + [(0, texts[0])], "text_id long, text string")
+    want = sorted((i, j) for i, x in enumerate(quotes) for j, y in enumerate(texts) if x in y)
+    for most in (10**6, 0):
+        monkeypatch.setattr(substrings, "IN_PLACE", most)
+        assert sorted(tuple(r) for r in substrings.held(q, t).collect()) == want
+    assert sum(stored) <= 4 * len(quotes)
