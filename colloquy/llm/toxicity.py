@@ -25,8 +25,9 @@ an empty table gives an empty result; columns beside id and text are never read,
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from heapq import nlargest
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +54,11 @@ SUBSTITUTED, DROPPED, REPEATED = -1.0, -0.5, -1.0
 
 SUSPICIOUS = re.compile(rf"[^\W\d_][{_SYMBOLS}]+[^\W\d_]|^[{_SYMBOLS}]+[^\W\d_]{{2}}|[^\W\d_]{{2}}[0-9@$](?:[.,;:!?]*)$|[^\W\d_][{re.escape(SEPARATORS)}]+[^\W\d_][{re.escape(SEPARATORS)}]+[^\W\d_]|([^\W\d_])\1\1", re.IGNORECASE)
 SPACED = re.compile(rf"(?<!\S)[^\W_](?: [^\W_]){{2,}}(?!\S)|(?<!\S)[\w{_SYMBOLS}](?: [\w{_SYMBOLS}]){{3,}}(?!\S)")
+#: What each match of SPACED holds; quick to look for.
+ALONE = re.compile(r" \S \S(?!\S)")
+#: A lower-cased word of letters alone, but for these at its end, is suspicious by a letter three times in a row only.
+ENDS = ".,;:?!&#*\"')"
+TRIPLE = re.compile(r"(.)\1\1")
 #: From the first word character to the last.
 CORE = re.compile(r"\w(?:.*\w)?", re.DOTALL)
 
@@ -154,6 +160,22 @@ def decode(token: str, model) -> str:
     return written(max(((s + model[a][b][0], n, path) for n, ((a, b), (s, path)) in enumerate(states.items())), key=lambda x: (x[0], -x[1]))[2])
 
 
+class Known(dict):
+    """What words give; those that are not remembered are read."""
+
+    def __init__(self, read: Callable[[str], int]):
+        super().__init__()
+        self.read = read
+
+    def __missing__(self, word: str) -> int:
+        got = self.read(word)
+        if len(word) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = got
+        return got
+
+
 @dataclass
 class Scorer:
     """Restores and scores texts in a worker; remembers words."""
@@ -167,7 +189,13 @@ class Scorer:
     means: np.ndarray | None = None
     scales: np.ndarray | None = None
     constant: float = 0.0
-    known: dict[str, tuple[float, tuple[int, int] | None]] = field(default_factory=dict)
+    #: The rank of a word's strongest feature, 0 for none.
+    known: Known | None = None
+    #: Distinct counts of features, by rising odds: the first, of rank 0, stand for none.
+    counts: list[tuple[int, int] | None] = field(default_factory=list)
+    ranks: dict[str, int] = field(default_factory=dict)
+    #: counts to take away -> the odds of each rank
+    bounds: dict[tuple[int, int], list[float]] = field(default_factory=dict)
     #: The model as nested lists, which single values are read from faster.
     table: list | None = None
 
@@ -179,6 +207,9 @@ class Scorer:
     def read_word(self, word: str) -> str:
         """The word without punctuation at its ends, restored if it is suspicious."""
         word = word.lower()
+        stem = word.rstrip(ENDS)
+        if stem.isalpha() and not TRIPLE.search(stem):
+            return stem
         if SUSPICIOUS.search(word):
             plain = word.rstrip(".,;:?!")
             return self.decoded(plain or word)
@@ -192,8 +223,9 @@ class Scorer:
     def words(self, text: str) -> set[str]:
         """Distinct words as written, and readings of letters spaced out."""
         found = set(text.split())
-        for m in SPACED.finditer(text):
-            found.add(self.decoded(m.group().lower().replace(" ", "")))
+        if ALONE.search(text):
+            for m in SPACED.finditer(text):
+                found.add(self.decoded(m.group().lower().replace(" ", "")))
         return found
 
     def odds(self, n: tuple[int, int], less: tuple[int, int] = (0, 0)) -> float:
@@ -201,29 +233,32 @@ class Scorer:
         a, b = n[0] - less[0] + 0.5, n[1] - less[1] + 0.5
         return float(np.log(a / (self.n1 + 1)) - np.log(b / (self.n0 + 1)) - np.sqrt(1 / a + 1 / b))
 
-    def word(self, written: str) -> tuple[float, tuple[int, int] | None]:
-        best: tuple[float, tuple[int, int] | None] = (0.0, None)
-        for f in features_of(self.read_word(written)):
-            n = self.features.get(f)
-            if n and (o := self.odds(n)) > best[0]:
-                best = (o, n)
-        return best
+    def ranked(self, less: tuple[int, int] = (0, 0)) -> list[float]:
+        """The odds of each rank, worked out once for all texts."""
+        if self.known is None:
+            odds = {n: self.odds(n) for n in set(self.features.values())}
+            self.counts = [None, *sorted((n for n, o in odds.items() if o > 0), key=lambda n: (odds[n], n))]
+            rank = {n: k for k, n in enumerate(self.counts)}
+            self.ranks = {f: rank[n] for f, n in self.features.items() if n in rank}
+            self.known = Known(self.word)
+        if less not in self.bounds:
+            with np.errstate(invalid="ignore", divide="ignore"):  # of features that no document of this label holds
+                self.bounds[less] = [0.0, *(self.odds(n, less) for n in self.counts[1:])]
+        return self.bounds[less]
+
+    def word(self, written: str) -> int:
+        """The rank of the word's strongest feature, 0 for none."""
+        ranks = self.ranks
+        return max([ranks.get(f, 0) for f in features_of(self.read_word(written))], default=0)
 
     def evidence(self, text: str, less: tuple[int, int] = (0, 0)) -> list[float]:
         """The three largest log odds of different features, and the length."""
-        known, found = self.known, {}
-        words = self.words(text)
-        for w in words:
-            got = known.get(w)
-            if got is None:
-                got = self.word(w)
-                if len(w) <= LONGEST:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[w] = got
-            if got[1]:
-                found[got[1]] = got[0]
-        odds = sorted((self.odds(n, less) for n in found) if less != (0, 0) else found.values(), reverse=True)[:3]
+        words, bounds = self.words(text), self.ranked(less)
+        found = set(map(self.known.__getitem__, words)) - {0}
+        if less == (0, 0):  # ranks go by the odds
+            odds = [bounds[n] for n in nlargest(3, found)]
+        else:
+            odds = nlargest(3, [bounds[n] for n in found])
         odds = [max(0.0, o) for o in odds] + [0.0] * (3 - len(odds))
         return [*odds, float(np.log1p(len(words)))]
 
@@ -235,7 +270,7 @@ class Scorer:
 
 
 def features_of(word: str) -> list[str]:
-    return [word, *("^" + word[:k] for k in PREFIXES if len(word) > k)] if word else []
+    return [word, *["^" + word[:k] for k in PREFIXES if len(word) > k]] if word else []
 
 
 def logistic(x: np.ndarray, y: np.ndarray, each: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:

@@ -408,3 +408,46 @@ def test_no_addresses_and_digits_with_letters():
     assert pii.find("pay 4l11 1111 1111 1111 now")[1] == [("card", 4, 23)]
     assert pii.find("call +49 l7O 123456O!")[1] == [("phone", 5, 20)]
     assert pii.find("pay 4l11 1111 1111 1112 now")[1] == []
+
+
+def marked_scorer():
+    features = {"idiot": (30, 1), "^idio": (40, 2), "^idioti": (20, 0), "moron": (30, 1), "^moro": (9, 3), "stone": (1, 50), "é": (3, 0)}
+    return toxicity.Scorer(toxicity.language_model(np.random.default_rng(6).integers(0, 60, toxicity.SIZE**3).astype(float)), features=features, n1=100, n0=100)
+
+
+def test_a_new_word_costs_no_new_odds(monkeypatch):
+    """Odds are worked out once for each feature, as corpora bring new words without end."""
+    plain, calls = toxicity.Scorer.odds, []
+    monkeypatch.setattr(toxicity.Scorer, "odds", lambda self, *a: calls.append(a) or plain(self, *a))
+    scorer = marked_scorer()
+    for i in range(20):
+        scorer.evidence(" ".join("idio" + a + b + c for a, b, c in product("abcdefghij", "klmnop", "abcdefghijklmnopqrst"[i])))
+    assert len(calls) <= 2 * len(scorer.features)
+
+
+def test_evidence_is_that_of_a_plain_recount(monkeypatch):
+    """Plain words, spaced letters and ranks are short cuts; words are forgotten beyond a bound."""
+    monkeypatch.setattr(toxicity, "REMEMBERED", 50)
+    scorer, rng = marked_scorer(), random.Random(12)
+
+    def read(word):
+        word = word.lower()
+        if toxicity.SUSPICIOUS.search(word):
+            return scorer.decoded(word.rstrip(".,;:?!") or word)
+        core = toxicity.CORE.search(word)
+        return core.group() if core else ""
+
+    def evidence(text, less):
+        words = set(text.split()) | {scorer.decoded(m.group().lower().replace(" ", "")) for m in toxicity.SPACED.finditer(text)}
+        best = [max(((scorer.odds(scorer.features[f]), scorer.features[f]) for f in toxicity.features_of(read(w)) if f in scorer.features), default=(0, None)) for w in words]
+        odds = sorted((scorer.odds(n, less) for n in {n for o, n in best if o > 0}), reverse=True)[:3]
+        return [*(max(0.0, o) for o in odds), *[0.0] * (3 - len(odds)), float(np.log1p(len(words)))]
+
+    parts = ["idiot", "1d10t", "IDIOTIC", "moron", "moronic", "stone", "i d i o t", "m o r", "é", "ÉÉÉ", "idioooot", "a b", "x" * 70, "idiotie" * 20]
+    ends = [*toxicity.ENDS, "$", "@", "0", "(", "¡", "_", "...", "!!1", "»", "İ", "ſſſ", "&&&", "", ""]
+    for i in range(1500):
+        drawn = [rng.choice(ends) * rng.choice([0, 0, 1]) + rng.choice([*parts, "".join(rng.choice("abé1$.-* iİ") for _ in range(rng.randint(1, 9)))]) + rng.choice(ends) for _ in range(rng.randint(0, 8))]
+        text, less = rng.choice(" \n\x85").join(drawn), rng.choice([(0, 0), (1, 0)])
+        assert scorer.evidence(text, less) == evidence(text, less), text
+        assert all(scorer.read_word(w) == read(w) for w in text.split()), text
+    assert len(scorer.known) <= 50 and max(map(len, scorer.known)) <= toxicity.LONGEST
