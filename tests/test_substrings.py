@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from colloquy.operators import lines, substrings
+from colloquy.operators import lines, needles, substrings
 
 
 def test_strings_of_all_lengths_and_scripts(spark, monkeypatch):
@@ -61,3 +61,35 @@ def test_what_is_stored_grows_with_the_strings_only(spark, monkeypatch):
         monkeypatch.setattr(substrings, "IN_PLACE", most)
         assert sorted(tuple(r) for r in substrings.held(q, t).collect()) == want
     assert sum(stored) <= 4 * len(quotes)
+
+
+def test_texts_and_pairs_stay_where_they_are(spark, monkeypatch):
+    """Long strings too are found in place, in one pass or many, whatever ids texts share; no text and no pair is shuffled."""
+    texts = [f"{i} 的會議紀錄全文，第{i % 7}號決議付款條件三十天內完成交付並且驗收" for i in range(60)]
+    quotes = ["的", "議付", texts[5][:30], texts[9], "沒有", "付款條件三十天內", "付款條件三十天內", "全文，第3號"]
+    q, t = spark.createDataFrame(list(enumerate(quotes)), "quote_id long, quote string"), spark.createDataFrame(list(enumerate(texts)), "text_id long, text string")
+    want = sorted((i, j) for i, x in enumerate(quotes) for j, y in enumerate(texts) if x in y)
+    found = substrings.held(q, t)
+    assert "hashpartitioning(text_id" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in found.collect()) == want
+    monkeypatch.setattr(substrings, "indexed", None)
+    monkeypatch.setattr(substrings, "IN_PLACE", 30)
+    shared = t.unionByName(spark.createDataFrame([(0, texts[0]), (1, "沒有 的")], t.schema))
+    for owners in (10**6, 1, 0):  # ids that are shared, broadcast or not; quotations likewise
+        monkeypatch.setattr(substrings, "OWNERS", owners)
+        assert sorted(tuple(r) for r in substrings.held(q, shared).collect()) == sorted([*want, (4, 1)])
+
+
+def test_strings_found_in_place_are_those_that_texts_hold(monkeypatch):
+    """All lengths, in pieces, with hashes that agree by chance."""
+    rng, mixed = random.Random(5), needles.mixed
+    for trial in range(200):
+        monkeypatch.setattr(needles, "PIECE", rng.choice([1, 7, 2_000_000]))
+        monkeypatch.setattr(needles, "ONE_BY_ONE", rng.choice([0, 3, 256]))
+        monkeypatch.setattr(needles, "mixed", mixed if trial % 4 else lambda a, b: mixed(a, b) & 7)
+        few = rng.choice(["ab", "你好😀a", "a", "abcdefgh 天地"])
+        texts = ["".join(rng.choice(few) for _ in range(rng.choice([0, 1, 3, 20, 200]))) for _ in range(rng.randint(1, 12))]
+        some = [rng.choice(texts)[rng.randint(0, 30) :][: rng.randint(1, 90)] + "b" * (rng.random() < 0.2) for _ in range(rng.randint(0, 40))]
+        strings = sorted({x for x in some if x})
+        string, text = needles.find(needles.table(strings, range(len(strings))), texts)
+        assert list(zip(string.tolist(), text.tolist())) == [(i, j) for i, x in enumerate(strings) for j, t in enumerate(texts) if x in t]
